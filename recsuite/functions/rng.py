@@ -17,7 +17,7 @@ TWO_32 = 4294967296.0
 def _parts(seed, *parts) -> list[Column]:
     cols = [F.lit(str(seed))]
     for p in parts:
-        cols.append(p if isinstance(p, Column) else F.lit(str(p)))
+        cols.append(p.cast("string") if isinstance(p, Column) else F.lit(str(p)))
     return cols
 
 

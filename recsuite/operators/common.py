@@ -1,0 +1,71 @@
+"""Shared scalable building blocks: salted top-N per group, ordered collection, dense indexes, first row per key."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+DEFAULT_SALT = 32
+
+
+def as_list(x) -> list:
+    if x is None:
+        return []
+    return [x] if isinstance(x, (str, Column)) else list(x)
+
+
+def _order_exprs(order):
+    return [o if isinstance(o, Column) else F.col(o) for o in as_list(order)]
+
+
+def top_n_per_group(df: DataFrame, keys, order, n: int, salt_buckets: int = DEFAULT_SALT,
+                    salt_on=None) -> DataFrame:
+    """Rows ranked 1..n per group under ``order`` (a total order incl. a tiebreak).
+
+    Two stages so that one hot group never lands in one task whole: stage 1 ranks inside (group, salt) with
+    salt = hash(salt_on or all columns) % salt_buckets and keeps n rows per salted part; stage 2 ranks the at most
+    n * salt_buckets survivors of each group.  The result equals the single-stage top n."""
+    keys = as_list(keys)
+    o = _order_exprs(order)
+    salt_cols = [F.col(c) for c in as_list(salt_on)] if salt_on else [F.col(c) for c in df.columns]
+    s = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salt_buckets)))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*o)
+    s = s.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*keys).orderBy(*o)
+    return s.withColumn("_rank", F.row_number().over(w2)).filter(F.col("_rank") <= n)
+
+
+def ordered_collect(df: DataFrame, keys, order_cols, value_cols, name="_vals") -> DataFrame:
+    """groupBy(keys) -> one sorted array of structs(order..., values...) per group (a row's list is its result)."""
+    keys = as_list(keys)
+    fields = [F.col(c).alias(f"o{i}") for i, c in enumerate(as_list(order_cols))] + \
+             [F.col(c).alias(c) for c in as_list(value_cols)]
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+
+
+def first_per_key(df: DataFrame, keys, order, cols) -> DataFrame:
+    """First row per key under ``order`` as a ``min_by`` aggregate: partial aggregation runs map-side, so a hot
+    key costs one small partial row per task instead of a whole-group sort."""
+    keys = as_list(keys)
+    cols = [c for c in as_list(cols) if c not in keys]
+    packed = F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*_order_exprs(order)))
+    return df.groupBy(*keys).agg(packed.alias("_first")).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in cols])
+
+
+def dense_index(df: DataFrame, order, name: str = "idx", start: int = 0, partitions: int | None = None) -> DataFrame:
+    """Dense 0-based (or ``start``-based) running index under a total ``order`` without a single-partition window.
+
+    Range-partition by the order, number rows inside each partition, then add per-partition offsets computed from
+    the partition row counts (one small row per partition, broadcast).  Requires ``order`` to be a total order so
+    that recomputation is deterministic."""
+    o = _order_exprs(order)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ids are consecutive inside a partition (pid << 33 + row); sorting first makes them follow the order
+    s = (df.repartitionByRange(n, *o).sortWithinPartitions(*o)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    offs = counts.withColumn("_off", F.coalesce(
+        F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return s.join(F.broadcast(offs.select("_pid", "_off")), "_pid") \
+        .withColumn(name, (F.col("_off") + F.col("_local") + start).cast("bigint")).drop("_pid", "_local", "_off")

@@ -1,0 +1,84 @@
+"""User histories and sequences.
+
+Histories are built by partitioning on the user: a bounded sliding frame (E1), or a filtered, tail-cut,
+ordered collection joined back (E2/E3).  When only the last N items are wanted they are cut by the salted
+two-stage top-N first, so a very active user never sorts whole in one task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from recsuite.functions.lists import C
+from recsuite.operators.common import as_list, ordered_collect, top_n_per_group
+
+
+def dynamic_history(df: DataFrame, n: int, user="user_id", item="item_id", time="ts", tiebreak=None,
+                    out="history_dynamic") -> DataFrame:
+    """For every row, the user's last n items strictly before it (rows ordered by time, tiebreak).  NULL items
+    take a slot of the n-row frame and are then dropped (collect_list skips NULLs)."""
+    order = [F.col(time)] + [F.col(c) for c in as_list(tiebreak)]
+    w = Window.partitionBy(user).orderBy(*order).rowsBetween(-n, -1)
+    return df.withColumn(out, F.collect_list(item).over(w))
+
+
+def fixed_history(df: DataFrame, cutoff, n: int | None = None, user="user_id", item="item_id", time="ts",
+                  extra=(), suffix="_fixed", tiebreak=None, attach_to: DataFrame | None = None) -> DataFrame:
+    """Per user the non-null items with ``time < cutoff`` in time order (optionally the last n),
+    as parallel lists ``{item}{suffix}`` (+ ``{c}{suffix}`` for each extra column; NULLs in extra columns kept),
+    attached to every row of ``attach_to`` (default: ``df``) by a left join; users without any get NULL."""
+    tb = as_list(tiebreak) or [item]
+    src = df.filter((F.col(time) < F.lit(cutoff)) & F.col(item).isNotNull())
+    order_desc = [F.col(time).desc()] + [F.col(c).desc() for c in tb]
+    if n is not None:
+        src = top_n_per_group(src, [user], order_desc, n, salt_on=[item, time]).drop("_rank")
+    coll = ordered_collect(src, [user], [time, *tb], [item, *extra], "_h")
+    outs = [F.transform("_h", lambda e, c=c: e[c]).alias(f"{c}{suffix}") for c in [item, *extra]]
+    hist = coll.select(user, *outs)
+    target = df if attach_to is None else attach_to
+    return target.join(hist, user, "left")
+
+
+def truncate_history(col, n: int, pad=None):
+    """Alias of the in-row tail operator (``recsuite.functions.lists.tail``)."""
+    from recsuite.functions.lists import tail
+    return tail(col, n, pad)
+
+
+def sessions_from_pairs(df: DataFrame, user="user_id", item="item_id", time="ts", label="label") -> DataFrame:
+    """Per user, positives in time order (``history``) and negatives (``neg``); users without positives are
+    dropped.  Time sorts numerically (not as text, Q9) with the item as tiebreak; one session per user (Q10)."""
+    coll = ordered_collect(df, [user], [time, item], [item, label], "_s")
+    return coll.select(
+        user,
+        F.transform(F.filter("_s", lambda e: e[label] == 1), lambda e: e[item]).alias("history"),
+        F.transform(F.filter("_s", lambda e: e[label] != 1), lambda e: e[item]).alias("neg"),
+    ).filter(F.size("history") > 0)
+
+
+def first_k_history(df: DataFrame, k: int, user="user_id", item="item_id", time="ts") -> tuple[DataFrame, DataFrame]:
+    """The first k interactions of each user (time, item order) form the history; the rest stay as labelled
+    interactions.  Returns (history per user, remaining rows)."""
+    w = Window.partitionBy(user).orderBy(F.col(time), F.col(item))
+    r = df.withColumn("_rn", F.row_number().over(w))
+    hist = ordered_collect(r.filter(F.col("_rn") <= k), [user], ["_rn"], [item], "_h") \
+        .select(user, F.transform("_h", lambda e: e[item]).alias("history"))
+    rest = r.filter(F.col("_rn") > k).drop("_rn")
+    return hist, rest
+
+
+def history_versions(df: DataFrame, user="user_id", history="history", order="impression_id",
+                     out="uid_k") -> DataFrame:
+    """``{user}_{k}`` for the k-th distinct history of a user in first-seen order (NULL-safe: one version for
+    all NULL histories, Q24)."""
+    hkey = F.coalesce(F.array_join(F.transform(C(history), lambda x: x.cast("string")), ",", "null"), F.lit("\u0000"))
+    first_seen = df.groupBy(user, hkey.alias("_hk")).agg(F.min(order).alias("_first"))
+    ver = first_seen.withColumn("_k", F.dense_rank().over(Window.partitionBy(user).orderBy("_first")) - 1)
+    return df.withColumn("_hk", hkey).join(ver.select(user, "_hk", "_k"), [user, "_hk"]) \
+        .withColumn(out, F.concat_ws("_", F.col(user).cast("string"), F.col("_k").cast("string"))).drop("_hk", "_k")
+
+
+def position_in_group(df: DataFrame, group, order, out="position") -> DataFrame:
+    """1-based position of each row inside its group."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*as_list(group)).orderBy(*as_list(order))))

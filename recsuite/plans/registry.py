@@ -37,5 +37,11 @@ def query(name: str, ids: tuple[str, ...] | str = (), sql: str | None = None):
 
 def load_all() -> dict[str, Entry]:
     # importing the modules registers their queries
-    from recsuite.plans import q_core, q_more  # noqa: F401
+    import importlib
+    import pkgutil
+
+    import recsuite.plans as plans
+    for m in sorted(pkgutil.iter_modules(plans.__path__), key=lambda m: m.name):
+        if m.name.startswith("q_"):
+            importlib.import_module(f"recsuite.plans.{m.name}")
     return REGISTRY
