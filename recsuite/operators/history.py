@@ -14,11 +14,17 @@ from recsuite.functions.lists import C
 from recsuite.operators.common import as_list, ordered_collect, top_n_per_group
 
 
+def _field(name):
+    def get(e):
+        return e[name]
+    return get
+
+
 def dynamic_history(df: DataFrame, n: int, user="user_id", item="item_id", time="ts", tiebreak=None,
                     out="history_dynamic") -> DataFrame:
     """For every row, the user's last n items strictly before it (rows ordered by time, tiebreak).  NULL items
     take a slot of the n-row frame and are then dropped (collect_list skips NULLs)."""
-    order = [F.col(time)] + [F.col(c) for c in as_list(tiebreak)]
+    order = [F.col(time)] + [c if not isinstance(c, str) else F.col(c) for c in as_list(tiebreak)]
     w = Window.partitionBy(user).orderBy(*order).rowsBetween(-n, -1)
     return df.withColumn(out, F.collect_list(item).over(w))
 
@@ -34,7 +40,7 @@ def fixed_history(df: DataFrame, cutoff, n: int | None = None, user="user_id", i
     if n is not None:
         src = top_n_per_group(src, [user], order_desc, n, salt_on=[item, time]).drop("_rank")
     coll = ordered_collect(src, [user], [time, *tb], [item, *extra], "_h")
-    outs = [F.transform("_h", lambda e, c=c: e[c]).alias(f"{c}{suffix}") for c in [item, *extra]]
+    outs = [F.transform("_h", _field(c)).alias(f"{c}{suffix}") for c in [item, *extra]]
     hist = coll.select(user, *outs)
     target = df if attach_to is None else attach_to
     return target.join(hist, user, "left")

@@ -50,16 +50,17 @@ def b9(spark, sf):
         "impression_id", L.fmt_list(L.keep_elements_in("inview", [1, 3, 5, 7, 11, 13, 17, 19, 23])).alias("kept"))
 
 
-_NULLED = "transform(inview, x -> CASE WHEN x % 7 = 0 THEN NULL ELSE x END)"
-_NULLED_SQL = "list_transform(inview, lambda x: CASE WHEN x % 7 = 0 THEN NULL ELSE x END)"
-
-
 @query("b10_drop_null_elements", "B10", W(
-    f"SELECT impression_id, {sfl(f'list_filter({_NULLED_SQL}, lambda x: x IS NOT NULL)')} AS compact "
-    "FROM impressions", "impressions"))
+    f"""SELECT user_id, {sfl('list_filter(items, lambda x: x IS NOT NULL)')} AS compact
+        FROM (SELECT user_id, list(item_id ORDER BY ts, item_id NULLS FIRST) AS items FROM clicks GROUP BY user_id)""",
+    "clicks"))
 def b10(spark, sf):
-    """Drop NULL elements inside lists (input list has NULLs where the item id is a multiple of 7)."""
-    return _imp(spark, sf).select("impression_id", L.fmt_list(L.drop_null_elements(F.expr(_NULLED))).alias("compact"))
+    """Drop NULL elements inside per-user click lists (the click log holds NULL items)."""
+    c = fx.clicks(spark, sf)
+    lists = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
+        "ts", F.col("item_id").isNotNull().alias("nn"), "item_id"))).alias("s")) \
+        .select("user_id", F.transform("s", lambda e: e["item_id"]).alias("items"))
+    return lists.select("user_id", L.fmt_list(L.drop_null_elements("items")).alias("compact"))
 
 
 @query("b11_distinct_elements", "B11", W(

@@ -167,6 +167,10 @@ def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> st
     ctes = [f"{n} AS ({SQL_VIEWS[n][1]})" for n in _order(names)]
     for k, v in (extra or {}).items():
         ctes.append(f"{k} AS ({v})")
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        # merge a query's own CTE list into ours
+        return ("WITH " + ",\n".join(ctes) + ",\n" + body[5:]) if ctes else body
     return ("WITH " + ",\n".join(ctes) + "\n" + sql) if ctes else sql
 
 
