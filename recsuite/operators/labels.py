@@ -1,0 +1,181 @@
+"""Labels, negative sampling and training-example tables.
+
+Per-impression work stays inside the row; catalogue draws are md5-keyed integer draws joined to a dense catalogue
+index (no cross join of rows x catalogue).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recsuite.functions import lists as L
+from recsuite.functions import rng
+from recsuite.operators.common import as_list, dense_index, first_per_key
+
+
+def sample_negatives_npratio(df: DataFrame, npratio: int, seed, key="impression_id", inview="inview",
+                             clicked="clicked", with_replacement: bool = True, shuffle: bool = False,
+                             on_short: str = "take_all") -> DataFrame:
+    """J3 (Wu et al. 2019): remove positives from the in-view list, one row per click (an impression without
+    clicks keeps one row whose positive is NULL, as the reference's explode does), sample ``npratio`` negatives
+    per row (seeded by impression and click position), in-view = negatives ++ [positive], clicked = [positive],
+    optional seeded shuffle."""
+    neg = df.withColumn("_neg", L.remove_positives(inview, clicked))
+    ex = neg.select(*[c for c in df.columns if c not in (inview, clicked)], "_neg",
+                    F.posexplode_outer(clicked).alias("_cpos", "_pos"))
+    row_key = F.concat_ws(":", F.col(key).cast("string"), F.coalesce(F.col("_cpos"), F.lit(0)).cast("string"))
+    s = ex.withColumn("_rk", row_key).withColumn(
+        "_s", L.sample_list("_neg", npratio, seed, "_rk", replace=with_replacement, on_short=on_short))
+    out = s.withColumn(inview, F.concat("_s", F.array(F.col("_pos")))).withColumn(clicked, F.array(F.col("_pos")))
+    if shuffle:
+        out = out.withColumn(inview, L.shuffle_list(inview, seed, "_rk"))
+    return out.drop("_neg", "_pos", "_s", "_rk")
+
+
+def pos_neg_rows(df: DataFrame, user="user_id", pos="history", neg="neg", item="item_id", label="label") -> DataFrame:
+    """Positive and negative list columns -> labelled interaction rows (users without positives have
+    already been dropped by E6, so their negatives go too)."""
+    p = df.filter(F.size(pos) > 0)
+    a = p.select(user, F.explode(pos).alias(item), F.lit(1).alias(label))
+    b = p.select(user, F.explode(neg).alias(item), F.lit(0).alias(label))
+    return a.unionByName(b)
+
+
+def first_impression_negatives(behaviors: DataFrame, users: DataFrame, user="user_id", order="impression_id",
+                               inview="inview", clicked="clicked") -> DataFrame:
+    """The negatives of each user's first impression; users without an impression get NULL."""
+    first = first_per_key(behaviors, user, [order], [inview, clicked])
+    negs = first.select(user, L.remove_positives(inview, clicked).alias("neg"))
+    return users.select(user).distinct().join(negs, user, "left")
+
+
+def catalogue_index(items: DataFrame, item="item_id") -> tuple[DataFrame, DataFrame]:
+    """Dense 0..n-1 index of the catalogue and the one-row size table (for md5 draws into the catalogue)."""
+    idx = dense_index(items.select(item).distinct(), [item], "_ci")
+    n = items.select(item).distinct().agg(F.count(F.lit(1)).alias("_n"))
+    return idx, n
+
+
+def random_catalogue_negatives(df: DataFrame, items: DataFrame, m: int, seed, key: str, item="item_id",
+                               out="random_neg") -> DataFrame:
+    """M random catalogue items per row (drawn with replacement from the whole catalogue; they may be
+    positives, Q11): draw indices pmod(md5, n), explode, join the dense catalogue index, re-collect by draw."""
+    idx, n = catalogue_index(items, item)
+    d = df.select(key).distinct().crossJoin(F.broadcast(n)).select(
+        key, F.posexplode(F.sequence(F.lit(1), F.lit(m))).alias("_d", "_k"), "_n")
+    d = d.withColumn("_ci", F.pmod(rng.draw32(seed, F.col(key), F.col("_k")), F.col("_n")))
+    j = d.join(idx.select("_ci", F.col(item).alias("_item")), "_ci")
+    back = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_d", "_item"))).alias("_l")) \
+        .select(key, F.transform("_l", lambda e: e["_item"]).alias(out))
+    return df.join(back, key, "left")
+
+
+def negatives_outside_taste(history: DataFrame, items: DataFrame, seed, user="user_id", hist="history",
+                            item="item_id", attr="category", base: int = 20, extra_max: int = 5,
+                            draws_per_round: int = 100, max_rounds: int = 6) -> DataFrame:
+    """Per user, 20 + U{1..5} distinct random catalogue items whose attribute (category, or item
+    cluster for J9) is not among the user's history attributes.  Each round draws a batch of catalogue indices
+    per still-short user, drops tabooed and already chosen items, keeps the first by md5 key; users whose taste
+    covers every attribute value stop (the reference would loop forever).  A driver loop over at most
+    ``max_rounds`` rounds, each a normal distributed job; lineage is cut each round."""
+    from recsuite.session import cut_lineage
+    idx, n = catalogue_index(items, item)
+    attrs = items.select(item, attr)
+    taste = history.select(user, F.explode(hist).alias(item)).join(attrs, item).groupBy(user) \
+        .agg(F.collect_set(attr).alias("_taste"))
+    n_attr = attrs.select(attr).distinct().agg(F.count(F.lit(1)).alias("_na"))
+    want = history.select(user).distinct().join(taste, user, "left").crossJoin(F.broadcast(n_attr)) \
+        .withColumn("_taste", F.coalesce("_taste", F.array().cast("array<string>"))) \
+        .filter(F.size("_taste") < F.col("_na")) \
+        .withColumn("_want", F.lit(base) + F.pmod(rng.draw32(seed, F.col(user), F.lit("n")), F.lit(extra_max)) + 1) \
+        .select(user, "_taste", "_want")
+    chosen = None
+    for r in range(max_rounds):
+        short = want if chosen is None else want.join(
+            chosen.groupBy(user).agg(F.count(F.lit(1)).alias("_have")), user, "left") \
+            .filter(F.coalesce("_have", F.lit(0)) < F.col("_want")).drop("_have")
+        d = short.crossJoin(F.broadcast(n)).select(
+            user, "_taste", "_want", F.explode(F.sequence(F.lit(1), F.lit(draws_per_round))).alias("_k"), "_n")
+        d = d.withColumn("_ci", F.pmod(rng.draw32(seed, F.col(user), F.lit(r), F.col("_k")), F.col("_n")))
+        cand = d.join(idx, "_ci").join(attrs, item) \
+            .filter(~F.array_contains("_taste", F.col(attr))) \
+            .select(user, item, "_want", rng.md5_key(seed, F.col(user), F.col(item)).alias("_key")).distinct()
+        if chosen is not None:
+            cand = cand.join(chosen.select(user, item), [user, item], "left_anti")
+        have = (chosen.groupBy(user).agg(F.count(F.lit(1)).alias("_have")) if chosen is not None else None)
+        if have is not None:
+            cand = cand.join(have, user, "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
+        else:
+            cand = cand.withColumn("_have", F.lit(0))
+        from pyspark.sql import Window
+        w = Window.partitionBy(user).orderBy("_key", item)
+        new = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_want") - F.col("_have")) \
+            .select(user, item, "_key")
+        chosen = new if chosen is None else chosen.unionByName(new)
+        chosen = cut_lineage(chosen)
+        remaining = want.join(chosen.groupBy(user).agg(F.count(F.lit(1)).alias("_have")), user, "left") \
+            .filter(F.coalesce("_have", F.lit(0)) < F.col("_want")).limit(1).count()
+        if remaining == 0:
+            break
+    return chosen.groupBy(user).agg(F.array_sort(F.collect_list(F.struct("_key", item))).alias("_l")) \
+        .select(user, F.transform("_l", lambda e: e[item]).alias("neg"))
+
+
+def training_candidates(df: DataFrame, k: int, seed, key: str, pos="item_id", own_neg="neg",
+                        random_neg="random_neg", out="candidates") -> DataFrame:
+    """[positive] + min(k, #own negatives) own negatives (seeded sample) + the rest from random negatives."""
+    own = L.sample_list(own_neg, k, seed, key)
+    rest = F.slice(F.coalesce(F.col(random_neg), F.array()), 1,
+                   F.greatest(F.lit(k) - L.size0(own), F.lit(0)))
+    return df.withColumn(out, F.concat(F.array(F.col(pos)), F.coalesce(own, F.array()), rest))
+
+
+def unfold_for_scoring(df: DataFrame, inview="inview", item="item_id") -> DataFrame:
+    """One row per (impression, candidate) keeping the history columns."""
+    keep = [c for c in df.columns if c != inview]
+    return df.select(*keep, F.posexplode(inview).alias("pos", item))
+
+
+def token_sequence(df: DataFrame, cols, width: int, cls: int | None = 1, sep: int = 2, pad: int = 0,
+                   prefixes: dict | None = None, out="tokens") -> DataFrame:
+    """Concatenate token-id list columns into one fixed-width sequence: optional CLS, each column's
+    optional prompt prefix ids, its tokens and a SEP; back-padded with PAD; plus the 1/0 attention mask."""
+    parts = [F.array(F.lit(cls))] if cls is not None else []
+    for c in as_list(cols):
+        if prefixes and c in prefixes:
+            parts.append(F.array(*[F.lit(x) for x in prefixes[c]]))
+        parts.append(F.coalesce(F.col(c), F.array().cast("array<int>")).cast("array<int>"))
+        parts.append(F.array(F.lit(sep)))
+    seq = F.slice(F.concat(*parts), 1, width)
+    n = F.size(seq)
+    return df.withColumn(out, F.concat(seq, F.array_repeat(F.lit(pad), F.lit(width) - n))) \
+        .withColumn(f"{out}_mask", F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(width) - n)))
+
+
+def flatten_history(histories: DataFrame, items: DataFrame, user: str, hist: str, item: str, tokens: str,
+                    item_sep: int = 3, out="flat") -> DataFrame:
+    """One sequence per user: each history item's tokens followed by an item separator, in history order
+    (explode with position, join item tokens, ordered flatten)."""
+    ex = histories.select(user, F.posexplode(hist).alias("_p", item))
+    j = ex.join(items.select(item, tokens), item, "left")
+    seq = j.groupBy(user).agg(F.array_sort(F.collect_list(F.struct("_p", F.concat(
+        F.coalesce(F.col(tokens), F.array().cast("array<int>")), F.array(F.lit(item_sep))).alias("t")))).alias("_l"))
+    return seq.select(user, F.flatten(F.transform("_l", lambda e: e["t"])).alias(out))
+
+
+def history_matrix(df: DataFrame, hist_codes: str, rows: int, width: int, out="matrix") -> DataFrame:
+    """History as a rows x width matrix of item codes (each row fit to width), zero rows as padding, mask."""
+    fit = F.transform(F.slice(L.C(hist_codes), 1, rows),
+                      lambda r: F.concat(F.slice(r, 1, width),
+                                         F.array_repeat(F.lit(0), F.greatest(F.lit(width) - F.size(r), F.lit(0)))))
+    n = F.size(fit)
+    zero_row = F.array_repeat(F.lit(0), width)
+    return df.withColumn(out, F.concat(fit, F.array_repeat(zero_row, F.lit(rows) - n))) \
+        .withColumn(f"{out}_mask", F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(rows) - n)))
+
+
+def all_user_rows(users: DataFrame, history: DataFrame, user="user_id", dummy_candidate: int = 0) -> DataFrame:
+    """One scoring row per user with a dummy candidate."""
+    return users.select(user).distinct().join(history, user, "left") \
+        .withColumn("candidate", F.lit(dummy_candidate))

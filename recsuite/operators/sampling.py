@@ -1,0 +1,122 @@
+"""Ranking, top-k, sampling and splitting.
+
+Randomness is the md5 key of ``recsuite.functions.rng`` (portable, partition-independent).  Global orders that
+feed dense positions (rank scores, equal parts, weighted splits, removals) use ``dense_index`` — range partitions
+plus per-partition offsets — never a single-partition window or a row limit that grows with the data.  ``limit``
+is used only where the result size is the feature (top-N reports).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from recsuite.functions import lists as L
+from recsuite.functions import rng
+from recsuite.operators.common import as_list, dense_index
+
+
+def rank_score(df: DataFrame, col: str, id_col: str, out="score") -> DataFrame:
+    """score = 1 / rank under ``col`` descending (ties by id); output id, column, score."""
+    r = dense_index(df.select(id_col, col), [F.col(col).desc(), F.col(id_col)], "_r", start=1)
+    return r.select(id_col, col, (1.0 / F.col("_r")).alias(out))
+
+
+def submission_ranks(df: DataFrame, group: str, pos="pos", score="score", out="ranks") -> DataFrame:
+    """rank of every candidate inside its group (stable descending sort: earlier position wins ties, Q4),
+    reported as a list in position order; duplicates keep their own rank (Q29)."""
+    w = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(pos))
+    r = df.withColumn("_rk", F.row_number().over(w))
+    return r.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(pos, "_rk"))).alias("_l")) \
+        .select(group, F.transform("_l", lambda e: e["_rk"]).alias(out))
+
+
+def top_n(df: DataFrame, order, n: int) -> DataFrame:
+    """the first n rows under ``order`` (a top-N report: TakeOrdered keeps n rows per task)."""
+    return df.orderBy(*as_list(order)).limit(n)
+
+
+def top_users_by_activity(df: DataFrame, k: int, user="user_id") -> DataFrame:
+    """the k most active users (count desc, id); a negative k means ``n_users // -k`` users."""
+    counts = df.groupBy(user).agg(F.count(F.lit(1)).alias("n"))
+    idx = dense_index(counts, [F.col("n").desc(), F.col(user)], "_i")
+    if k >= 0:
+        return idx.filter(F.col("_i") < k).select(user, "n")
+    n_users = counts.agg(F.count(F.lit(1)).alias("_nu"))
+    return idx.crossJoin(F.broadcast(n_users)).filter(F.col("_i") < F.floor(F.col("_nu") / -k)).select(user, "n")
+
+
+def random_users(df: DataFrame, k: int, seed, user="user_id") -> DataFrame:
+    """k users chosen at random (smallest md5 keys) among those present."""
+    u = df.select(user).distinct().withColumn("_k", rng.md5_key(seed, F.col(user)))
+    return dense_index(u, ["_k"], "_i").filter(F.col("_i") < k).select(user)
+
+
+def shuffle_rows(df: DataFrame, seed, key) -> DataFrame:
+    """F8: rows in a seeded random order (global sort by the md5 key of the row key)."""
+    return df.withColumn("_k", rng.md5_key(seed, *[F.col(c) for c in as_list(key)])).orderBy("_k").drop("_k")
+
+
+def sample_fraction(df: DataFrame, fraction: float, seed, key) -> DataFrame:
+    """portable row sample: keep rows whose md5 draw is below the fraction (a filter, no shuffle)."""
+    return df.filter(rng.uniform(seed, *[F.col(c) for c in as_list(key)]) < fraction)
+
+
+def equal_parts(df: DataFrame, n_parts: int, order, out="part") -> DataFrame:
+    """n contiguous parts of ceil(N/n) rows in ``order``; the last part may be short."""
+    idx = dense_index(df, order, "_i")
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    return idx.crossJoin(F.broadcast(n)).withColumn(
+        out, F.floor(F.col("_i") / F.ceil(F.col("_n") / n_parts)).cast("int")).drop("_i", "_n")
+
+
+def weighted_split(keys: DataFrame, weights: dict[str, float], seed, key: str, out="phase") -> DataFrame:
+    """Assign each distinct key to a named part: keys in md5-shuffled order, part sizes floor(N * w /
+    sum w), the remainder to the last part.  Returns the (key, part) assignment table (persist it to reuse)."""
+    d = keys.select(key).distinct().withColumn("_k", rng.md5_key(seed, F.col(key)))
+    idx = dense_index(d, ["_k", key], "_i")
+    n = d.agg(F.count(F.lit(1)).alias("_n"))
+    total = float(sum(weights.values()))
+    names = list(weights)
+    bounds, acc = [], 0.0
+    for nm in names[:-1]:
+        acc += weights[nm]
+        bounds.append((nm, acc / total))
+    j = idx.crossJoin(F.broadcast(n))
+    # cumulative floor sizes: part i holds indices [sum_{<i} floor(N w/W), sum_{<=i} floor(N w/W))
+    expr = None
+    cum = F.lit(0)
+    for nm in names[:-1]:
+        cum = cum + F.floor(F.col("_n") * (weights[nm] / total))
+        cond = F.col("_i") < cum
+        expr = F.when(cond, F.lit(nm)) if expr is None else expr.when(cond, F.lit(nm))
+    expr = F.lit(names[-1]) if expr is None else expr.otherwise(F.lit(names[-1]))
+    return j.select(key, expr.alias(out))
+
+
+MAX_POOL = 100_000
+
+
+def random_lists(df: DataFrame, pool: DataFrame, n: int, seed, key: str, pool_item="item_id", out="ranked",
+                 max_pool: int = MAX_POOL) -> DataFrame:
+    """a random N-item candidate list per row drawn from the candidate pool without replacement (seeded per
+    row).  The pool is a candidate set, bounded by design; its size is checked (one count job) before it is
+    built into one broadcast list, and a pool above ``max_pool`` raises instead of being broadcast."""
+    size = pool.select(pool_item).distinct().count()
+    if size > max_pool:
+        raise ValueError(f"candidate pool of {size} items exceeds max_pool={max_pool}")
+    cand = pool.agg(F.sort_array(F.collect_set(pool_item)).alias("_pool"))
+    return df.crossJoin(F.broadcast(cand)).withColumn(
+        out, L.sample_list("_pool", n, seed, key)).drop("_pool")
+
+
+def random_permutation_ranks(col, seed, row_key):
+    """F16: a random permutation of ranks 1..len per row."""
+    c = L.C(col)
+    return L.shuffle_list(F.sequence(F.lit(1), F.greatest(F.size(c), F.lit(1))), seed, row_key)
+
+
+def remove_random(keys: DataFrame, n_remove: int, seed, key: str) -> DataFrame:
+    """drop n_remove keys chosen at random: keep the keys ranked >= n_remove in md5 order."""
+    d = keys.select(key).distinct().withColumn("_k", rng.md5_key(seed, F.col(key)))
+    return dense_index(d, ["_k", key], "_i").filter(F.col("_i") >= n_remove).select(key)
