@@ -204,9 +204,10 @@ def sq_euclidean(a, b) -> Column:
                        lambda s, v: s + v)
 
 
-def unit(a) -> Column:
-    """a / |a|; the zero vector stays zero."""
-    n = norm(a)
+def unit(a, norm_col=None) -> Column:
+    """a / |a|; the zero vector stays zero.  Pass ``norm_col`` (a column already holding |a|) so the norm is not
+    recomputed for every element."""
+    n = norm_col if norm_col is not None else norm(a)
     return F.transform(C(a), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
 
 

@@ -1,0 +1,243 @@
+"""Queries for beyond-accuracy metrics (L) over in-view lists (R), clicked lists (H) and item vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recsuite.functions import lists as L
+from recsuite.operators import beyond as B
+from recsuite.operators import sampling as S
+from recsuite.operators import stats as D
+from recsuite.plans.registry import query
+from recsuite.sources import fixtures as fx
+
+W = fx.with_views
+SEED = 42
+
+_U = """u AS (SELECT c.impression_id, c.pos, list_transform(v.embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+                     sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS nrm
+              FROM candidates c JOIN item_vectors v ON c.item_id = v.item_id)"""
+_COS = "CASE WHEN a.nrm > 0 AND b.nrm > 0 THEN list_dot_product(a.e, b.e) / (a.nrm * b.nrm) ELSE 0 END"
+
+
+def _R(spark, sf):
+    return fx.impressions(spark, sf).select(F.col("impression_id").alias("list_id"), F.col("inview").alias("items"))
+
+
+def _H(spark, sf):
+    return fx.impressions(spark, sf).filter(F.size("clicked") > 0).select(
+        F.col("impression_id").alias("list_id"), F.col("clicked").alias("items"))
+
+
+@query("l1_intra_list_diversity", ("L1",), W(
+    f"""WITH {_U},
+            p AS (SELECT a.impression_id, sum(1 - {_COS}) AS s FROM u a JOIN u b ON a.impression_id = b.impression_id AND a.pos <> b.pos
+                  GROUP BY a.impression_id),
+            n AS (SELECT impression_id, count(*) AS n FROM u GROUP BY impression_id)
+       SELECT i.impression_id AS list_id, round(CASE WHEN n.n > 1 THEN greatest(0, coalesce(p.s, 0) / (n.n * (n.n - 1))) END, 6) AS diversity
+       FROM impressions i LEFT JOIN n ON i.impression_id = n.impression_id LEFT JOIN p ON i.impression_id = p.impression_id""",
+    "impressions", "candidates", "item_vectors"))
+def l1(spark, sf):
+    """Intra-list cosine diversity of every in-view list over its items with vectors (closed form, no pairs)."""
+    d = B.intra_list_diversity(_R(spark, sf), fx.item_vectors(spark, sf))
+    return d.select("list_id", F.round("diversity", 6).alias("diversity"))
+
+
+@query("l2_serendipity", ("L2",), W(
+    f"""WITH {_U},
+            h AS (SELECT x.impression_id, u.e, u.nrm FROM (SELECT impression_id, unnest(clicked) AS item_id FROM impressions) x
+                  JOIN item_vectors v ON x.item_id = v.item_id
+                  JOIN u ON u.impression_id = x.impression_id AND u.pos = (SELECT min(pos) FROM candidates c WHERE c.impression_id = x.impression_id AND c.item_id = x.item_id))
+       SELECT a.impression_id AS list_id, round(avg(1 - {_COS}), 6) AS serendipity
+       FROM u a JOIN h b ON a.impression_id = b.impression_id GROUP BY a.impression_id
+       UNION ALL
+       SELECT impression_id, NULL FROM impressions WHERE len(clicked) > 0 AND impression_id NOT IN (
+         SELECT a.impression_id FROM u a JOIN h b ON a.impression_id = b.impression_id)""",
+    "impressions", "candidates", "item_vectors"))
+def l2(spark, sf):
+    """Serendipity: mean cosine distance between in-view items and clicked items of each impression."""
+    s = B.serendipity(_H(spark, sf), _R(spark, sf), fx.item_vectors(spark, sf))
+    return s.select("list_id", F.round("serendipity", 6).alias("serendipity"))
+
+
+_POP_SQL = """pop AS (SELECT item_id, count(*) / (SELECT count(*) FROM impressions) AS popularity
+                      FROM (SELECT DISTINCT impression_id, unnest(inview) AS item_id FROM impressions) GROUP BY item_id)"""
+
+
+@query("l3_l4_novelty_sentiment", ("L3", "L4"), W(
+    f"""WITH {_POP_SQL}
+       SELECT c.impression_id AS list_id, round(avg(-log2(p.popularity)), 6) AS novelty, round(avg(i.sentiment_score), 6) AS sentiment
+       FROM candidates c JOIN pop p ON c.item_id = p.item_id JOIN items i ON c.item_id = i.item_id GROUP BY c.impression_id""",
+    "impressions", "candidates", "items"))
+def l3(spark, sf):
+    """Novelty (mean -log2 popularity) and mean sentiment of every in-view list."""
+    R = _R(spark, sf)
+    pop = D.popularity(fx.impressions(spark, sf), "inview")
+    n = B.novelty(R, pop)
+    s = B.mean_attribute(R, fx.items(spark, sf), "sentiment_score", out="sentiment")
+    return n.join(s, "list_id").select("list_id", F.round("novelty", 6).alias("novelty"),
+                                        F.round("sentiment", 6).alias("sentiment"))
+
+
+@query("l5_coverage", ("L5",), W(
+    """SELECT count(DISTINCT item_id) AS coverage_count, round(count(DISTINCT item_id) / (SELECT count(*) FROM items), 6) AS coverage_fraction
+       FROM (SELECT item_id FROM (SELECT impression_id, item_id, row_number() OVER (PARTITION BY impression_id ORDER BY score DESC, pos DESC) AS r
+             FROM candidates) WHERE r <= 3)""", "candidates", "items"))
+def l5(spark, sf):
+    """Coverage of the top-3-by-score lists over the catalogue."""
+    imp = fx.impressions(spark, sf).select(
+        "impression_id", "inview", F.expr("transform(inview, x -> ((x * 7919 + impression_id * 104729) % 11) / 10)").alias("s"))
+    ranks = imp.withColumn("r", L.rank_in_list("s"))
+    lists = ranks.select(F.filter(F.arrays_zip("inview", "r"), lambda z: z["r"] <= 3).alias("z")) \
+        .select(F.transform("z", lambda z: z["inview"]).alias("items"))
+    cov = B.coverage(lists, fx.items(spark, sf))
+    return cov.select("coverage_count", F.round("coverage_fraction", 6).alias("coverage_fraction"))
+
+
+_CANDS_SQL = "cand AS (SELECT i.item_id FROM items i JOIN item_vectors v ON i.item_id = v.item_id WHERE i.category = 'Brand#1')"
+
+
+def _cands(spark, sf):
+    it = fx.items(spark, sf).filter(F.col("category") == "Brand#1")
+    return it.join(fx.item_vectors(spark, sf), "item_id", "left_semi").select("item_id")
+
+
+@query("l6_candidate_diversity_bounds", ("L6",), W(
+    f"""WITH {_CANDS_SQL},
+            u AS (SELECT c.item_id, list_transform(v.embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+                         sqrt(list_sum(list_transform(v.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS nrm
+                  FROM cand c JOIN item_vectors v ON c.item_id = v.item_id),
+            d AS (SELECT x.item_id AS i1, y.item_id AS i2, 1 - CASE WHEN x.nrm > 0 AND y.nrm > 0 THEN list_dot_product(x.e, y.e) / (x.nrm * y.nrm) ELSE 0 END AS dist
+                  FROM u x JOIN u y ON x.item_id <> y.item_id),
+            t AS (SELECT a.item_id AS a, b.item_id AS b, c.item_id AS c FROM cand a JOIN cand b ON a.item_id < b.item_id JOIN cand c ON b.item_id < c.item_id),
+            s AS (SELECT (d1.dist + d2.dist + d3.dist) / 3 AS div FROM t JOIN d d1 ON d1.i1 = t.a AND d1.i2 = t.b
+                  JOIN d d2 ON d2.i1 = t.a AND d2.i2 = t.c JOIN d d3 ON d3.i1 = t.b AND d3.i2 = t.c)
+       SELECT round(min(div), 6) AS min_diversity, round(max(div), 6) AS max_diversity FROM s""",
+    "items", "item_vectors"))
+def l6(spark, sf):
+    """Min / max diversity over 3-item subsets of one category's candidates (all combinations up to 20 000, else
+    20 000 seeded random subsets)."""
+    b = B.candidate_diversity_bounds(_cands(spark, sf), fx.item_vectors(spark, sf), 3, SEED)
+    return b.select(F.round("min_diversity", 6).alias("min_diversity"), F.round("max_diversity", 6).alias("max_diversity"))
+
+
+@query("l7_l8_candidate_bounds", ("L7", "L8"), W(
+    f"""WITH {_POP_SQL}, c AS (SELECT i.item_id, -log2(p.popularity) AS nov, i.sentiment_score AS sen
+                           FROM items i JOIN pop p ON i.item_id = p.item_id WHERE i.category = 'Brand#1')
+       SELECT 'novelty' AS attr, round((SELECT avg(nov) FROM (SELECT nov FROM c ORDER BY nov DESC, item_id LIMIT 5)), 6) AS from_highest,
+              round((SELECT avg(nov) FROM (SELECT nov FROM c ORDER BY nov, item_id LIMIT 5)), 6) AS from_lowest
+       UNION ALL
+       SELECT 'sentiment', round((SELECT avg(sen) FROM (SELECT sen FROM c ORDER BY sen DESC, item_id LIMIT 5)), 6),
+              round((SELECT avg(sen) FROM (SELECT sen FROM c ORDER BY sen, item_id LIMIT 5)), 6)""", "impressions", "items"))
+def l7(spark, sf):
+    """Mean of the 5 highest / 5 lowest novelty and sentiment values among one category's items."""
+    cands = fx.items(spark, sf).filter(F.col("category") == "Brand#1").select("item_id")
+    pop = D.popularity(fx.impressions(spark, sf), "inview")
+    a = B.candidate_bounds(cands, pop, "popularity", 5, transform=lambda c: -F.log2(c)).withColumn("attr", F.lit("novelty"))
+    b = B.candidate_bounds(cands, fx.items(spark, sf), "sentiment_score", 5).withColumn("attr", F.lit("sentiment"))
+    u = a.unionByName(b)
+    return u.select("attr", F.round("from_highest", 6).alias("from_highest"), F.round("from_lowest", 6).alias("from_lowest"))
+
+
+@query("l9_attribute_distribution", ("L9",), W(
+    """SELECT 'category' AS attr, value, round(n / sum(n) OVER (), 6) AS share FROM (
+         SELECT i.category AS value, count(*) AS n FROM candidates c JOIN items i ON c.item_id = i.item_id GROUP BY 1)
+       UNION ALL
+       SELECT 'topics', value, round(n / sum(n) OVER (), 6) FROM (
+         SELECT unnest(i.topics) AS value, count(*) AS n FROM candidates c JOIN items i ON c.item_id = i.item_id GROUP BY 1)""",
+    "candidates", "items"))
+def l9(spark, sf):
+    """Distribution of a scalar (category) and a list attribute (topics) over all in-view items."""
+    R, it = _R(spark, sf), fx.items(spark, sf)
+    a = B.attribute_distribution(R, it, "category").withColumn("attr", F.lit("category"))
+    b = B.attribute_distribution(R, it, "topics").withColumn("attr", F.lit("topics"))
+    return a.unionByName(b).select("attr", "value", F.round("share", 6).alias("share"))
+
+
+_BASELINES_SQL = f"""
+    WITH inv AS (SELECT item_id, count(*) AS n FROM candidates GROUP BY item_id),
+         editorial AS (SELECT 'editorial' AS list, item_id, row_number() OVER (ORDER BY n DESC, item_id) AS r FROM inv),
+         popular AS (SELECT 'popular' AS list, item_id, row_number() OVER (ORDER BY total_pageviews DESC, item_id) AS r FROM items),
+         newest AS (SELECT 'newest' AS list, item_id, row_number() OVER (ORDER BY first_seen DESC, item_id) AS r FROM (
+                      SELECT item_id, min(ts) AS first_seen FROM clicks WHERE item_id IS NOT NULL GROUP BY item_id))
+    SELECT list, array_to_string(list(CAST(item_id AS VARCHAR) ORDER BY r), ',') AS items FROM (
+      SELECT * FROM editorial WHERE r <= 10 UNION ALL SELECT * FROM popular WHERE r <= 10 UNION ALL SELECT * FROM newest WHERE r <= 10)
+    GROUP BY list"""
+
+
+def baseline_lists(spark, sf, n=10):
+    """Editorial (most in-view), popular (page views) and newest (first seen) top-n lists, one row each."""
+    c = fx.candidates(spark, sf)
+    inv = c.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    first = fx.clicks(spark, sf).filter(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("ts").alias("first_seen"))
+    out = None
+    for name, df, col in (("editorial", inv, "n"), ("popular", fx.items(spark, sf), "total_pageviews"),
+                          ("newest", first, "first_seen")):
+        top = S.top_n(df.select("item_id", col), [F.col(col).desc(), F.col("item_id")], n) \
+            .withColumn("_r", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.col(col).desc(), "item_id")))
+        row = top.agg(F.array_sort(F.collect_list(F.struct("_r", "item_id"))).alias("_l")) \
+            .select(F.lit(name).alias("list"), F.transform("_l", lambda e: e["item_id"]).alias("items"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("l10_baseline_lists", ("L10", "F4", "F20"), W(_BASELINES_SQL, "candidates", "items", "clicks"))
+def l10(spark, sf):
+    """Baseline recommendation lists: editorial, popular, newest (top 10 each)."""
+    return baseline_lists(spark, sf).select("list", L.fmt_list("items").alias("items"))
+
+
+@query("l11_baseline_report", ("L11", "L13", "L14", "D18"))
+def l11(spark, sf):
+    """Every baseline list given to every user with clicks; serendipity against each user's clicks, diversity,
+    novelty and sentiment of the list; mean / population std per list and metric."""
+    lists = baseline_lists(spark, sf)
+    users = _H(spark, sf)
+    items = fx.items(spark, sf)
+    B.check_attribute(items, "sentiment_score")
+    pop = D.popularity(fx.impressions(spark, sf), "inview")
+    reports = None
+    for name in ("editorial", "popular", "newest"):
+        one = lists.filter(F.col("list") == name)
+        R = B.broadcast_list(users.select("list_id"), one, "list_id", "items")
+        B.check_consistent_lists(R, "items")
+        ser = B.serendipity(R, users, fx.item_vectors(spark, sf))
+        nov = B.novelty(R, pop)
+        sen = B.mean_attribute(R, items, "sentiment_score", out="sentiment")
+        div = B.intra_list_diversity(one.select(F.lit(0).alias("list_id"), "items"), fx.item_vectors(spark, sf))
+        per = ser.join(nov, "list_id").join(sen, "list_id").crossJoin(F.broadcast(div.select("diversity")))
+        rep = B.list_report(per, ["serendipity", "novelty", "sentiment", "diversity"], name)
+        reports = rep if reports is None else reports.unionByName(rep)
+    return reports.select("list", "metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("l12_item_lookup_table", ("L12", "B22", "D16", "C2"), W(
+    """WITH ids AS (SELECT DISTINCT item_id FROM (SELECT item_id FROM candidates UNION ALL SELECT unnest(clicked) FROM impressions)),
+            f AS (SELECT item_id, strftime(min(ts), '%Y-%m-%d') AS first_seen FROM clicks WHERE item_id IS NOT NULL GROUP BY item_id),
+            t AS (SELECT d.item_id, f.first_seen, coalesce(NULLIF(i.total_pageviews, 0), 1) AS pageviews, v.embedding IS NOT NULL AS has_vector
+                  FROM ids d JOIN items i ON d.item_id = i.item_id LEFT JOIN f ON d.item_id = f.item_id LEFT JOIN item_vectors v ON d.item_id = v.item_id)
+       SELECT item_id, first_seen, pageviews, round(pageviews / max(pageviews) OVER (), 6) AS popularity, has_vector FROM t""",
+    "candidates", "impressions", "clicks", "items", "item_vectors"))
+def l12(spark, sf):
+    """Item lookup table for the report: candidate and history ids, first-seen date as text, page views (0 -> 1),
+    popularity = page views / max, vector presence."""
+    from recsuite.operators import lookup as LK
+    from recsuite.operators import prep as P
+    i = fx.impressions(spark, sf)
+    ids = P.distinct_ids(i, None, ["inview", "clicked"], out="item_id")
+    first = fx.clicks(spark, sf).filter(F.col("item_id").isNotNull()).groupBy("item_id").agg(
+        F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_seen"))
+    it = fx.items(spark, sf).select("item_id", F.when(F.col("total_pageviews") != 0, F.col("total_pageviews")).alias("pageviews"))
+    t = ids.join(it, "item_id").join(first, "item_id", "left")
+    t = P.fill_constants(t, {"pageviews": 1})
+    t = D.normalize(t, "pageviews", "max", out="popularity")
+    t = LK.attach_embeddings(t, fx.item_vectors(spark, sf))
+    return t.select("item_id", "first_seen", F.col("pageviews").cast("bigint").alias("pageviews"),
+                    F.round("popularity", 6).alias("popularity"), F.col("embedding").isNotNull().alias("has_vector"))
+
+
+@query("q1_pluggable_distance", ("Q-1",))
+def q1(spark, sf):
+    """Intra-list diversity with a pluggable distance (squared euclidean) through the explicit pair path."""
+    d = B.pairwise_mean_distance(_R(spark, sf), fx.item_vectors(spark, sf), L.sq_euclidean)
+    return d.select("list_id", F.round("diversity", 4).alias("diversity"))
