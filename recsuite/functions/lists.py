@@ -216,7 +216,7 @@ def fmt_list(col, kind: str = "int") -> Column:
     """Render a list as text so engines compare it exactly: ints/strings as is, doubles with 6 decimals."""
     c = C(col)
     if kind == "double":
-        c = F.transform(c, lambda x: F.format_string("%.6f", F.round(x, 6)))
+        c = F.transform(c, lambda x: F.format_string("%.6f", F.round(x, 6) + 0.0))
     elif kind != "str":
         c = F.transform(c, lambda x: x.cast("string"))
     return F.array_join(c, ",", "null")
@@ -224,7 +224,7 @@ def fmt_list(col, kind: str = "int") -> Column:
 
 def sql_fmt_list(expr: str, kind: str = "int") -> str:
     if kind == "double":
-        inner = f"list_transform({expr}, lambda x: coalesce(printf('%.6f', round(x, 6)), 'null'))"
+        inner = f"list_transform({expr}, lambda x: coalesce(printf('%.6f', round(x, 6) + 0.0), 'null'))"
     else:
         inner = f"list_transform({expr}, lambda x: coalesce(CAST(x AS VARCHAR), 'null'))"
     return f"array_to_string({inner}, ',')"

@@ -1,0 +1,147 @@
+"""Embeddings, clustering and dataset distillation.
+
+Vectors are ``array<float|double>`` columns; group means use Spark ML's ``Summarizer`` (JVM).  Centres are a
+small table of k rows whose size is checked before it is broadcast as ONE row (an array of centres) and scanned
+inside each row with higher-order functions: no row x centre cross join is materialised.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import PCA, HashingTF, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recsuite.functions import lists as L
+from recsuite.operators.common import as_list, first_per_key, top_n_per_group
+
+MAX_CENTRES = 100_000
+
+
+def mean_vectors(df: DataFrame, group, vec: str, out: str = "vector") -> DataFrame:
+    """Element-wise mean vector per group (NULL vectors skipped)."""
+    g = as_list(group)
+    d = df.filter(F.col(vec).isNotNull()).withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
+    return d.groupBy(*g).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(*g, vector_to_array("_m").alias(out))
+
+
+def user_vectors(history: DataFrame, vectors: DataFrame, user="user_id", item="item_id", vec="embedding",
+                 out="user_vector") -> DataFrame:
+    """A user's vector = mean of the vectors of the items in their history rows ``(user, item)``."""
+    return mean_vectors(history.select(user, item).join(vectors.select(item, vec), item), user, vec, out)
+
+
+def dot_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, user="user_id", item="item_id",
+               user_vec="user_vector", item_vec="embedding", out="score") -> DataFrame:
+    """M1: score = u . v for every (user, candidate) row (two joins, one in-row dot product)."""
+    j = pairs.join(users.select(user, user_vec), user).join(items.select(item, item_vec), item)
+    return j.withColumn(out, L.dot(user_vec, item_vec))
+
+
+def kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, distance: str = "euclidean", tol: float = 1e-4,
+           max_iter: int = 20, out="cluster") -> tuple[DataFrame, DataFrame]:
+    """M2: K-means (random init with seed, tolerance, iteration cap; euclidean or cosine) on Spark ML.
+    Returns (rows with cluster id, centres ``(cluster, centre array)``)."""
+    d = df.withColumn("_features", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
+    model = KMeans(k=k, seed=seed, tol=tol, maxIter=max_iter, initMode="random", distanceMeasure=distance,
+                   featuresCol="_features", predictionCol=out).fit(d)
+    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    cdf = df.sparkSession.createDataFrame(centres, f"{out} int, centre array<double>")
+    return model.transform(d).drop("_features"), cdf
+
+
+def _centre_row(centres: DataFrame, cid: str, cvec: str, max_centres: int) -> DataFrame:
+    n = centres.count()
+    if n > max_centres:
+        raise ValueError(f"{n} centres exceed the broadcast bound {max_centres}")
+    return centres.agg(F.collect_list(F.struct(F.col(cid).alias("cid"),
+                                               F.transform(cvec, lambda x: x.cast("double")).alias("c"))).alias("_centres"))
+
+
+def assign_nearest(df: DataFrame, vec: str, centres: DataFrame, cid="cluster", cvec="centre", distance="euclidean",
+                   out="cluster", max_centres: int = MAX_CENTRES) -> DataFrame:
+    """Nearest centre per row (ties -> smallest centre id) and its distance ``dist``."""
+    row = _centre_row(centres, cid, cvec, max_centres)
+    dist = (lambda c: L.sq_euclidean(vec, c)) if distance == "euclidean" else (lambda c: L.cosine_distance(vec, c))
+    best = F.array_min(F.transform("_centres", lambda e: F.struct(dist(e["c"]).alias("d"), e["cid"].alias("cid"))))
+    return df.crossJoin(F.broadcast(row)).withColumn("_best", best) \
+        .withColumn(out, F.col("_best.cid")).withColumn("dist", F.col("_best.d")).drop("_centres", "_best")
+
+
+def distance_matrix(df: DataFrame, key: str, vec: str, centres: DataFrame, cid="cluster", cvec="centre",
+                    max_centres: int = MAX_CENTRES) -> DataFrame:
+    """Squared euclidean and cosine distance of every row to every centre of a small, size-checked set
+    (``rows x k`` output is the requested matrix)."""
+    row = _centre_row(centres, cid, cvec, max_centres)
+    pairs = F.transform("_centres", lambda e: F.struct(e["cid"].alias("cid"), L.sq_euclidean(vec, e["c"]).alias("sq"),
+                                                        L.cosine_distance(vec, e["c"]).alias("cos")))
+    return df.crossJoin(F.broadcast(row)).select(key, F.explode(pairs).alias("_p")) \
+        .select(key, F.col("_p.cid").alias(cid), F.col("_p.sq").alias("sq_euclidean"), F.col("_p.cos").alias("cosine"))
+
+
+def medoids(assigned: DataFrame, key: str, cols=(), cluster="cluster") -> DataFrame:
+    """M4: the member nearest to each centre (ties by key), with its columns; a min_by aggregate, so a large
+    cluster is reduced map-side."""
+    return first_per_key(assigned, cluster, ["dist", key], [key, "dist", *cols])
+
+
+def select_per_cluster(assigned: DataFrame, key: str, topic: str, m: int, alpha: float, cluster="cluster") -> DataFrame:
+    """M5: per cluster the m members with the smallest ``dist + alpha * |topic - mean topic of the cluster|``
+    (euclidean; ``dist`` from ``assign_nearest`` is squared, so its root is used)."""
+    tc = mean_vectors(assigned, cluster, topic, "_tc")
+    j = assigned.join(tc, cluster)
+    score = F.sqrt(F.col("dist")) + alpha * F.sqrt(L.sq_euclidean(topic, "_tc"))
+    j = j.withColumn("_score", score)
+    return top_n_per_group(j, [cluster], [F.col("_score"), F.col(key)], m, salt_on=[key]).drop("_tc")
+
+
+def merge_histories(selected: DataFrame, history: DataFrame, key: str, hist: str, cluster="cluster",
+                    rank="_rank") -> DataFrame:
+    """M6: per cluster the concatenated histories of its selected members (in selection order), written back to
+    each selected member."""
+    j = selected.select(cluster, key, rank).join(history.select(key, hist), key)
+    merged = j.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct(rank, hist))).alias("_l")) \
+        .select(cluster, F.flatten(F.transform("_l", lambda e: e[hist])).alias("merged_history"))
+    return selected.select(cluster, key).join(merged, cluster)
+
+
+def keep_items_in_histories(history: DataFrame, kept: DataFrame, user: str, hist: str, item: str) -> DataFrame:
+    """M8: histories restricted to kept items (order kept; emptied -> [])."""
+    from recsuite.operators.prep import keep_list_elements_in
+    return keep_list_elements_in(history, hist, kept, item, user, empty_as_null=False)
+
+
+def taste_sets(history: DataFrame, items: DataFrame, user: str, hist: str, item: str, attr: str) -> DataFrame:
+    """M8: per user the set of attribute values (e.g. categories or clusters) of their history items."""
+    return history.select(user, F.explode(hist).alias(item)).join(items.select(item, attr), item) \
+        .groupBy(user).agg(F.sort_array(F.collect_set(attr)).alias("taste"))
+
+
+def pca(df: DataFrame, vec: str, k: int, out="pca") -> DataFrame:
+    """M9: centre the vectors (StandardScaler withMean, withStd=False) then project on k principal components
+    (signs are arbitrary, as in any PCA)."""
+    d = df.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
+    sc = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(d)
+    c = sc.transform(d)
+    p = PCA(k=k, inputCol="_c", outputCol="_p").fit(c)
+    return p.transform(c).withColumn(out, vector_to_array("_p")).drop("_v", "_c", "_p")
+
+
+def embed_texts(df: DataFrame, col: str, dim: int = 64, model_fn=None, out="text_vector") -> DataFrame:
+    """Batch text embedding.  ``model_fn`` (a user-supplied ``pandas.Series[str] -> list of vectors``
+    callable) runs through ``mapInPandas`` on Arrow batches; the default is Spark ML's ``HashingTF`` over word
+    tokens (JVM-side, runs offline)."""
+    from recsuite.operators.vocab import word_tokens
+    if model_fn is None:
+        d = df.withColumn("_w", word_tokens(col))
+        tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim)
+        return tf.transform(d).withColumn(out, vector_to_array("_tf").cast("array<float>")).drop("_w", "_tf")
+    schema = df.schema.add(out, "array<float>")
+
+    def run(batches):
+        for pdf in batches:
+            pdf[out] = list(model_fn(pdf[col]))
+            yield pdf
+    return df.mapInPandas(run, schema)

@@ -1,0 +1,169 @@
+"""Queries for embeddings, clustering and distillation (M, E13/E14, H14)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from recsuite.functions import lists as L
+from recsuite.operators import prep as P
+from recsuite.operators import vectors as M
+from recsuite.plans.registry import query
+from recsuite.sources import fixtures as fx
+
+W = fx.with_views
+sfl = L.sql_fmt_list
+
+_UM_SQL = """hv AS (SELECT c.user_id, v.embedding FROM clicks c JOIN item_vectors v ON c.item_id = v.item_id WHERE c.ts < TIMESTAMP '1998-01-01'),
+             um AS (SELECT user_id, j, avg(CAST(embedding[j] AS DOUBLE)) AS m FROM hv, (SELECT unnest(range(1, 65)) AS j) GROUP BY user_id, j)"""
+
+
+def _user_vectors(spark, sf):
+    h = fx.clicks(spark, sf).filter(F.col("ts") < "1998-01-01")
+    return M.user_vectors(h, fx.item_vectors(spark, sf))
+
+
+@query("m1_dot_scores", ("M1", "E14", "H14"), W(
+    f"""WITH {_UM_SQL}
+       SELECT c.impression_id, c.pos, round(sum(um.m * CAST(v.embedding[um.j] AS DOUBLE)), 5) AS score
+       FROM candidates c JOIN item_vectors v ON c.item_id = v.item_id JOIN um ON um.user_id = c.user_id
+       WHERE c.impression_time >= TIMESTAMP '1998-01-01' GROUP BY c.impression_id, c.pos""",
+    "candidates", "clicks", "item_vectors"))
+def m1(spark, sf):
+    """Dot-product scores of later candidates against each user's mean vector of earlier clicked items."""
+    c = fx.candidates(spark, sf).filter(F.col("impression_time") >= "1998-01-01").select("impression_id", "pos", "user_id", "item_id")
+    s = M.dot_scores(c, _user_vectors(spark, sf), fx.item_vectors(spark, sf))
+    return s.select("impression_id", "pos", F.round("score", 5).alias("score"))
+
+
+@query("e13_weighted_vectors", ("E13", "E12"), W(
+    """WITH x AS (SELECT c.impression_id, c.pos, n.n, v.embedding FROM candidates c
+                  JOIN (SELECT impression_id, len(inview) AS n FROM impressions) n ON c.impression_id = n.impression_id
+                  LEFT JOIN item_vectors v ON c.item_id = v.item_id)
+       SELECT impression_id, pos, CASE WHEN embedding IS NULL THEN 'null' ELSE printf('%.5f', round(CAST(embedding[1] AS DOUBLE) * pow(0.5, n - pos - 1), 5) + 0.0) END AS w1
+       FROM x""", "candidates", "impressions", "item_vectors"))
+def e13(spark, sf):
+    """Exponential decay weights (0.5) applied to each in-view item's vector; unknown vector -> [NULL]."""
+    from recsuite.operators import lookup as LK
+    i = fx.impressions(spark, sf).select("impression_id", "inview")
+    v = LK.map_list(i, "inview", fx.item_vectors(spark, sf), "item_id", "embedding", "impression_id", out="vecs")
+    w = v.withColumn("w", L.exponential_decay("inview", 0.5)).withColumn("wv", L.weight_vectors("vecs", "w"))
+    e = w.select("impression_id", F.posexplode("wv").alias("pos", "v"))
+    first = F.element_at("v", 1)
+    return e.select("impression_id", F.col("pos").cast("bigint").alias("pos"),
+                    F.when(first.isNull(), F.lit("null")).otherwise(F.format_string("%.5f", F.round(first, 5))).alias("w1"))
+
+
+@query("m2_kmeans", ("M2",))
+def m2(spark, sf):
+    """K-means (k = 8, random init, seed 42, euclidean) over the item vectors; cluster sizes."""
+    rows, _ = M.kmeans(fx.item_vectors(spark, sf), "embedding", 8, seed=42)
+    return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _centres(spark, sf, k=8):
+    v = fx.item_vectors(spark, sf)
+    top = v.orderBy("item_id").limit(k)
+    return top.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("cluster"), F.col("embedding").alias("centre"))
+
+
+_CENTRES_SQL = """ce AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS cluster, embedding AS centre,
+                         sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS cn FROM (
+                    SELECT * FROM item_vectors ORDER BY item_id LIMIT 8)),
+                  vv AS (SELECT item_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS vn
+                         FROM item_vectors),
+                  pd AS (SELECT v.item_id, ce.cluster,
+                            list_sum(list_transform(range(1, 65), lambda j: pow(CAST(v.embedding[j] AS DOUBLE) - CAST(ce.centre[j] AS DOUBLE), 2))) AS sq,
+                            1 - CASE WHEN v.vn * ce.cn > 0 THEN
+                                 list_sum(list_transform(range(1, 65), lambda j: CAST(v.embedding[j] AS DOUBLE) * CAST(ce.centre[j] AS DOUBLE)))
+                                 / (v.vn * ce.cn) ELSE 0 END AS cos
+                         FROM vv v, ce)"""
+
+
+@query("m3_assign_nearest", ("M3", "C16"), W(
+    f"""WITH {_CENTRES_SQL}
+       SELECT item_id, CAST(arg_min(cluster, (sq, cluster)) AS INTEGER) AS cluster, round(min(sq), 5) AS dist FROM pd GROUP BY item_id""",
+    "item_vectors"))
+def m3(spark, sf):
+    """Nearest of 8 given centres (the first 8 vectors) for every item vector."""
+    a = M.assign_nearest(fx.item_vectors(spark, sf), "embedding", _centres(spark, sf))
+    return a.select("item_id", "cluster", F.round("dist", 5).alias("dist"))
+
+
+@query("m4_medoids", ("M4",), W(
+    f"""WITH {_CENTRES_SQL}, a AS (SELECT item_id, arg_min(cluster, (sq, cluster)) AS cluster, min(sq) AS dist FROM pd GROUP BY item_id)
+       SELECT CAST(cluster AS INTEGER) AS cluster, arg_min(item_id, (dist, item_id)) AS item_id FROM a GROUP BY cluster""",
+    "item_vectors"))
+def m4(spark, sf):
+    """The member nearest to each of the 8 centres."""
+    a = M.assign_nearest(fx.item_vectors(spark, sf), "embedding", _centres(spark, sf))
+    return M.medoids(a, "item_id").select("cluster", "item_id")
+
+
+@query("m10_distance_matrix", ("M10", "H14"), W(
+    f"WITH {_CENTRES_SQL} SELECT item_id, CAST(cluster AS INTEGER) AS cluster, round(sq, 5) AS sq_euclidean, round(cos, 5) AS cosine FROM pd",
+    "item_vectors"))
+def m10(spark, sf):
+    """Squared-euclidean and cosine distance matrix of every item vector against 8 centres."""
+    d = M.distance_matrix(fx.item_vectors(spark, sf), "item_id", "embedding", _centres(spark, sf))
+    return d.select("item_id", "cluster", F.round("sq_euclidean", 5).alias("sq_euclidean"), F.round("cosine", 5).alias("cosine"))
+
+
+@query("m5_m6_m7_distillation", ("M5", "M6", "M7"))
+def m5(spark, sf):
+    """Distillation: users (mean vector of clicked items) assigned to 8 centres, 3 users per cluster chosen by
+    distance + 0.5 * topic distance (topic = mean [sentiment, has_image] of the user's items), their histories
+    merged and written back, and their positives re-indexed as the distilled interaction set."""
+    c = fx.clicks(spark, sf).filter(F.col("item_id").isNotNull())
+    uv = M.user_vectors(c, fx.item_vectors(spark, sf))
+    it = fx.items(spark, sf).select("item_id", F.array(F.col("sentiment_score"), F.col("has_image").cast("double")).alias("t"))
+    topic = M.mean_vectors(c.join(it, "item_id"), "user_id", "t", "topic")
+    users = uv.join(topic, "user_id")
+    a = M.assign_nearest(users, "user_vector", _centres(spark, sf))
+    sel = M.select_per_cluster(a, "user_id", "topic", 3, 0.5)
+    hist = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "item_id"))).alias("_h")) \
+        .select("user_id", F.transform("_h", lambda e: e["item_id"]).alias("history"))
+    merged = M.merge_histories(sel, hist, "user_id", "history")
+    pos = P.allow_list(P.binarize_ratings(fx.ratings(spark, sf)).filter("label = 1"), sel, "user_id")
+    distilled = P.reset_index(pos.select("user_id", "item_id").distinct(), "user_id", "row")
+    n_rows = distilled.agg(F.count(F.lit(1)).alias("n_distilled"))
+    return merged.select("cluster", "user_id", F.size("merged_history").alias("merged_len")).crossJoin(n_rows)
+
+
+@query("m8_taste_sets", ("M8",), W(
+    f"""SELECT c.user_id, {sfl('list_sort(list(DISTINCT i.category))', 'str')} AS taste FROM clicks c JOIN items i ON c.item_id = i.item_id
+       GROUP BY c.user_id""", "clicks", "items"))
+def m8(spark, sf):
+    """Each user's taste set: categories of their clicked items."""
+    h = fx.clicks(spark, sf).filter(F.col("item_id").isNotNull()).groupBy("user_id").agg(F.collect_list("item_id").alias("h"))
+    t = M.taste_sets(h, fx.items(spark, sf), "user_id", "h", "item_id", "category")
+    return t.select("user_id", L.fmt_list("taste", "str").alias("taste"))
+
+
+@query("m8_restrict_histories", ("M8", "B19"), W(
+    f"""WITH h AS (SELECT user_id, list(item_id ORDER BY ts, item_id) AS hist FROM clicks WHERE item_id IS NOT NULL GROUP BY user_id),
+            x AS (SELECT user_id, unnest(hist) AS item_id, generate_subscripts(hist, 1) AS p FROM h)
+       SELECT h.user_id, coalesce({sfl('k.kept')}, '') AS kept FROM h LEFT JOIN (
+         SELECT user_id, list(item_id ORDER BY p) AS kept FROM x WHERE item_id IN (SELECT item_id FROM item_vectors) GROUP BY user_id) k
+       ON h.user_id = k.user_id""", "clicks", "item_vectors"))
+def m8b(spark, sf):
+    """Histories restricted to the kept items (those with vectors)."""
+    c = fx.clicks(spark, sf).filter(F.col("item_id").isNotNull())
+    h = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "item_id"))).alias("_h")) \
+        .select("user_id", F.transform("_h", lambda e: e["item_id"]).alias("hist"))
+    r = M.keep_items_in_histories(h, fx.item_vectors(spark, sf), "user_id", "hist", "item_id")
+    return r.select("user_id", L.fmt_list("hist").alias("kept"))
+
+
+@query("m9_pca", ("M9",))
+def m9(spark, sf):
+    """Item vectors centred and projected on 4 principal components (absolute values: signs are arbitrary)."""
+    p = M.pca(fx.item_vectors(spark, sf), "embedding", 4)
+    return p.select("item_id", *[F.round(F.abs(F.element_at("pca", i + 1)), 4).alias(f"pc{i + 1}") for i in range(4)])
+
+
+@query("m11_embed_texts", ("M11",))
+def m11(spark, sf):
+    """Batch text embedding of every document (hashing vectors, 64 dims); vector norms reported."""
+    e = M.embed_texts(fx.table(spark, sf, "documents").select("doc_id", "text"), "text", 64)
+    return e.select("doc_id", F.round(L.norm("text_vector"), 4).alias("norm"))
