@@ -1,0 +1,95 @@
+"""Iterative dataset curation: fixed-point filtering of per-user item lists.
+
+Each round is ordinary distributed work — explode the lists, count item occurrences (partial aggregation), keep
+the admissible items, filter every list by a semi join on (item) with positions kept, drop emptied users — and
+the round's result is checkpointed into the shared checkpoint folder (``spark.checkpoint.dir``) so lineage
+stays one round deep and an executor loss re-reads the last checkpoint.  The driver only sees two counts per
+round (vocabulary size, users), which decide termination.  Rounds are capped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recsuite.operators.common import as_list
+from recsuite.operators.sampling import remove_random
+from recsuite.session import cut_lineage
+
+
+def _item_counts(df: DataFrame, cols) -> DataFrame:
+    parts = [df.select(F.explode(c).alias("item")) for c in as_list(cols)]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.groupBy("item").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _filter_lists(df: DataFrame, key: str, cols, keep: DataFrame, cap: int | None) -> DataFrame:
+    out = df
+    for c in as_list(cols):
+        ex = df.select(key, F.posexplode(c).alias("_p", "item")).join(keep, "item", "left_semi")
+        back = ex.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "item"))).alias("_l")) \
+            .select(key, F.transform("_l", lambda e: e["item"]).alias("_new"))
+        dt = df.schema[c].dataType.simpleString()
+        out = out.join(back, key, "left").withColumn(
+            c, F.coalesce(F.col("_new"), F.array().cast(dt))).drop("_new")
+        if cap is not None:
+            out = out.withColumn(c, F.slice(c, 1, cap))
+    return out
+
+
+def shrinking_cap_fixed_point(df: DataFrame, key: str = "user_id", cols=("history", "neg"), history: str = "history",
+                              min_count: int = 5, max_count: int = 10000, start_cap: int = 30000,
+                              shrink: float = 0.2, final_cap: int = 100, max_rounds: int = 50) -> tuple[DataFrame, list]:
+    """O1: repeat {count items over the lists; keep items seen min..max times; when the kept-item count did not
+    change, shrink the length cap (x0.2, not below ``final_cap``) or stop if it is already ``final_cap``; keep
+    listed items only, cut each list to the cap, drop users with an empty history}.  Returns the final table
+    and a per-round log ``(round, vocab_size, users, cap)``."""
+    cur = cut_lineage(df)
+    last, cap, log = None, start_cap, []
+    for r in range(1, max_rounds + 1):
+        counts = _item_counts(cur, cols)
+        keep = counts.filter(F.col("cnt").between(min_count, max_count)).select("item")
+        size = keep.count()
+        if last == size:
+            if cap == final_cap:
+                log.append((r, size, cur.count(), cap))
+                break
+            cap = max(final_cap, int(cap * shrink))
+        last = size
+        nxt = _filter_lists(cur, key, cols, keep, cap).filter(F.size(history) > 0)
+        cur = cut_lineage(nxt)
+        log.append((r, size, cur.count(), cap))
+    return cur, log
+
+
+def core_fixed_point(df: DataFrame, key: str = "user_id", cols=("history", "neg"), history: str = "history",
+                     min_item_count: int = 5, min_history: int = 10, remove_counts=(), seed=42,
+                     max_rounds: int = 50) -> tuple[DataFrame, list]:
+    """O2: k-core-like fixed point: keep items seen >= ``min_item_count`` times, filter the lists, keep users
+    with >= ``min_history`` history items; repeat until the kept-item count is stable.  At each stable point the
+    next value of ``remove_counts`` removes that many random users (md5-seeded, F18) and the loop continues;
+    exhausted or 0 -> stop (the reference asks interactively)."""
+    cur = cut_lineage(df)
+    last, log = None, []
+    removals = list(remove_counts)
+    for r in range(1, max_rounds + 1):
+        counts = _item_counts(cur, cols)
+        keep = counts.filter(F.col("cnt") >= min_item_count).select("item")
+        size = keep.count()
+        if last == size:
+            n = removals.pop(0) if removals else 0
+            if n == 0:
+                log.append((r, size, cur.count(), None))
+                break
+            kept_users = remove_random(cur.select(key), n, f"{seed}:{r}", key)
+            cur = cut_lineage(cur.join(kept_users, key, "left_semi"))
+            last = None
+            log.append((r, size, cur.count(), n))
+            continue
+        last = size
+        nxt = _filter_lists(cur, key, cols, keep, None).filter(F.size(history) >= min_history)
+        cur = cut_lineage(nxt)
+        log.append((r, size, cur.count(), None))
+    return cur, log
