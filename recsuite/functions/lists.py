@@ -169,6 +169,13 @@ def exponential_decay(col, lam: float, ascending: bool = True) -> Column:
     return F.when(n > 0, w).otherwise(F.array().cast("array<double>"))
 
 
+def custom_decay(col, fn) -> Column:
+    """Q-2: user-supplied decay ``fn(i, n) -> Column`` evaluated for i = 1..n per list; NULL/empty -> []."""
+    n = size0(col)
+    w = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: fn(i, n).cast("double"))
+    return F.when(n > 0, w).otherwise(F.array().cast("array<double>"))
+
+
 def weight_vectors(vectors, weights) -> Column:
     """Scale each inner vector by its weight; a NULL inner vector becomes [NULL]."""
     return F.zip_with(C(vectors), C(weights), lambda v, a: F.coalesce(

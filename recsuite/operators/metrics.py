@@ -197,3 +197,22 @@ def global_auc(df: DataFrame, label="label", score="score", buckets: int = 256)
     return x.agg(P.alias("P"), N.alias("N"), F.sum(F.col("p") * (F.col("q_ge") - 0.5 * F.col("q"))).alias("s")) \
         .select(F.when((F.col("P") > 0) & (F.col("N") > 0),
                        (F.col("P") * F.col("N") - F.col("s")) / (F.col("P") * F.col("N")).cast("double")).alias("auc"))
+
+
+# ---- user-defined metric (Q-3) ------------------------------------------------------------------------------
+def custom_list_metric(df: DataFrame, fn, name: str, group="impression_id", label="label", score="score") -> DataFrame:
+    """Q-3: a user metric ``fn(labels: np.ndarray, scores: np.ndarray) -> float`` evaluated per list by a grouped
+    aggregate pandas UDF (Arrow batches); NaN results become NULL."""
+    import math
+
+    import numpy as np
+
+    from pyspark.sql.functions import PandasUDFType
+
+    def agg(labels, scores):
+        v = float(fn(np.asarray(labels), np.asarray(scores)))
+        return None if math.isnan(v) else v
+
+    udf = F.pandas_udf(agg, "double", PandasUDFType.GROUPED_AGG)
+    g = _as_list(group)
+    return df.groupBy(*g).agg(udf(F.col(label), F.col(score)).alias(name))
