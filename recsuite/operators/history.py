@@ -88,3 +88,47 @@ def history_versions(df: DataFrame, user="user_id", history="history", order="im
 def position_in_group(df: DataFrame, group, order, out="position") -> DataFrame:
     """1-based position of each row inside its group."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*as_list(group)).orderBy(*as_list(order))))
+
+
+# Fixed values of the reference: history cut lengths by cumulative probability (cut 5 is then drawn uniformly
+# from 1..5; above 0.4 the cut is 9).
+CUT_TABLE = ((0.1, 5), (0.2, 6), (0.3, 7), (0.4, 8))
+CUT_ELSE = 9
+
+
+def random_history_split(df: DataFrame, seed, user="user_id", hist="history") -> DataFrame:
+    """Per user a seeded random history cut (by ``CUT_TABLE``); the items after the cut split in time order
+    into train / dev / test with portion = len // 10 (dev and test get one portion each, train the rest); with
+    portion 0, two or more items give train = all but the last two, dev = [second last], test = [last], fewer
+    give train = dev = [] and test = the rest.  md5 draws make it partition-independent."""
+    from recsuite.functions import rng
+    u = rng.uniform(seed, F.col(user), F.lit("cut"))
+    cut = None
+    for p, c in CUT_TABLE:
+        val = (F.pmod(rng.draw32(seed, F.col(user), F.lit("cut5")), F.lit(5)) + 1) if c == 5 else F.lit(c)
+        cut = F.when(u <= p, val) if cut is None else cut.when(u <= p, val)
+    cut = cut.otherwise(F.lit(CUT_ELSE)).cast("int")
+    h = F.col(hist)
+    n = F.size(h)
+    d = df.withColumn("_cut", cut).withColumn("_rest", F.when(n > F.col("_cut"), F.slice(h, F.col("_cut") + 1, n))
+                                                      .otherwise(F.array().cast(df.schema[hist].dataType)))
+    r, m = F.col("_rest"), F.size("_rest")
+    p = F.floor(m / 10).cast("int")
+    empty = F.array().cast(df.schema[hist].dataType)
+    train = F.when(p > 0, F.slice(r, 1, m - 2 * p)).when(m >= 2, F.slice(r, 1, m - 2)).otherwise(empty)
+    dev = F.when(p > 0, F.slice(r, m - 2 * p + 1, p)).when(m >= 2, F.slice(r, m - 1, 1)).otherwise(empty)
+    test = F.when(p > 0, F.slice(r, m - p + 1, p)).when(m >= 2, F.slice(r, m, 1)).otherwise(r)
+    return d.select("*", F.slice(h, 1, F.col("_cut")).alias("history_cut"), train.alias("train"), dev.alias("dev"),
+                    test.alias("test")).drop("_cut", "_rest")
+
+
+def split_negatives(df: DataFrame, neg="neg", out_prefix="neg_") -> DataFrame:
+    """A (shuffled) negative list split like the reference: portion = len // 10, train = all but the last two
+    portions, dev = the second-last portion, test = the last portion (portion 0: test = all)."""
+    r = F.col(neg)
+    m = F.size(r)
+    p = F.floor(m / 10).cast("int")
+    empty = F.array().cast(df.schema[neg].dataType)
+    return df.select("*", F.when(p > 0, F.slice(r, 1, m - 2 * p)).otherwise(empty).alias(f"{out_prefix}train"),
+                     F.when(p > 0, F.slice(r, m - 2 * p + 1, p)).otherwise(empty).alias(f"{out_prefix}dev"),
+                     F.when(p > 0, F.slice(r, m - p + 1, p)).otherwise(r).alias(f"{out_prefix}test"))

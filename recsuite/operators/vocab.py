@@ -293,3 +293,29 @@ def load_encoded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     data = spark.read.parquet(os.path.join(path, "data"))
     vocab = spark.read.parquet(os.path.join(path, "vocab"))
     return data, vocab, meta
+
+
+def set_column(table: DataFrame, id_col: str, values: DataFrame, name: str, vocab: str, vocab_size: int) -> DataFrame:
+    """Add or replace a column from an ``(id, value)`` table; the value count must equal the table's row count
+    (checked), and the column's vocabulary is recorded in its metadata."""
+    n_rows, n_vals = table.count(), values.count()
+    if n_rows != n_vals:
+        raise ValueError(f"values length {n_vals} must equal sample size {n_rows}")
+    v = values.withColumnRenamed(values.columns[1], "_val").withColumnRenamed(values.columns[0], id_col)
+    out = table.drop(name) if name in table.columns else table
+    out = out.join(v, id_col, "left").withColumnRenamed("_val", name)
+    return with_schema_facts(out, name, vocab, vocab_size)
+
+
+def rename_vocab(vocab: DataFrame, old: str, new: str) -> DataFrame:
+    """Rename vocabulary ``old`` to ``new`` inside a vocabulary table; when ``new`` already exists both must
+    have the same size (checked) and they become one vocabulary (``new``'s rows kept)."""
+    sizes = {r["vocab"]: r["n"] for r in vocab.filter(F.col("vocab").isin(old, new))
+             .groupBy("vocab").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if old not in sizes:
+        raise ValueError(f"vocab {old} not found")
+    if new in sizes:
+        if sizes[new] != sizes[old]:
+            raise ValueError(f"vocab {new} already exists with different size")
+        return vocab.filter(F.col("vocab") != old)
+    return vocab.withColumn("vocab", F.when(F.col("vocab") == old, F.lit(new)).otherwise(F.col("vocab")))

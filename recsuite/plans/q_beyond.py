@@ -64,7 +64,7 @@ _POP_SQL = """pop AS (SELECT item_id, count(*) / (SELECT count(*) FROM impressio
                       FROM (SELECT DISTINCT impression_id, unnest(inview) AS item_id FROM impressions) GROUP BY item_id)"""
 
 
-@query("l3_l4_novelty_sentiment", ("L3", "L4"), W(
+@query("l3_l4_novelty_sentiment", ("L3", "L4", "H11"), W(
     f"""WITH {_POP_SQL}
        SELECT c.impression_id AS list_id, round(avg(-log2(p.popularity)), 6) AS novelty, round(avg(i.sentiment_score), 6) AS sentiment
        FROM candidates c JOIN pop p ON c.item_id = p.item_id JOIN items i ON c.item_id = i.item_id GROUP BY c.impression_id""",

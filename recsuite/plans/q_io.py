@@ -160,7 +160,7 @@ def a14(spark, sf):
     return back.select("impression_id", L.fmt_list("values").alias("ranks"))
 
 
-@query("a17_phase_partitioned", ("A17", "F12"), W(
+@query("a17_phase_partitioned", ("A17", "A11", "F12"), W(
     f"SELECT c.impression_id, c.pos FROM candidates c JOIN ({_PHASE_SQL}) p ON c.impression_id = p.impression_id WHERE p.phase = 'test'",
     "candidates", "impressions"))
 def a17(spark, sf):

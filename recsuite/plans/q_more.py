@@ -102,7 +102,7 @@ def e5(spark, sf):
 _SCORES = "transform(inview, x -> ((x * 7919 + impression_id * 104729) % 11) / 10)"
 
 
-@query("f2_rank_in_list", "F2", W(
+@query("f2_rank_in_list", ("F2", "Q-6"), W(
     f"""SELECT impression_id, {sfl('list(rk ORDER BY pos)')} AS ranks FROM (
           SELECT impression_id, pos, row_number() OVER (PARTITION BY impression_id ORDER BY score DESC, pos DESC) AS rk
           FROM candidates) GROUP BY impression_id""", "candidates"))

@@ -549,3 +549,41 @@ def e11(spark, sf):
     """1-based position of each impression within its user, by time then id."""
     return H.position_in_group(fx.impressions(spark, sf), "user_id", ["impression_time", "impression_id"]) \
         .select("impression_id", F.col("position").cast("bigint").alias("position"))
+
+
+_SESSIONS_SQL = """s AS (SELECT user_id, list(item_id ORDER BY ts, item_id) FILTER (WHERE rating > 3) AS history
+                       FROM ratings WHERE rating <> 3 GROUP BY user_id HAVING count(*) FILTER (WHERE rating > 3) > 0)"""
+
+
+def _draw_sql(tag):
+    return f"('0x' || substr(md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), '{tag}')), 1, 8))::BIGINT"
+
+
+@query("e8_random_history_split", ("E8",), W(
+    f"""WITH {_SESSIONS_SQL},
+            k AS (SELECT user_id, history, CASE WHEN u <= 0.1 THEN c5 WHEN u <= 0.2 THEN 6 WHEN u <= 0.3 THEN 7 WHEN u <= 0.4 THEN 8 ELSE 9 END AS cut
+                  FROM (SELECT user_id, history, {_draw_sql('cut')} / 4294967296.0 AS u, {_draw_sql('cut5')} % 5 + 1 AS c5 FROM s)),
+            r AS (SELECT user_id, list_slice(history, 1, cut) AS hc,
+                         CASE WHEN len(history) > cut THEN list_slice(history, cut + 1, len(history)) ELSE [] END AS rest FROM k),
+            x AS (SELECT *, len(rest) AS m, len(rest) // 10 AS p FROM r)
+       SELECT user_id, {sfl('hc')} AS history_cut,
+              {sfl('CASE WHEN p > 0 THEN list_slice(rest, 1, m - 2 * p) WHEN m >= 2 THEN list_slice(rest, 1, m - 2) ELSE [] END')} AS train,
+              {sfl('CASE WHEN p > 0 THEN list_slice(rest, m - 2 * p + 1, m - p) WHEN m >= 2 THEN [rest[m - 1]] ELSE [] END')} AS dev,
+              {sfl('CASE WHEN p > 0 THEN list_slice(rest, m - p + 1, m) WHEN m >= 2 THEN [rest[m]] ELSE rest END')} AS test
+       FROM x""", "ratings"))
+def e8(spark, sf):
+    """Seeded random history cut per user, remaining positives split train / dev / test in time order."""
+    s = H.sessions_from_pairs(P.binarize_ratings(fx.ratings(spark, sf)))
+    r = H.random_history_split(s, 42)
+    return r.select("user_id", *[L.fmt_list(c).alias(c) for c in ("history_cut", "train", "dev", "test")])
+
+
+@query("e9_negatives_split", ("E9", "J7", "F7"))
+def e9(spark, sf):
+    """Each user's negatives plus 10 random catalogue items, shuffled (seeded), split 80/10/10 by portions."""
+    from recsuite.operators import labels as J
+    s = H.sessions_from_pairs(P.binarize_ratings(fx.ratings(spark, sf)))
+    s = J.random_catalogue_negatives(s, fx.items(spark, sf), 10, 42, "user_id")
+    s = s.withColumn("neg", L.shuffle_list(F.concat("neg", "random_neg"), 42, "user_id"))
+    r = H.split_negatives(s)
+    return r.select("user_id", *[F.size(c).alias(f"n_{c}") for c in ("neg_train", "neg_dev", "neg_test")])

@@ -308,3 +308,30 @@ def j19(spark, sf):
     m = J.history_matrix(h, "codes", 4, 3)
     return m.select("user_id", F.array_join(F.transform("matrix", lambda r: F.array_join(r, " ")), "|").alias("matrix"),
                     L.fmt_list("matrix_mask").alias("mask"))
+
+
+@query("g9_set_column", ("G9", "I18"), W(
+    """WITH v AS (SELECT category AS token, row_number() OVER (ORDER BY min(item_id), category) - 1 AS idx FROM items GROUP BY category)
+       SELECT i.item_id, i.title, CAST(v.idx AS BIGINT) AS brand FROM items i JOIN v ON i.category = v.token""", "items"))
+def g9(spark, sf):
+    """A new encoded column (brand index) added to the catalogue table from an (id, value) table; the value count
+    must match the table's rows and the column records its vocabulary."""
+    it = fx.items(spark, sf)
+    v = V.build_vocab(it, ["category"], "item_id", "brand")
+    vals = V.encode_scalar(it.select("item_id", "category"), "category", v).select("item_id", "category")
+    out = V.set_column(it.select("item_id", "title"), "item_id", vals, "brand", "brand", v.count())
+    assert V.schema_facts(out)["brand"]["vocab"] == "brand"
+    return out.select("item_id", "title", "brand")
+
+
+@query("g10_rename_vocab", ("G10",), W(
+    """SELECT 'brand' AS vocab, category AS token, CAST(row_number() OVER (ORDER BY min(item_id), category) - 1 AS BIGINT) AS idx
+       FROM items GROUP BY category""", "items"))
+def g10(spark, sf):
+    """Two equal-size vocabularies merged under one name (sizes checked), and a plain rename."""
+    it = fx.items(spark, sf)
+    a = V.build_vocab(it, ["category"], "item_id", "cat_a")
+    b = V.build_vocab(it, ["category"], "item_id", "cat_b")
+    merged = V.rename_vocab(a.unionByName(b), "cat_a", "cat_b")
+    renamed = V.rename_vocab(merged, "cat_b", "brand")
+    return renamed.select("vocab", "token", "idx")
