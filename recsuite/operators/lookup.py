@@ -27,16 +27,15 @@ def attach_embeddings(items: DataFrame, vectors: DataFrame, key="item_id", prefi
 def map_list(df: DataFrame, list_col: str, lookup: DataFrame, key: str, value: str, row_key, out: str | None = None,
              mode: str = "keep", fill=None) -> DataFrame:
     """Map ids inside a list to values.  ``mode``: 'keep' (unknown -> NULL element), 'fill' (unknown ->
-    ``fill``), 'drop' (unknown removed).  A NULL or empty list gives one NULL element in 'keep'/'fill' like the
-    reference's explode; 'drop' of such a list gives NULL."""
+    ``fill``), 'drop' (unknown removed).  A NULL or empty list gives one element like the reference's explode:
+    [NULL] in 'keep', [fill] in 'fill'; in 'drop' a list left without known ids is NULL."""
     out = out or list_col
     keys = as_list(row_key)
     ex = df.select(*keys, F.posexplode_outer(list_col).alias("_p", "_k"))
     lk = lookup.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
     j = ex.join(lk, "_k", "left")
     if mode == "fill":
-        j = j.withColumn("_v", F.when(F.col("_k").isNull() & F.col("_p").isNull(), F.lit(None))
-                         .otherwise(F.coalesce(F.col("_v"), F.lit(fill))))
+        j = j.withColumn("_v", F.coalesce(F.col("_v"), F.lit(fill)))
     if mode == "drop":
         j = j.filter(F.col("_v").isNotNull())
     coll = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
