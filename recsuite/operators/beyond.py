@@ -101,8 +101,8 @@ def coverage(lists: DataFrame, candidates: DataFrame | None, col="items", key="i
     d = lists.select(F.explode(col).alias(key)).agg(F.countDistinct(key).alias("coverage_count"))
     if candidates is None:
         return d.withColumn("coverage_fraction", F.lit(None).cast("double"))
-    c = candidates.select(key).distinct().agg(F.count(F.lit(1)).alias("_c"))
-    return d.crossJoin(c).select("coverage_count", (F.col("coverage_count") / F.col("_c")).alias("coverage_fraction"))
+    c = candidates.select(key).distinct().agg(F.count(F.lit(1))).scalar()
+    return d.select("coverage_count", (F.col("coverage_count") / c).alias("coverage_fraction"))
 
 
 def candidate_subsets(spark, n_items: int, k: int, seed, max_combinations: int = MAX_COMBINATIONS) -> DataFrame:
@@ -137,9 +137,9 @@ def candidate_bounds(candidates: DataFrame, items: DataFrame, attr: str, n: int,
     ``from_highest``, ``from_lowest``; the reference returns them as (min, max) in that order, Q16)."""
     v = transform(F.col(attr)) if transform else F.col(attr)
     vals = candidates.select(key).distinct().join(items.select(key, attr), key).select(key, v.alias("_v"))
-    hi = vals.orderBy(F.col("_v").desc(), F.col(key)).limit(n).agg(F.avg("_v").alias("from_highest"))
-    lo = vals.orderBy(F.col("_v").asc(), F.col(key)).limit(n).agg(F.avg("_v").alias("from_lowest"))
-    return hi.crossJoin(lo)
+    hi = vals.orderBy(F.col("_v").desc(), F.col(key)).limit(n).agg(F.avg("_v")).scalar()
+    lo = vals.orderBy(F.col("_v").asc(), F.col(key)).limit(n).agg(F.avg("_v")).scalar()
+    return vals.sparkSession.range(1).select(hi.alias("from_highest"), lo.alias("from_lowest"))
 
 
 def attribute_distribution(lists: DataFrame, items: DataFrame, attr: str, list_id="list_id", col="items",
@@ -149,16 +149,16 @@ def attribute_distribution(lists: DataFrame, items: DataFrame, attr: str, list_i
     dt = items.schema[attr].dataType.typeName()
     vals = k.select((F.explode(attr) if dt == "array" else F.col(attr)).alias("value"))
     c = vals.groupBy("value").agg(F.count(F.lit(1)).alias("_c"))
-    tot = c.agg(F.sum("_c").alias("_t"))
-    return c.crossJoin(F.broadcast(tot)).select("value", (F.col("_c") / F.col("_t")).alias("share"))
+    tot = c.agg(F.sum("_c")).scalar()
+    return c.select("value", (F.col("_c") / tot).alias("share"))
 
 
 def broadcast_list(users: DataFrame, ranked: DataFrame, list_id="list_id", col="items", max_items: int = 10000) -> DataFrame:
-    """Give every user the same (baseline) list: a one-row list table of checked length, broadcast."""
+    """Give every user the same (baseline) list: a one-row list of checked length as a scalar subquery."""
     n = ranked.select(F.size(col).alias("n")).first()["n"]
     if n is None or n > max_items:
         raise ValueError(f"baseline list of {n} items exceeds {max_items}")
-    return users.select(list_id).crossJoin(F.broadcast(ranked.select(col)))
+    return users.select(list_id).withColumn(col, ranked.select(col).scalar())
 
 
 def check_consistent_lists(df: DataFrame, col: str) -> DataFrame:

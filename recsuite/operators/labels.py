@@ -51,9 +51,9 @@ def first_impression_negatives(behaviors: DataFrame, users: DataFrame, user="use
 
 
 def catalogue_index(items: DataFrame, item="item_id") -> tuple[DataFrame, DataFrame]:
-    """Dense 0..n-1 index of the catalogue and the one-row size table (for md5 draws into the catalogue)."""
+    """Dense 0..n-1 index of the catalogue and its size as a scalar subquery (for md5 draws into it)."""
     idx = dense_index(items.select(item).distinct(), [item], "_ci")
-    n = items.select(item).distinct().agg(F.count(F.lit(1)).alias("_n"))
+    n = items.select(item).distinct().agg(F.count(F.lit(1))).scalar()
     return idx, n
 
 
@@ -62,9 +62,8 @@ def random_catalogue_negatives(df: DataFrame, items: DataFrame, m: int, seed, ke
     """M random catalogue items per row (drawn with replacement from the whole catalogue; they may be
     positives, Q11): draw indices pmod(md5, n), explode, join the dense catalogue index, re-collect by draw."""
     idx, n = catalogue_index(items, item)
-    d = df.select(key).distinct().crossJoin(F.broadcast(n)).select(
-        key, F.posexplode(F.sequence(F.lit(1), F.lit(m))).alias("_d", "_k"), "_n")
-    d = d.withColumn("_ci", F.pmod(rng.draw32(seed, F.col(key), F.col("_k")), F.col("_n")))
+    d = df.select(key).distinct().select(key, F.posexplode(F.sequence(F.lit(1), F.lit(m))).alias("_d", "_k"))
+    d = d.withColumn("_ci", F.pmod(rng.draw32(seed, F.col(key), F.col("_k")), n))
     j = d.join(idx.select("_ci", F.col(item).alias("_item")), "_ci")
     back = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_d", "_item"))).alias("_l")) \
         .select(key, F.transform("_l", lambda e: e["_item"]).alias(out))
@@ -84,10 +83,10 @@ def negatives_outside_taste(history: DataFrame, items: DataFrame, seed, user="us
     attrs = items.select(item, attr)
     taste = history.select(user, F.explode(hist).alias(item)).join(attrs, item).groupBy(user) \
         .agg(F.collect_set(attr).alias("_taste"))
-    n_attr = attrs.select(attr).distinct().agg(F.count(F.lit(1)).alias("_na"))
-    want = history.select(user).distinct().join(taste, user, "left").crossJoin(F.broadcast(n_attr)) \
+    n_attr = attrs.select(attr).distinct().agg(F.count(F.lit(1))).scalar()
+    want = history.select(user).distinct().join(taste, user, "left") \
         .withColumn("_taste", F.coalesce("_taste", F.array().cast("array<string>"))) \
-        .filter(F.size("_taste") < F.col("_na")) \
+        .filter(F.size("_taste") < n_attr) \
         .withColumn("_want", F.lit(base) + F.pmod(rng.draw32(seed, F.col(user), F.lit("n")), F.lit(extra_max)) + 1) \
         .select(user, "_taste", "_want")
     chosen = None
@@ -95,9 +94,8 @@ def negatives_outside_taste(history: DataFrame, items: DataFrame, seed, user="us
         short = want if chosen is None else want.join(
             chosen.groupBy(user).agg(F.count(F.lit(1)).alias("_have")), user, "left") \
             .filter(F.coalesce("_have", F.lit(0)) < F.col("_want")).drop("_have")
-        d = short.crossJoin(F.broadcast(n)).select(
-            user, "_taste", "_want", F.explode(F.sequence(F.lit(1), F.lit(draws_per_round))).alias("_k"), "_n")
-        d = d.withColumn("_ci", F.pmod(rng.draw32(seed, F.col(user), F.lit(r), F.col("_k")), F.col("_n")))
+        d = short.select(user, "_taste", "_want", F.explode(F.sequence(F.lit(1), F.lit(draws_per_round))).alias("_k"))
+        d = d.withColumn("_ci", F.pmod(rng.draw32(seed, F.col(user), F.lit(r), F.col("_k")), n))
         cand = d.join(idx, "_ci").join(attrs, item) \
             .filter(~F.array_contains("_taste", F.col(attr))) \
             .select(user, item, "_want", rng.md5_key(seed, F.col(user), F.col(item)).alias("_key")).distinct()

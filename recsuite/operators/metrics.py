@@ -15,6 +15,8 @@ Labels are 0/1 (what J1 produces); the ideal DCG uses the closed form for binary
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,20 @@ def rank_frame(df: DataFrame, group="impression_id", label="label", score="score
     return r.withColumn("_rn4", 2 * start + F.col("_eq") - 1 - F.col("_rn"))
 
 
-def _disc_sum(lo: Column, hi: Column) -> Column:
-    """sum_{r=lo..hi} 1/log2(r+1); 0 for an empty range."""
-    return F.when(hi >= lo, F.aggregate(F.sequence(lo.cast("int"), hi.cast("int")), F.lit(0.0),
-                                        lambda acc, r: acc + 1.0 / F.log2(r + 1))).otherwise(F.lit(0.0))
+def _cum_discounts(k: int) -> Column:
+    """Literal array C with C[r+1] = sum_{i=1..r} 1/log2(i+1), r = 0..k (built from the rule, k+1 entries)."""
+    vals, acc = [0.0], 0.0
+    for r in range(1, k + 1):
+        acc += 1.0 / math.log2(r + 1)
+        vals.append(acc)
+    return F.array(*[F.lit(v) for v in vals])
+
+
+def _disc_sum(lo: Column, hi: Column, k: int) -> Column:
+    """sum_{r=lo..hi} 1/log2(r+1) for 1 <= lo, hi <= k, as a difference of two lookups in a literal table (plain
+    array indexing: stays in generated code, unlike a per-row higher-order aggregate); 0 for an empty range."""
+    c = _cum_discounts(k)
+    return F.when(hi >= lo, F.element_at(c, (hi + 1).cast("int")) - F.element_at(c, lo.cast("int"))).otherwise(F.lit(0.0))
 
 
 def list_metrics(df: DataFrame, group="impression_id", label="label", score="score", pos="pos",
@@ -80,7 +92,7 @@ def list_metrics(df: DataFrame, group="impression_id", label="label", score="sco
         raw += [
             F.sum(F.when(F.col("_rn") <= k, (F.pow(F.lit(2.0), lab) - 1) / F.log2(F.col("_rn") + 1))
                   .otherwise(0.0)).alias(f"_dcg_{k}"),
-            F.sum(lab * _disc_sum(start, F.least(start + F.col("_eq") - 1, F.lit(k))) / F.col("_eq"))
+            F.sum(lab * _disc_sum(start, F.least(start + F.col("_eq") - 1, F.lit(k)), k) / F.col("_eq"))
             .alias(f"_dcgsk_{k}"),
             F.max(F.when((F.col("_rn4") <= k) & (lab == 1), 1).otherwise(0)).alias(f"hit_{k}"),
             F.sum(F.when(F.col("_rn4") <= k, lab).otherwise(0)).alias(f"_hits_{k}"),
@@ -101,7 +113,7 @@ def list_metrics(df: DataFrame, group="impression_id", label="label", score="sco
            F.when(2 * tp + fp + fn > 0, (2 * tp) / (2 * tp + fp + fn)).otherwise(F.lit(0.0)).alias("f1"),
            F.when((P == 0) | (P == n), F.lit(1.0)).otherwise(F.col("_s_lrap") / P).alias("lrap")]
     for k in ks:
-        idcg = _disc_sum(F.lit(1), F.least(P, F.lit(k)))
+        idcg = _disc_sum(F.lit(1), F.least(P, F.lit(k)), k)
         out += [F.when(P > 0, F.col(f"_dcg_{k}") / idcg).alias(f"ndcg_{k}"),
                 F.when(n > 1, F.when(P > 0, F.col(f"_dcgsk_{k}") / idcg).otherwise(F.lit(0.0))).alias(f"ndcg_sk_{k}"),
                 f"hit_{k}",
@@ -183,9 +195,8 @@ def global_auc(df: DataFrame, label="label", score="score", buckets: int = 256)
     4. Inside each bucket a window gives the exact prefix of negatives above each score.
     """
     per = df.groupBy(score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    cuts = per.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10000).alias("c"))
-    b = per.crossJoin(F.broadcast(cuts)).withColumn(
-        "b", F.size(F.filter("c", lambda x: x < F.col(score)))).drop("c")
+    cuts = per.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10000)).scalar()
+    b = per.withColumn("_cuts", cuts).withColumn("b", F.size(F.filter("_cuts", lambda x: x < F.col(score)))).drop("_cuts")
     tot = b.groupBy("b").agg(F.sum("q").alias("bq"), F.sum("p").alias("bp"))
     w_all = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("b", F.coalesce(F.sum("bq").over(w_all), F.lit(0)).alias("q_above"))

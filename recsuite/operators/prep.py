@@ -175,9 +175,8 @@ def cold_users(df: DataFrame, history="history", k: int = 5) -> DataFrame:
 
 
 def rows_at_min_length(df: DataFrame, col: str) -> DataFrame:
-    """Rows whose list length equals the minimum (scalar aggregate broadcast back)."""
-    m = df.agg(F.min(F.size(col)).alias("_m"))
-    return df.join(F.broadcast(m), F.size(col) == F.col("_m")).drop("_m")
+    """Rows whose list length equals the minimum (a scalar subquery, no join)."""
+    return df.filter(F.size(col) == df.agg(F.min(F.size(col))).scalar())
 
 
 def check_columns(df: DataFrame, cols) -> DataFrame:
@@ -239,9 +238,8 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def append_with_offset(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """Append ``second`` with its key shifted by max(first.key) (scalar broadcast)."""
-    m = first.agg(F.max(key).alias("_off"))
-    shifted = second.crossJoin(F.broadcast(m)).withColumn(key, F.col(key) + F.col("_off")).drop("_off")
+    """Append ``second`` with its key shifted by max(first.key) (a scalar subquery)."""
+    shifted = second.withColumn(key, F.col(key) + first.agg(F.max(key)).scalar())
     return first.unionByName(shifted)
 
 
@@ -264,9 +262,9 @@ def merge_generated_items(items: DataFrame, generated: DataFrame, history: DataF
                           owner="user_id", hist_col="history", subcategory="subcategory") -> tuple[DataFrame, DataFrame]:
     """Append generated items with new ids after max(id) (sub-category 'others'), and append each new id to
     its owner's history (ordered by the generated row's order column ``gen_order``)."""
-    mx = items.agg(F.max(id_col).alias("_mx"))
-    g = dense_index(generated, ["gen_order"], "_i").crossJoin(F.broadcast(mx)) \
-        .withColumn(id_col, F.col("_mx") + 1 + F.col("_i")).withColumn(subcategory, F.lit("others"))
+    mx = items.agg(F.max(id_col)).scalar()
+    g = dense_index(generated, ["gen_order"], "_i") \
+        .withColumn(id_col, mx + 1 + F.col("_i")).withColumn(subcategory, F.lit("others"))
     new_items = items.unionByName(g.select(*items.columns), allowMissingColumns=True)
     add = g.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct("gen_order", id_col))).alias("_a")) \
         .select(owner, F.transform("_a", lambda e: e[id_col]).alias("_new"))

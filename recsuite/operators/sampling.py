@@ -42,8 +42,8 @@ def top_users_by_activity(df: DataFrame, k: int, user="user_id") -> DataFrame:
     idx = dense_index(counts, [F.col("n").desc(), F.col(user)], "_i")
     if k >= 0:
         return idx.filter(F.col("_i") < k).select(user, "n")
-    n_users = counts.agg(F.count(F.lit(1)).alias("_nu"))
-    return idx.crossJoin(F.broadcast(n_users)).filter(F.col("_i") < F.floor(F.col("_nu") / -k)).select(user, "n")
+    n_users = counts.agg(F.count(F.lit(1))).scalar()
+    return idx.filter(F.col("_i") < F.floor(n_users / -k)).select(user, "n")
 
 
 def random_users(df: DataFrame, k: int, seed, user="user_id") -> DataFrame:
@@ -65,9 +65,8 @@ def sample_fraction(df: DataFrame, fraction: float, seed, key) -> DataFrame:
 def equal_parts(df: DataFrame, n_parts: int, order, out="part") -> DataFrame:
     """n contiguous parts of ceil(N/n) rows in ``order``; the last part may be short."""
     idx = dense_index(df, order, "_i")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    return idx.crossJoin(F.broadcast(n)).withColumn(
-        out, F.floor(F.col("_i") / F.ceil(F.col("_n") / n_parts)).cast("int")).drop("_i", "_n")
+    n = df.agg(F.count(F.lit(1))).scalar()
+    return idx.withColumn(out, F.floor(F.col("_i") / F.ceil(n / n_parts)).cast("int")).drop("_i")
 
 
 def weighted_split(keys: DataFrame, weights: dict[str, float], seed, key: str, out="phase") -> DataFrame:
@@ -75,19 +74,15 @@ def weighted_split(keys: DataFrame, weights: dict[str, float], seed, key: str, o
     sum w), the remainder to the last part.  Returns the (key, part) assignment table (persist it to reuse)."""
     d = keys.select(key).distinct().withColumn("_k", rng.md5_key(seed, F.col(key)))
     idx = dense_index(d, ["_k", key], "_i")
-    n = d.agg(F.count(F.lit(1)).alias("_n"))
+    n = d.agg(F.count(F.lit(1))).scalar()
     total = float(sum(weights.values()))
     names = list(weights)
-    bounds, acc = [], 0.0
-    for nm in names[:-1]:
-        acc += weights[nm]
-        bounds.append((nm, acc / total))
-    j = idx.crossJoin(F.broadcast(n))
+    j = idx
     # cumulative floor sizes: part i holds indices [sum_{<i} floor(N w/W), sum_{<=i} floor(N w/W))
     expr = None
     cum = F.lit(0)
     for nm in names[:-1]:
-        cum = cum + F.floor(F.col("_n") * (weights[nm] / total))
+        cum = cum + F.floor(n * (weights[nm] / total))
         cond = F.col("_i") < cum
         expr = F.when(cond, F.lit(nm)) if expr is None else expr.when(cond, F.lit(nm))
     expr = F.lit(names[-1]) if expr is None else expr.otherwise(F.lit(names[-1]))
@@ -105,9 +100,8 @@ def random_lists(df: DataFrame, pool: DataFrame, n: int, seed, key: str, pool_it
     size = pool.select(pool_item).distinct().count()
     if size > max_pool:
         raise ValueError(f"candidate pool of {size} items exceeds max_pool={max_pool}")
-    cand = pool.agg(F.sort_array(F.collect_set(pool_item)).alias("_pool"))
-    return df.crossJoin(F.broadcast(cand)).withColumn(
-        out, L.sample_list("_pool", n, seed, key)).drop("_pool")
+    cand = pool.agg(F.sort_array(F.collect_set(pool_item))).scalar()
+    return df.withColumn("_pool", cand).withColumn(out, L.sample_list("_pool", n, seed, key)).drop("_pool")
 
 
 def random_permutation_ranks(col, seed, row_key):

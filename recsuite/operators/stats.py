@@ -1,5 +1,5 @@
 """Descriptive analytics.  Every statistic is one or two aggregations; scalars that feed a
-second pass (maxima, ranges, totals) are one-row aggregates joined back by broadcast (size: one row)."""
+second pass (maxima, ranges, totals) are scalar subqueries (``DataFrame.scalar()``): one value, no join."""
 
 from __future__ import annotations
 
@@ -22,8 +22,7 @@ def time_span(df: DataFrame, col: str) -> DataFrame:
 
 def with_max_length(df: DataFrame, col: str, out="max_length") -> DataFrame:
     """D3: the maximum list length attached to every row (one-row aggregate, broadcast)."""
-    m = df.agg(F.max(size0(col)).alias(out))
-    return df.crossJoin(F.broadcast(m))
+    return df.withColumn(out, df.agg(F.max(size0(col))).scalar())
 
 
 def token_counts(df: DataFrame, cols, out="token") -> DataFrame:
@@ -62,9 +61,9 @@ def equal_width_histogram(df: DataFrame, col: str, groups: int = 50) -> DataFram
     g = F.least(F.lit(groups), rng)
     width = F.ceil(rng / g).cast("bigint")
     s = stats.select("_mn", width.alias("_w"), F.ceil(rng / width).cast("bigint").alias("_bins"))
-    binned = df.select(col).crossJoin(F.broadcast(s)).select(
-        ((F.col(col) - F.col("_mn")) / F.col("_w")).cast("bigint").alias("bin"))
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    mn, w = s.select("_mn").scalar(), s.select("_w").scalar()
+    counts = df.select(((F.col(col) - mn) / w).cast("bigint").alias("bin")).groupBy("bin").agg(
+        F.count(F.lit(1)).alias("n"))
     all_bins = s.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_bins") - 1)).alias("bin"),
                         "_mn", "_w")
     return all_bins.join(counts, "bin", "left").select(
@@ -120,9 +119,9 @@ def distinct_item_counts(exp: DataFrame, item="item_id") -> DataFrame:
 
 def popularity(lists: DataFrame, col: str, out_item="item_id") -> DataFrame:
     """Share of lists containing each item (an item counts once per list)."""
-    n = lists.agg(F.count(F.lit(1)).alias("_n"))
+    n = lists.agg(F.count(F.lit(1))).scalar()
     c = lists.select(F.explode(F.array_distinct(col)).alias(out_item)).groupBy(out_item).agg(F.count(F.lit(1)).alias("_c"))
-    return c.crossJoin(F.broadcast(n)).select(out_item, (F.col("_c") / F.col("_n")).alias("popularity"))
+    return c.select(out_item, (F.col("_c") / n).alias("popularity"))
 
 
 def distribution(df: DataFrame, col: str, weight: str | None = None, prior: DataFrame | None = None) -> DataFrame:
@@ -133,8 +132,8 @@ def distribution(df: DataFrame, col: str, weight: str | None = None, prior: Data
     if prior is not None:
         d = d.unionByName(prior.select("value", F.col("share").alias("mass"))).groupBy("value").agg(
             F.sum("mass").alias("mass"))
-    tot = d.agg(F.sum("mass").alias("_t"))
-    return d.crossJoin(F.broadcast(tot)).select("value", (F.col("mass") / F.col("_t")).alias("share"))
+    tot = d.agg(F.sum("mass")).scalar()
+    return d.select("value", (F.col("mass") / tot).alias("share"))
 
 
 def index_of_dispersion(df: DataFrame, col: str, by=()) -> DataFrame:
@@ -157,15 +156,15 @@ def normalize(df: DataFrame, col: str, method="minmax", lo: float | None = None,
               out: str | None = None) -> DataFrame:
     """D16: 'max' (x / max) or 'minmax' ((x-min)/(max-min)) normalisation, optionally rescaled to [lo, hi]; a bound
     of 0 counts as given (``is None`` semantics, Q18)."""
-    s = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
+    mn, mx = df.agg(F.min(col)).scalar(), df.agg(F.max(col)).scalar()
     x = F.col(col)
     if method == "max":
-        v = x / F.col("_mx")
+        v = x / mx
     else:
-        v = F.try_divide(x - F.col("_mn"), F.col("_mx") - F.col("_mn"))
+        v = F.try_divide(x - mn, mx - mn)
     if lo is not None and hi is not None:
         v = v * (hi - lo) + lo
-    return df.crossJoin(F.broadcast(s)).withColumn(out or f"{col}_norm", v.cast("double")).drop("_mn", "_mx")
+    return df.withColumn(out or f"{col}_norm", v.cast("double"))
 
 
 def summary(df: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Embeddings, clustering and dataset distillation.
 
 Vectors are ``array<float|double>`` columns; group means use Spark ML's ``Summarizer`` (JVM).  Centres are a
-small table of k rows whose size is checked before it is broadcast as ONE row (an array of centres) and scanned
-inside each row with higher-order functions: no row x centre cross join is materialised.
+small table of k rows whose size is checked before it becomes ONE value (an array of centres, a scalar subquery)
+scanned inside each row with higher-order functions: no row x centre join is planned.
 """
 
 from __future__ import annotations
@@ -52,21 +52,22 @@ def kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, distance: str = "euc
     return model.transform(d).drop("_features"), cdf
 
 
-def _centre_row(centres: DataFrame, cid: str, cvec: str, max_centres: int) -> DataFrame:
+def _centre_array(centres: DataFrame, cid: str, cvec: str, max_centres: int):
+    """The (size-checked) centres as one array value: a scalar subquery evaluated once and shipped with the plan."""
     n = centres.count()
     if n > max_centres:
         raise ValueError(f"{n} centres exceed the broadcast bound {max_centres}")
     return centres.agg(F.collect_list(F.struct(F.col(cid).alias("cid"),
-                                               F.transform(cvec, lambda x: x.cast("double")).alias("c"))).alias("_centres"))
+                                               F.transform(cvec, lambda x: x.cast("double")).alias("c")))).scalar()
 
 
 def assign_nearest(df: DataFrame, vec: str, centres: DataFrame, cid="cluster", cvec="centre", distance="euclidean",
                    out="cluster", max_centres: int = MAX_CENTRES) -> DataFrame:
     """Nearest centre per row (ties -> smallest centre id) and its distance ``dist``."""
-    row = _centre_row(centres, cid, cvec, max_centres)
+    arr = _centre_array(centres, cid, cvec, max_centres)
     dist = (lambda c: L.sq_euclidean(vec, c)) if distance == "euclidean" else (lambda c: L.cosine_distance(vec, c))
     best = F.array_min(F.transform("_centres", lambda e: F.struct(dist(e["c"]).alias("d"), e["cid"].alias("cid"))))
-    return df.crossJoin(F.broadcast(row)).withColumn("_best", best) \
+    return df.withColumn("_centres", arr).withColumn("_best", best) \
         .withColumn(out, F.col("_best.cid")).withColumn("dist", F.col("_best.d")).drop("_centres", "_best")
 
 
@@ -74,10 +75,10 @@ def distance_matrix(df: DataFrame, key: str, vec: str, centres: DataFrame, cid="
                     max_centres: int = MAX_CENTRES) -> DataFrame:
     """Squared euclidean and cosine distance of every row to every centre of a small, size-checked set
     (``rows x k`` output is the requested matrix)."""
-    row = _centre_row(centres, cid, cvec, max_centres)
+    arr = _centre_array(centres, cid, cvec, max_centres)
     pairs = F.transform("_centres", lambda e: F.struct(e["cid"].alias("cid"), L.sq_euclidean(vec, e["c"]).alias("sq"),
                                                         L.cosine_distance(vec, e["c"]).alias("cos")))
-    return df.crossJoin(F.broadcast(row)).select(key, F.explode(pairs).alias("_p")) \
+    return df.withColumn("_centres", arr).select(key, F.explode(pairs).alias("_p")) \
         .select(key, F.col("_p.cid").alias(cid), F.col("_p.sq").alias("sq_euclidean"), F.col("_p.cos").alias("cosine"))
 
 

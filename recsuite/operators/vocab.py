@@ -131,12 +131,11 @@ def encode_words(df: DataFrame, col: str, vocab: DataFrame, key, out: str | None
     """Word-level encode: lower-cased tokens, unknown words dropped, no known word -> the index of ','."""
     tmp = df.withColumn("_words", word_tokens(col))
     enc = encode_list(tmp, "_words", vocab, key, out="_enc", policy="drop").drop("_words")
-    comma = vocab.filter(F.col("token") == EMPTY_TEXT_TOKEN).select(F.col("idx").alias("_comma"))
-    enc = enc.crossJoin(F.broadcast(comma.limit(1)))
-    val = F.when(F.size("_enc") > 0, F.col("_enc")).otherwise(F.array(F.col("_comma")))
+    comma = vocab.filter(F.col("token") == EMPTY_TEXT_TOKEN).agg(F.min("idx")).scalar()
+    val = F.when(F.size("_enc") > 0, F.col("_enc")).otherwise(F.array(comma))
     if max_length:
         val = F.slice(val, 1, max_length)
-    return enc.withColumn(out or f"{col}_ids", val).drop("_enc", "_comma")
+    return enc.withColumn(out or f"{col}_ids", val).drop("_enc")
 
 
 def encode_with_tokenizer(df: DataFrame, col: str, name: str, max_length: int, tokenizer_factory=None,

@@ -300,20 +300,20 @@ def g8(spark, sf):
 def g12(spark, sf):
     """Generated items (benchmark rows; owner = item % customers + 1) appended with ids after max(id) and
     appended to their owner's history."""
-    n_cust = fx.table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("nc"))
-    gen = fx.table(spark, sf, "benchmark").crossJoin(F.broadcast(n_cust)).select(
-        F.col("item_id").alias("gen_order"), ((F.col("item_id") % F.col("nc")) + 1).alias("user_id"),
+    n_cust = fx.table(spark, sf, "customer").agg(F.count(F.lit(1))).scalar()
+    gen = fx.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("gen_order"), ((F.col("item_id") % n_cust) + 1).alias("user_id"),
         F.col("text").alias("title"))
     items = fx.items(spark, sf).select("item_id", "title", "subcategory")
     c = fx.clicks(spark, sf).filter(F.col("item_id").isNotNull())
     hist = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "item_id"))).alias("_h")) \
         .select("user_id", F.transform("_h", lambda e: e["item_id"]).alias("history"))
     new_items, new_hist = P.merge_generated_items(items, gen, hist.withColumn("n_before", F.size("history")))
-    n_items = new_items.agg(F.count(F.lit(1)).alias("n_items"))
-    return new_hist.crossJoin(F.broadcast(n_items)).select(
+    n_items = new_items.agg(F.count(F.lit(1))).scalar()
+    return new_hist.select(
         "user_id", F.col("n_before").cast("bigint").alias("n_before"),
         F.array_join(F.transform(F.slice("history", F.col("n_before") + 1, 1 << 30), lambda x: x.cast("string")), ",")
-        .alias("appended"), "n_items")
+        .alias("appended"), n_items.alias("n_items"))
 
 
 @query("g13_prefixed_ids", "G13", W(

@@ -37,9 +37,9 @@ def d1_d2(spark, sf):
     lists = fx.clicks(spark, sf).groupBy("user_id").agg(F.collect_list("ts").alias("times"))
     a = D.nested_time_span(lists, "times").select(F.date_format("min", "yyyy-MM-dd").alias("hist_min"),
                                                   F.date_format("max", "yyyy-MM-dd").alias("hist_max"))
-    b = D.time_span(fx.table(spark, sf, "events"), "ts").select(
-        F.date_format("min", "yyyy-MM-dd HH:mm:ss").alias("log_min"), F.date_format("max", "yyyy-MM-dd HH:mm:ss").alias("log_max"))
-    return a.crossJoin(b)
+    b = D.time_span(fx.table(spark, sf, "events"), "ts")
+    return a.select("*", F.date_format(b.select("min").scalar(), "yyyy-MM-dd HH:mm:ss").alias("log_min"),
+                    F.date_format(b.select("max").scalar(), "yyyy-MM-dd HH:mm:ss").alias("log_max"))
 
 
 @query("d3_max_length_attached", "D3", W(

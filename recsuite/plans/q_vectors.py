@@ -126,8 +126,8 @@ def m5(spark, sf):
     merged = M.merge_histories(sel, hist, "user_id", "history")
     pos = P.allow_list(P.binarize_ratings(fx.ratings(spark, sf)).filter("label = 1"), sel, "user_id")
     distilled = P.reset_index(pos.select("user_id", "item_id").distinct(), "user_id", "row")
-    n_rows = distilled.agg(F.count(F.lit(1)).alias("n_distilled"))
-    return merged.select("cluster", "user_id", F.size("merged_history").alias("merged_len")).crossJoin(n_rows)
+    n_rows = distilled.agg(F.count(F.lit(1))).scalar()
+    return merged.select("cluster", "user_id", F.size("merged_history").alias("merged_len"), n_rows.alias("n_distilled"))
 
 
 @query("m8_taste_sets", ("M8",), W(
