@@ -69,3 +69,22 @@ def dense_index(df: DataFrame, order, name: str = "idx", start: int = 0, partiti
         F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return s.join(F.broadcast(offs.select("_pid", "_off")), "_pid") \
         .withColumn(name, (F.col("_off") + F.col("_local") + start).cast("bigint")).drop("_pid", "_local", "_off")
+
+
+def row_number_per_group(df: DataFrame, group, order, name: str = "rn", partitions: int | None = None) -> DataFrame:
+    """1-based position of each row inside its group under a total ``order``, without putting a whole group in
+    one task: range-partition by (group, order) so a hot group spans many partitions, number rows inside each
+    partition, and add the row counts of the same group in earlier partitions (a per-(partition, group) count
+    table whose per-group size is at most the number of partitions)."""
+    g = as_list(group)
+    o = _order_exprs(order)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = (df.repartitionByRange(n, *[F.col(c) for c in g], *o).sortWithinPartitions(*[F.col(c) for c in g], *o)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    parts = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
+    return s.join(parts, ["_pid", *g]) \
+        .withColumn(name, (F.col("_mid") - F.col("_first") + F.col("_before") + 1).cast("bigint")) \
+        .drop("_pid", "_mid", "_first", "_before")

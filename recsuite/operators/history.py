@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recsuite.functions.lists import C
-from recsuite.operators.common import as_list, ordered_collect, top_n_per_group
+from recsuite.operators.common import as_list, ordered_collect, row_number_per_group, top_n_per_group
 
 
 def _field(name):
@@ -65,12 +65,13 @@ def sessions_from_pairs(df: DataFrame, user="user_id", item="item_id", time="ts"
 
 def first_k_history(df: DataFrame, k: int, user="user_id", item="item_id", time="ts") -> tuple[DataFrame, DataFrame]:
     """The first k interactions of each user (time, item order) form the history; the rest stay as labelled
-    interactions.  Returns (history per user, remaining rows)."""
-    w = Window.partitionBy(user).orderBy(F.col(time), F.col(item))
-    r = df.withColumn("_rn", F.row_number().over(w))
-    hist = ordered_collect(r.filter(F.col("_rn") <= k), [user], ["_rn"], [item], "_h") \
+    interactions.  Returns (history per user, remaining rows).  The first k come from the salted two-stage top-k
+    (a very active user is cut in parallel), the rest is an anti join on the row identity."""
+    cols = df.columns
+    first = top_n_per_group(df, [user], [F.col(time), F.col(item)], k, salt_on=cols)
+    hist = ordered_collect(first.withColumnRenamed("_rank", "_rn"), [user], ["_rn"], [item], "_h") \
         .select(user, F.transform("_h", lambda e: e[item]).alias("history"))
-    rest = r.filter(F.col("_rn") > k).drop("_rn")
+    rest = df.join(first.select(*cols), cols, "left_anti")
     return hist, rest
 
 
@@ -86,8 +87,9 @@ def history_versions(df: DataFrame, user="user_id", history="history", order="im
 
 
 def position_in_group(df: DataFrame, group, order, out="position") -> DataFrame:
-    """1-based position of each row inside its group."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*as_list(group)).orderBy(*as_list(order))))
+    """1-based position of each row inside its group (``order`` must be a total order); skew-safe numbering
+    through range partitions and per-partition offsets instead of one window task per group."""
+    return row_number_per_group(df, group, order, out)
 
 
 # Fixed values of the reference: history cut lengths by cumulative probability (cut 5 is then drawn uniformly

@@ -76,12 +76,12 @@ def render_user_facts(facts: dict, reads: DataFrame, texts: DataFrame, user: str
     sorted by read time (ascending as the reference, Q13), numbered by sorted position; unknown articles keep
     their number and are skipped (gaps, Q14).  ``facts`` maps key -> column of ``users``; ``order`` (default:
     read time, item) is the sort, ``read_time`` / ``scroll`` the displayed values."""
+    from recsuite.operators.common import top_n_per_group
     keys = [F.col(c) for c in (as_list(order) or [read_time, item])]
     if descending:
         keys = [keys[0].desc(), *keys[1:]]
-    from pyspark.sql import Window
-    w = Window.partitionBy(user).orderBy(*keys)
-    r = reads.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top)
+    # first ``top`` reads per user by the salted two-stage top-n: a heavy reader is cut in parallel
+    r = top_n_per_group(reads, [user], keys, top, salt_on=reads.columns).withColumnRenamed("_rank", "_n")
     j = r.join(texts.select(item, F.col(text).alias("_t")), item, "left")
     line = F.when(F.col("_t").isNotNull(), F.concat(
         F.lit("("), F.col("_n").cast("string"), F.lit(")title: "), F.col("_t"), F.lit(", read time: "),

@@ -272,18 +272,15 @@ def save_encoded(df: DataFrame, vocabs: dict[str, DataFrame], path: str, id_col:
             "cols": {c: {"vocab": s.get("vocab"), "max_length": s.get("max_length"), "padding": s.get("pad")}
                      for c, s in spec.items()},
             "vocabs": {k: {"size": v} for k, v in sizes.items()}}
-    local = path.replace("file:", "")
-    os.makedirs(local, exist_ok=True)
-    with open(os.path.join(local, "meta.json"), "w") as f:
-        json.dump(meta, f, indent=1)
+    # written through Spark so the store works on any cluster filesystem (one small text file)
+    df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(os.path.join(path, "meta.json"))
 
 
 def load_encoded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
     """Read back data, vocabularies and metadata; older metadata keys (``col_info``/``cols``,
     ``vocab_info``/``vocs``/``vocabs``, ``voc``/``vocab``) are accepted."""
-    local = path.replace("file:", "")
-    with open(os.path.join(local, "meta.json")) as f:
-        raw = json.load(f)
+    raw = json.loads(spark.read.text(os.path.join(path, "meta.json")).first()["value"])
     cols = raw.get("cols") or raw.get("col_info") or {}
     cols = {c: {"vocab": s.get("vocab", s.get("voc")), "max_length": s.get("max_length"), "padding": s.get("padding")}
             for c, s in cols.items()}

@@ -127,13 +127,14 @@ def cached_filter(df: DataFrame, predicates, cache_dir: str) -> DataFrame:
     back on later calls (any predicate order hits the same entry)."""
     spark = df.sparkSession
     path = os.path.join(cache_dir, predicate_key(predicates))
-    marker = os.path.join(path, "_SUCCESS")
-    if not (path.startswith("/") and os.path.exists(marker)):
+    try:
+        return spark.read.parquet(path)  # any filesystem Spark can read: a hit costs a footer read
+    except Exception:  # noqa: BLE001  (missing path -> build the entry)
         out = df
         for p in sorted(set(as_list(predicates))):
             out = out.filter(F.expr(p))
         out.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        return spark.read.parquet(path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -102,12 +102,12 @@ def test_k4_mrr_doc_example(spark):
 def test_global_auc_matches_pairs(spark):
     import random
     rnd = random.Random(3)
-    data = [(0, i, rnd.randint(0, 1), rnd.choice([0.1, 0.2, 0.3, 0.5, 0.7])) for i in range(400)]
+    data = [(0, i, rnd.randint(0, 1), rnd.choice([-2.5, -0.3, 0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 0.71, 3e5])) for i in range(400)]
     df = spark.createDataFrame(data, "impression_id int, pos int, label int, score double")
     pos = [s for _, _, y, s in data if y == 1]
     neg = [s for _, _, y, s in data if y == 0]
     brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    assert M.global_auc(df, buckets=4).first().auc == pytest.approx(brute, abs=1e-12)
+    assert M.global_auc(df).first().auc == pytest.approx(brute, abs=1e-12)
     assert M.list_metrics(df).first().auc == pytest.approx(brute, abs=1e-12)
 
 
