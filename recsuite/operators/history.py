@@ -21,12 +21,29 @@ def _field(name):
 
 
 def dynamic_history(df: DataFrame, n: int, user="user_id", item="item_id", time="ts", tiebreak=None,
-                    out="history_dynamic") -> DataFrame:
-    """For every row, the user's last n items strictly before it (rows ordered by time, tiebreak).  NULL items
-    take a slot of the n-row frame and are then dropped (collect_list skips NULLs)."""
+                    out="history_dynamic", method: str = "window") -> DataFrame:
+    """For every row, the user's last n items strictly before it (rows ordered by time, tiebreak; the order
+    must be total).  NULL items take a slot of the n-row frame and are then dropped.
+
+    ``method='window'``: a bounded sliding frame per user (one sort per user; memory-bounded, but one task per
+    user).  ``method='join'``: skew-proof — rows are numbered per user with ``row_number_per_group`` (a hot user
+    spans many tasks), each row is equi-joined to its n predecessors on the unique key (user, rn - k) and the
+    items re-collected in order; costs n x the rows in the shuffle."""
     order = [F.col(time)] + [c if not isinstance(c, str) else F.col(c) for c in as_list(tiebreak)]
-    w = Window.partitionBy(user).orderBy(*order).rowsBetween(-n, -1)
-    return df.withColumn(out, F.collect_list(item).over(w))
+    if method == "window":
+        w = Window.partitionBy(user).orderBy(*order).rowsBetween(-n, -1)
+        return df.withColumn(out, F.collect_list(item).over(w))
+    r = row_number_per_group(df, [user], order, "_rn")
+    prev = r.select(F.col(user).alias("_u"), F.col("_rn").alias("_prn"), F.col(item).alias("_pitem"))
+    ex = r.select(F.col(user).alias("_u"), F.col("_rn").alias("_qrn"),
+                  F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k")) \
+        .withColumn("_prn", F.col("_qrn") - F.col("_k")).filter(F.col("_prn") >= 1)
+    got = ex.join(prev, ["_u", "_prn"]).groupBy("_u", "_qrn").agg(
+        F.array_sort(F.collect_list(F.struct("_prn", "_pitem"))).alias("_l"))
+    hist = got.select("_u", "_qrn", F.filter(F.transform("_l", lambda e: e["_pitem"]), lambda x: x.isNotNull()).alias("_h"))
+    j = r.join(hist, (r[user] == hist["_u"]) & (r["_rn"] == hist["_qrn"]), "left")
+    return j.withColumn(out, F.coalesce(F.col("_h"), F.array().cast(f"array<{df.schema[item].dataType.simpleString()}>"))) \
+        .drop("_u", "_qrn", "_h", "_rn")
 
 
 def fixed_history(df: DataFrame, cutoff, n: int | None = None, user="user_id", item="item_id", time="ts",

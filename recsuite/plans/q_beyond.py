@@ -204,7 +204,7 @@ def l11(spark, sf):
         ser = B.serendipity(R, users, fx.item_vectors(spark, sf))
         nov = B.novelty(R, pop)
         sen = B.mean_attribute(R, items, "sentiment_score", out="sentiment")
-        div = B.intra_list_diversity(one.select(F.lit(0).alias("list_id"), "items"), fx.item_vectors(spark, sf))
+        div = B.intra_list_diversity(one.select(F.col("list").alias("list_id"), "items"), fx.item_vectors(spark, sf))
         per = ser.join(nov, "list_id").join(sen, "list_id").withColumn("diversity", div.select("diversity").scalar())
         rep = B.list_report(per, ["serendipity", "novelty", "sentiment", "diversity"], name)
         reports = rep if reports is None else reports.unionByName(rep)

@@ -587,3 +587,14 @@ def e9(spark, sf):
     s = s.withColumn("neg", L.shuffle_list(F.concat("neg", "random_neg"), 42, "user_id"))
     r = H.split_negatives(s)
     return r.select("user_id", *[F.size(c).alias(f"n_{c}") for c in ("neg_train", "neg_dev", "neg_test")])
+
+
+@query("e1_dynamic_history_skew_safe", "E1", W(
+    f"""SELECT user_id, item_id, strftime(ts, '%Y-%m-%d') AS day,
+              {sfl('coalesce(list_filter(list(item_id) OVER (PARTITION BY user_id ORDER BY ts, item_id NULLS FIRST ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL), [])')} AS history
+       FROM clicks""", "clicks"))
+def e1_skew_safe(spark, sf):
+    """Last 3 items before each click per user by the skew-proof join method (no task holds a whole user)."""
+    d = H.dynamic_history(fx.clicks(spark, sf), 3, tiebreak=[F.col("item_id").asc_nulls_first()], out="h",
+                          method="join")
+    return d.select("user_id", "item_id", _day("ts").alias("day"), L.fmt_list("h").alias("history"))
