@@ -315,3 +315,46 @@ def rename_vocab(vocab: DataFrame, old: str, new: str) -> DataFrame:
             raise ValueError(f"vocab {new} already exists with different size")
         return vocab.filter(F.col("vocab") != old)
     return vocab.withColumn("vocab", F.when(F.col("vocab") == old, F.lit(new)).otherwise(F.col("vocab")))
+
+
+# ---- I17: dataset encode configurations (declarative; the same ``encode_table`` job runs each) ----------------
+# Column roles and lengths per dataset as the blueprint lists them; kinds: scalar (entity / id), words (text),
+# split (separator string of ids), list (id list).  ``keep='tail'`` keeps the most recent items of a history.
+DATASET_SPECS = {
+    "news_small": {
+        "item": {"cat": {"vocab": "cat", "kind": "scalar"}, "subcat": {"vocab": "subcat", "kind": "scalar"},
+                 "title": {"vocab": "english", "kind": "words", "max_length": 20},
+                 "abs": {"vocab": "english", "kind": "words", "max_length": 50}},
+        "user": {"history": {"vocab": "nid", "kind": "split", "sep": " ", "max_length": 30, "keep": "tail"}},
+        "negatives": {"neg": {"vocab": "nid", "kind": "split", "sep": " "}},
+    },
+    "books": {
+        "item": {"title": {"vocab": "english", "kind": "words", "max_length": 20}},
+        "user": {"history": {"vocab": "bid", "kind": "list"}},
+        "negatives": {"neg": {"vocab": "bid", "kind": "list"}},
+    },
+    "movies": {
+        "item": {"name": {"vocab": "english", "kind": "words"}, "year": {"vocab": "english", "kind": "words"}},
+        "user": {"history": {"vocab": "mid", "kind": "list", "max_length": 20, "keep": "tail"}},
+    },
+    "pens": {
+        "item": {"cat": {"vocab": "cat", "kind": "scalar"}, "topic": {"vocab": "topic", "kind": "scalar"},
+                 "title": {"vocab": "english", "kind": "words", "max_length": 30},
+                 "body": {"vocab": "english", "kind": "words", "max_length": 500}},
+        "user": {"history": {"vocab": "nid", "kind": "split", "sep": " ", "max_length": 50, "keep": "tail"}},
+    },
+    "danish_news_a": {
+        "item": {"title": {"vocab": "english", "kind": "words", "max_length": 20},
+                 "subtitle": {"vocab": "english", "kind": "words", "max_length": 60},
+                 "body": {"vocab": "english", "kind": "words", "max_length": 100},
+                 "category": {"vocab": "category", "kind": "scalar"}},
+        "user": {"history": {"vocab": "nid", "kind": "list", "max_length": 50, "keep": "tail"}},
+        "negatives": {"neg": {"vocab": "nid", "kind": "list", "max_length": 250, "keep": "tail"}},
+    },
+    "danish_news_b": {
+        "item": {"title": {"vocab": "english", "kind": "words", "max_length": 20},
+                 "subtitle": {"vocab": "english", "kind": "words", "max_length": 50},
+                 "body": {"vocab": "english", "kind": "words", "max_length": 50}},
+        "user": {"history": {"vocab": "nid", "kind": "list"}},
+    },
+}

@@ -335,3 +335,23 @@ def g10(spark, sf):
     merged = V.rename_vocab(a.unionByName(b), "cat_a", "cat_b")
     renamed = V.rename_vocab(merged, "cat_b", "brand")
     return renamed.select("vocab", "token", "idx")
+
+
+@query("i17_dataset_config_news", ("I17", "I11", "I13"), W(
+    r"""WITH src AS (SELECT i.item_id, i.category AS cat, i.subcategory AS subcat, i.title, coalesce(b.text, '') AS abs
+                    FROM items i LEFT JOIN benchmark b ON i.item_id = b.item_id),
+            cv AS (SELECT cat, row_number() OVER (ORDER BY min(item_id), cat) - 1 AS idx FROM src GROUP BY cat),
+            sv AS (SELECT subcat, row_number() OVER (ORDER BY min(item_id), subcat) - 1 AS idx FROM src GROUP BY subcat)
+       SELECT s.item_id, CAST(cv.idx AS BIGINT) AS cat, CAST(sv.idx AS BIGINT) AS subcat,
+              CAST(least(len(regexp_extract_all(lower(s.title), '\w+|[^\w\s]')), 20) AS INTEGER) AS n_title,
+              CAST(least(len(regexp_extract_all(lower(s.abs), '\w+|[^\w\s]')), 50) AS INTEGER) AS n_abs
+       FROM src s JOIN cv ON s.cat = cv.cat JOIN sv ON s.subcat = sv.subcat""", "items"))
+def i17(spark, sf):
+    """The small-news dataset configuration run by the generic encode job on the catalogue (cat = brand, subcat =
+    type, title = name, abs = benchmark text where present): shared word vocabulary for title and abstract, cut to
+    20 / 50 tokens."""
+    it = fx.items(spark, sf).join(fx.table(spark, sf, "benchmark").withColumnRenamed("text", "abs"), "item_id", "left") \
+        .select("item_id", F.col("category").alias("cat"), F.col("subcategory").alias("subcat"), "title",
+                F.coalesce("abs", F.lit("")).alias("abs"))
+    enc, vocabs = V.encode_table(it, V.DATASET_SPECS["news_small"]["item"], "item_id")
+    return enc.select("item_id", "cat", "subcat", F.size("title").alias("n_title"), F.size("abs").alias("n_abs"))
