@@ -59,13 +59,25 @@ def lookup_value(df: DataFrame, col: str, lookup: DataFrame, key: str, value: st
     return j.withColumn(out or value, F.coalesce(F.col("_lv"), F.lit(default))).drop("_lk", "_lv")
 
 
+def _col_config(df: DataFrame, col: str) -> tuple:
+    md = df.schema[col].metadata or {}
+    return md.get("vocab"), md.get("max_length")
+
+
 def union_by_key(base: DataFrame, others: list[tuple[DataFrame, str]], on: str) -> DataFrame:
-    """Attach all columns of other tables keyed by ``on`` (their key column given per table); a later
-    table's column wins over an earlier one with the same name."""
+    """Attach all columns of other tables keyed by ``on`` (their key column given per table).  A column present
+    on both sides must have the same configuration (vocabulary and max length recorded in the column metadata,
+    I18) or the union raises; with equal configurations the later table's values win.  The key column of each
+    other table must use the same vocabulary as ``on`` when both record one."""
     out = base
     for t, tkey in others:
+        if _col_config(out, on)[0] and _col_config(t, tkey)[0] and _col_config(out, on)[0] != _col_config(t, tkey)[0]:
+            raise ValueError(f"the vocabularies of union column {on} and id column {tkey} do not match")
         t2 = t.withColumnRenamed(tkey, "_key_")
         clash = [c for c in t2.columns if c != "_key_" and c in out.columns]
+        for c in clash:
+            if _col_config(out, c) != _col_config(t2, c):
+                raise ValueError(f"column {c} configuration conflict")
         out = out.drop(*clash).join(t2, out[on] == t2["_key_"], "left").drop("_key_")
     return out
 

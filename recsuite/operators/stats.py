@@ -3,10 +3,10 @@ second pass (maxima, ranges, totals) are scalar subqueries (``DataFrame.scalar()
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recsuite.functions.lists import C, size0
+from recsuite.functions.lists import size0
 from recsuite.operators.common import as_list
 
 

@@ -225,3 +225,12 @@ def test_j3_npratio_shape(spark):
     assert len(out) == 6
     assert all(len(r.inview) == 2 and r.inview[-1] == r.clicked[0] for r in out)
     assert [r.inview for r in out if r.impression_id == 3] == [[None, 1]]
+
+
+def test_c5_union_config_conflict(spark):
+    a = spark.createDataFrame([(1, "x")], "id int, title string")
+    b = spark.createDataFrame([(1, "y")], "bid int, title string")
+    assert LK.union_by_key(a, [(b, "bid")], "id").first().title == "y"
+    b2 = b.withMetadata("title", {"vocab": "other", "max_length": 5})
+    with pytest.raises(ValueError):
+        LK.union_by_key(a, [(b2, "bid")], "id")
