@@ -40,11 +40,15 @@ def _with_unit(df: DataFrame, vec: str, out: str = "_u") -> DataFrame:
     return d.withColumn(out, array_to_vector(u))
 
 
+def _unit_items(items: DataFrame, key: str, vec: str) -> DataFrame:
+    """Unit vectors computed once per item (not per listed occurrence), ready to join."""
+    return _with_unit(items.select(key, vec), vec).select(key, "_u", (F.col("_nrm") > 0).cast("int").alias("_nz"))
+
+
 def intra_list_diversity(lists: DataFrame, items: DataFrame, list_id="list_id", col="items", key="item_id",
                          vec="embedding") -> DataFrame:
     """L1: mean pairwise cosine distance inside each list over its known items; NULL when fewer than 2."""
-    k = _with_unit(_known(lists, list_id, col, items, key, [vec]), vec)
-    k = k.select(list_id, "_u", (F.col("_nrm") > 0).cast("int").alias("_nz"))
+    k = _known(lists, list_id, col, _unit_items(items, key, vec), key, ["_u", "_nz"])
     g = k.groupBy(list_id).agg(Summarizer.sum(F.col("_u")).alias("_s"), F.count(F.lit(1)).alias("_n"),
                                F.sum("_nz").alias("_m"))
     s = vector_to_array("_s")
@@ -57,8 +61,10 @@ def intra_list_diversity(lists: DataFrame, items: DataFrame, list_id="list_id",
 def serendipity(R: DataFrame, H: DataFrame, items: DataFrame, list_id="list_id", col="items", key="item_id",
                 vec="embedding") -> DataFrame:
     """L2: mean cosine distance between every recommended and every history item (known items only)."""
+    units = _unit_items(items, key, vec)
+
     def mean_unit(df):
-        k = _with_unit(_known(df, list_id, col, items, key, [vec]), vec).select(list_id, "_u")
+        k = _known(df, list_id, col, units, key, ["_u"]).select(list_id, "_u")
         return k.groupBy(list_id).agg(Summarizer.mean(F.col("_u")).alias("_mu")) \
             .select(list_id, vector_to_array("_mu").alias("_mu"))
     r = mean_unit(R).withColumnRenamed("_mu", "_r")

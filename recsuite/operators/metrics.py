@@ -220,19 +220,26 @@ def global_auc(df: DataFrame, label="label", score="score") -> DataFrame:
 
 
 # ---- user-defined metric (Q-3) ------------------------------------------------------------------------------
-def custom_list_metric(df: DataFrame, fn, name: str, group="impression_id", label="label", score="score") -> DataFrame:
-    """Q-3: a user metric ``fn(labels: np.ndarray, scores: np.ndarray) -> float`` evaluated per list by a grouped
-    aggregate pandas UDF (Arrow batches); NaN results become NULL."""
+def custom_list_metric(df: DataFrame, fn, name: str, group="impression_id", label="label", score="score",
+                       pos="pos") -> DataFrame:
+    """Q-3: a user metric ``fn(labels: np.ndarray, scores: np.ndarray) -> float`` per list.  Each list (bounded by
+    itself) is collected in position order, then a scalar pandas UDF evaluates many lists per Arrow batch (no
+    per-group Python round trip); NaN results become NULL."""
     import math
 
     import numpy as np
-
+    import pandas as pd
     from pyspark.sql.functions import PandasUDFType
 
-    def agg(labels, scores):
-        v = float(fn(np.asarray(labels), np.asarray(scores)))
-        return None if math.isnan(v) else v
+    def run(labels, scores):
+        out = []
+        for y, s in zip(labels, scores):
+            v = float(fn(np.asarray(y), np.asarray(s)))
+            out.append(None if math.isnan(v) else v)
+        return pd.Series(out, dtype="float64")
 
-    udf = F.pandas_udf(agg, "double", PandasUDFType.GROUPED_AGG)
+    udf = F.pandas_udf(run, "double", PandasUDFType.SCALAR)
     g = _as_list(group)
-    return df.groupBy(*g).agg(udf(F.col(label), F.col(score)).alias(name))
+    lists = df.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct(pos, label, score))).alias("_l"))
+    return lists.select(*g, udf(F.transform("_l", lambda e: e[label]),
+                                F.transform("_l", lambda e: e[score])).alias(name))

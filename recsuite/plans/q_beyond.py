@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recsuite.functions import lists as L
@@ -174,7 +175,7 @@ def baseline_lists(spark, sf, n=10):
     for name, df, col in (("editorial", inv, "n"), ("popular", fx.items(spark, sf), "total_pageviews"),
                           ("newest", first, "first_seen")):
         top = S.top_n(df.select("item_id", col), [F.col(col).desc(), F.col("item_id")], n) \
-            .withColumn("_r", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.col(col).desc(), "item_id")))
+            .withColumn("_r", F.row_number().over(Window.orderBy(F.col(col).desc(), "item_id")))  # n rows after the limit
         row = top.agg(F.array_sort(F.collect_list(F.struct("_r", "item_id"))).alias("_l")) \
             .select(F.lit(name).alias("list"), F.transform("_l", lambda e: e["item_id"]).alias("items"))
         out = row if out is None else out.unionByName(row)
