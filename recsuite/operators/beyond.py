@@ -198,3 +198,42 @@ def list_report(per_list: DataFrame, metrics, name: str) -> DataFrame:
         rows = r if rows is None else rows.unionByName(r)
     return rows
 
+
+
+MAX_BASELINE_LISTS = 1000
+
+
+def baseline_report(lists: DataFrame, histories: DataFrame, vectors: DataFrame, popularity: DataFrame,
+                    attrs: DataFrame, attr: str = "sentiment_score", list_name="list", col="items", user="list_id",
+                    key="item_id", vec="embedding", max_lists: int = MAX_BASELINE_LISTS) -> DataFrame:
+    """Every baseline list given to every user, reported as mean / population std over users per list and
+    metric, in one pass and without materialising user x list rows:
+
+    * diversity, novelty and ``attr`` of a list do not depend on the user: computed once per list (std 0);
+    * serendipity(user, list) = 1 - mean_unit(list) . mean_unit(history(user)); the lists' mean unit vectors
+      (at most ``max_lists``, checked) become one array value scanned inside each user row.
+    Users whose history has no known item get no serendipity value (as L2)."""
+    n_lists = lists.count()
+    if n_lists > max_lists:
+        raise ValueError(f"{n_lists} baseline lists exceed {max_lists}")
+    L1 = lists.select(F.col(list_name).alias("_lid"), col)
+    units = _unit_items(vectors, key, vec)
+    mu_l = _known(L1, "_lid", col, units, key, ["_u"]).groupBy("_lid").agg(Summarizer.mean(F.col("_u")).alias("_m")) \
+        .select("_lid", vector_to_array("_m").alias("_m"))
+    arr = mu_l.agg(F.collect_list(F.struct(F.col("_lid").alias("l"), F.col("_m").alias("m")))).scalar()
+    mu_h = _known(histories, user, col, units, key, ["_u"]).groupBy(user).agg(Summarizer.mean(F.col("_u")).alias("_h")) \
+        .select(user, vector_to_array("_h").alias("_h"))
+    per = mu_h.withColumn("_ls", arr).select(user, F.explode(F.transform(
+        "_ls", lambda e: F.struct(e["l"].alias("list"), (1.0 - L.dot(e["m"], "_h")).alias("v")))).alias("_p"))
+    ser = per.groupBy(F.col("_p.list").alias("list")).agg(F.avg("_p.v").alias("mean"), F.stddev_pop("_p.v").alias("std"))
+    # a list without any known item still gets its (undefined) serendipity row
+    ser = L1.select(F.col("_lid").alias("list")).join(ser, "list", "left").withColumn("metric", F.lit("serendipity"))
+    div = intra_list_diversity(L1, vectors, "_lid", col, key, vec).select(F.col("_lid").alias("list"), F.col("diversity").alias("v")) \
+        .withColumn("metric", F.lit("diversity"))
+    nov = novelty(L1, popularity, list_id="_lid", col=col, key=key).select(F.col("_lid").alias("list"), F.col("novelty").alias("v")) \
+        .withColumn("metric", F.lit("novelty"))
+    sen = mean_attribute(L1, attrs, attr, list_id="_lid", col=col, key=key, out="v").select(F.col("_lid").alias("list"), "v") \
+        .withColumn("metric", F.lit(attr))
+    const = div.unionByName(nov).unionByName(sen).select("list", "metric", F.col("v").alias("mean"),
+                                                          F.when(F.col("v").isNotNull(), F.lit(0.0)).alias("std"))
+    return ser.select("list", "metric", "mean", "std").unionByName(const)

@@ -85,3 +85,21 @@ def test_partition_independence(spark, parts):
     store.append(got)
     if len(store) == 2:
         assert store[0] == store[1]
+
+
+def test_baseline_report_equals_per_user_path(spark):
+    from recsuite.operators import beyond as B
+    from recsuite.plans import q_beyond as QB
+    lists = QB.baseline_lists(spark, SF_SMOKE)
+    users = QB._H(spark, SF_SMOKE)
+    vec = fx.item_vectors(spark, SF_SMOKE)
+    pop = D.popularity(fx.impressions(spark, SF_SMOKE), "inview")
+    rep = {(r.list, r.metric): (r.mean, r.std) for r in B.baseline_report(lists, users, vec, pop, fx.items(spark, SF_SMOKE)).collect()}
+    for name in ("editorial", "popular", "newest"):
+        R = B.broadcast_list(users.select("list_id"), lists.filter(F.col("list") == name), "list_id", "items")
+        s = B.serendipity(R, users, vec).agg(F.avg("serendipity"), F.stddev_pop("serendipity")).first()
+        got = rep[(name, "serendipity")]
+        if s[0] is None:
+            assert got[0] is None
+        else:
+            assert got[0] == pytest.approx(s[0], abs=1e-9) and got[1] == pytest.approx(s[1], abs=1e-9)
