@@ -133,6 +133,33 @@ def sample_list(col, n: int, seed, row_key, replace: bool = False, on_short: str
                        lambda k: F.when(F.size(c) > 0, F.element_at(c, (idx(k) + 1).cast("int"))))
 
 
+def sample_indices(size, n: int, seed, row_key) -> Column:
+    """n distinct 0-based indices out of ``size`` per row: a partial Fisher-Yates shuffle whose k-th swap
+    partner is k + draw(seed, row, k) mod (size - k).  n md5 draws per row whatever the size; the swaps live in
+    a small in-row list (O(n^2) per row)."""
+    size = C(size)
+    m = F.least(F.lit(n), size)
+    init = F.struct(F.array().cast("array<struct<i:int,v:int>>").alias("sw"), F.array().cast("array<int>").alias("out"))
+
+    def val(sw, x):
+        return F.coalesce(F.try_element_at(F.filter(sw, lambda e: e["i"] == x), F.lit(-1))["v"], x)
+
+    def step(acc, k):
+        j = (k + F.pmod(rng.draw32(seed, C(row_key), k), size - k)).cast("int")
+        va, vb = val(acc["sw"], k), val(acc["sw"], j)
+        sw = F.concat(acc["sw"], F.array(F.struct(k.alias("i"), vb.alias("v")), F.struct(j.alias("i"), va.alias("v"))))
+        return F.struct(sw.alias("sw"), F.concat(acc["out"], F.array(vb)).alias("out"))
+
+    res = F.aggregate(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))), init, step)
+    return F.when(m > 0, res["out"]).otherwise(F.array().cast("array<int>"))
+
+
+def sample_from_pool(pool, n: int, seed, row_key) -> Column:
+    """n distinct elements of a per-row pool (``sample_indices`` over its size)."""
+    p = C(pool)
+    return F.transform(sample_indices(F.size(p), n, seed, row_key), lambda x: F.element_at(p, x + 1))
+
+
 def ordered_subset(col, target_len, seed, row_key) -> Column:
     """order-preserving random subset of ``target_len`` elements (smallest md5 keys, re-sorted by position)."""
     c = C(col)

@@ -95,13 +95,41 @@ MAX_POOL = 100_000
 def random_lists(df: DataFrame, pool: DataFrame, n: int, seed, key: str, pool_item="item_id", out="ranked",
                  max_pool: int = MAX_POOL) -> DataFrame:
     """a random N-item candidate list per row drawn from the candidate pool without replacement (seeded per
-    row).  The pool is a candidate set, bounded by design; its size is checked (one count job) before it is
+    row, partial Fisher-Yates: n draws per row whatever the pool size).  The pool is a candidate set, bounded by design; its size is checked (one count job) before it is
     built into one broadcast list, and a pool above ``max_pool`` raises instead of being broadcast."""
     size = pool.select(pool_item).distinct().count()
     if size > max_pool:
         raise ValueError(f"candidate pool of {size} items exceeds max_pool={max_pool}")
     cand = pool.agg(F.sort_array(F.collect_set(pool_item))).scalar()
-    return df.withColumn("_pool", cand).withColumn(out, L.sample_list("_pool", n, seed, key)).drop("_pool")
+    # only the pool size enters the rows; chosen indices are looked up in the pool value afterwards
+    d = unrolled_sample_indices(df.withColumn("_P", F.size(cand)), "_P", n, seed, key, "_o")
+    d = d.withColumn("_raw", F.array(*[F.element_at(cand, F.col(f"_o{i}") + 1) for i in range(n)]))
+    return d.withColumn(out, F.filter("_raw", lambda x: x.isNotNull())) \
+        .drop("_P", "_raw", *[f"_o{i}" for i in range(n)])
+
+
+def unrolled_sample_indices(df: DataFrame, size: str, n: int, seed, key: str, prefix: str = "_o") -> DataFrame:
+    """The partial Fisher-Yates of ``lists.sample_indices`` unrolled at plan time (n is known): step k adds the
+    columns j_k (swap partner), a_k (value moved to j_k) and ``{prefix}{k}`` (the k-th pick, NULL beyond the
+    size) as plain CASE expressions over earlier steps' columns, so the sampler stays in generated code."""
+    sz = F.col(size)
+    js, as_ = [], []
+
+    def val(x):
+        e = x
+        for jt, at in zip(js, as_):
+            e = F.when(x == jt, at).otherwise(e)
+        return e
+
+    d = df
+    for k in range(n):
+        ok = sz > k
+        d = d.withColumn(f"_j{k}", F.when(ok, F.lit(k) + F.pmod(rng.draw32(seed, F.col(key), F.lit(k)), F.greatest(sz - k, F.lit(1)))))
+        jk = F.col(f"_j{k}")
+        d = d.withColumn(f"_a{k}", F.when(ok, val(F.lit(k)))).withColumn(f"{prefix}{k}", F.when(ok, val(jk)).cast("int"))
+        js.append(jk)
+        as_.append(F.col(f"_a{k}"))
+    return d.drop(*[f"_j{k}" for k in range(n)], *[f"_a{k}" for k in range(n)])
 
 
 def random_permutation_ranks(col, seed, row_key):

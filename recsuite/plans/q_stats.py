@@ -363,8 +363,16 @@ def f14(spark, sf):
 
 
 @query("f15_random_lists", "F15", W(
-    f"""SELECT impression_id, {sfl(f"list_slice(list_transform(list_sort(list_transform(p.pool, lambda x, i: {{'k': {_key('impression_id', 'i - 1')}, 'i': i - 1, 'x': x}})), lambda e: e.x), 1, 5)")} AS ranked
-       FROM impressions, (SELECT list_sort(list(DISTINCT item_id)) AS pool FROM benchmark) p""", "impressions"))
+    f"""WITH RECURSIVE pool AS (SELECT list_sort(list(DISTINCT item_id)) AS p FROM benchmark),
+            st AS (SELECT impression_id, 0 AS k, []::INTEGER[] AS si, []::INTEGER[] AS sv, []::INTEGER[] AS out FROM impressions
+                   UNION ALL
+                   SELECT impression_id, k + 1, list_concat(si, [k, j]), list_concat(sv, [vb, va]), list_concat(out, [vb]) FROM (
+                     SELECT *, coalesce(list_reverse(sv)[list_position(list_reverse(si), k)], k) AS va,
+                               coalesce(list_reverse(sv)[list_position(list_reverse(si), j)], j) AS vb FROM (
+                       SELECT st.*, CAST(k + {_draw('impression_id', 'k')} % (len(pool.p) - k) AS INTEGER) AS j
+                       FROM st, pool WHERE k < least(5, len(pool.p)))))
+       SELECT impression_id, {sfl('list_transform(out, lambda x: pool.p[x + 1])')} AS ranked
+       FROM st, pool WHERE k = least(5, len(pool.p))""", "impressions"))
 def f15(spark, sf):
     """Random 5-item list per impression from the candidate pool (benchmark item ids)."""
     r = S.random_lists(fx.impressions(spark, sf).select("impression_id"), fx.table(spark, sf, "benchmark"), 5, SEED,

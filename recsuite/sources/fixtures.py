@@ -169,6 +169,8 @@ def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> st
     for k, v in (extra or {}).items():
         ctes.append(f"{k} AS ({v})")
     body = sql.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return ("WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]) if ctes else body
     if body[:5].upper() == "WITH ":
         # merge a query's own CTE list into ours
         return ("WITH " + ",\n".join(ctes) + ",\n" + body[5:]) if ctes else body

@@ -103,3 +103,18 @@ def test_baseline_report_equals_per_user_path(spark):
             assert got[0] is None
         else:
             assert got[0] == pytest.approx(s[0], abs=1e-9) and got[1] == pytest.approx(s[1], abs=1e-9)
+
+
+def test_pool_sample_is_distinct_subset_and_roughly_uniform(spark):
+    df = spark.range(4000).withColumn("pool", F.sequence(F.lit(0), F.lit(19)))
+    rows = df.select(L.sample_from_pool("pool", 5, 3, "id").alias("s")).collect()
+    counts = [0] * 20
+    for r in rows:
+        assert len(r.s) == 5 and len(set(r.s)) == 5 and set(r.s) <= set(range(20))
+        for x in r.s:
+            counts[x] += 1
+    expected = 4000 * 5 / 20
+    assert all(abs(c - expected) < 0.15 * expected for c in counts)
+    short = spark.createDataFrame([(1, [7, 8]), (2, [])], "id int, pool array<int>")
+    got = {r.id: sorted(r.s) for r in short.select("id", L.sample_from_pool("pool", 5, 3, "id").alias("s")).collect()}
+    assert got == {1: [7, 8], 2: []}
