@@ -70,53 +70,54 @@ def random_catalogue_negatives(df: DataFrame, items: DataFrame, m: int, seed, ke
     return df.join(back, key, "left")
 
 
+MAX_ATTRIBUTE_VALUES = 100_000
+
+
 def negatives_outside_taste(history: DataFrame, items: DataFrame, seed, user="user_id", hist="history",
                             item="item_id", attr="category", base: int = 20, extra_max: int = 5,
-                            draws_per_round: int = 100, max_rounds: int = 6) -> DataFrame:
-    """Per user, 20 + U{1..5} distinct random catalogue items whose attribute (category, or item
-    cluster for J9) is not among the user's history attributes.  Each round draws a batch of catalogue indices
-    per still-short user, drops tabooed and already chosen items, keeps the first by md5 key; users whose taste
-    covers every attribute value stop (the reference would loop forever).  A driver loop over at most
-    ``max_rounds`` rounds, each a normal distributed job; lineage is cut each round."""
-    from recsuite.session import cut_lineage
-    idx, n = catalogue_index(items, item)
+                            max_values: int = MAX_ATTRIBUTE_VALUES) -> DataFrame:
+    """Per user, 20 + U{1..5} distinct random catalogue items whose attribute (category, or item cluster
+    for J9) is not among the attributes of the user's history; a user with fewer allowed items gets all of them
+    (the reference would loop forever).  Exact and in one pass, no rejection rounds:
+
+    * the catalogue is densely indexed in (attribute, item) order, so each attribute value is a range
+      [start, start + count) (a table of one row per attribute value, size checked, used as one array value);
+    * a user's allowed items are the union of the ranges of the attribute values outside their taste; distinct
+      positions in [0, allowed count) are drawn with the unrolled partial Fisher-Yates (md5 draws) and mapped to
+      catalogue positions through the ranges, then joined to the dense index (an equi-join)."""
+    from pyspark.sql import Window
+
+    from recsuite.operators.sampling import unrolled_sample_indices
     attrs = items.select(item, attr)
+    counts = attrs.groupBy(attr).agg(F.count(F.lit(1)).alias("_n"))
+    n_vals = counts.count()
+    if n_vals > max_values:
+        raise ValueError(f"{n_vals} attribute values exceed {max_values}")
+    w = Window.orderBy(attr).rowsBetween(Window.unboundedPreceding, -1)  # one row per attribute value (checked)
+    ranges = counts.withColumn("_s", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    arr = ranges.agg(F.array_sort(F.collect_list(F.struct(F.col(attr).alias("a"), F.col("_s").alias("s"),
+                                                            F.col("_n").alias("n"))))).scalar()
+    idx = dense_index(attrs, [attr, item], "_g")
     taste = history.select(user, F.explode(hist).alias(item)).join(attrs, item).groupBy(user) \
         .agg(F.collect_set(attr).alias("_taste"))
-    n_attr = attrs.select(attr).distinct().agg(F.count(F.lit(1))).scalar()
-    want = history.select(user).distinct().join(taste, user, "left") \
-        .withColumn("_taste", F.coalesce("_taste", F.array().cast("array<string>"))) \
-        .filter(F.size("_taste") < n_attr) \
-        .withColumn("_want", F.lit(base) + F.pmod(rng.draw32(seed, F.col(user), F.lit("n")), F.lit(extra_max)) + 1) \
-        .select(user, "_taste", "_want")
-    chosen = None
-    for r in range(max_rounds):
-        short = want if chosen is None else want.join(
-            chosen.groupBy(user).agg(F.count(F.lit(1)).alias("_have")), user, "left") \
-            .filter(F.coalesce("_have", F.lit(0)) < F.col("_want")).drop("_have")
-        d = short.select(user, "_taste", "_want", F.explode(F.sequence(F.lit(1), F.lit(draws_per_round))).alias("_k"))
-        d = d.withColumn("_ci", F.pmod(rng.draw32(seed, F.col(user), F.lit(r), F.col("_k")), n))
-        cand = d.join(idx, "_ci").join(attrs, item) \
-            .filter(~F.array_contains("_taste", F.col(attr))) \
-            .select(user, item, "_want", rng.md5_key(seed, F.col(user), F.col(item)).alias("_key")).distinct()
-        if chosen is not None:
-            cand = cand.join(chosen.select(user, item), [user, item], "left_anti")
-        have = (chosen.groupBy(user).agg(F.count(F.lit(1)).alias("_have")) if chosen is not None else None)
-        if have is not None:
-            cand = cand.join(have, user, "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
-        else:
-            cand = cand.withColumn("_have", F.lit(0))
-        from pyspark.sql import Window
-        w = Window.partitionBy(user).orderBy("_key", item)
-        new = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_want") - F.col("_have")) \
-            .select(user, item, "_key")
-        chosen = new if chosen is None else chosen.unionByName(new)
-        chosen = cut_lineage(chosen)
-        remaining = want.join(chosen.groupBy(user).agg(F.count(F.lit(1)).alias("_have")), user, "left") \
-            .filter(F.coalesce("_have", F.lit(0)) < F.col("_want")).limit(1).count()
-        if remaining == 0:
-            break
-    return chosen.groupBy(user).agg(F.array_sort(F.collect_list(F.struct("_key", item))).alias("_l")) \
+    u = history.select(user).distinct().join(taste, user, "left") \
+        .withColumn("_taste", F.coalesce("_taste", F.array().cast(f"array<{items.schema[attr].dataType.simpleString()}>"))) \
+        .withColumn("_ranges", arr)
+    allowed = F.filter("_ranges", lambda e: ~F.array_contains(F.col("_taste"), e["a"]))
+    u = u.withColumn("_allowed", allowed)
+    u = u.withColumn("_allowed", F.transform("_allowed", lambda e, i: F.struct(
+        e["s"].alias("s"), e["n"].alias("n"),
+        F.aggregate(F.slice("_allowed", 1, i), F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("ps"))))
+    u = u.withColumn("_A", F.aggregate("_allowed", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).cast("int"))
+    u = u.withColumn("_want", F.lit(base) + F.pmod(rng.draw32(seed, F.col(user), F.lit("n")), F.lit(extra_max)) + 1)
+    n_max = base + extra_max
+    u = unrolled_sample_indices(u, "_A", n_max, seed, user, "_o")
+    picks = F.slice(F.array(*[F.col(f"_o{k}") for k in range(n_max)]), 1, F.col("_want").cast("int"))
+    u = u.select(user, "_allowed", F.posexplode(F.filter(picks, lambda x: x.isNotNull())).alias("_k", "_p"))
+    hit = F.element_at(F.filter("_allowed", lambda e: (F.col("_p") >= e["ps"]) & (F.col("_p") < e["ps"] + e["n"])), 1)
+    u = u.select(user, "_k", (hit["s"] + (F.col("_p") - hit["ps"])).alias("_g"))
+    j = u.join(idx.select("_g", item), "_g")
+    return j.groupBy(user).agg(F.array_sort(F.collect_list(F.struct("_k", item))).alias("_l")) \
         .select(user, F.transform("_l", lambda e: e[item]).alias("neg"))
 
 

@@ -126,7 +126,7 @@ def unrolled_sample_indices(df: DataFrame, size: str, n: int, seed, key: str, pr
         ok = sz > k
         d = d.withColumn(f"_j{k}", F.when(ok, F.lit(k) + F.pmod(rng.draw32(seed, F.col(key), F.lit(k)), F.greatest(sz - k, F.lit(1)))))
         jk = F.col(f"_j{k}")
-        d = d.withColumn(f"_a{k}", F.when(ok, val(F.lit(k)))).withColumn(f"{prefix}{k}", F.when(ok, val(jk)).cast("int"))
+        d = d.withColumns({f"_a{k}": F.when(ok, val(F.lit(k))), f"{prefix}{k}": F.when(ok, val(jk)).cast("int")})
         js.append(jk)
         as_.append(F.col(f"_a{k}"))
     return d.drop(*[f"_j{k}" for k in range(n)], *[f"_a{k}" for k in range(n)])

@@ -118,3 +118,22 @@ def test_pool_sample_is_distinct_subset_and_roughly_uniform(spark):
     short = spark.createDataFrame([(1, [7, 8]), (2, [])], "id int, pool array<int>")
     got = {r.id: sorted(r.s) for r in short.select("id", L.sample_from_pool("pool", 5, 3, "id").alias("s")).collect()}
     assert got == {1: [7, 8], 2: []}
+
+
+def test_negatives_outside_taste_exact(spark):
+    h = fx.clicks(spark, SF_SMOKE).filter(F.col("item_id").isNotNull()).groupBy("user_id").agg(
+        F.collect_set("item_id").alias("history"))
+    items = fx.items(spark, SF_SMOKE)
+    neg = {r.user_id: r.neg for r in J.negatives_outside_taste(h, items, 7).collect()}
+    cat = {r.item_id: r.category for r in items.select("item_id", "category").collect()}
+    n_cat = {}
+    for c in cat.values():
+        n_cat[c] = n_cat.get(c, 0) + 1
+    hist = {r.user_id: r.history for r in h.collect()}
+    assert neg
+    for u, ns in neg.items():
+        taste = {cat[i] for i in hist[u] if i in cat}
+        allowed = sum(v for c, v in n_cat.items() if c not in taste)
+        assert len(set(ns)) == len(ns)
+        assert all(cat[i] not in taste for i in ns)
+        assert 21 <= len(ns) <= 25 or len(ns) == allowed
