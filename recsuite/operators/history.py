@@ -20,16 +20,26 @@ def _field(name):
     return get
 
 
+def _has_hot_key(df: DataFrame, key: str, factor: float = 2.0) -> bool:
+    """One aggregate: does the largest group exceed ``factor`` times an even share of one shuffle partition?"""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c").alias("mx"), F.sum("_c").alias("tot")).first()
+    return bool(r["tot"]) and r["mx"] > factor * r["tot"] / max(parts, 1)
+
+
 def dynamic_history(df: DataFrame, n: int, user="user_id", item="item_id", time="ts", tiebreak=None,
-                    out="history_dynamic", method: str = "window") -> DataFrame:
+                    out="history_dynamic", method: str = "auto") -> DataFrame:
     """For every row, the user's last n items strictly before it (rows ordered by time, tiebreak; the order
     must be total).  NULL items take a slot of the n-row frame and are then dropped.
 
     ``method='window'``: a bounded sliding frame per user (one sort per user; memory-bounded, but one task per
     user).  ``method='join'``: skew-proof — rows are numbered per user with ``row_number_per_group`` (a hot user
     spans many tasks), each row is equi-joined to its n predecessors on the unique key (user, rn - k) and the
-    items re-collected in order; costs n x the rows in the shuffle."""
+    items re-collected in order; costs n x the rows in the shuffle.  ``method='auto'`` (default) measures the
+    largest user with one aggregate and takes 'join' only when that user would dominate a task."""
     order = [F.col(time)] + [c if not isinstance(c, str) else F.col(c) for c in as_list(tiebreak)]
+    if method == "auto":
+        method = "join" if _has_hot_key(df, user) else "window"
     if method == "window":
         w = Window.partitionBy(user).orderBy(*order).rowsBetween(-n, -1)
         return df.withColumn(out, F.collect_list(item).over(w))

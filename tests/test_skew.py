@@ -42,3 +42,10 @@ def test_dynamic_history_join_method_on_hot_user(spark):
     a = HI.dynamic_history(df, 4, tiebreak=["item_id"], out="h")
     b = HI.dynamic_history(df, 4, tiebreak=["item_id"], out="h", method="join")
     assert sorted((r.item_id, tuple(r.h)) for r in a.collect()) == sorted((r.item_id, tuple(r.h)) for r in b.collect())
+
+
+def test_dynamic_history_auto_picks_join_for_hot_user(spark):
+    from recsuite.operators.history import _has_hot_key
+    assert _has_hot_key(_skewed(spark, 6000), "user_id")
+    even = spark.range(6000).select((F.col("id") % 500).alias("user_id"), F.col("id").alias("ts"), F.col("id").alias("item_id"))
+    assert not _has_hot_key(even, "user_id")
