@@ -49,7 +49,7 @@ def l1(spark, sf):
             h AS (SELECT x.impression_id, u.e, u.nrm FROM (SELECT impression_id, unnest(clicked) AS item_id FROM impressions) x
                   JOIN item_vectors v ON x.item_id = v.item_id
                   JOIN u ON u.impression_id = x.impression_id AND u.pos = (SELECT min(pos) FROM candidates c WHERE c.impression_id = x.impression_id AND c.item_id = x.item_id))
-       SELECT a.impression_id AS list_id, round(avg(1 - {_COS}), 6) AS serendipity
+       SELECT a.impression_id AS list_id, round(avg(1 - {_COS}), 6) + 0.0 AS serendipity
        FROM u a JOIN h b ON a.impression_id = b.impression_id GROUP BY a.impression_id
        UNION ALL
        SELECT impression_id, NULL FROM impressions WHERE len(clicked) > 0 AND impression_id NOT IN (

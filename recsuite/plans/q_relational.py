@@ -410,7 +410,7 @@ def c9(spark, sf):
 
 @query("c10_align_vectors", "C10", W(
     """SELECT count(*) AS n_items, count(*) FILTER (WHERE v.item_id IS NULL) AS n_missing,
-              round(sum(coalesce(v.embedding[1], 0)), 4) AS s
+              round(sum(coalesce(v.embedding[1], 0)), 4) + 0.0 AS s
        FROM items i LEFT JOIN item_vectors v ON i.item_id = v.item_id""", "items", "item_vectors"))
 def c10(spark, sf):
     """A vector for every catalogue item (missing -> zero vector) and the count of misses."""

@@ -25,7 +25,7 @@ def _user_vectors(spark, sf):
 
 @query("m1_dot_scores", ("M1", "E14", "H14"), W(
     f"""WITH {_UM_SQL}
-       SELECT c.impression_id, c.pos, round(sum(um.m * CAST(v.embedding[um.j] AS DOUBLE)), 5) AS score
+       SELECT c.impression_id, c.pos, round(sum(um.m * CAST(v.embedding[um.j] AS DOUBLE)), 5) + 0.0 AS score
        FROM candidates c JOIN item_vectors v ON c.item_id = v.item_id JOIN um ON um.user_id = c.user_id
        WHERE c.impression_time >= TIMESTAMP '1998-01-01' GROUP BY c.impression_id, c.pos""",
     "candidates", "clicks", "item_vectors"))
@@ -82,7 +82,7 @@ _CENTRES_SQL = """ce AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS clus
 
 @query("m3_assign_nearest", ("M3", "C16"), W(
     f"""WITH {_CENTRES_SQL}
-       SELECT item_id, CAST(arg_min(cluster, (sq, cluster)) AS INTEGER) AS cluster, round(min(sq), 5) AS dist FROM pd GROUP BY item_id""",
+       SELECT item_id, CAST(arg_min(cluster, (sq, cluster)) AS INTEGER) AS cluster, round(min(sq), 5) + 0.0 AS dist FROM pd GROUP BY item_id""",
     "item_vectors"))
 def m3(spark, sf):
     """Nearest of 8 given centres (the first 8 vectors) for every item vector."""
@@ -101,7 +101,7 @@ def m4(spark, sf):
 
 
 @query("m10_distance_matrix", ("M10", "H14"), W(
-    f"WITH {_CENTRES_SQL} SELECT item_id, CAST(cluster AS INTEGER) AS cluster, round(sq, 5) AS sq_euclidean, round(cos, 5) AS cosine FROM pd",
+    f"WITH {_CENTRES_SQL} SELECT item_id, CAST(cluster AS INTEGER) AS cluster, round(sq, 5) + 0.0 AS sq_euclidean, round(cos, 5) + 0.0 AS cosine FROM pd",
     "item_vectors"))
 def m10(spark, sf):
     """Squared-euclidean and cosine distance matrix of every item vector against 8 centres."""

@@ -216,8 +216,9 @@ def c17(spark, sf):
 
 @query("i15_lookup_matrix", ("I15",), W(
     """WITH m AS (SELECT row_number() OVER (ORDER BY item_id) AS idx, embedding FROM item_vectors)
-       SELECT idx, round(embedding[1], 5) AS e1, round(embedding[64], 5) AS e64 FROM m
-       UNION ALL SELECT 0, round(avg(embedding[1]), 5), round(avg(embedding[64]), 5) FROM item_vectors""", "item_vectors"))
+       SELECT idx, round(CAST(embedding[1] AS DOUBLE), 5) + 0.0 AS e1, round(CAST(embedding[64] AS DOUBLE), 5) + 0.0 AS e64 FROM m
+       UNION ALL SELECT 0, round(avg(CAST(embedding[1] AS DOUBLE)), 5) + 0.0, round(avg(CAST(embedding[64] AS DOUBLE)), 5) + 0.0
+       FROM item_vectors""", "item_vectors"))
 def i15(spark, sf):
     """Dense 1..n lookup index + matrix with row 0 = column mean of the vectors."""
     _, mat = V.lookup_matrix(fx.item_vectors(spark, sf), "item_id", "embedding", unknown="mean")
