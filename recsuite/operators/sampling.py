@@ -109,27 +109,24 @@ def random_lists(df: DataFrame, pool: DataFrame, n: int, seed, key: str, pool_it
 
 
 def unrolled_sample_indices(df: DataFrame, size: str, n: int, seed, key: str, prefix: str = "_o") -> DataFrame:
-    """The partial Fisher-Yates of ``lists.sample_indices`` unrolled at plan time (n is known): step k adds the
-    columns j_k (swap partner), a_k (value moved to j_k) and ``{prefix}{k}`` (the k-th pick, NULL beyond the
-    size) as plain CASE expressions over earlier steps' columns, so the sampler stays in generated code."""
+    """The partial Fisher-Yates of ``lists.sample_indices`` unrolled at plan time (n is known): step k draws its
+    swap partner j_k, reads the current values at k and j_k from two small arrays of earlier swaps (latest swap
+    wins: ``array_position`` on the reversed arrays), emits ``{prefix}{k}`` (NULL beyond the size) and appends the
+    swap.  Plain array functions only, so the generated code grows linearly with n."""
     sz = F.col(size)
-    js, as_ = [], []
+    d = df.withColumns({"_js": F.array().cast("array<bigint>"), "_as": F.array().cast("array<bigint>")})
 
     def val(x):
-        e = x
-        for jt, at in zip(js, as_):
-            e = F.when(x == jt, at).otherwise(e)
-        return e
+        p = F.array_position(F.reverse(F.col("_js")), x)
+        return F.when(p > 0, F.element_at(F.reverse(F.col("_as")), p.cast("int"))).otherwise(x.cast("bigint"))
 
-    d = df
     for k in range(n):
         ok = sz > k
-        d = d.withColumn(f"_j{k}", F.when(ok, F.lit(k) + F.pmod(rng.draw32(seed, F.col(key), F.lit(k)), F.greatest(sz - k, F.lit(1)))))
-        jk = F.col(f"_j{k}")
-        d = d.withColumns({f"_a{k}": F.when(ok, val(F.lit(k))), f"{prefix}{k}": F.when(ok, val(jk)).cast("int")})
-        js.append(jk)
-        as_.append(F.col(f"_a{k}"))
-    return d.drop(*[f"_j{k}" for k in range(n)], *[f"_a{k}" for k in range(n)])
+        d = d.withColumn("_jk", F.when(ok, F.lit(k).cast("bigint")
+                                       + F.pmod(rng.draw32(seed, F.col(key), F.lit(k)), F.greatest(sz - k, F.lit(1)))))
+        d = d.withColumns({"_ak": F.when(ok, val(F.lit(k))), f"{prefix}{k}": F.when(ok, val(F.col("_jk"))).cast("int")})
+        d = d.withColumns({"_js": F.concat("_js", F.array(F.col("_jk"))), "_as": F.concat("_as", F.array(F.col("_ak")))})
+    return d.drop("_js", "_as", "_jk", "_ak")
 
 
 def random_permutation_ranks(col, seed, row_key):
