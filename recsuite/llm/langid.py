@@ -1,11 +1,11 @@
 """Language identification by compression.
 
 For every language a raw-content zstandard dictionary is built from a bounded sample of labelled training text.  A
-text is compressed once with each dictionary; the language with the smallest result wins.  The answer is rejected
-when the runner-up is within ``min_margin`` bytes.
+text is compressed once with each dictionary; the language with the smallest result wins, at equal sizes the one with
+more training rows.  The answer is rejected when the runner-up is within ``min_margin`` bytes.
 
 Defined results: NULL text or no letter -> ``und``, score 0, rejected; no labelled training row -> every row ``und``;
-equal sizes -> the alphabetically first language, rejected (margin 0).  Rows are independent: repeated rows repeat,
+equal sizes and training rows -> the alphabetically first language; equal sizes are rejected (margin 0).  Rows are independent: repeated rows repeat,
 an empty table gives an empty result.  Extra columns of ``docs`` are ignored by ``identify``.
 """
 
@@ -29,7 +29,9 @@ SAMPLE_CHARS = 400      # characters of each of them
 DICT_BYTES = 110 << 10  # bytes of a dictionary
 MAX_LANGUAGES = 500     # distinct labels accepted: dictionaries are held by every task
 MIN_MARGIN = 1          # bytes by which the winner must be shorter
-LEVEL = 3
+# Compressor settings: a lazy matcher that also takes matches of 4 bytes tells languages apart in a few words
+SETTINGS = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 1, "min_match": 4, "target_length": 0,
+            "strategy": zstandard.STRATEGY_LAZY}
 
 _ASCII = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
@@ -42,14 +44,15 @@ def normalise(text: str) -> bytes:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
           dict_bytes: int = DICT_BYTES, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang") -> dict[str, bytes]:
-    """Dictionary per language from labelled rows: the ``sample_docs`` rows of the language with the smallest
+          lang_col: str = "lang") -> dict[str, tuple[int, bytes]]:
+    """(training rows, dictionary) per language from labelled rows; in the dictionary: the ``sample_docs`` rows of the language with the smallest
     hash of their text, ``sample_chars`` characters each (documented bound of the sample), at most ``dict_bytes``
     bytes.  Texts of under ``sample_chars`` / 8 characters are taken only where longer ones run out."""
     rows = (docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
             .select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"),
                     F.substring(text_col, 1, sample_chars).alias("part")))
-    if len(rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
+    counts = dict(rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect())
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
     # copies share a hash and count once, so a large group of copies cannot fill the sample
     hashes = rows.select("lang", "h", (F.length("part") < sample_chars // 8).alias("short")).distinct()
@@ -59,16 +62,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     by_lang: dict[str, dict[bytes, None]] = {}
     for r in picked.orderBy("lang", "h", "part").collect():  # at most languages x sample_docs short rows
         by_lang.setdefault(r.lang, {})[normalise(r.part)] = None
-    return {lang: (b" " + b" ".join(parts))[-dict_bytes:] for lang, parts in by_lang.items()}
+    return {lang: (counts[lang], (b" " + b" ".join(parts))[-dict_bytes:]) for lang, parts in by_lang.items()}
 
 
-def _compressors(dictionaries: dict[str, bytes], level: int):
+def _compressors(model: dict[str, tuple[int, bytes]]):
+    """One compressor per language, the language with most training rows first."""
     out = []
-    for lang in sorted(dictionaries):
-        d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        out.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False,
-                                                   write_content_size=False, write_dict_id=False)))
+    for lang in sorted(model, key=lambda x: (-model[x][0], x)):
+        d = zstandard.ZstdCompressionDict(model[lang][1], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        settings = zstandard.ZstdCompressionParameters(**SETTINGS, write_content_size=False, write_checksum=False,
+                                                       write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        out.append((lang, zstandard.ZstdCompressor(dict_data=d, compression_params=settings)))
     return out
 
 
@@ -85,17 +89,17 @@ def classify(text: str | None, compressors) -> tuple[str, float, int]:
     return compressors[best][0], share, int(above.min()) if len(above) else len(raw)
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str] | None = None, level: int = LEVEL,
+def identify(docs: DataFrame, model: dict[str, tuple[int, bytes]], keep: list[str] | None = None,
              min_margin: int = MIN_MARGIN, text_col: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` plus ``lang_pred``, ``score`` and ``rejected``."""
     keep = ["doc_id"] if keep is None else keep
     src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"),
                         "lang_pred string, score double, rejected boolean"])
-    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most MAX_LANGUAGES x DICT_BYTES
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x DICT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comps = _compressors(sent.value, level)
+        comps = _compressors(sent.value)
         for batch in batches:
             for part in row_blocks(batch, "__text"):
                 got = [classify(t.as_py(), comps) for t in part.column(len(keep))]
@@ -116,7 +120,7 @@ def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):
 
 def op6_language_id(docs: DataFrame) -> DataFrame:
     out = held_out(4, 2)
-    dictionaries = train(docs.filter(~out))
+    model = train(docs.filter(~out))
     marked = docs.withColumn("__held", out)
-    return identify(marked, dictionaries, ["doc_id", "__held"]).select(
+    return identify(marked, model, ["doc_id", "__held"]).select(
         "doc_id", F.col("__held").alias("held_out"), "lang_pred", "score", "rejected")
