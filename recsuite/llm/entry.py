@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, langid, quality
+from . import bpe, html_extract, langid, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(bpe.WORD_FILE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = _table
     return {
         "op1_html_extraction": lambda s, d: html_extract.op1_html_extraction(t(s, d, "pages")),
+        "op2_bpe": lambda s, d: bpe.op2_bpe(t(s, d, "documents"), word_tokenizer()),
         "op6_language_id": lambda s, d: langid.op6_language_id(t(s, d, "documents")),
         "op10_quality": lambda s, d: quality.op10_quality(t(s, d, "documents"), t(s, d, "labels")),
     }
