@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, langid, quality
+from . import bpe, html_extract, langid, quality, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extraction": lambda s, d: html_extract.op1_html_extraction(t(s, d, "pages")),
         "op2_bpe": lambda s, d: bpe.op2_bpe(t(s, d, "documents"), word_tokenizer()),
         "op6_language_id": lambda s, d: langid.op6_language_id(t(s, d, "documents")),
+        "op9_suffix_dedup": lambda s, d: suffix.op9_suffix_dedup(t(s, d, "documents")),
         "op10_quality": lambda s, d: quality.op10_quality(t(s, d, "documents"), t(s, d, "labels")),
     }
 
