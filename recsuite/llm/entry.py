@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, langid, neardup, quality, suffix
+from . import bpe, decontam, html_extract, langid, neardup, quality, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe": lambda s, d: bpe.op2_bpe(t(s, d, "documents"), word_tokenizer()),
         "op5_near_duplicates": lambda s, d: neardup.op5_near_duplicates(t(s, d, "documents")),
         "op6_language_id": lambda s, d: langid.op6_language_id(t(s, d, "documents")),
+        "op8_decontamination": lambda s, d: decontam.op8_decontamination(t(s, d, "documents"), t(s, d, "benchmark")),
         "op9_suffix_dedup": lambda s, d: suffix.op9_suffix_dedup(t(s, d, "documents")),
         "op10_quality": lambda s, d: quality.op10_quality(t(s, d, "documents"), t(s, d, "labels")),
     }
