@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import row_blocks, span_hashes, spread, text_bytes
-from .exchange import buckets_of, columns, from_bytes, round_trip
+from .exchange import buckets_of, columns, from_bytes, pack, round_trip, unpack
 
 WORD_FILE = "word_bpe_49k.json"
 
@@ -106,16 +106,23 @@ def _bucket(words: pa.Array, buckets: int) -> np.ndarray:
     return (span_hashes(buf, off[:-1], off[1:], fold=False) % np.uint64(buckets)).astype(np.int64)
 
 
-def _split_blocks(blocks: list[pa.RecordBatch], split: Splitter, text_col: str):
-    """(distinct words in order of first use, per block: word numbers and words per row)."""
-    number: dict[str, int] = {}
+def _distinct(blocks: list[pa.RecordBatch], split: Splitter, text_col: str) -> set[str]:
+    words: set[str] = set()
     for block in blocks:
-        codes, lengths = [], []
         for t in block.column(block.schema.get_field_index(text_col)):
-            words = split.words(t.as_py() or "")
-            lengths.append(len(words))
-            codes += [number.setdefault(w, len(number)) for w in words]
-        yield block, np.array(codes, dtype=np.int64), np.array(lengths, dtype=np.int64), number
+            words.update(split.words(t.as_py() or ""))
+    return words
+
+
+def _dealt(words: set[str], buckets: int) -> tuple[pa.Array, list[tuple[int, slice]]]:
+    """(words by bucket, ascending inside, [(bucket, its slice)])."""
+    ordered = pa.array(words, pa.string())
+    ordered = ordered.take(pc.sort_indices(ordered))
+    where = _bucket(ordered, buckets)
+    order = np.argsort(where, kind="stable")
+    found, first = np.unique(where[order], return_index=True)
+    return ordered.take(pa.array(order)), [(int(b), slice(i, j)) for b, i, j in
+                                           zip(found, first, np.append(first[1:], len(order)))]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -127,44 +134,46 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None,
     buckets = buckets_of(docs)
 
     def send(blocks):
-        for *_, number in _split_blocks(blocks, splitter(tokenizer_path), "__text"):
-            pass
-        words = pa.array(list(number), pa.string())
-        where = _bucket(words, buckets)
-        for b in np.unique(where):
-            yield int(b), columns(word=words.take(pa.array(np.flatnonzero(where == b))))
+        words, runs = _dealt(_distinct(blocks, splitter(tokenizer_path), "__text"), buckets)
+        for b, s in runs:
+            yield b, columns(word=words[s])
 
     def answer(payloads):
         lists = [from_bytes(p)[0].column(0) for p in payloads]
         distinct = pa.chunked_array(lists).combine_chunks().dictionary_encode()
-        ids = pa.array(splitter(tokenizer_path).encode_words(distinct.dictionary.to_pylist()), pa.list_(pa.int32()))
-        ids = ids.take(distinct.indices)
+        ids = splitter(tokenizer_path).encode_words(distinct.dictionary.to_pylist())
+        size = np.array([len(x) for x in ids], dtype=np.uint32)
+        flat = np.array([i for x in ids for i in x], dtype=np.uint32)
+        first = np.cumsum(size) - size
         out, at = [], 0
+        codes = distinct.indices.to_numpy()
         for x in lists:
-            out.append(columns(ids=ids.slice(at, len(x))))
+            own = codes[at:at + len(x)]
             at += len(x)
+            n = size[own]
+            out.append(pack(n, flat[np.repeat(first[own], n) + spread(n)]))
         return out
 
     def finish(blocks, replies):
-        done = list(_split_blocks(blocks, splitter(tokenizer_path), "__text"))
-        number = done[0][3]
-        words = pa.array(list(number), pa.string())
-        where = _bucket(words, buckets)
-        if set(np.unique(where).tolist()) != set(replies):
+        split = splitter(tokenizer_path)
+        words, runs = _dealt(_distinct(blocks, split, "__text"), buckets)
+        if [b for b, _ in runs] != sorted(replies):
             raise RuntimeError("words of a chunk came back incomplete")
-        order = np.argsort(where, kind="stable")  # positions by bucket, as they were sent
-        parts = [from_bytes(replies[b])[0].column(0) for b in sorted(replies)]
-        ids = pa.chunked_array(parts, pa.list_(pa.int32())).combine_chunks() if parts else pa.array([], pa.list_(pa.int32()))
-        flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        first, size = ends[:-1][place], np.diff(ends)[place]
-        for block, codes, lengths, _ in done:
-            n = size[codes]
-            tokens = flat[np.repeat(first[codes], n) + spread(n)]
-            total = np.concatenate([[0], np.cumsum(n)])
-            offsets = total[np.concatenate([[0], np.cumsum(lengths)])]
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32()))
+        number = {w: i for i, w in enumerate(words.to_pylist())}
+        got = [unpack(replies[b]) for b, _ in runs]
+        none = [np.empty(0, np.uint32)]
+        size, flat = np.concatenate([g[0] for g in got] or none), np.concatenate([g[1] for g in got] or none)
+        first = np.cumsum(size, dtype=np.int64) - size
+        for block in blocks:
+            codes, ends = [], [0]
+            for t in block.column(len(keep)):
+                codes += [number[w] for w in split.words(t.as_py() or "")]
+                ends.append(len(codes))
+            own = np.array(codes, dtype=np.int64)
+            n = size[own]
+            tokens = flat[np.repeat(first[own], n) + spread(n)]
+            offsets = np.concatenate([[0], np.cumsum(n)])[ends]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*block.columns[:len(keep)], lists],
                                              names=[*block.schema.names[:len(keep)], "ids"])
 

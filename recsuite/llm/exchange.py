@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from .blocks import BLOCK_BYTES, row_blocks, text_bytes, text_column
 
-CHUNK_BYTES = 32 << 20
-_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
+CHUNK_BYTES = 12 << 20
+_ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
 
 
 def to_bytes(batches: Iterable[pa.RecordBatch]) -> bytes:
