@@ -142,7 +142,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None,
         lists = [from_bytes(p)[0].column(0) for p in payloads]
         distinct = pa.chunked_array(lists).combine_chunks().dictionary_encode()
         ids = splitter(tokenizer_path).encode_words(distinct.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], dtype=np.uint32)
+        size = np.array([len(x) for x in ids], dtype=np.int64)
         flat = np.array([i for x in ids for i in x], dtype=np.uint32)
         first = np.cumsum(size) - size
         out, at = [], 0
@@ -151,7 +151,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None,
             own = codes[at:at + len(x)]
             at += len(x)
             n = size[own]
-            out.append(pack(n, flat[np.repeat(first[own], n) + spread(n)]))
+            out.append(pack(n.astype(np.uint32), flat[np.repeat(first[own], n) + spread(n)]))
         return out
 
     def finish(blocks, replies):
@@ -162,8 +162,9 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None,
         number = {w: i for i, w in enumerate(words.to_pylist())}
         got = [unpack(replies[b]) for b, _ in runs]
         none = [np.empty(0, np.uint32)]
-        size, flat = np.concatenate([g[0] for g in got] or none), np.concatenate([g[1] for g in got] or none)
-        first = np.cumsum(size, dtype=np.int64) - size
+        size = np.concatenate([g[0] for g in got] or none).astype(np.int64)
+        flat = np.concatenate([g[1] for g in got] or none)
+        first = np.cumsum(size) - size
         for block in blocks:
             codes, ends = [], [0]
             for t in block.column(len(keep)):
