@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_extract, langid, neardup, pylm, quality, suffix
+from . import bpe, decontam, html_extract, langid, license, neardup, pylm, quality, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": lambda s, d: html_extract.op1_html_extraction(t(s, d, "pages")),
         "op2_bpe": lambda s, d: bpe.op2_bpe(t(s, d, "documents"), word_tokenizer()),
+        "op3_top_k": lambda s, d: topk.op3_top_k(t(s, d, "embeddings")),
         "op4_lm_scoring": lambda s, d: pylm.op4_lm_scoring(t(s, d, "documents")),
         "op5_near_duplicates": lambda s, d: neardup.op5_near_duplicates(t(s, d, "documents")),
         "op6_language_id": lambda s, d: langid.op6_language_id(t(s, d, "documents")),
+        "op7_license_scan": lambda s, d: license.op7_license_scan(t(s, d, "documents")),
         "op8_decontamination": lambda s, d: decontam.op8_decontamination(t(s, d, "documents"), t(s, d, "benchmark")),
         "op9_suffix_dedup": lambda s, d: suffix.op9_suffix_dedup(t(s, d, "documents")),
         "op10_quality": lambda s, d: quality.op10_quality(t(s, d, "documents"), t(s, d, "labels")),
@@ -34,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_top_k": topk.ORACLE}
