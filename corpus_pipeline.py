@@ -1,30 +1,73 @@
-"""Corpus cleaning as stages over `documents`, each written as Parquet and read again by the next."""
+"""Corpus cleaning as five stages over `documents`, each written as Parquet and read again by the next.
+
+language_id        drop documents without a letter, or whose best two languages compress the text equally well
+near_duplicates    keep the smallest document of each near-duplicate component
+suffix_dedup       cut every byte of a passage of 50 bytes or more that a document with a smaller id has too; characters
+                   of which only a part is left go, too; documents of which nothing is left but white space are dropped
+decontamination    drop documents that hold a benchmark item
+bpe                token ids of the remaining texts, and their decoded form
+
+A stage that changes the text sets ``n_chars`` to its length.  A document that is clean goes through all of them
+unchanged.  Rows with a NULL id are kept by the stages that compare documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recsuite.llm import langid
+from recsuite.llm import bpe, decontam, langid, neardup, suffix
+from recsuite.llm.entry import word_tokenizer
 from recsuite.session import ensure_checkpoint_dir
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language the compressors reject: no letter, or a tie."""
+    """Train on the labelled training fold, drop what the classifier rejects."""
     model = langid.train(docs.filter(~langid.held_out(4, 2)))
-    return langid.identify(docs, model, docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+    named = docs.withColumnsRenamed({c: f"__{c}" for c in docs.columns})
+    found = langid.identify(named, model, named.columns, text_col="__text")
+    return found.filter(~F.col("rejected")).select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: the one with the smallest id."""
+    dropped = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
 
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut repeated passages; the text is what is left."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    left = suffix.remove_repeats(docs, keep=others, result="kept string", make=lambda b: b.decode("utf-8", "ignore"))
+    return (left.filter((F.size("spans") == 0) | (F.trim(F.regexp_replace("kept", r"\s+", " ")) != ""))
+            .select(*[F.col("kept").alias("text") if c == "text" else
+                      F.length("kept").cast("long").alias("n_chars") if c == "n_chars" else F.col(c)
+                      for c in docs.columns]))
 
-STAGES = [("language_id", language_id)]
-ORACLE_SQL = None
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a benchmark item."""
+    hits = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and the decoded text."""
+    path = word_tokenizer()
+    ids = bpe.encode(docs, path, ["doc_id", "lang", "source"])
+    return bpe.decode(ids.withColumn("n_tokens", F.size("ids").cast("long")), path,
+                      ["doc_id", "lang", "source", "n_tokens", "ids"])
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("suffix_dedup", suffix_dedup),
+          ("decontamination", decontamination), ("bpe", tokens)]
+ORACLE_SQL = None  # stages of trained models, sketches and suffixes are tested against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; every stage's result is a Parquet table under the checkpoint folder."""
-    import uuid
-
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):

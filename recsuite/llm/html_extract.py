@@ -21,9 +21,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .blocks import row_blocks
+from .frames import carried
 
 # Frequent function words of the languages the corpus is written in.
 STOP_WORDS = frozenset("""
@@ -217,9 +217,7 @@ def extract(source: str | None) -> str:
 def extract_pages(pages: DataFrame, keep: list[str] | None = None, html_col: str = "html") -> DataFrame:
     """``keep`` columns of ``pages`` plus ``text`` and ``n_chars`` (code points)."""
     keep = ["page_id", "url"] if keep is None else keep
-    src = pages.select(*keep, F.col(html_col).alias("__html"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__html"),
-                        "text string, n_chars bigint"])
+    src, fixed, names = carried(pages, keep, __html=html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +225,9 @@ def extract_pages(pages: DataFrame, keep: list[str] | None = None, html_col: str
                 texts = [extract(h.as_py()) for h in part.column(len(keep))]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:len(keep)], pa.array(texts, pa.string()),
-                     pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+                     pa.array([len(t) for t in texts], pa.int64())], names=[*part.schema.names[:len(keep)], "text", "n_chars"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, f"{fixed}text string, n_chars bigint").select(*names, "text", "n_chars")
 
 
 def op1_html_extraction(pages: DataFrame) -> DataFrame:

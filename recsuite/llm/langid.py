@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.common import top_n_per_group
 from .blocks import row_blocks
+from .frames import carried
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 600       # labelled rows per language that a dictionary is made of
@@ -93,9 +94,7 @@ def identify(docs: DataFrame, model: dict[str, tuple[int, bytes]], keep: list[st
              min_margin: int = MIN_MARGIN, text_col: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` plus ``lang_pred``, ``score`` and ``rejected``."""
     keep = ["doc_id"] if keep is None else keep
-    src = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"),
-                        "lang_pred string, score double, rejected boolean"])
+    src, fixed, names = carried(docs, keep, __text=text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x DICT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +106,10 @@ def identify(docs: DataFrame, model: dict[str, tuple[int, bytes]], keep: list[st
                     [*part.columns[:len(keep)], pa.array([g[0] for g in got], pa.string()),
                      pa.array([g[1] for g in got], pa.float64()),
                      pa.array([g[0] == UNKNOWN or g[2] < min_margin for g in got], pa.bool_())],
-                    names=[*keep, "lang_pred", "score", "rejected"])
+                    names=[*part.schema.names[:len(keep)], "lang_pred", "score", "rejected"])
 
-    return src.mapInArrow(run, schema)
+    out = src.mapInArrow(run, f"{fixed}lang_pred string, score double, rejected boolean")
+    return out.select(*names, "lang_pred", "score", "rejected")
 
 
 def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):

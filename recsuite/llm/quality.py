@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import FOLD, row_blocks, span_hashes, text_bytes, text_column, word_spans
+from .frames import carried
 from .html_extract import STOP_WORDS
 from .langid import held_out
 
@@ -160,18 +161,16 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def _feature_rows(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    src = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"),
-                        "stats array<double>"])
+    src, fixed, names = carried(docs, keep, __text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_blocks(batch, "__text"):
                 x = statistics(*text_bytes(text_column(part, "__text")))
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(list(x), pa.list_(pa.float64()))],
-                                                 names=[*keep, "stats"])
+                                                 names=[*part.schema.names[:len(keep)], "stats"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, f"{fixed}stats array<double>").select(*names, "stats")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
@@ -192,9 +191,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] | None
           text_col: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` plus ``score`` (0 to 1)."""
     keep = ["doc_id"] if keep is None else keep
-    src = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"),
-                        "score double"])
+    src, fixed, names = carried(docs, keep, __text=text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # trees x (inner nodes + leaves) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +199,9 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] | None
             for part in row_blocks(batch, "__text"):
                 x = statistics(*text_bytes(text_column(part, "__text")))
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(predict(sent.value, x))],
-                                                 names=[*keep, "score"])
+                                                 names=[*part.schema.names[:len(keep)], "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, f"{fixed}score double").select(*names, "score")
 
 
 def op10_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
