@@ -15,10 +15,11 @@ independent: repeated rows and repeated ids repeat; extra columns are carried on
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,12 +126,17 @@ def _dealt(words: set[str], buckets: int) -> tuple[pa.Array, list[tuple[int, sli
                                            zip(found, first, np.append(first[1:], len(order)))]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns of ``docs`` plus ``ids`` (array of int), equal to the library's encoding of the whole text."""
+def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None, text_col: str = "text",
+           columns_of: Callable[[pa.ListArray], dict[str, pa.Array]] | None = None,
+           kinds: str = "ids array<int>") -> DataFrame:
+    """``keep`` columns of ``docs`` plus ``ids`` (array of int), equal to the library's encoding of the whole text; or
+    plus the columns ``kinds`` that ``columns_of`` derives from a block's ids, where the ids themselves need not leave
+    the task."""
     keep = ["doc_id"] if keep is None else keep
     src = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"),
-                        "ids array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"), kinds])
+    columns_of = columns_of or (lambda ids: {"ids": ids})
+    names = [k.split()[0] for k in kinds.split(", ")]
     buckets = buckets_of(docs)
 
     def send(blocks):
@@ -175,11 +181,46 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None,
             tokens = flat[np.repeat(first[own], n) + spread(n)]
             offsets = np.concatenate([[0], np.cumsum(n)])[ends]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*block.columns[:len(keep)], lists],
-                                             names=[*block.schema.names[:len(keep)], "ids"])
+            made = columns_of(lists)
+            yield pa.RecordBatch.from_arrays([*block.columns[:len(keep)], *[made[n] for n in names]],
+                                             names=[*block.schema.names[:len(keep)], *names])
 
     out = round_trip(src, "__text", send, answer, finish, schema)
-    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "ids")
+    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], *names)
+
+
+class Pieces:
+    """The id-to-piece table of a tokenizer file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        if tok.decoder is not None:
+            raise ValueError("the tokenizer file has a decoder of its own")
+        pieces = [tok.id_to_token(i) for i in range(max(tok.get_vocab(True).values(), default=-1) + 1)]
+        self.size = len(pieces)
+        self.piece = pa.array([*pieces, None], pa.string())  # the last stands for ids outside the vocabulary
+
+    def decode(self, lists: pa.ListArray) -> pa.StringArray:
+        """Join the ids of every list to their pieces, and those by one space; unknown ids have no piece."""
+        ids = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        known = (ids >= 0) & (ids < self.size)
+        owner = pc.list_parent_indices(lists).to_numpy()
+        got = self.piece.take(pa.array(np.where(known, ids, self.size)))
+        valid = got.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[valid], minlength=len(lists)))])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), got.filter(pa.array(valid))), " ")
+
+
+_pieces: dict[str, Pieces] = {}
+
+
+def pieces(path: str) -> Pieces:
+    """One per worker process and file."""
+    if path not in _pieces:
+        _pieces[path] = Pieces(path)
+    return _pieces[path]
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, keep: list[str] | None = None, ids_col: str = "ids") -> DataFrame:
@@ -191,25 +232,11 @@ def decode(encoded: DataFrame, tokenizer_path: str, keep: list[str] | None = Non
                         "decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_path)
-        if tok.decoder is not None:
-            raise ValueError("the tokenizer file has a decoder of its own")
-        pieces = [tok.id_to_token(i) for i in range(max(tok.get_vocab(True).values(), default=-1) + 1)]
-        piece = pa.array([*pieces, None], pa.string())  # the last stands for ids outside the vocabulary
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
                 lists = pc.fill_null(batch.column(len(keep)), pa.scalar([], pa.list_(pa.int32())))
-                ids = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
-                known = (ids >= 0) & (ids < len(pieces))
-                owner = pc.list_parent_indices(lists).to_numpy()
-                got = piece.take(pa.array(np.where(known, ids, len(pieces))))
-                valid = got.is_valid().to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(owner[valid], minlength=len(lists)))])
-                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), got.filter(pa.array(valid))), " ")
-                yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], text],
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pieces(tokenizer_path).decode(lists)],
                                                  names=[*batch.schema.names[:len(keep)], "decoded"])
 
     out = src.mapInArrow(run, schema)
@@ -217,8 +244,12 @@ def decode(encoded: DataFrame, tokenizer_path: str, keep: list[str] | None = Non
 
 
 def op2_bpe(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    ids = encode(docs, tokenizer_path)
-    digest = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
-    return decode(digest, tokenizer_path, ["doc_id", "n_tokens", "ids_sha256"]) \
-        .select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    def digests(ids: pa.ListArray) -> dict[str, pa.Array]:
+        numbers = pc.binary_join(pc.cast(ids, pa.list_(pa.string())), " ")
+        decoded = pieces(tokenizer_path).decode(ids)
+        sha = lambda texts: pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts])
+        return {"n_tokens": pc.list_value_length(ids).cast(pa.int64()), "ids_sha256": sha(numbers),
+                "decoded_sha256": sha(decoded)}
+
+    return encode(docs, tokenizer_path, columns_of=digests,
+                  kinds="n_tokens bigint, ids_sha256 string, decoded_sha256 string")
