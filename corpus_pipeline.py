@@ -23,12 +23,17 @@ from recsuite.llm.entry import word_tokenizer
 from recsuite.session import ensure_checkpoint_dir
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """The same columns under names that clash with none of an operator's."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labelled training fold, drop what the classifier rejects."""
     model = langid.train(docs.filter(~langid.held_out(4, 2)))
-    named = docs.withColumnsRenamed({c: f"__{c}" for c in docs.columns})
-    found = langid.identify(named, model, named.columns, text_col="__text")
-    return found.filter(~F.col("rejected")).select(*[F.col(f"__{c}").alias(c) for c in docs.columns])
+    named = _plain(docs)
+    found = langid.identify(named, model, named.columns).filter(~F.col("rejected"))
+    return found.select(*named.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +44,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages; the text is what is left."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    left = suffix.remove_repeats(docs, keep=others, result="kept string", make=lambda b: b.decode("utf-8", "ignore"))
-    return (left.filter((F.size("spans") == 0) | (F.trim(F.regexp_replace("kept", r"\s+", " ")) != ""))
-            .select(*[F.col("kept").alias("text") if c == "text" else
-                      F.length("kept").cast("long").alias("n_chars") if c == "n_chars" else F.col(c)
-                      for c in docs.columns]))
+    named = _plain(docs)
+    left = suffix.remove_repeats(named.withColumn("no_text", F.col("text").isNull()),
+                                 keep=[*[c for c in named.columns if c != "text"], "no_text"], result="kept string",
+                                 make=lambda b: b.decode("utf-8", "ignore"))
+    left = left.filter((F.size("spans") == 0) | (F.trim(F.regexp_replace("kept", r"\s+", " ")) != ""))
+    size = F.when(F.size("spans") == 0, F.col(named.columns[docs.columns.index("n_chars")])) \
+        .otherwise(F.length("kept")).cast("long")
+    return left.select(*[F.when(~F.col("no_text"), F.col("kept")).alias(c) if c == "text" else
+                         size.alias(c) if c == "n_chars" else F.col(n).alias(c)
+                         for c, n in zip(docs.columns, named.columns)])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
