@@ -9,7 +9,7 @@ prefixes that holds one document leaves the sort at once:
   digit 2  everything a window around a surviving sample can reach.  Samples whose whole surroundings are equal form a
            class: each window of a class also starts in the class's smallest document.
   digit 3  the windows themselves, where samples of one group have different surroundings (the edges of a repeat).
-           Only the smallest document of each class takes part; equal groups of windows are exactly the repeats.
+           Only the smallest document of each class takes part, with the windows whose own sample is open; equal groups of windows are exactly the repeats.
 
 Every pass is one two-way exchange (``exchange.round_trip``) in which a chunk of documents sends each distinct key
 once, with the smallest document that has it, so a passage shared by a third of the corpus is one entry per chunk.
@@ -76,16 +76,22 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
+def minima(buf: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the gram-byte string at every position, smallest of them in the window at every position; 0 where a
+    window does not lie inside a text)."""
+    h = _hash(_words(buf, 0), slice(0, buf.size - gram + 1), _steps(gram), 0) | U64(1)
+    low = _slide(h, span - gram + 1, np.minimum)
+    for a, b in zip(np.maximum(off[1:-1] - span + 1, 0), off[1:-1]):  # windows that cross into the next text
+        low[a:b] = 0
+    return h, low
+
+
 def samples(buf: np.ndarray, off: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the gram-byte strings that have the smallest hash of some window inside a text."""
-    starts = buf.size - span + 1
-    if starts <= 0:
+    if buf.size < span:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     reach = span - gram + 1
-    h = _hash(_words(buf, 0), slice(0, buf.size - gram + 1), _steps(gram), 0) | U64(1)
-    low = _slide(h, reach, np.minimum)  # one per window start
-    for a, b in zip(np.maximum(off[1:-1] - span + 1, 0), off[1:-1]):  # windows that cross into the next text
-        low[a:b] = 0
+    h, low = minima(buf, off, span, gram)
     best = np.zeros(h.size + reach - 1, np.uint64)
     best[reach - 1:reach - 1 + low.size] = low
     at = np.flatnonzero(_slide(best, reach, np.maximum) == h)
@@ -330,6 +336,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b, buf, off, ids, _ in chunk.blocks:
             at, row = positions(b, off)
             starts, which = window_starts(at, row, off)
+            if len(starts):  # a window is decided at its own sample: others around an open sample need no digit 3
+                h, low = minima(buf, off, span, gram)
+                own = h[at[which]] == low[starts]
+                starts, which = starts[own], which[own]
             starts, pick = np.unique(starts, return_index=True)
             words = _words(buf, 8)
             parts.append((b, buf, off, ids, starts, row[which][pick], _hash(words, starts + 8, _steps(span), 1),
