@@ -66,7 +66,7 @@ def parse_web_date(col, keep_wall_clock: bool = True) -> Column:
     """H9 / Q8: ``"Fri Dec 09 15:51:44 -0800 2016"`` -> epoch seconds.  The weekday is dropped (pattern letter E
     cannot parse in Spark 3+).  ``keep_wall_clock`` = reference behaviour: the offset is discarded and the wall
     clock read as UTC; False = the true instant."""
-    rest = F.substring(C(col), 5, 1 << 20)
+    rest = F.substr(C(col), F.lit(5))
     if keep_wall_clock:
         no_zone = F.concat_ws(" ", F.slice(F.split(rest, " "), 1, 3), F.element_at(F.split(rest, " "), 5))
         ts = F.try_to_timestamp(no_zone, F.lit("MMM dd HH:mm:ss yyyy"))

@@ -14,7 +14,6 @@ by the list length squared per list (lists are recommendation lists, not unbound
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recsuite.functions import lists as L
-from recsuite.operators.common import as_list
+from recsuite.operators.common import as_list, dense_index
 
 MAX_COMBINATIONS = 20000
 
@@ -86,6 +85,19 @@ def pairwise_mean_distance(lists: DataFrame, items: DataFrame, distance, list_id
     return g.select(list_id, F.when(n > 1, tot / (n * (n - 1))).alias("diversity"))
 
 
+def pairwise_serendipity(R: DataFrame, H: DataFrame, items: DataFrame, distance, list_id="list_id", col="items",
+                         key="item_id", vec="embedding") -> DataFrame:
+    """Q-1 for L2: mean of any ``distance(Column a, Column b)`` between recommended and history items (known items
+    only): a recommended list is collected (a list is bounded) and every history item, one row each, is compared with
+    it, so a long history is never gathered."""
+    r = _known(R, list_id, col, items, key, [vec]).groupBy(list_id) \
+        .agg(F.collect_list(F.transform(vec, lambda x: x.cast("double"))).alias("_r"))
+    h = _known(H, list_id, col, items, key, [vec]).select(list_id, F.transform(vec, lambda x: x.cast("double")).alias("_h"))
+    total = F.aggregate("_r", F.lit(0.0), lambda a, x: a + distance(x, F.col("_h")))
+    g = h.join(r, list_id).groupBy(list_id).agg((F.sum(total) / F.sum(F.size("_r"))).alias("serendipity"))
+    return R.select(list_id).join(g, list_id, "left")
+
+
 def mean_attribute(lists: DataFrame, items: DataFrame, attr: str, list_id="list_id", col="items", key="item_id",
                    transform=None, out: str | None = None) -> DataFrame:
     """L3 / L4: mean of an item attribute (``transform`` applied first, e.g. -log2 for novelty) over the known
@@ -111,27 +123,34 @@ def coverage(lists: DataFrame, candidates: DataFrame | None, col="items", key="i
     return d.select("coverage_count", (F.col("coverage_count") / c).alias("coverage_fraction"))
 
 
-def candidate_subsets(spark, n_items: int, k: int, seed, max_combinations: int = MAX_COMBINATIONS) -> DataFrame:
-    """L6 helper: ``(subset_id, idx)`` rows: every k-combination of n candidate positions when there are at most
-    ``max_combinations`` of them, else ``max_combinations`` seeded random k-subsets (bounded either way)."""
+def candidate_subsets(spark, n_items: int, k: int, seed, mode: str = "auto", n_samples: int = MAX_COMBINATIONS) -> DataFrame:
+    """L6 helper: ``(subset_id, idx)`` rows.  ``mode='all'``: every k-combination of n candidate positions;
+    ``mode='sample'``: ``n_samples`` seeded random k-subsets, k draws each (partial Fisher-Yates); ``mode='auto'``: all
+    of them while there are at most ``n_samples``, as the reference does."""
     if k > n_items:
-        raise ValueError(f"'n_recommendations' cannot exceed the number of candidates: {k} > {n_items}")
-    if math.comb(n_items, k) <= max_combinations:
-        rows = [(sid, i) for sid, comb in enumerate(itertools.combinations(range(n_items), k)) for i in comb]
-        return spark.createDataFrame(rows, "subset_id long, idx long")
-    ids = spark.range(max_combinations).withColumnRenamed("id", "subset_id")
-    perm = L.shuffle_list(F.sequence(F.lit(0).cast("bigint"), F.lit(n_items - 1).cast("bigint")), seed, "subset_id")
-    return ids.select("subset_id", F.explode(F.slice(perm, 1, k)).alias("idx"))
+        raise ValueError(f"subsets of {k} items cannot be formed from {n_items} candidates")
+    if mode == "all" or mode == "auto" and math.comb(n_items, k) <= n_samples:
+        # k-combinations grown position by position from a range: the executors build them
+        subs = spark.range(n_items).select(F.array("id").alias("_c"))
+        for _ in range(k - 1):
+            rest = F.col("_c")[F.size("_c") - 1] + 1
+            subs = subs.filter(rest < n_items).select(
+                "_c", F.explode(F.sequence(rest, F.lit(n_items - 1).cast("bigint"))).alias("_n")) \
+                .select(F.concat("_c", F.array("_n")).alias("_c"))
+        return subs.select(F.xxhash64("_c").alias("subset_id"), F.explode("_c").alias("idx"))
+    from recsuite.operators.sampling import unrolled_sample_indices
+    ids = spark.range(n_samples).withColumnRenamed("id", "subset_id").withColumn("_n", F.lit(n_items))
+    d = unrolled_sample_indices(ids, "_n", k, seed, "subset_id", "_o")
+    return d.select("subset_id", F.explode(F.array(*[F.col(f"_o{i}").cast("bigint") for i in range(k)])).alias("idx"))
 
 
 def candidate_diversity_bounds(candidates: DataFrame, items: DataFrame, k: int, seed, key="item_id",
-                               vec="embedding", max_combinations: int = MAX_COMBINATIONS) -> DataFrame:
+                               vec="embedding", mode: str = "auto", n_samples: int = MAX_COMBINATIONS) -> DataFrame:
     """Min / max intra-list diversity over k-subsets of the (known) candidate list."""
-    from recsuite.operators.common import dense_index
     known = candidates.select(key).distinct().join(items.select(key), key, "left_semi")
-    n = known.count()
     idx = dense_index(known, [key], "idx")
-    subs = candidate_subsets(candidates.sparkSession, n, k, seed, max_combinations)
+    n = idx.count()
+    subs = candidate_subsets(candidates.sparkSession, n, k, seed, mode, n_samples)
     lists = subs.join(idx, "idx").groupBy("subset_id").agg(F.collect_list(key).alias("items"))
     d = intra_list_diversity(lists, items, "subset_id", "items", key, vec)
     return d.agg(F.min("diversity").alias("min_diversity"), F.max("diversity").alias("max_diversity"))
@@ -159,11 +178,8 @@ def attribute_distribution(lists: DataFrame, items: DataFrame, attr: str, list_i
     return c.select("value", (F.col("_c") / tot).alias("share"))
 
 
-def broadcast_list(users: DataFrame, ranked: DataFrame, list_id="list_id", col="items", max_items: int = 10000) -> DataFrame:
-    """Give every user the same (baseline) list: a one-row list of checked length as a scalar subquery."""
-    n = ranked.select(F.size(col).alias("n")).first()["n"]
-    if n is None or n > max_items:
-        raise ValueError(f"baseline list of {n} items exceeds {max_items}")
+def broadcast_list(users: DataFrame, ranked: DataFrame, list_id="list_id", col="items") -> DataFrame:
+    """Give every user the same (baseline) list: a one-row list as a scalar subquery."""
     return users.select(list_id).withColumn(col, ranked.select(col).scalar())
 
 
@@ -184,47 +200,35 @@ def check_attribute(items: DataFrame, attr: str, key="item_id") -> DataFrame:
     return items
 
 
-def seeded_top_random(candidates_list, n: int, seed, row_key):
-    """Random baseline list (F15 rule inside the row)."""
-    return L.sample_list(candidates_list, n, seed, row_key)
-
-
-def list_report(per_list: DataFrame, metrics, name: str) -> DataFrame:
-    """Mean and population std of each per-list metric under a list name (NULLs skipped)."""
-    rows = None
-    for m in as_list(metrics):
-        r = per_list.agg(F.avg(m).alias("mean"), F.stddev_pop(m).alias("std")) \
-            .select(F.lit(name).alias("list"), F.lit(m).alias("metric"), "mean", "std")
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
-
-
-
-MAX_BASELINE_LISTS = 1000
+BLOCK_LISTS = 1000  # baseline lists whose mean vectors form one array value; more are worked off in blocks
 
 
 def baseline_report(lists: DataFrame, histories: DataFrame, vectors: DataFrame, popularity: DataFrame,
                     attrs: DataFrame, attr: str = "sentiment_score", list_name="list", col="items", user="list_id",
-                    key="item_id", vec="embedding", max_lists: int = MAX_BASELINE_LISTS) -> DataFrame:
+                    key="item_id", vec="embedding", block: int = BLOCK_LISTS) -> DataFrame:
     """Every baseline list given to every user, reported as mean / population std over users per list and
     metric, in one pass and without materialising user x list rows:
 
     * diversity, novelty and ``attr`` of a list do not depend on the user: computed once per list (std 0);
     * serendipity(user, list) = 1 - mean_unit(list) . mean_unit(history(user)); the lists' mean unit vectors
-      (at most ``max_lists``, checked) become one array value scanned inside each user row.
+      become one array value per block of lists, scanned inside each user row.
     Users whose history has no known item get no serendipity value (as L2)."""
-    n_lists = lists.count()
-    if n_lists > max_lists:
-        raise ValueError(f"{n_lists} baseline lists exceed {max_lists}")
     L1 = lists.select(F.col(list_name).alias("_lid"), col)
     units = _unit_items(vectors, key, vec)
     mu_l = _known(L1, "_lid", col, units, key, ["_u"]).groupBy("_lid").agg(Summarizer.mean(F.col("_u")).alias("_m")) \
         .select("_lid", vector_to_array("_m").alias("_m"))
-    arr = mu_l.agg(F.collect_list(F.struct(F.col("_lid").alias("l"), F.col("_m").alias("m")))).scalar()
     mu_h = _known(histories, user, col, units, key, ["_u"]).groupBy(user).agg(Summarizer.mean(F.col("_u")).alias("_h")) \
         .select(user, vector_to_array("_h").alias("_h"))
-    per = mu_h.withColumn("_ls", arr).select(user, F.explode(F.transform(
-        "_ls", lambda e: F.struct(e["l"].alias("list"), (1.0 - L.dot(e["m"], "_h")).alias("v")))).alias("_p"))
+    n_lists = lists.count()
+    if n_lists > block:
+        mu_l = dense_index(mu_l, ["_lid"], "_b").withColumn("_b", F.floor(F.col("_b") / block))
+    per = None
+    for i in range(max(1, -(-n_lists // block))):
+        own = mu_l.filter(F.col("_b") == i) if n_lists > block else mu_l
+        arr = own.agg(F.collect_list(F.struct(F.col("_lid").alias("l"), F.col("_m").alias("m")))).scalar()
+        part = mu_h.withColumn("_ls", arr).select(F.explode(F.transform(
+            "_ls", lambda e: F.struct(e["l"].alias("list"), (1.0 - L.dot(e["m"], "_h")).alias("v")))).alias("_p"))
+        per = part if per is None else per.unionByName(part)
     ser = per.groupBy(F.col("_p.list").alias("list")).agg(F.avg("_p.v").alias("mean"), F.stddev_pop("_p.v").alias("std"))
     # a list without any known item still gets its (undefined) serendipity row
     ser = L1.select(F.col("_lid").alias("list")).join(ser, "list", "left").withColumn("metric", F.lit("serendipity"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recsuite.session import cut_lineage
+
 DEFAULT_SALT = 32
 
 
@@ -52,39 +54,44 @@ def first_per_key(df: DataFrame, keys, order, cols) -> DataFrame:
     return df.groupBy(*keys).agg(packed.alias("_first")).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in cols])
 
 
-def dense_index(df: DataFrame, order, name: str = "idx", start: int = 0, partitions: int | None = None) -> DataFrame:
-    """Dense 0-based (or ``start``-based) running index under a total ``order`` without a single-partition window.
+def ordered_parts(df: DataFrame, order, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``_pid`` (range partition under ``order``), ``_local`` (0-based row number inside it, in order) and
+    ``_g`` (0-based row number in the whole table).
 
-    Range-partition by the order, number rows inside each partition, then add per-partition offsets computed from
-    the partition row counts (one small row per partition, broadcast).  Requires ``order`` to be a total order so
-    that recomputation is deterministic."""
+    Range bounds are sampled, so two evaluations of the same range partitioning need not agree: the numbered parts are
+    written once through the reliable checkpoint, and the part sizes (one row per partition) are read from what was
+    written.  ``order`` has to be a total order for a repeatable numbering."""
     o = _order_exprs(order)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # ids are consecutive inside a partition (pid << 33 + row); sorting first makes them follow the order
-    s = (df.repartitionByRange(n, *o).sortWithinPartitions(*o)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offs = counts.withColumn("_off", F.coalesce(
-        F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return s.join(F.broadcast(offs.select("_pid", "_off")), "_pid") \
-        .withColumn(name, (F.col("_off") + F.col("_local") + start).cast("bigint")).drop("_pid", "_local", "_off")
+    s = cut_lineage(df.repartitionByRange(n, *o).sortWithinPartitions(*o)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33)))
+    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    return s.join(F.broadcast(offsets), "_pid").withColumn("_g", F.col("_off") + F.col("_local")).drop("_off")
+
+
+def dense_index(df: DataFrame, order, name: str = "idx", start: int = 0, partitions: int | None = None) -> DataFrame:
+    """Dense 0-based (or ``start``-based) running index under a total ``order`` without a single-partition window."""
+    parts = ordered_parts(df, order, partitions)
+    return parts.select(*df.columns, (F.col("_g") + start).cast("bigint").alias(name))
 
 
 def row_number_per_group(df: DataFrame, group, order, name: str = "rn", partitions: int | None = None) -> DataFrame:
     """1-based position of each row inside its group under a total ``order``, without putting a whole group in
-    one task: range-partition by (group, order) so a hot group spans many partitions, number rows inside each
-    partition, and add the row counts of the same group in earlier partitions (a per-(partition, group) count
-    table whose per-group size is at most the number of partitions)."""
+    one task: rows are numbered over the whole table in (group, order), less the number of the group's first row.
+    That first row is looked up per (partition, group), so a hot group is spread over its partitions in the join, and
+    NULL groups count as one group."""
     g = as_list(group)
-    o = _order_exprs(order)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *[F.col(c) for c in g], *o).sortWithinPartitions(*[F.col(c) for c in g], *o)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    parts = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
-    return s.join(parts, ["_pid", *g]) \
-        .withColumn(name, (F.col("_mid") - F.col("_first") + F.col("_before") + 1).cast("bigint")) \
-        .drop("_pid", "_mid", "_first", "_before")
+    s = ordered_parts(df, [*[F.col(c) for c in g], *_order_exprs(order)], partitions)
+    parts = s.groupBy("_pid", *g).agg(F.min("_g").alias("_min"))
+    w = Window.partitionBy(*g)  # one row per partition that the group reaches
+    parts = parts.withColumn("_first", F.min("_min").over(w)).drop("_min") \
+        .select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_grp{i}") for i, c in enumerate(g)], "_first")
+    same = F.col("_pid") == F.col("_p")
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"_grp{i}"))
+    return s.join(parts, same) \
+        .withColumn(name, (F.col("_g") - F.col("_first") + 1).cast("bigint")) \
+        .drop("_pid", "_local", "_g", "_p", "_first", *[f"_grp{i}" for i in range(len(g))])

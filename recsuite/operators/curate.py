@@ -4,11 +4,13 @@ Each round is ordinary distributed work — explode the lists, count item occurr
 the admissible items, filter every list by a semi join on (item) with positions kept, drop emptied users — and
 the round's result is checkpointed into the shared checkpoint folder (``spark.checkpoint.dir``) so lineage
 stays one round deep and an executor loss re-reads the last checkpoint.  The driver only sees two counts per
-round (vocabulary size, users), which decide termination.  Rounds are capped.
+round (vocabulary size, users), which decide termination: the loops run until nothing changes.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +43,14 @@ def _filter_lists(df: DataFrame, key: str, cols, keep: DataFrame, cap: int | Non
 
 def shrinking_cap_fixed_point(df: DataFrame, key: str = "user_id", cols=("history", "neg"), history: str = "history",
                               min_count: int = 5, max_count: int = 10000, start_cap: int = 30000,
-                              shrink: float = 0.2, final_cap: int = 100, max_rounds: int = 50) -> tuple[DataFrame, list]:
+                              shrink: float = 0.2, final_cap: int = 100) -> tuple[DataFrame, list]:
     """O1: repeat {count items over the lists; keep items seen min..max times; when the kept-item count did not
     change, shrink the length cap (x0.2, not below ``final_cap``) or stop if it is already ``final_cap``; keep
     listed items only, cut each list to the cap, drop users with an empty history}.  Returns the final table
     and a per-round log ``(round, vocab_size, users, cap)``."""
     cur = cut_lineage(df)
     last, cap, log = None, start_cap, []
-    for r in range(1, max_rounds + 1):
+    for r in itertools.count(1):  # every round but the last shrinks the tables or the cap, so it ends
         counts = _item_counts(cur, cols)
         keep = counts.filter(F.col("cnt").between(min_count, max_count)).select("item")
         size = keep.count()
@@ -65,8 +67,7 @@ def shrinking_cap_fixed_point(df: DataFrame, key: str = "user_id", cols=("histor
 
 
 def core_fixed_point(df: DataFrame, key: str = "user_id", cols=("history", "neg"), history: str = "history",
-                     min_item_count: int = 5, min_history: int = 10, remove_counts=(), seed=42,
-                     max_rounds: int = 50) -> tuple[DataFrame, list]:
+                     min_item_count: int = 5, min_history: int = 10, remove_counts=(), seed=42) -> tuple[DataFrame, list]:
     """O2: k-core-like fixed point: keep items seen >= ``min_item_count`` times, filter the lists, keep users
     with >= ``min_history`` history items; repeat until the kept-item count is stable.  At each stable point the
     next value of ``remove_counts`` removes that many random users (md5-seeded, F18) and the loop continues;
@@ -74,7 +75,7 @@ def core_fixed_point(df: DataFrame, key: str = "user_id", cols=("history", "neg"
     cur = cut_lineage(df)
     last, log = None, []
     removals = list(remove_counts)
-    for r in range(1, max_rounds + 1):
+    for r in itertools.count(1):  # every round but the last shrinks the tables or the cap, so it ends
         counts = _item_counts(cur, cols)
         keep = counts.filter(F.col("cnt") >= min_item_count).select("item")
         size = keep.count()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recsuite.functions.lists import C
-from recsuite.operators.common import as_list, ordered_collect, row_number_per_group, top_n_per_group
+from recsuite.operators.common import as_list, ordered_collect, ordered_parts, row_number_per_group, top_n_per_group
 
 
 def _field(name):
@@ -20,40 +20,26 @@ def _field(name):
     return get
 
 
-def _has_hot_key(df: DataFrame, key: str, factor: float = 2.0) -> bool:
-    """One aggregate: does the largest group exceed ``factor`` times an even share of one shuffle partition?"""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c").alias("mx"), F.sum("_c").alias("tot")).first()
-    return bool(r["tot"]) and r["mx"] > factor * r["tot"] / max(parts, 1)
-
-
 def dynamic_history(df: DataFrame, n: int, user="user_id", item="item_id", time="ts", tiebreak=None,
-                    out="history_dynamic", method: str = "auto") -> DataFrame:
+                    out="history_dynamic") -> DataFrame:
     """For every row, the user's last n items strictly before it (rows ordered by time, tiebreak; the order
     must be total).  NULL items take a slot of the n-row frame and are then dropped.
 
-    ``method='window'``: a bounded sliding frame per user (one sort per user; memory-bounded, but one task per
-    user).  ``method='join'``: skew-proof — rows are numbered per user with ``row_number_per_group`` (a hot user
-    spans many tasks), each row is equi-joined to its n predecessors on the unique key (user, rn - k) and the
-    items re-collected in order; costs n x the rows in the shuffle.  ``method='auto'`` (default) measures the
-    largest user with one aggregate and takes 'join' only when that user would dominate a task."""
+    One plan for every shape of data: rows are range-partitioned by (user, order), so a very active user spans many
+    partitions, and a sliding frame runs inside each (partition, user).  What a frame needs from before its partition
+    are the n rows in front of the partition's first row; they are found by their running number and repeated in
+    front of the partition (at most partitions x n rows)."""
     order = [F.col(time)] + [c if not isinstance(c, str) else F.col(c) for c in as_list(tiebreak)]
-    if method == "auto":
-        method = "join" if _has_hot_key(df, user) else "window"
-    if method == "window":
-        w = Window.partitionBy(user).orderBy(*order).rowsBetween(-n, -1)
-        return df.withColumn(out, F.collect_list(item).over(w))
-    r = row_number_per_group(df, [user], order, "_rn")
-    prev = r.select(F.col(user).alias("_u"), F.col("_rn").alias("_prn"), F.col(item).alias("_pitem"))
-    ex = r.select(F.col(user).alias("_u"), F.col("_rn").alias("_qrn"),
-                  F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k")) \
-        .withColumn("_prn", F.col("_qrn") - F.col("_k")).filter(F.col("_prn") >= 1)
-    got = ex.join(prev, ["_u", "_prn"]).groupBy("_u", "_qrn").agg(
-        F.array_sort(F.collect_list(F.struct("_prn", "_pitem"))).alias("_l"))
-    hist = got.select("_u", "_qrn", F.filter(F.transform("_l", lambda e: e["_pitem"]), lambda x: x.isNotNull()).alias("_h"))
-    j = r.join(hist, (r[user] == hist["_u"]) & (r["_rn"] == hist["_qrn"]), "left")
-    return j.withColumn(out, F.coalesce(F.col("_h"), F.array().cast(f"array<{df.schema[item].dataType.simpleString()}>"))) \
-        .drop("_u", "_qrn", "_h", "_rn")
+    s = ordered_parts(df, [F.col(user), *order])
+    starts = s.groupBy("_pid").agg(F.min("_g").alias("_start"), F.min_by(F.struct(user), "_g").alias("_u"))
+    wanted = starts.filter(F.col("_start") > 0).select(
+        F.col("_pid").alias("_to"), "_u",
+        F.explode(F.sequence(F.greatest(F.col("_start") - n, F.lit(0)), F.col("_start") - 1)).alias("_g"))
+    carried = s.join(wanted, "_g").filter(F.col(user).eqNullSafe(F.col(f"_u.{user}"))) \
+        .withColumn("_pid", F.col("_to")).drop("_to", "_u").withColumn("_own", F.lit(False))
+    both = s.withColumn("_own", F.lit(True)).unionByName(carried)
+    w = Window.partitionBy("_pid", user).orderBy("_g").rowsBetween(-n, -1)
+    return both.withColumn(out, F.collect_list(item).over(w)).filter("_own").drop("_own", "_pid", "_local", "_g")
 
 
 def fixed_history(df: DataFrame, cutoff, n: int | None = None, user="user_id", item="item_id", time="ts",
@@ -73,12 +59,6 @@ def fixed_history(df: DataFrame, cutoff, n: int | None = None, user="user_id", i
     return target.join(hist, user, "left")
 
 
-def truncate_history(col, n: int, pad=None):
-    """Alias of the in-row tail operator (``recsuite.functions.lists.tail``)."""
-    from recsuite.functions.lists import tail
-    return tail(col, n, pad)
-
-
 def sessions_from_pairs(df: DataFrame, user="user_id", item="item_id", time="ts", label="label") -> DataFrame:
     """Per user, positives in time order (``history``) and negatives (``neg``); users without positives are
     dropped.  Time sorts numerically (not as text, Q9) with the item as tiebreak; one session per user (Q10)."""
@@ -92,25 +72,24 @@ def sessions_from_pairs(df: DataFrame, user="user_id", item="item_id", time="ts"
 
 def first_k_history(df: DataFrame, k: int, user="user_id", item="item_id", time="ts") -> tuple[DataFrame, DataFrame]:
     """The first k interactions of each user (time, item order) form the history; the rest stay as labelled
-    interactions.  Returns (history per user, remaining rows).  The first k come from the salted two-stage top-k
-    (a very active user is cut in parallel), the rest is an anti join on the row identity."""
-    cols = df.columns
-    first = top_n_per_group(df, [user], [F.col(time), F.col(item)], k, salt_on=cols)
-    hist = ordered_collect(first.withColumnRenamed("_rank", "_rn"), [user], ["_rn"], [item], "_h") \
+    interactions.  Returns (history per user, remaining rows).  Rows are numbered once per user and split on the
+    number, so NULL columns and repeated rows fall on one side each."""
+    order = [c for c in df.columns if c not in (user, time, item)]
+    r = row_number_per_group(df, [user], [F.col(time), F.col(item), *order], "_rn")
+    hist = ordered_collect(r.filter(F.col("_rn") <= k), [user], ["_rn"], [item], "_h") \
         .select(user, F.transform("_h", lambda e: e[item]).alias("history"))
-    rest = df.join(first.select(*cols), cols, "left_anti")
-    return hist, rest
+    return hist, r.filter(F.col("_rn") > k).select(*df.columns)
 
 
 def history_versions(df: DataFrame, user="user_id", history="history", order="impression_id",
                      out="uid_k") -> DataFrame:
     """``{user}_{k}`` for the k-th distinct history of a user in first-seen order (NULL-safe: one version for
-    all NULL histories, Q24)."""
-    hkey = F.coalesce(F.array_join(F.transform(C(history), lambda x: x.cast("string")), ",", "null"), F.lit("\u0000"))
-    first_seen = df.groupBy(user, hkey.alias("_hk")).agg(F.min(order).alias("_first"))
-    ver = first_seen.withColumn("_k", F.dense_rank().over(Window.partitionBy(user).orderBy("_first")) - 1)
-    return df.withColumn("_hk", hkey).join(ver.select(user, "_hk", "_k"), [user, "_hk"]) \
-        .withColumn(out, F.concat_ws("_", F.col(user).cast("string"), F.col("_k").cast("string"))).drop("_hk", "_k")
+    all NULL histories, Q24).  Histories are compared as arrays, element by element."""
+    first_seen = df.groupBy(F.col(user).alias("_u"), C(history).alias("_hk")).agg(F.min(order).alias("_first"))
+    ver = first_seen.withColumn("_k", F.dense_rank().over(Window.partitionBy("_u").orderBy("_first")) - 1)
+    return df.join(ver, F.col(user).eqNullSafe(F.col("_u")) & C(history).eqNullSafe(F.col("_hk"))) \
+        .withColumn(out, F.concat_ws("_", F.col(user).cast("string"), F.col("_k").cast("string"))) \
+        .drop("_u", "_hk", "_k", "_first")
 
 
 def position_in_group(df: DataFrame, group, order, out="position") -> DataFrame:

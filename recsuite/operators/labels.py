@@ -33,6 +33,24 @@ def sample_negatives_npratio(df: DataFrame, npratio: int, seed, key="impression_
     return out.drop("_neg", "_pos", "_s", "_rk")
 
 
+def training_set(behaviors: DataFrame, clicks: DataFrame, cutoff, history_size: int, npratio: int, seed,
+                 fraction: float = 1.0, key="impression_id", user="user_id", inview="inview", clicked="clicked",
+                 item="item_id", time="ts") -> DataFrame:
+    """The end-to-end training set from raw logs: every user's click log before ``cutoff`` cut to its last
+    ``history_size`` items, attached to the behaviours, one row per click with ``npratio`` sampled negatives (J3), 0/1
+    labels over the in-view list, and a seeded row sample of ``fraction``.  Columns: key, user, click position
+    ``_cpos``, ``history`` (NULL without one), in-view list, clicked list, ``labels``."""
+    from recsuite.operators.history import fixed_history
+    rows = fixed_history(clicks, cutoff, history_size, user, item, time,
+                         attach_to=behaviors.select(key, user, inview, clicked)) \
+        .withColumnRenamed(f"{item}_fixed", "history")
+    rows = sample_negatives_npratio(rows, npratio, seed, key, inview, clicked)
+    rows = rows.filter(F.element_at(clicked, 1).isNotNull()).withColumn("labels", L.binary_labels(inview, clicked))
+    if fraction < 1.0:
+        rows = rows.filter(rng.uniform(seed, F.col(key), F.col("_cpos"), F.lit("row")) < fraction)
+    return rows
+
+
 def pos_neg_rows(df: DataFrame, user="user_id", pos="history", neg="neg", item="item_id", label="label") -> DataFrame:
     """Positive and negative list columns -> labelled interaction rows (users without positives have
     already been dropped by E6, so their negatives go too)."""
@@ -70,53 +88,41 @@ def random_catalogue_negatives(df: DataFrame, items: DataFrame, m: int, seed, ke
     return df.join(back, key, "left")
 
 
-MAX_ATTRIBUTE_VALUES = 100_000
-
-
 def negatives_outside_taste(history: DataFrame, items: DataFrame, seed, user="user_id", hist="history",
-                            item="item_id", attr="category", base: int = 20, extra_max: int = 5,
-                            max_values: int = MAX_ATTRIBUTE_VALUES) -> DataFrame:
-    """Per user, 20 + U{1..5} distinct random catalogue items whose attribute (category, or item cluster
-    for J9) is not among the attributes of the user's history; a user with fewer allowed items gets all of them
-    (the reference would loop forever).  Exact and in one pass, no rejection rounds:
-
-    * the catalogue is densely indexed in (attribute, item) order, so each attribute value is a range
-      [start, start + count) (a table of one row per attribute value, size checked, used as one array value);
-    * a user's allowed items are the union of the ranges of the attribute values outside their taste; distinct
-      positions in [0, allowed count) are drawn with the unrolled partial Fisher-Yates (md5 draws) and mapped to
-      catalogue positions through the ranges, then joined to the dense index (an equi-join)."""
-    from pyspark.sql import Window
-
+                            item="item_id", attr="category", base: int = 20, extra_max: int = 5) -> DataFrame:
+    """Per user, 20 + U{1..5} distinct random catalogue items that share none of the attributes ``attr`` (one
+    name, or several: an item is out as soon as one of them is among those of the user's history); a user with fewer
+    allowed items gets all of them (the reference would loop forever).  Exact and in one pass, no rejection rounds:
+
+    * the catalogue is densely indexed in (attributes, item) order, so every combination of attribute values is a
+      range [start, start + count) of it;
+    * a user carries only the ranges of the taste, in order.  Distinct positions in [0, allowed count) are drawn with
+      the unrolled partial Fisher-Yates (md5 draws); a position moves past every excluded range at or before it,
+      and the result is joined to the dense index (an equi-join)."""
     from recsuite.operators.sampling import unrolled_sample_indices
-    attrs = items.select(item, attr)
-    counts = attrs.groupBy(attr).agg(F.count(F.lit(1)).alias("_n"))
-    n_vals = counts.count()
-    if n_vals > max_values:
-        raise ValueError(f"{n_vals} attribute values exceed {max_values}")
-    w = Window.orderBy(attr).rowsBetween(Window.unboundedPreceding, -1)  # one row per attribute value (checked)
-    ranges = counts.withColumn("_s", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    arr = ranges.agg(F.array_sort(F.collect_list(F.struct(F.col(attr).alias("a"), F.col("_s").alias("s"),
-                                                            F.col("_n").alias("n"))))).scalar()
-    idx = dense_index(attrs, [attr, item], "_g")
-    taste = history.select(user, F.explode(hist).alias(item)).join(attrs, item).groupBy(user) \
-        .agg(F.collect_set(attr).alias("_taste"))
-    u = history.select(user).distinct().join(taste, user, "left") \
-        .withColumn("_taste", F.coalesce("_taste", F.array().cast(f"array<{items.schema[attr].dataType.simpleString()}>"))) \
-        .withColumn("_ranges", arr)
-    allowed = F.filter("_ranges", lambda e: ~F.array_contains(F.col("_taste"), e["a"]))
-    u = u.withColumn("_allowed", allowed)
-    u = u.withColumn("_allowed", F.transform("_allowed", lambda e, i: F.struct(
-        e["s"].alias("s"), e["n"].alias("n"),
-        F.aggregate(F.slice("_allowed", 1, i), F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("ps"))))
-    u = u.withColumn("_A", F.aggregate("_allowed", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).cast("int"))
+    attrs = as_list(attr)
+    cat = items.select(item, *attrs)
+    idx = dense_index(cat, [*attrs, item], "_g")
+    total = idx.agg(F.count(F.lit(1))).scalar()
+    ranges = idx.groupBy(*attrs).agg(F.min("_g").alias("s"), F.count(F.lit(1)).alias("n"))
+    seen = history.select(user, F.explode(hist).alias(item)).join(cat, item)
+    out = None
+    for a in attrs:
+        part = seen.select(user, a).distinct().join(ranges.select(a, "s", "n"), a).select(user, "s", "n")
+        out = part if out is None else out.unionByName(part)
+    taste = out.distinct().groupBy(F.col(user).alias("_u")).agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("_out"))
+    none = F.array().cast("array<struct<s:bigint,n:bigint>>")
+    u = history.select(user).distinct().join(taste, F.col(user) == F.col("_u"), "left").drop("_u") \
+        .withColumn("_out", F.coalesce("_out", none))
+    gone = F.aggregate("_out", F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
+    u = u.withColumn("_A", (total - gone).cast("int"))
     u = u.withColumn("_want", F.lit(base) + F.pmod(rng.draw32(seed, F.col(user), F.lit("n")), F.lit(extra_max)) + 1)
     n_max = base + extra_max
     u = unrolled_sample_indices(u, "_A", n_max, seed, user, "_o")
     picks = F.slice(F.array(*[F.col(f"_o{k}") for k in range(n_max)]), 1, F.col("_want").cast("int"))
-    u = u.select(user, "_allowed", F.posexplode(F.filter(picks, lambda x: x.isNotNull())).alias("_k", "_p"))
-    hit = F.element_at(F.filter("_allowed", lambda e: (F.col("_p") >= e["ps"]) & (F.col("_p") < e["ps"] + e["n"])), 1)
-    u = u.select(user, "_k", (hit["s"] + (F.col("_p") - hit["ps"])).alias("_g"))
-    j = u.join(idx.select("_g", item), "_g")
+    u = u.select(user, "_out", F.posexplode(F.filter(picks, lambda x: x.isNotNull())).alias("_k", "_p"))
+    place = F.aggregate("_out", F.col("_p").cast("bigint"), lambda g, e: F.when(g >= e["s"], g + e["n"]).otherwise(g))
+    j = u.select(user, "_k", place.alias("_g")).join(idx.select("_g", item), "_g")
     return j.groupBy(user).agg(F.array_sort(F.collect_list(F.struct("_k", item))).alias("_l")) \
         .select(user, F.transform("_l", lambda e: e[item]).alias("neg"))
 

@@ -102,8 +102,9 @@ def complete_attribute(ids: DataFrame, attr: DataFrame, key: str, col: str, fill
 
 
 def align_by_content(left: DataFrame, right: DataFrame, key: str, fields) -> DataFrame:
-    """Align two catalogues by md5 of concatenated text fields; among right duplicates the last id (max) wins."""
-    h = lambda d: F.md5(F.concat(*[F.coalesce(F.col(f), F.lit("")) for f in as_list(fields)]))
+    """Align two catalogues by md5 of their text fields as a JSON array, so that fields keep their bounds (NULL counts
+    as empty); among right duplicates the last id (max) wins."""
+    h = lambda d: F.md5(F.to_json(F.array(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in as_list(fields)])))
     lh = left.select(F.col(key).alias("left_id"), h(left).alias("_h"))
     rh = right.select(F.col(key).alias("_rid"), h(right).alias("_h")).groupBy("_h").agg(F.max("_rid").alias("right_id"))
     return lh.join(rh, "_h").drop("_h")

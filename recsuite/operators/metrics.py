@@ -243,3 +243,12 @@ def custom_list_metric(df: DataFrame, fn, name: str, group="impression_id", labe
     lists = df.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct(pos, label, score))).alias("_l"))
     return lists.select(*g, udf(F.transform("_l", lambda e: e[label]),
                                 F.transform("_l", lambda e: e[score])).alias(name))
+
+
+def mean_table(df: DataFrame, cols, batch: str | None = None) -> DataFrame:
+    """Mean of every score column over a log; with ``batch``, the mean of the batches' means (a batch counts once
+    however many rows it has, as when a mean is added per batch)."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    if batch is not None:
+        df = df.groupBy(batch).agg(*[F.avg(c).alias(c) for c in cols])
+    return df.agg(*[F.avg(c).alias(c) for c in cols])

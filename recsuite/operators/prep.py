@@ -163,10 +163,12 @@ def fold_categories(col, listed, bucket: str):
     return F.when(C(col).isin(list(listed)), F.lit(bucket)).otherwise(C(col))
 
 
-def decode_codes(col, mapping: dict):
-    """Integer code -> text through a literal map; unknown/NULL codes give NULL."""
+def decode_codes(col, mapping: dict, unknown: str | None = None):
+    """Integer code -> text through a literal map; a code outside it gives ``unknown``, a NULL code NULL."""
+    if not mapping:
+        return F.when(C(col).isNotNull(), F.lit(unknown))
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    return F.element_at(m, C(col).cast("int")) if mapping else F.lit(None)
+    return F.when(C(col).isNotNull(), F.coalesce(F.element_at(m, C(col).cast("int")), F.lit(unknown)))
 
 
 def cold_users(df: DataFrame, history="history", k: int = 5) -> DataFrame:
@@ -253,6 +255,16 @@ def reset_index(df: DataFrame, old_id: str, new_id: str = "index") -> DataFrame:
     return dense_index(df, [old_id], new_id)
 
 
+def running_user_ids(splits: dict[str, DataFrame], user="user_id", tag="tag", out="uid") -> DataFrame:
+    """The users of several splits in one table: ``tag`` is the 0-based number of the split, and a new running id
+    replaces the user id, which may repeat across splits (dense over (split, user))."""
+    every = None
+    for i, df in enumerate(splits.values()):
+        part = df.withColumn(tag, F.lit(i))
+        every = part if every is None else every.unionByName(part)
+    return dense_index(every, [tag, user], out)
+
+
 def prefixed_user_ids(df: DataFrame, user="user_id", tag: str = "train", out="uid") -> DataFrame:
     """A per-split user id ``{tag}_{user}``."""
     return df.withColumn(out, F.concat_ws("_", F.lit(tag), F.col(user).cast("string")))

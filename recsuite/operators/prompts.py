@@ -107,7 +107,7 @@ def parse_sections(col, section: str = "topics") -> Column:
     """The ``- item`` bullet lines under ``[section]`` in a reply, as an array (other sections ignored)."""
     body = F.regexp_extract(C(col), r"\[" + section + r"\]\n((?:- [^\n]*(?:\n|$))*)", 1)
     lines = F.split(body, "\n")
-    return F.transform(F.filter(lines, lambda x: x.rlike("^- ")), lambda x: F.substring(x, 3, 1 << 20))
+    return F.transform(F.filter(lines, lambda x: x.rlike("^- ")), lambda x: F.substr(x, F.lit(3)))
 
 
 def parse_json_reply(col, schema: str) -> Column:
@@ -118,8 +118,9 @@ def parse_json_reply(col, schema: str) -> Column:
 
 
 def parse_tagged(col, tag: str) -> Column:
-    """The text after ``[tag] `` (NULL when the tag is absent)."""
-    v = F.regexp_extract(C(col), r"\[" + tag + r"\]\s*(.*)", 1)
+    """The text after ``[tag] ``, over several lines up to the next line that starts with a tag (NULL when the
+    tag is absent)."""
+    v = F.regexp_extract(C(col), r"(?s)\[" + tag + r"\]\s*(.*?)\s*(?=\n\[[^\]\n]+\]|\z)", 1)
     return F.when(v != "", F.trim(v))
 
 

@@ -52,9 +52,13 @@ def random_users(df: DataFrame, k: int, seed, user="user_id") -> DataFrame:
     return dense_index(u, ["_k"], "_i").filter(F.col("_i") < k).select(user)
 
 
-def shuffle_rows(df: DataFrame, seed, key) -> DataFrame:
-    """F8: rows in a seeded random order (global sort by the md5 key of the row key)."""
-    return df.withColumn("_k", rng.md5_key(seed, *[F.col(c) for c in as_list(key)])).orderBy("_k").drop("_k")
+def shuffle_rows(df: DataFrame, seed, key, out: str | None = None) -> DataFrame:
+    """F8: rows in a seeded random order (the md5 key of the row key); ``out`` names a column for the 0-based
+    position, without it the rows are sorted."""
+    s = df.withColumn("_k", rng.md5_key(seed, *[F.col(c) for c in as_list(key)]))
+    if out is None:
+        return s.orderBy("_k").drop("_k")
+    return dense_index(s, ["_k", *as_list(key)], out).drop("_k")
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed, key) -> DataFrame:
@@ -65,7 +69,7 @@ def sample_fraction(df: DataFrame, fraction: float, seed, key) -> DataFrame:
 def equal_parts(df: DataFrame, n_parts: int, order, out="part") -> DataFrame:
     """n contiguous parts of ceil(N/n) rows in ``order``; the last part may be short."""
     idx = dense_index(df, order, "_i")
-    n = df.agg(F.count(F.lit(1))).scalar()
+    n = idx.agg(F.coalesce(F.max("_i") + 1, F.lit(0))).scalar()
     return idx.withColumn(out, F.floor(F.col("_i") / F.ceil(n / n_parts)).cast("int")).drop("_i")
 
 
@@ -74,7 +78,7 @@ def weighted_split(keys: DataFrame, weights: dict[str, float], seed, key: str, o
     sum w), the remainder to the last part.  Returns the (key, part) assignment table (persist it to reuse)."""
     d = keys.select(key).distinct().withColumn("_k", rng.md5_key(seed, F.col(key)))
     idx = dense_index(d, ["_k", key], "_i")
-    n = d.agg(F.count(F.lit(1))).scalar()
+    n = idx.agg(F.coalesce(F.max("_i") + 1, F.lit(0))).scalar()
     total = float(sum(weights.values()))
     names = list(weights)
     j = idx
@@ -89,23 +93,20 @@ def weighted_split(keys: DataFrame, weights: dict[str, float], seed, key: str, o
     return j.select(key, expr.alias(out))
 
 
-MAX_POOL = 100_000
-
-
-def random_lists(df: DataFrame, pool: DataFrame, n: int, seed, key: str, pool_item="item_id", out="ranked",
-                 max_pool: int = MAX_POOL) -> DataFrame:
+def random_lists(df: DataFrame, pool: DataFrame, n: int, seed, key: str, pool_item="item_id", out="ranked") -> DataFrame:
     """a random N-item candidate list per row drawn from the candidate pool without replacement (seeded per
-    row, partial Fisher-Yates: n draws per row whatever the pool size).  The pool is a candidate set, bounded by design; its size is checked (one count job) before it is
-    built into one broadcast list, and a pool above ``max_pool`` raises instead of being broadcast."""
-    size = pool.select(pool_item).distinct().count()
-    if size > max_pool:
-        raise ValueError(f"candidate pool of {size} items exceeds max_pool={max_pool}")
-    cand = pool.agg(F.sort_array(F.collect_set(pool_item))).scalar()
-    # only the pool size enters the rows; chosen indices are looked up in the pool value afterwards
-    d = unrolled_sample_indices(df.withColumn("_P", F.size(cand)), "_P", n, seed, key, "_o")
-    d = d.withColumn("_raw", F.array(*[F.element_at(cand, F.col(f"_o{i}") + 1) for i in range(n)]))
-    return d.withColumn(out, F.filter("_raw", lambda x: x.isNotNull())) \
-        .drop("_P", "_raw", *[f"_o{i}" for i in range(n)])
+    row, partial Fisher-Yates: n draws per row whatever the pool size).  The pool gets a dense index once; a row's
+    drawn positions are looked up in it by an equi-join, so pools of any size work."""
+    idx = dense_index(pool.select(F.col(pool_item).alias("_it")).filter(F.col("_it").isNotNull()).distinct(), ["_it"], "_ci")
+    size = idx.agg(F.count(F.lit(1))).scalar()
+    keys = df.select(key).distinct()
+    d = unrolled_sample_indices(keys.withColumn("_P", size), "_P", n, seed, key, "_o")
+    d = d.select(key, F.posexplode(F.array(*[F.col(f"_o{i}").cast("bigint") for i in range(n)])).alias("_d", "_ci"))
+    lists = d.join(idx, "_ci").groupBy(F.col(key).alias("_key")) \
+        .agg(F.array_sort(F.collect_list(F.struct("_d", "_it"))).alias("_l"))  # n entries a row
+    none = F.array().cast(f"array<{pool.schema[pool_item].dataType.simpleString()}>")
+    return df.join(lists, F.col(key).eqNullSafe(F.col("_key")), "left") \
+        .withColumn(out, F.coalesce(F.transform("_l", lambda e: e["_it"]), none)).drop("_key", "_l")
 
 
 def unrolled_sample_indices(df: DataFrame, size: str, n: int, seed, key: str, prefix: str = "_o") -> DataFrame:

@@ -1,8 +1,8 @@
 """Embeddings, clustering and dataset distillation.
 
 Vectors are ``array<float|double>`` columns; group means use Spark ML's ``Summarizer`` (JVM).  Centres are a
-small table of k rows whose size is checked before it becomes ONE value (an array of centres, a scalar subquery)
-scanned inside each row with higher-order functions: no row x centre join is planned.
+table of k rows that becomes one array value (a scalar subquery) per block of centres, scanned inside each row with
+higher-order functions: no row x centre join is planned.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recsuite.functions import lists as L
-from recsuite.operators.common import as_list, first_per_key, top_n_per_group
+from recsuite.operators.common import as_list, dense_index, first_per_key, top_n_per_group
 
-MAX_CENTRES = 100_000
+BLOCK_CENTRES = 100_000  # centres of one array value; more centres are scanned block by block
 
 
 def mean_vectors(df: DataFrame, group, vec: str, out: str = "vector") -> DataFrame:
@@ -52,34 +52,38 @@ def kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, distance: str = "euc
     return model.transform(d).drop("_features"), cdf
 
 
-def _centre_array(centres: DataFrame, cid: str, cvec: str, max_centres: int):
-    """The (size-checked) centres as one array value: a scalar subquery evaluated once and shipped with the plan."""
+def _centre_blocks(centres: DataFrame, cid: str, cvec: str, block: int) -> list:
+    """The centres as array values of at most ``block`` each (scalar subqueries shipped with the plan)."""
     n = centres.count()
-    if n > max_centres:
-        raise ValueError(f"{n} centres exceed the broadcast bound {max_centres}")
-    return centres.agg(F.collect_list(F.struct(F.col(cid).alias("cid"),
-                                               F.transform(cvec, lambda x: x.cast("double")).alias("c")))).scalar()
+    pack = F.collect_list(F.struct(F.col(cid).alias("cid"), F.transform(cvec, lambda x: x.cast("double")).alias("c")))
+    if n <= block:
+        return [centres.agg(pack).scalar()]
+    numbered = dense_index(centres, [cid], "_b")
+    return [numbered.filter(F.floor(F.col("_b") / block) == i).agg(pack).scalar() for i in range(-(-n // block))]
 
 
 def assign_nearest(df: DataFrame, vec: str, centres: DataFrame, cid="cluster", cvec="centre", distance="euclidean",
-                   out="cluster", max_centres: int = MAX_CENTRES) -> DataFrame:
+                   out="cluster", block: int = BLOCK_CENTRES) -> DataFrame:
     """Nearest centre per row (ties -> smallest centre id) and its distance ``dist``."""
-    arr = _centre_array(centres, cid, cvec, max_centres)
     dist = (lambda c: L.sq_euclidean(vec, c)) if distance == "euclidean" else (lambda c: L.cosine_distance(vec, c))
-    best = F.array_min(F.transform("_centres", lambda e: F.struct(dist(e["c"]).alias("d"), e["cid"].alias("cid"))))
-    return df.withColumn("_centres", arr).withColumn("_best", best) \
-        .withColumn(out, F.col("_best.cid")).withColumn("dist", F.col("_best.d")).drop("_centres", "_best")
+    res = df
+    for i, arr in enumerate(_centre_blocks(centres, cid, cvec, block)):
+        best = F.array_min(F.transform("_centres", lambda e: F.struct(dist(e["c"]).alias("d"), e["cid"].alias("cid"))))
+        res = res.withColumn("_centres", arr).withColumn("_best", F.least("_best", best) if i else best)
+    return res.withColumn(out, F.col("_best.cid")).withColumn("dist", F.col("_best.d")).drop("_centres", "_best")
 
 
 def distance_matrix(df: DataFrame, key: str, vec: str, centres: DataFrame, cid="cluster", cvec="centre",
-                    max_centres: int = MAX_CENTRES) -> DataFrame:
-    """Squared euclidean and cosine distance of every row to every centre of a small, size-checked set
-    (``rows x k`` output is the requested matrix)."""
-    arr = _centre_array(centres, cid, cvec, max_centres)
+                    block: int = BLOCK_CENTRES) -> DataFrame:
+    """Squared euclidean and cosine distance of every row to every centre (``rows x k`` output is the
+    requested matrix)."""
     pairs = F.transform("_centres", lambda e: F.struct(e["cid"].alias("cid"), L.sq_euclidean(vec, e["c"]).alias("sq"),
                                                         L.cosine_distance(vec, e["c"]).alias("cos")))
-    return df.withColumn("_centres", arr).select(key, F.explode(pairs).alias("_p")) \
-        .select(key, F.col("_p.cid").alias(cid), F.col("_p.sq").alias("sq_euclidean"), F.col("_p.cos").alias("cosine"))
+    res = None
+    for arr in _centre_blocks(centres, cid, cvec, block):
+        part = df.withColumn("_centres", arr).select(key, F.explode(pairs).alias("_p"))
+        res = part if res is None else res.unionByName(part)
+    return res.select(key, F.col("_p.cid").alias(cid), F.col("_p.sq").alias("sq_euclidean"), F.col("_p.cos").alias("cosine"))
 
 
 def medoids(assigned: DataFrame, key: str, cols=(), cluster="cluster") -> DataFrame:

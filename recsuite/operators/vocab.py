@@ -164,7 +164,11 @@ _TOKENIZERS: dict = {}
 
 
 def _worker_tokenizer(factory):
-    k = id(factory)
+    """One tokenizer per worker and factory; the key is the factory's pickled form, which holds its name or code and
+    whatever it was configured with."""
+    from pyspark import cloudpickle
+
+    k = cloudpickle.dumps(factory)
     if k not in _TOKENIZERS:
         _TOKENIZERS[k] = factory()
     return _TOKENIZERS[k]

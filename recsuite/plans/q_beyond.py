@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recsuite.functions import lists as L
+from recsuite.functions import rng
 from recsuite.operators import beyond as B
 from recsuite.operators import sampling as S
 from recsuite.operators import stats as D
@@ -124,16 +125,16 @@ def l6(spark, sf):
 
 @query("l7_l8_candidate_bounds", ("L7", "L8"), W(
     f"""WITH {_POP_SQL}, c AS (SELECT i.item_id, -log2(p.popularity) AS nov, i.sentiment_score AS sen
-                           FROM items i JOIN pop p ON i.item_id = p.item_id WHERE i.category = 'Brand#1')
+                           FROM items i JOIN pop p ON i.item_id = p.item_id)
        SELECT 'novelty' AS attr, round((SELECT avg(nov) FROM (SELECT nov FROM c ORDER BY nov DESC, item_id LIMIT 5)), 6) AS from_highest,
               round((SELECT avg(nov) FROM (SELECT nov FROM c ORDER BY nov, item_id LIMIT 5)), 6) AS from_lowest
        UNION ALL
        SELECT 'sentiment', round((SELECT avg(sen) FROM (SELECT sen FROM c ORDER BY sen DESC, item_id LIMIT 5)), 6),
               round((SELECT avg(sen) FROM (SELECT sen FROM c ORDER BY sen, item_id LIMIT 5)), 6)""", "impressions", "items"))
 def l7(spark, sf):
-    """Mean of the 5 highest / 5 lowest novelty and sentiment values among one category's items."""
-    cands = fx.items(spark, sf).filter(F.col("category") == "Brand#1").select("item_id")
+    """Mean of the 5 highest / 5 lowest novelty and sentiment values among all items that were shown."""
     pop = D.popularity(fx.impressions(spark, sf), "inview")
+    cands = pop.select("item_id")
     a = B.candidate_bounds(cands, pop, "popularity", 5, transform=lambda c: -F.log2(c)).withColumn("attr", F.lit("novelty"))
     b = B.candidate_bounds(cands, fx.items(spark, sf), "sentiment_score", 5).withColumn("attr", F.lit("sentiment"))
     u = a.unionByName(b)
@@ -160,22 +161,27 @@ _BASELINES_SQL = f"""
          editorial AS (SELECT 'editorial' AS list, item_id, row_number() OVER (ORDER BY n DESC, item_id) AS r FROM inv),
          popular AS (SELECT 'popular' AS list, item_id, row_number() OVER (ORDER BY total_pageviews DESC, item_id) AS r FROM items),
          newest AS (SELECT 'newest' AS list, item_id, row_number() OVER (ORDER BY first_seen DESC, item_id) AS r FROM (
-                      SELECT item_id, min(ts) AS first_seen FROM clicks WHERE item_id IS NOT NULL GROUP BY item_id))
+                      SELECT item_id, min(ts) AS first_seen FROM clicks WHERE item_id IS NOT NULL GROUP BY item_id)),
+         random AS (SELECT 'random' AS list, item_id, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', item_id)), item_id) AS r FROM items)
     SELECT list, array_to_string(list(CAST(item_id AS VARCHAR) ORDER BY r), ',') AS items FROM (
-      SELECT * FROM editorial WHERE r <= 10 UNION ALL SELECT * FROM popular WHERE r <= 10 UNION ALL SELECT * FROM newest WHERE r <= 10)
+      SELECT * FROM editorial WHERE r <= 10 UNION ALL SELECT * FROM popular WHERE r <= 10 UNION ALL SELECT * FROM newest WHERE r <= 10
+      UNION ALL SELECT * FROM random WHERE r <= 10)
     GROUP BY list"""
 
 
 def baseline_lists(spark, sf, n=10):
-    """Editorial (most in-view), popular (page views) and newest (first seen) top-n lists, one row each."""
+    """Editorial (most in-view), popular (page views), newest (first seen) and random (seeded) top-n lists, one row
+    each."""
     c = fx.candidates(spark, sf)
     inv = c.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     first = fx.clicks(spark, sf).filter(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("ts").alias("first_seen"))
+    items = fx.items(spark, sf).select("item_id", rng.md5_key(SEED, F.col("item_id")).alias("key"))
     out = None
     for name, df, col in (("editorial", inv, "n"), ("popular", fx.items(spark, sf), "total_pageviews"),
-                          ("newest", first, "first_seen")):
-        top = S.top_n(df.select("item_id", col), [F.col(col).desc(), F.col("item_id")], n) \
-            .withColumn("_r", F.row_number().over(Window.orderBy(F.col(col).desc(), "item_id")))  # n rows after the limit
+                          ("newest", first, "first_seen"), ("random", items, "key")):
+        order = [F.col(col).asc() if name == "random" else F.col(col).desc(), F.col("item_id")]
+        top = S.top_n(df.select("item_id", col), order, n) \
+            .withColumn("_r", F.row_number().over(Window.orderBy(*order)))  # n rows after the limit
         row = top.agg(F.array_sort(F.collect_list(F.struct("_r", "item_id"))).alias("_l")) \
             .select(F.lit(name).alias("list"), F.transform("_l", lambda e: e["item_id"]).alias("items"))
         out = row if out is None else out.unionByName(row)
@@ -184,15 +190,15 @@ def baseline_lists(spark, sf, n=10):
 
 @query("l10_baseline_lists", ("L10", "F4", "F20"), W(_BASELINES_SQL, "candidates", "items", "clicks"))
 def l10(spark, sf):
-    """Baseline recommendation lists: editorial, popular, newest (top 10 each)."""
+    """Baseline recommendation lists: editorial, popular, newest, random (top 10 each)."""
     return baseline_lists(spark, sf).select("list", L.fmt_list("items").alias("items"))
 
 
 @query("l11_baseline_report", ("L11", "L13", "L14", "D18"))
 def l11(spark, sf):
-    """Every baseline list (editorial, popular, newest) given to every user with clicks: mean / population std
+    """Every baseline list (editorial, popular, newest, random) given to every user with clicks: mean / population std
     over users of serendipity against the user's clicks, and the list's diversity, novelty and sentiment.  The
-    three-row list table is materialised once (checkpoint in the shared folder) since checks and the report all
+    four-row list table is materialised once (checkpoint in the shared folder) since checks and the report all
     read it."""
     from recsuite.session import cut_lineage
     lists = cut_lineage(baseline_lists(spark, sf))
@@ -232,8 +238,57 @@ def l12(spark, sf):
                     F.round("popularity", 6).alias("popularity"), F.col("embedding").isNotNull().alias("has_vector"))
 
 
-@query("q1_pluggable_distance", ("Q-1",))
+@query("q1_pluggable_distance", ("Q-1",), W(
+    f"""WITH {_U},
+            p AS (SELECT a.impression_id, sum(list_distance(a.e, b.e) * list_distance(a.e, b.e)) AS s
+                  FROM u a JOIN u b ON a.impression_id = b.impression_id AND a.pos <> b.pos GROUP BY a.impression_id),
+            n AS (SELECT impression_id, count(*) AS n FROM u GROUP BY impression_id)
+       SELECT n.impression_id AS list_id, CASE WHEN n.n > 1 THEN round(p.s / (n.n * (n.n - 1)), 4) END AS diversity
+       FROM n LEFT JOIN p ON n.impression_id = p.impression_id""", "impressions", "candidates", "item_vectors"))
 def q1(spark, sf):
     """Intra-list diversity with a pluggable distance (squared euclidean) through the explicit pair path."""
     d = B.pairwise_mean_distance(_R(spark, sf), fx.item_vectors(spark, sf), L.sq_euclidean)
     return d.select("list_id", F.round("diversity", 4).alias("diversity"))
+
+
+@query("q1_pluggable_serendipity", ("Q-1", "L2"), W(
+    f"""WITH {_U},
+            h AS (SELECT x.impression_id, list_transform(v.embedding, lambda x: CAST(x AS DOUBLE)) AS e
+                  FROM (SELECT impression_id, unnest(clicked) AS item_id FROM impressions) x
+                  JOIN item_vectors v ON x.item_id = v.item_id),
+            s AS (SELECT a.impression_id, avg(list_distance(a.e, b.e) * list_distance(a.e, b.e)) AS v
+                  FROM u a JOIN h b ON a.impression_id = b.impression_id GROUP BY a.impression_id)
+       SELECT i.impression_id AS list_id, round(s.v, 4) AS serendipity
+       FROM impressions i LEFT JOIN s ON i.impression_id = s.impression_id WHERE len(i.clicked) > 0""",
+    "impressions", "candidates", "item_vectors"))
+def q1_serendipity(spark, sf):
+    """Serendipity with a pluggable distance (squared euclidean) between in-view and clicked items."""
+    s = B.pairwise_serendipity(_H(spark, sf), _R(spark, sf), fx.item_vectors(spark, sf), L.sq_euclidean)
+    return s.select("list_id", F.round("serendipity", 4).alias("serendipity"))
+
+
+_SAMPLES = 5000
+
+
+@query("l6_sampled_diversity_bounds", ("L6",), W(
+    f"""WITH RECURSIVE cand AS (SELECT i.item_id, row_number() OVER (ORDER BY i.item_id) - 1 AS idx,
+                                     list_transform(v.embedding, lambda x: CAST(x AS DOUBLE)) AS e
+                              FROM items i JOIN item_vectors v ON i.item_id = v.item_id),
+            nn AS (SELECT count(*) AS n FROM cand),
+            st AS (SELECT range AS subset_id, 0 AS k, []::INTEGER[] AS si, []::INTEGER[] AS sv, []::INTEGER[] AS out FROM range({_SAMPLES})
+                   UNION ALL
+                   SELECT subset_id, k + 1, list_concat(si, [k, j]), list_concat(sv, [vb, va]), list_concat(out, [vb]) FROM (
+                     SELECT *, coalesce(list_reverse(sv)[list_position(list_reverse(si), k)], k) AS va,
+                               coalesce(list_reverse(sv)[list_position(list_reverse(si), j)], j) AS vb FROM (
+                       SELECT st.*, CAST(k + ('0x' || substr(md5(concat_ws('|', '{SEED}', subset_id, k)), 1, 8))::BIGINT % (nn.n - k) AS INTEGER) AS j
+                       FROM st, nn WHERE k < 3))),
+            m AS (SELECT subset_id, c.item_id, c.e, sqrt(list_dot_product(c.e, c.e)) AS nrm
+                  FROM (SELECT subset_id, unnest(out) AS idx FROM st WHERE k = 3) x JOIN cand c ON x.idx = c.idx),
+            d AS (SELECT a.subset_id, avg(1 - {_COS}) AS div FROM m a JOIN m b ON a.subset_id = b.subset_id AND a.item_id <> b.item_id
+                  GROUP BY a.subset_id)
+       SELECT round(min(div), 6) AS min_diversity, round(max(div), 6) AS max_diversity FROM d""", "items", "item_vectors"))
+def l6_sampled(spark, sf):
+    """Min / max diversity over seeded random 3-item subsets of the whole catalogue."""
+    cands = fx.items(spark, sf).join(fx.item_vectors(spark, sf), "item_id", "left_semi").select("item_id")
+    b = B.candidate_diversity_bounds(cands, fx.item_vectors(spark, sf), 3, SEED, mode="sample", n_samples=_SAMPLES)
+    return b.select(F.round("min_diversity", 6).alias("min_diversity"), F.round("max_diversity", 6).alias("max_diversity"))

@@ -115,3 +115,15 @@ def logloss_f1_global(spark, sf_dir):
     c = fx.candidates(spark, sf_dir)
     return c.agg(F.round(M.global_logloss(c), 6).alias("logloss"), F.round(M.global_f1(), 6).alias("f1"),
                  F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+@query("k17_mean_table", ids=("K17",), sql=fx.with_views(
+    """SELECT (SELECT round(avg(score), 6) FROM candidates) AS mean_score,
+              (SELECT round(avg(m), 6) FROM (SELECT avg(score) AS m FROM candidates GROUP BY impression_id)) AS mean_of_batches""",
+    "candidates"))
+def k17_mean_table(spark, sf_dir):
+    """Mean score over the log, and the mean of the impressions' means."""
+    c = fx.candidates(spark, sf_dir)
+    whole, batches = M.mean_table(c, "score"), M.mean_table(c, "score", "impression_id")
+    return whole.select(F.round("score", 6).alias("mean_score"),
+                        batches.select(F.round("score", 6)).scalar().alias("mean_of_batches"))

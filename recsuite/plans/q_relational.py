@@ -171,14 +171,14 @@ POSTCODE_NAMES = {0: "metropolitan", 1: "rural district", 2: "municipality", 3:
 @query("b24_decode_codes", "B24", """
     SELECT c_custkey AS user_id,
            CASE c_nationkey % 6 WHEN 0 THEN 'metropolitan' WHEN 1 THEN 'rural district' WHEN 2 THEN 'municipality'
-                WHEN 3 THEN 'provincial' WHEN 4 THEN 'big city' END AS postcode,
+                WHEN 3 THEN 'provincial' WHEN 4 THEN 'big city' ELSE 'Unknown' END AS postcode,
            CASE WHEN c_acctbal < 0 THEN 'Male' ELSE 'Female' END AS gender
     FROM customer""")
 def b24(spark, sf):
-    """Integer codes decoded to text (code = nation key % 6; code 5 is unknown -> NULL)."""
+    """Integer codes decoded to text (code = nation key % 6; code 5 is unknown -> 'Unknown')."""
     c = fx.table(spark, sf, "customer")
     return c.select(F.col("c_custkey").alias("user_id"),
-                    P.decode_codes(F.col("c_nationkey") % 6, POSTCODE_NAMES).alias("postcode"),
+                    P.decode_codes(F.col("c_nationkey") % 6, POSTCODE_NAMES, "Unknown").alias("postcode"),
                     P.decode_codes((F.col("c_acctbal") >= 0).cast("int"), {0: "Male", 1: "Female"}).alias("gender"))
 
 
@@ -323,6 +323,18 @@ def g13(spark, sf):
     return P.prefixed_user_ids(fx.impressions(spark, sf)).select("uid").distinct()
 
 
+@query("g13_running_ids", "G13", W(
+    """SELECT tag, user_id, row_number() OVER (ORDER BY tag, user_id) - 1 AS uid FROM (
+         SELECT DISTINCT 0 AS tag, user_id FROM impressions WHERE impression_time < TIMESTAMP '1998-01-01'
+         UNION ALL SELECT DISTINCT 1, user_id FROM impressions WHERE impression_time >= TIMESTAMP '1998-01-01')""", "impressions"))
+def g13_running(spark, sf):
+    """Users of two splits (before and from 1998 on) with the split's tag and a new running id."""
+    i = fx.impressions(spark, sf)
+    early, late = i.filter("impression_time < '1998-01-01'"), i.filter("impression_time >= '1998-01-01'")
+    u = P.running_user_ids({"train": early.select("user_id").distinct(), "dev": late.select("user_id").distinct()})
+    return u.select("tag", "user_id", "uid")
+
+
 # ---- C --------------------------------------------------------------------------------------------------------------
 @query("c2_attach_embeddings", "C2", W(
     """SELECT i.item_id, CAST(len(v.embedding) AS BIGINT) AS dim FROM items i LEFT JOIN item_vectors v ON i.item_id = v.item_id""",
@@ -578,7 +590,23 @@ def e8(spark, sf):
     return r.select("user_id", *[L.fmt_list(c).alias(c) for c in ("history_cut", "train", "dev", "test")])
 
 
-@query("e9_negatives_split", ("E9", "J7", "F7"))
+_E9_KEY = "md5(concat_ws('|', '42', user_id, i - 1))"
+_E9_DRAW = "('0x' || substr(md5(concat_ws('|', '42', user_id, k)), 1, 8))::BIGINT"
+
+
+@query("e9_negatives_split", ("E9", "J7", "F7"), W(
+    f"""WITH neg AS (SELECT user_id, coalesce(list(item_id ORDER BY ts, item_id) FILTER (WHERE rating < 3), []) AS neg
+                     FROM ratings WHERE rating <> 3 GROUP BY user_id HAVING count(*) FILTER (WHERE rating > 3) > 0),
+            idx AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS ci FROM items),
+            d AS (SELECT user_id, list(idx.item_id ORDER BY k) AS rnd FROM (
+                    SELECT user_id, k, {_E9_DRAW} % (SELECT count(*) FROM items) AS ci FROM neg, (SELECT unnest(range(1, 11)) AS k)
+                  ) x JOIN idx ON x.ci = idx.ci GROUP BY user_id),
+            a AS (SELECT user_id, list_transform(list_sort(list_transform(list_concat(neg, rnd), lambda x, i: {{'k': {_E9_KEY}, 'i': i - 1, 'x': x}})),
+                                               lambda e: e.x) AS s FROM neg JOIN d USING (user_id)),
+            p AS (SELECT user_id, s, len(s) AS m, len(s) // 10 AS p FROM a)
+       SELECT user_id, {sfl('CASE WHEN p > 0 THEN list_slice(s, 1, m - 2 * p) ELSE [] END')} AS neg_train,
+              {sfl('CASE WHEN p > 0 THEN list_slice(s, m - 2 * p + 1, m - p) ELSE [] END')} AS neg_dev,
+              {sfl('CASE WHEN p > 0 THEN list_slice(s, m - p + 1, m) ELSE s END')} AS neg_test FROM p""", "ratings", "items"))
 def e9(spark, sf):
     """Each user's negatives plus 10 random catalogue items, shuffled (seeded), split 80/10/10 by portions."""
     from recsuite.operators import labels as J
@@ -586,7 +614,7 @@ def e9(spark, sf):
     s = J.random_catalogue_negatives(s, fx.items(spark, sf), 10, 42, "user_id")
     s = s.withColumn("neg", L.shuffle_list(F.concat("neg", "random_neg"), 42, "user_id"))
     r = H.split_negatives(s)
-    return r.select("user_id", *[F.size(c).alias(f"n_{c}") for c in ("neg_train", "neg_dev", "neg_test")])
+    return r.select("user_id", *[L.fmt_list(c).alias(c) for c in ("neg_train", "neg_dev", "neg_test")])
 
 
 @query("e1_dynamic_history_skew_safe", "E1", W(
@@ -594,7 +622,6 @@ def e9(spark, sf):
               {sfl('coalesce(list_filter(list(item_id) OVER (PARTITION BY user_id ORDER BY ts, item_id NULLS FIRST ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL), [])')} AS history
        FROM clicks""", "clicks"))
 def e1_skew_safe(spark, sf):
-    """Last 3 items before each click per user by the skew-proof join method (no task holds a whole user)."""
-    d = H.dynamic_history(fx.clicks(spark, sf), 3, tiebreak=[F.col("item_id").asc_nulls_first()], out="h",
-                          method="join")
+    """Last 3 items before each click per user, every column of the clicks carried (no task holds a whole user)."""
+    d = H.dynamic_history(fx.clicks(spark, sf), 3, tiebreak=[F.col("item_id").asc_nulls_first()], out="h")
     return d.select("user_id", "item_id", _day("ts").alias("day"), L.fmt_list("h").alias("history"))

@@ -315,9 +315,7 @@ def f6(spark, sf):
     f"SELECT item_id, CAST(row_number() OVER (ORDER BY {_key('item_id')}) - 1 AS BIGINT) AS position FROM items", "items"))
 def f8(spark, sf):
     """Rows in seeded random order, reported as (item, position)."""
-    from recsuite.operators.common import dense_index
-    sh = fx.items(spark, sf).select("item_id").withColumn("_k", rng.md5_key(SEED, F.col("item_id")))
-    return dense_index(sh, ["_k"], "position").select("item_id", "position")
+    return S.shuffle_rows(fx.items(spark, sf), SEED, "item_id", "position").select("item_id", "position")
 
 
 @query("f10_sample_fraction", "F10", W(
@@ -452,16 +450,85 @@ def j7(spark, sf):
     return r.select("user_id", L.fmt_list("random_neg").alias("random_neg"))
 
 
-@query("j8_negatives_outside_taste", ("J8", "J9"))
-def j8(spark, sf):
-    """20 + U{1..5} random items per user outside the categories of the user's clicks (iterative rounds)."""
+def _outside_sql(order: str, same: str) -> str:
+    """Users' allowed items in catalogue order, and up to 25 distinct positions drawn by a partial Fisher-Yates."""
+    return f"""WITH RECURSIVE it AS (SELECT item_id, category, item_id % 101 AS cluster FROM items),
+            taste AS (SELECT DISTINCT c.user_id, it.category, it.cluster FROM clicks c JOIN it ON c.item_id = it.item_id),
+            users AS (SELECT DISTINCT user_id FROM clicks WHERE item_id IS NOT NULL),
+            allowed AS (SELECT u.user_id, it.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY {order}, it.item_id) - 1 AS p
+                        FROM users u, it WHERE NOT EXISTS (SELECT 1 FROM taste t WHERE t.user_id = u.user_id AND ({same}))),
+            st AS (SELECT user_id, count(*) AS n, 0 AS k, []::INTEGER[] AS si, []::INTEGER[] AS sv, []::INTEGER[] AS out
+                   FROM allowed GROUP BY user_id
+                   UNION ALL
+                   SELECT user_id, n, k + 1, list_concat(si, [k, j]), list_concat(sv, [vb, va]), list_concat(out, [vb]) FROM (
+                     SELECT *, coalesce(list_reverse(sv)[list_position(list_reverse(si), k)], k) AS va,
+                               coalesce(list_reverse(sv)[list_position(list_reverse(si), j)], j) AS vb FROM (
+                       SELECT st.*, CAST(k + {_draw('user_id', 'k')} % (n - k) AS INTEGER) AS j FROM st WHERE k < least(25, n)))),
+            picks AS (SELECT user_id, unnest(list_slice(out, 1, 20 + {_draw('user_id', "'n'")} % 5 + 1)) AS p,
+                             generate_subscripts(list_slice(out, 1, 20 + {_draw('user_id', "'n'")} % 5 + 1), 1) AS k
+                      FROM st WHERE k = least(25, n))
+       SELECT picks.user_id, CAST(count(*) AS BIGINT) AS n_neg, {sfl('list(a.item_id ORDER BY picks.k)')} AS neg
+       FROM picks JOIN allowed a ON a.user_id = picks.user_id AND a.p = picks.p GROUP BY picks.user_id"""
+
+
+def _outside(spark, sf, attr):
     h = fx.clicks(spark, sf).filter(F.col("item_id").isNotNull()).groupBy("user_id").agg(
         F.collect_set("item_id").alias("history"))
-    r = J.negatives_outside_taste(h, fx.items(spark, sf), SEED)
+    items = fx.items(spark, sf).withColumn("cluster", F.col("item_id") % 101)
+    r = J.negatives_outside_taste(h, items, SEED, attr=attr)
     return r.select("user_id", F.size("neg").cast("bigint").alias("n_neg"), L.fmt_list("neg").alias("neg"))
 
 
-@query("j10_training_candidates", "J10")
+@query("j8_negatives_outside_taste", "J8", W(_outside_sql("it.category", "t.category = it.category"), "items", "clicks"))
+def j8(spark, sf):
+    """20 + U{1..5} random items per user outside the categories of the user's clicks."""
+    return _outside(spark, sf, "category")
+
+
+@query("j9_negatives_outside_taste_and_cluster", "J9", W(
+    _outside_sql("it.category, it.cluster", "t.category = it.category OR t.cluster = it.cluster"), "items", "clicks"))
+def j9(spark, sf):
+    """20 + U{1..5} random items per user outside both the categories and the item clusters of the user's clicks."""
+    return _outside(spark, sf, ["category", "cluster"])
+
+
+@query("j21_training_set", "J21", W(
+    f"""WITH h AS (SELECT user_id, list(item_id ORDER BY ts, item_id) AS hist FROM (
+                     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS r
+                     FROM clicks WHERE ts < TIMESTAMP '1998-01-01' AND item_id IS NOT NULL) WHERE r <= 10 GROUP BY user_id),
+            s AS (SELECT impression_id, user_id, cpos, list_concat(list_transform(range(1, 5), lambda k: CASE WHEN len(neg) > 0
+                           THEN neg[({_draw('rk', 'k')} % len(neg)) + 1] END), [pos]) AS inview, pos FROM ({_J3_ROWS}) WHERE pos IS NOT NULL)
+       SELECT s.impression_id, s.cpos AS click, {sfl('h.hist')} AS history, {sfl('s.inview')} AS inview,
+              {sfl('list_transform(s.inview, lambda x: CAST(coalesce(x = s.pos, false) AS INTEGER))')} AS labels
+       FROM s LEFT JOIN h ON s.user_id = h.user_id WHERE {_draw('s.impression_id', 's.cpos', "'row'")} / 4294967296.0 < 0.5""",
+    "impressions", "clicks"))
+def j21(spark, sf):
+    """Training set from raw logs: last 10 clicks as history, 4 sampled negatives per click, labels, half the rows."""
+    t = J.training_set(fx.impressions(spark, sf), fx.clicks(spark, sf), "1998-01-01", 10, 4, SEED, fraction=0.5)
+    return t.select("impression_id", F.col("_cpos").alias("click"), L.fmt_list("history").alias("history"),
+                    L.fmt_list("inview").alias("inview"), L.fmt_list("labels").alias("labels"))
+
+
+_NEGS_SQL = f"""neg AS (SELECT user_id, coalesce(list(item_id ORDER BY ts, item_id) FILTER (WHERE rating < 3), []) AS neg
+                       FROM ratings WHERE rating <> 3 GROUP BY user_id HAVING count(*) FILTER (WHERE rating > 3) > 0),
+            idx AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS ci FROM items)"""
+
+
+def _sql_shuffled(col: str, key: str) -> str:
+    return (f"list_transform(list_sort(list_transform({col}, lambda x, i: {{'k': {_key(key, 'i - 1')}, 'i': i - 1, 'x': x}})), "
+            "lambda e: e.x)")
+
+
+@query("j10_training_candidates", "J10", W(
+    f"""WITH {_NEGS_SQL},
+            pos AS (SELECT user_id, item_id, user_id || ':' || item_id AS rk FROM ratings WHERE rating > 3),
+            d AS (SELECT rk, list(idx.item_id ORDER BY k) AS rnd FROM (
+                    SELECT rk, k, {_draw('rk', 'k')} % (SELECT count(*) FROM items) AS ci FROM (SELECT DISTINCT rk FROM pos), (SELECT unnest(range(1, 5)) AS k)
+                  ) x JOIN idx ON x.ci = idx.ci GROUP BY rk),
+            o AS (SELECT p.user_id, p.item_id, p.rk, d.rnd, list_slice({_sql_shuffled('n.neg', 'p.rk')}, 1, 4) AS own
+                  FROM pos p JOIN neg n ON p.user_id = n.user_id JOIN d ON p.rk = d.rk)
+       SELECT user_id, item_id, {sfl('list_concat([item_id], own, list_slice(rnd, 1, 4 - len(own)))')} AS candidates FROM o""",
+    "ratings", "items"))
 def j10(spark, sf):
     """[positive] + up to 4 own negatives + random catalogue negatives for the rest, per positive rating."""
     r = P.binarize_ratings(fx.ratings(spark, sf))

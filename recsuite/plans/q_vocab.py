@@ -277,15 +277,15 @@ def j16(spark, sf):
 
 
 @query("j18_flatten_history", ("J18",), W(
-    """WITH h AS (SELECT user_id, list(item_id ORDER BY ts, item_id) AS hist FROM clicks WHERE item_id IS NOT NULL AND ts < TIMESTAMP '1995-06-01' GROUP BY user_id),
+    """WITH h AS (SELECT user_id, list(item_id ORDER BY ts, item_id) AS hist FROM clicks WHERE item_id IS NOT NULL GROUP BY user_id),
             x AS (SELECT user_id, unnest(hist) AS item_id, (generate_subscripts(hist, 1)) AS p FROM h),
             t AS (SELECT x.user_id, x.p, list_concat(coalesce(list_transform(i.topics, lambda w: CAST(length(w) AS INTEGER)), []), [3]) AS toks
                   FROM x LEFT JOIN items i ON x.item_id = i.item_id)
        SELECT user_id, array_to_string(list_transform(flatten(list(toks ORDER BY p)), lambda z: CAST(z AS VARCHAR)), ',') AS flat
        FROM t GROUP BY user_id""", "clicks", "items"))
 def j18(spark, sf):
-    """Each user's early history flattened into one sequence of item tokens with an item separator (3)."""
-    c = fx.clicks(spark, sf).filter(F.col("item_id").isNotNull() & (F.col("ts") < "1995-06-01"))
+    """Each user's history flattened into one sequence of item tokens with an item separator (3)."""
+    c = fx.clicks(spark, sf).filter(F.col("item_id").isNotNull())
     h = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "item_id"))).alias("_h")) \
         .select("user_id", F.transform("_h", lambda e: e["item_id"]).alias("hist"))
     items = fx.items(spark, sf).select("item_id", F.transform("topics", lambda w: F.length(w)).alias("tok"))
@@ -295,14 +295,14 @@ def j18(spark, sf):
 
 @query("j19_history_matrix", ("J19",), W(
     """WITH h AS (SELECT user_id, list(list_transform(i.topics, lambda w: CAST(length(w) AS INTEGER)) ORDER BY c.ts, c.item_id) AS codes
-                  FROM clicks c JOIN items i ON c.item_id = i.item_id WHERE c.ts < TIMESTAMP '1995-06-01' GROUP BY c.user_id),
+                  FROM clicks c JOIN items i ON c.item_id = i.item_id GROUP BY c.user_id),
             m AS (SELECT user_id, list_transform(list_slice(codes, 1, 4), lambda r: list_concat(list_slice(r, 1, 3), list_transform(range(greatest(3 - len(r), 0)), lambda z: 0))) AS fit FROM h)
        SELECT user_id, array_to_string(list_transform(list_concat(fit, list_transform(range(4 - len(fit)), lambda z: [0, 0, 0])), lambda r: array_to_string(r, ' ')), '|') AS matrix,
               array_to_string(list_concat(list_transform(range(len(fit)), lambda z: 1), list_transform(range(4 - len(fit)), lambda z: 0)), ',') AS mask
        FROM m""", "clicks", "items"))
 def j19(spark, sf):
     """History as a 4 x 3 matrix of item codes (topic word lengths), zero rows padding, row mask."""
-    c = fx.clicks(spark, sf).filter(F.col("ts") < "1995-06-01").join(fx.items(spark, sf), "item_id")
+    c = fx.clicks(spark, sf).join(fx.items(spark, sf), "item_id")
     h = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
         "ts", "item_id", F.transform("topics", lambda w: F.length(w)).alias("code")))).alias("_h")) \
         .select("user_id", F.transform("_h", lambda e: e["code"]).alias("codes"))

@@ -8,6 +8,7 @@ filesystem named by the cluster); we only pick our own folder when that setting
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only when the cluster named none (tests)."""
+    """The shared checkpoint folder that the cluster names.  Only a session in one machine's memory (``local``, as in
+    tests) gets a scratch folder of its own when none is named; on a cluster that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="recsuite-ckpt-", dir=os.environ.get("RECSUITE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -10,6 +10,7 @@ import hashlib
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,9 +62,18 @@ def read_reply_log_tsv(spark: SparkSession, path: str, key_prefix: str | None =
 
 
 def parse_list_literal(col, element_type: str = "string"):
-    """A Python list literal ``"['a', 'b']"`` -> array, without eval (quotes normalised, then JSON)."""
+    """A Python list literal such as ``['a', "it's", None]`` -> array, without eval: elements are read with their
+    own quotes and backslash escapes; anything that is not a bracketed list gives NULL."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.from_json(F.translate(c, "'", '"'), f"array<{element_type}>")
+    element = r"""(?s)'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^\s,'"\[\]]+"""
+    found = F.regexp_extract_all(c, F.lit(element), F.lit(0))
+
+    def value(x):
+        quoted = x.rlike("^['\"]")
+        inner = F.substr(x, F.lit(2), F.length(x) - 2)
+        plain = F.regexp_replace(inner, r"(?s)\\(.)", "$1")
+        return F.when(quoted, plain).when(x != "None", x).cast(element_type)
+    return F.when(c.rlike(r"(?s)^\s*\[.*\]\s*$"), F.transform(found, value))
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = False, list_sep: str = " ", mode: str = "overwrite") -> None:
@@ -117,24 +127,35 @@ def read_phase(spark: SparkSession, path: str, phase: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("phase") == phase)
 
 
-def predicate_key(predicates) -> str:
-    """Order-insensitive cache key of a set of predicate strings."""
-    return hashlib.md5(json.dumps(sorted(set(as_list(predicates)))).encode()).hexdigest()[:16]
+def predicate_key(predicates, source: str = "") -> str:
+    """Order-insensitive cache key of a set of predicate strings over one source."""
+    return hashlib.md5(json.dumps([source, *sorted(set(as_list(predicates)))]).encode()).hexdigest()[:16]
+
+
+def source_identity(df: DataFrame) -> str:
+    """Files and canonical plan of a table; a table that is not read from files has to be named by the caller."""
+    files = sorted(df.inputFiles())
+    if not files:
+        raise ValueError("name the source of a table that is not read from files")
+    return json.dumps([files, df._jdf.queryExecution().analyzed().canonicalized().toString()])
 
 
-def cached_filter(df: DataFrame, predicates, cache_dir: str) -> DataFrame:
-    """Filter by a set of SQL predicates, materialised once as Parquet under the predicate-set key and read
-    back on later calls (any predicate order hits the same entry)."""
+def cached_filter(df: DataFrame, predicates, cache_dir: str, source: str | None = None) -> DataFrame:
+    """Filter by a set of SQL predicates, materialised once as Parquet under the key of source and predicate set
+    and read back on later calls (any predicate order hits the same entry).  Only a missing path is a miss; any other
+    error in reading an entry is raised."""
     spark = df.sparkSession
-    path = os.path.join(cache_dir, predicate_key(predicates))
+    path = os.path.join(cache_dir, predicate_key(predicates, source_identity(df) if source is None else source))
     try:
         return spark.read.parquet(path)  # any filesystem Spark can read: a hit costs a footer read
-    except Exception:  # noqa: BLE001  (missing path -> build the entry)
-        out = df
-        for p in sorted(set(as_list(predicates))):
-            out = out.filter(F.expr(p))
-        out.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    out = df
+    for p in sorted(set(as_list(predicates))):
+        out = out.filter(F.expr(p))
+    out.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

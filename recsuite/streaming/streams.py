@@ -56,11 +56,11 @@ def _last_n_fn(n: int, item: str, ts: str):
     def fn(key, pdfs, state):
         buf = list(state.get[0]) if state.exists else []
         out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts, item], kind="mergesort")
-            for it, t in zip(pdf[item].tolist(), pdf[ts].tolist()):
-                out.append((key[0], it, t, [x for x in buf[-n:] if x is not None]))
-                buf = (buf + [it])[-n:]
+        # a user's rows of a micro-batch may come in several Arrow batches: order them all before folding
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, item], kind="mergesort")
+        for it, t in zip(pdf[item].tolist(), pdf[ts].tolist()):
+            out.append((key[0], it, t, [x for x in buf[-n:] if x is not None]))
+            buf = (buf + [it])[-n:]
         state.update((buf,))
         if out:
             yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "history"])

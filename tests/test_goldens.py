@@ -60,8 +60,6 @@ def test_e1_dynamic_history(spark):
     assert got[(0, 9604210)] == [] and got[(0, 9634540)] == [9604210]
     assert got[(0, None)] == [9604210, 9634540] and got[(0, 9640420)] == [9604210, 9634540]
     assert got[(1, 9647981)] == [9647984, 9647983] and got[(2, None)] == []
-    joined = HI.dynamic_history(df, 3, tiebreak=["item_id"], out="h", method="join")
-    assert {(r.user_id, r.item_id): r.h for r in joined.collect()} == got
 
 
 def test_f2_rank_in_list(spark):

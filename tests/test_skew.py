@@ -37,15 +37,31 @@ def test_top_n_and_first_per_key_on_hot_group(spark):
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, asc.select("user_id", "item_id").collect()))
 
 
-def test_dynamic_history_join_method_on_hot_user(spark):
-    df = _skewed(spark, 6000)
-    a = HI.dynamic_history(df, 4, tiebreak=["item_id"], out="h")
-    b = HI.dynamic_history(df, 4, tiebreak=["item_id"], out="h", method="join")
-    assert sorted((r.item_id, tuple(r.h)) for r in a.collect()) == sorted((r.item_id, tuple(r.h)) for r in b.collect())
-
-
-def test_dynamic_history_auto_picks_join_for_hot_user(spark):
-    from recsuite.operators.history import _has_hot_key
-    assert _has_hot_key(_skewed(spark, 6000), "user_id")
-    even = spark.range(6000).select((F.col("id") % 500).alias("user_id"), F.col("id").alias("ts"), F.col("id").alias("item_id"))
-    assert not _has_hot_key(even, "user_id")
+def test_dynamic_history_on_hot_user_with_extra_columns(spark):
+    df = _skewed(spark, 100_000).withColumn("extra", F.concat(F.lit("x"), F.col("item_id").cast("string")))
+    one = df.withColumn("user_id", F.lit(1))
+    for d in (df, one):
+        got = HI.dynamic_history(d, 4, tiebreak=["item_id"], out="h")
+        w = Window.partitionBy("user_id").orderBy("ts", "item_id").rowsBetween(-4, -1)
+        want = d.withColumn("h", F.collect_list("item_id").over(w))
+        assert set(got.columns) == set(want.columns) and got.count() == want.count()
+        assert got.select(*want.columns).exceptAll(want).isEmpty()
+
+
+def test_numbering_above_the_range_sample(spark):
+    """Rows far above the sample that range bounds are drawn from, with columns that are not part of the order."""
+    df = spark.range(60_000).select(F.xxhash64("id").alias("k"), (F.col("id") % 7).alias("g"),
+                                    F.repeat(F.lit("pad"), 20).alias("pad"), F.col("id").alias("other"))
+    df = df.withColumn("g", F.when(F.col("other") % 3 == 0, F.lit(None)).otherwise(F.col("g")))
+    for aqe in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        try:
+            got = CO.dense_index(df, ["k"], "i")
+            want = df.withColumn("i", F.row_number().over(Window.orderBy("k")) - 1)
+            assert got.agg(F.count("i"), F.countDistinct("i"), F.min("i"), F.max("i")).first()[:] == (60_000, 60_000, 0, 59_999)
+            assert got.withColumn("i", F.col("i").cast("int")).exceptAll(want.select(*got.columns)).isEmpty()
+            got = CO.row_number_per_group(df, ["g"], ["k"], "rn")
+            want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("bigint"))
+            assert got.count() == 60_000 and got.select(*want.columns).exceptAll(want).isEmpty()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
