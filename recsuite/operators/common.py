@@ -45,6 +45,29 @@ def ordered_collect(df: DataFrame, keys, order_cols, value_cols, name="_vals") -
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
 
+def explode_rows(df: DataFrame, keys, values: Column) -> DataFrame:
+    """One row per element of the list ``values`` (one row for an empty or NULL list): the row's ``keys``, the element
+    ``_v`` with its position ``_p``, and on the first element ``_row``: all other columns and ``_null`` (list is
+    NULL).  ``collect_rows`` puts the rows together again, so a list edit needs no join back to its input."""
+    keys = as_list(keys)
+    rest = [F.col(c) for c in df.columns if c not in keys]
+    return df.select(*keys, F.struct(*rest, values.isNull().alias("_null")).alias("_row"),
+                     F.posexplode_outer(values).alias("_p", "_v")) \
+        .withColumn("_row", F.when(F.coalesce("_p", F.lit(0)) == 0, F.col("_row")))
+
+
+def collect_rows(exploded: DataFrame, keys, value: Column, out: str, keep: Column | None = None) -> DataFrame:
+    """The rows of ``explode_rows`` with the list ``out`` of ``value`` by position (elements where ``keep`` holds;
+    ``[]`` if none) and ``_null`` beside the other columns."""
+    keys = as_list(keys)
+    item = F.struct(F.coalesce("_p", F.lit(0)).alias("p"), value.alias("v"))
+    g = exploded.groupBy(*keys).agg(
+        F.first("_row", ignorenulls=True).alias("_row"),
+        F.array_sort(F.collect_list(item if keep is None else F.when(keep, item))).alias("_l"))  # one list
+    rest = [f.name for f in exploded.schema["_row"].dataType.fields if f.name != out]
+    return g.select(*keys, *[F.col("_row")[c].alias(c) for c in rest], F.transform("_l", lambda e: e["v"]).alias(out))
+
+
 def first_per_key(df: DataFrame, keys, order, cols) -> DataFrame:
     """First row per key under ``order`` as a ``min_by`` aggregate: partial aggregation runs map-side, so a hot
     key costs one small partial row per task instead of a whole-group sort."""

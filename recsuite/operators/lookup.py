@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recsuite.operators.common import as_list, first_per_key
+from recsuite.operators.common import as_list, collect_rows, explode_rows, first_per_key
 
 
 def attach_history(behaviors: DataFrame, history: DataFrame, user="user_id") -> DataFrame:
@@ -30,19 +30,14 @@ def map_list(df: DataFrame, list_col: str, lookup: DataFrame, key: str, value: s
     ``fill``), 'drop' (unknown removed).  A NULL or empty list gives one element like the reference's explode:
     [NULL] in 'keep', [fill] in 'fill'; in 'drop' a list left without known ids is NULL."""
     out = out or list_col
-    keys = as_list(row_key)
-    ex = df.select(*keys, F.posexplode_outer(list_col).alias("_p", "_k"))
-    lk = lookup.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
-    j = ex.join(lk, "_k", "left")
-    if mode == "fill":
-        j = j.withColumn("_v", F.coalesce(F.col("_v"), F.lit(fill)))
+    ex = explode_rows(df, row_key, F.col(list_col))
+    lk = lookup.select(F.col(key).alias("_k"), F.col(value).alias("_val"))
+    j = ex.join(lk, ex["_v"] == lk["_k"], "left")
+    val = F.coalesce(F.col("_val"), F.lit(fill)) if mode == "fill" else F.col("_val")
+    got = collect_rows(j, row_key, val, out, F.col("_val").isNotNull() if mode == "drop" else None)
     if mode == "drop":
-        j = j.filter(F.col("_v").isNotNull())
-    coll = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.coalesce(F.col("_p"), F.lit(0)).alias("p"), F.col("_v").alias("v")))).alias("_l"))
-    back = coll.select(*keys, F.transform("_l", lambda e: e["v"]).alias(out))
-    base = df.drop(out) if out in df.columns else df
-    return base.join(back, keys, "left")
+        got = got.withColumn(out, F.when(F.size(out) > 0, F.col(out)))
+    return got.drop("_null")
 
 
 def map_list_small(list_col, mapping: dict, default=None):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recsuite.functions.lists import C, size0
-from recsuite.operators.common import as_list, dense_index, first_per_key
+from recsuite.operators.common import as_list, collect_rows, dense_index, explode_rows, first_per_key
 
 
 # ---- B: projections, filters -----------------------------------------------------------------------------------
@@ -21,9 +21,9 @@ def rename_strict(df: DataFrame, mapping: dict, id_col: str | None = None) -> Da
     """B2: rename with errors on missing source, name clash, or touching the protected id column."""
     for k, v in mapping.items():
         if k not in df.columns:
-            raise KeyError(f"column {k!r} not found")
+            raise KeyError(f"no column {k!r} to rename")
         if v in df.columns and v != k:
-            raise ValueError(f"column {v!r} already exists")
+            raise ValueError(f"the name {v!r} is taken by another column")
         if id_col is not None and k == id_col:
             raise ValueError(f"id column {id_col!r} cannot be renamed")
     return df.withColumnsRenamed(mapping)
@@ -33,7 +33,7 @@ def drop_strict(df: DataFrame, cols, id_col: str | None = None) -> DataFrame:
     """B2: drop columns; missing names and the id column raise."""
     for c in as_list(cols):
         if c not in df.columns:
-            raise KeyError(f"column {c!r} not found")
+            raise KeyError(f"no column {c!r} to drop")
         if c == id_col:
             raise ValueError(f"id column {id_col!r} cannot be dropped")
     return df.drop(*as_list(cols))
@@ -71,18 +71,14 @@ def null_unless_in(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> Data
 def keep_list_elements_in(df: DataFrame, list_col: str, ids: DataFrame, id_col: str, row_key,
                           empty_as_null: bool = True) -> DataFrame:
     """B9 / B19 (any-size id set): keep list elements found in ``ids``; order and duplicates kept.  Explode with
-    position, semi join to the ids, re-collect by position.  Q19: an emptied list is NULL (``empty_as_null``)
+    position, join to the ids, re-collect by position; the other columns travel with the first element.  Q19: an emptied list is NULL (``empty_as_null``)
     or ``[]``; a NULL list stays NULL."""
-    keys = as_list(row_key)
-    k = ids.select(F.col(id_col).alias("_v")).distinct()
-    ex = df.select(*keys, F.posexplode(list_col).alias("_p", "_v"))
-    kept = ex.join(k, "_v", "left_semi")
-    back = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "_v"))).alias("_l")) \
-        .select(*keys, F.transform("_l", lambda e: e["_v"]).alias("_kept"))
-    out = df.join(back, keys, "left")
-    fill = F.lit(None) if empty_as_null else F.array().cast(df.schema[list_col].dataType)
-    return out.withColumn(list_col, F.when(F.col(list_col).isNull(), F.lit(None))
-                          .otherwise(F.coalesce(F.col("_kept"), fill))).drop("_kept")
+    k = ids.select(F.col(id_col).alias("_id")).distinct()
+    ex = explode_rows(df, row_key, F.col(list_col))
+    j = ex.join(k, ex["_v"] == k["_id"], "left")
+    got = collect_rows(j, row_key, F.col("_v"), list_col, F.col("_id").isNotNull())
+    none = F.col("_null") | (F.size(list_col) == 0) if empty_as_null else F.col("_null")
+    return got.withColumn(list_col, F.when(~none, F.col(list_col))).drop("_null")
 
 
 def filter_expr(df: DataFrame, predicates: dict | None = None, row: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recsuite.functions.lists import C
-from recsuite.operators.common import as_list, dense_index
+from recsuite.operators.common import as_list, collect_rows, dense_index, explode_rows
 
 # Fixed value of the reference: the token a word-level encoding falls back to when no word is known.
 EMPTY_TEXT_TOKEN = ","
@@ -93,20 +93,14 @@ def encode_list(df: DataFrame, col: str, vocab: DataFrame, key, out: str | None
     are dropped ('drop', the -1 filter of the reference) or mapped to ``oov``; NULL input -> [].  Explode with
     position, join the vocabulary, re-collect by position (the list never travels through the join whole)."""
     out = out or col
-    keys = as_list(key)
     src = F.split(F.col(col), sep) if sep is not None else F.col(col)
-    ex = df.select(*keys, F.posexplode(src).alias("_p", "_t"))
+    ex = explode_rows(df, key, src)
     v = vocab.select(F.col("token").alias("_t"), F.col("idx").alias("_i"))
-    j = ex.withColumn("_t", F.col("_t").cast("string")).join(v, "_t", "left")
-    if policy == "oov" and oov is not None:
-        j = j.withColumn("_i", F.coalesce("_i", F.lit(oov)))
-    j = j.filter(F.col("_i").isNotNull())
-    back = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "_i"))).alias("_l")) \
-        .select(*keys, F.transform("_l", lambda e: e["_i"]).alias("_enc"))
-    base = df.drop(out) if out in df.columns and out != col else df
-    r = base.join(back, keys, "left").withColumn("_enc", F.coalesce("_enc", F.array().cast("array<bigint>")))
-    if out == col:
-        r = r.drop(col)
+    j = ex.join(v, ex["_v"].cast("string") == v["_t"], "left")
+    idx = F.coalesce("_i", F.when(F.col("_p").isNotNull(), F.lit(oov))) if policy == "oov" and oov is not None else F.col("_i")
+    r = collect_rows(j.withColumn("_i", idx.cast("bigint")), key, F.col("_i"), "_enc", F.col("_i").isNotNull()).drop("_null")
+    if out in df.columns:
+        r = r.drop(out)
     return r.withColumnRenamed("_enc", out)
 
 
@@ -313,16 +307,16 @@ def rename_vocab(vocab: DataFrame, old: str, new: str) -> DataFrame:
     sizes = {r["vocab"]: r["n"] for r in vocab.filter(F.col("vocab").isin(old, new))
              .groupBy("vocab").agg(F.count(F.lit(1)).alias("n")).collect()}
     if old not in sizes:
-        raise ValueError(f"vocab {old} not found")
+        raise ValueError(f"there is no vocabulary {old!r} to merge")
     if new in sizes:
         if sizes[new] != sizes[old]:
-            raise ValueError(f"vocab {new} already exists with different size")
+            raise ValueError(f"vocabulary {new!r} is there already and has another number of tokens")
         return vocab.filter(F.col("vocab") != old)
     return vocab.withColumn("vocab", F.when(F.col("vocab") == old, F.lit(new)).otherwise(F.col("vocab")))
 
 
 # ---- I17: dataset encode configurations (declarative; the same ``encode_table`` job runs each) ----------------
-# Column roles and lengths per dataset as the blueprint lists them; kinds: scalar (entity / id), words (text),
+# Column roles and lengths per dataset as the blueprint lists them; kinds: scalar (entity / id), words (text),
 # split (separator string of ids), list (id list).  ``keep='tail'`` keeps the most recent items of a history.
 DATASET_SPECS = {
     "news_small": {

@@ -194,7 +194,27 @@ def l10(spark, sf):
     return baseline_lists(spark, sf).select("list", L.fmt_list("items").alias("items"))
 
 
-@query("l11_baseline_report", ("L11", "L13", "L14", "D18"))
+_LISTS_SQL = _BASELINES_SQL.split("    SELECT list, array_to_string")[0].replace("WITH inv", "inv", 1)
+
+
+@query("l11_baseline_report", ("L11", "L13", "L14", "D18"), W(
+    f"""WITH {_LISTS_SQL},
+            lists AS (SELECT * FROM editorial WHERE r <= 10 UNION ALL SELECT * FROM popular WHERE r <= 10
+                      UNION ALL SELECT * FROM newest WHERE r <= 10 UNION ALL SELECT * FROM random WHERE r <= 10),
+            v AS (SELECT item_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+                         sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS nrm FROM item_vectors),
+            lu AS (SELECT l.list, l.item_id, v.e, v.nrm FROM lists l JOIN v ON l.item_id = v.item_id),
+            hu AS (SELECT x.impression_id, v.e, v.nrm FROM (SELECT impression_id, unnest(clicked) AS item_id FROM impressions) x
+                   JOIN v ON x.item_id = v.item_id),
+            s AS (SELECT a.list, b.impression_id, avg(1 - {_COS}) AS v FROM lu a, hu b GROUP BY ALL),
+            {_POP_SQL},
+            m AS (SELECT list, 'serendipity' AS metric, avg(v) AS mean, stddev_pop(v) AS std FROM s GROUP BY list
+                  UNION ALL SELECT a.list, 'diversity', avg(1 - {_COS}), 0 FROM lu a JOIN lu b ON a.list = b.list AND a.item_id <> b.item_id GROUP BY a.list
+                  UNION ALL SELECT l.list, 'novelty', avg(-log2(p.popularity)), 0 FROM lists l JOIN pop p ON l.item_id = p.item_id GROUP BY l.list
+                  UNION ALL SELECT l.list, 'sentiment_score', avg(i.sentiment_score), 0 FROM lists l JOIN items i ON l.item_id = i.item_id GROUP BY l.list)
+       SELECT n.list, k.metric, round(m.mean, 6) AS mean, round(CAST(m.std AS DOUBLE), 6) AS std
+       FROM (SELECT DISTINCT list FROM lists) n CROSS JOIN (SELECT unnest(['serendipity', 'diversity', 'novelty', 'sentiment_score']) AS metric) k
+       LEFT JOIN m ON m.list = n.list AND m.metric = k.metric""", "impressions", "candidates", "items", "clicks", "item_vectors"))
 def l11(spark, sf):
     """Every baseline list (editorial, popular, newest, random) given to every user with clicks: mean / population std
     over users of serendipity against the user's clicks, and the list's diversity, novelty and sentiment.  The

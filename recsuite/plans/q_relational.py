@@ -156,12 +156,12 @@ def b22(spark, sf):
 
 
 @query("b23_fold_categories", ("B23", "I10"), W(
-    "SELECT item_id, CASE WHEN category IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'nyheder' ELSE category END AS category "
+    "SELECT item_id, CASE WHEN category IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'other' ELSE category END AS category "
     "FROM items", "items"))
 def b23(spark, sf):
     """Listed categories folded into one bucket."""
     return fx.items(spark, sf).select(
-        "item_id", P.fold_categories("category", ["Brand#1", "Brand#2", "Brand#3"], "nyheder").alias("category"))
+        "item_id", P.fold_categories("category", ["Brand#1", "Brand#2", "Brand#3"], "other").alias("category"))
 
 
 # Fixed values of the reference: postcode class names by code.

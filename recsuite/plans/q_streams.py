@@ -33,6 +33,22 @@ def p1(spark, sf):
                     F.round("ctr", 6).alias("ctr"))
 
 
+@query("p1_windowed_auc_stream", ("P1",), """
+    WITH e AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, value, CAST(event_type = 'click' AS INTEGER) AS y FROM events
+               WHERE event_type IN ('view', 'click')),
+         r AS (SELECT w, y, rank() OVER (PARTITION BY w ORDER BY value) + (count(*) OVER (PARTITION BY w, value) - 1) / 2.0 AS rk FROM e),
+         a AS (SELECT w, sum(y) AS p, count(*) AS n, sum(CASE WHEN y = 1 THEN rk END) AS s FROM r GROUP BY w)
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(p AS BIGINT) AS clicks, n AS shown,
+           round(CASE WHEN p > 0 AND n > p THEN (s - p * (p + 1) / 2.0) / (p * (n - p)) END, 6) AS auc
+    FROM a WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_type IN ('view', 'click')) - INTERVAL 1 HOUR""")
+def p1_auc(spark, sf):
+    """Daily AUC of the event value as a score for click against view, from streamed counts per window and score."""
+    out = ST.run_to_parquet(ST.windowed_score_counts(_events_stream(spark, sf), "value"), "p1_auc")
+    r = ST.windowed_auc(spark.read.parquet(out))
+    return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "clicks", "shown",
+                    F.round("auc", 6).alias("auc"))
+
+
 @query("p2_last_n_history_stream", ("P2",), f"""
     SELECT user_id, event_id, {L.sql_fmt_list('coalesce(list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), [])')} AS history
     FROM events""")

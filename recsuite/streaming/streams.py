@@ -14,7 +14,7 @@ import os
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -37,6 +37,27 @@ def windowed_ctr(stream: DataFrame, ts="ts", kind="event_type", window="1 day",
                     F.try_divide(F.col("clicks").cast("double"), F.col("shown")).alias("ctr"))
 
 
+def windowed_score_counts(stream: DataFrame, score: str, ts="ts", kind="event_type", window="1 day", delay="1 hour",
+                          shown=("view", "click"), clicked=("click",)) -> DataFrame:
+    """Clicks ``p`` and other shown events ``q`` per event-time window and score: what an exact AUC needs, as a
+    streaming aggregation (late rows beyond the watermark dropped)."""
+    s = stream.filter(F.col(kind).isin(list(shown))).withColumn(ts, F.col(ts).cast("timestamp"))
+    hit = F.col(kind).isin(list(clicked)).cast("bigint")
+    g = s.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w"), F.col(score).alias("score")) \
+        .agg(F.sum(hit).alias("p"), F.sum(1 - hit).alias("q"))
+    return g.select(F.col("w.start").alias("window_start"), "score", "p", "q")
+
+
+def windowed_auc(counts: DataFrame) -> DataFrame:
+    """Exact ROC AUC (ties 1/2) per window from its score counts; NULL where a window has one class only."""
+    above = Window.partitionBy("window_start").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    c = counts.withColumn("q_above", F.coalesce(F.sum("q").over(above), F.lit(0)))
+    P, N = F.sum("p"), F.sum("q")
+    lost = F.sum(F.col("p") * (F.col("q_above") + 0.5 * F.col("q")))
+    return c.groupBy("window_start").agg(P.alias("clicks"), (P + N).alias("shown"),
+                                         F.when((P > 0) & (N > 0), 1 - lost / (P * N)).alias("auc"))
+
+
 def run_to_parquet(df: DataFrame, name: str) -> str:
     """Run a streaming query once over everything available (append mode, Parquet sink, checkpointed in the
     shared folder) and return the output path."""
