@@ -76,7 +76,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, segments: int | N
                   .select("q", "seg", F.explode(_literal(masks)).alias("mask"), "own")
                   .filter(F.col("mask") < F.element_at(_literal([1 << w for w in widths]), F.col("seg") + 1))
                   .select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
-        x, y = probes.alias("x"), index.alias("y")
+        # the planner takes the exploded probes for small; neither side is to be broadcast
+        x, y = probes.hint("merge").alias("x"), index.hint("merge").alias("y")
         distance = F.bit_count(F.col("x.q").bitwiseXOR(F.col("y.code")))
         near = (x.join(y, (F.col("x.seg") == F.col("y.seg")) & (F.col("x.value") == F.col("y.value"))
                        & (distance >= low) & (distance <= high))
