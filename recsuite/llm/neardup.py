@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     required = F.when(F.col("r") <= k, F.greatest(F.lit(1), exact)).otherwise(F.lit(common)).cast("int")
     values = viable.select("rep", "n", "r", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    lists = (values.join(shared, "v").groupBy("rep", "n", "r")
+    # exploded sketches are larger than the planner thinks: no broadcast
+    lists = (values.hint("merge").join(shared, "v").groupBy("rep", "n", "r")
              .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))  # at most k per class
              .withColumn("take", F.size("vs") - required + 1).filter("take > 0")
              .select("rep", "n", "r", F.explode(F.slice("vs", F.lit(1), F.col("take"))).alias("e"))
@@ -174,9 +175,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the smallest set of a list bounds what its members can reach; members that cannot reach it leave the list
     least = lists.groupBy("v").agg(F.min("n").alias("n_min"))
     partner = F.greatest(F.col("n_min"), F.ceil(F.col("n") * share / whole))
-    lists = lists.join(least, "v").filter(F.col("r") * whole >= (F.col("n") + partner - F.col("r")) * share).drop("n_min")
+    lists = lists.hint("merge").join(least, "v").filter(F.col("r") * whole >= (F.col("n") + partner - F.col("r")) * share).drop("n_min")
     lengths = lists.groupBy("v").agg(F.count(F.lit(1)).alias("len")).filter("len > 1")
-    lists = table(lists.join(lengths, "v").withColumn("own", F.col("n") - F.col("r")), "long_enough")
+    lists = table(lists.hint("merge").join(lengths, "v").withColumn("own", F.col("n") - F.col("r")), "long_enough")
 
     # intersection <= shared shingles of either: pairs that this rules out are not formed
     most = F.least("x.r", "y.r")
