@@ -64,10 +64,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and the decoded text."""
-    path = word_tokenizer()
-    ids = bpe.encode(docs, path, ["doc_id", "lang", "source"])
-    return bpe.decode(ids.withColumn("n_tokens", F.size("ids").cast("long")), path,
-                      ["doc_id", "lang", "source", "n_tokens", "ids"])
+    return bpe.encode_and_decode(docs, word_tokenizer(), ["doc_id", "lang", "source"])
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("suffix_dedup", suffix_dedup),

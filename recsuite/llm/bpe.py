@@ -68,9 +68,11 @@ class Splitter:
         self.fast = spec["normalizer"] == _NORMALISER and steps[0]["pattern"] == {"Regex": _PATTERN}
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self._words = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": steps[0]}))
-        self._ids = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": steps[1]}))
-        self._ids.no_truncation(), self._ids.no_padding()
+        # splitting needs no vocabulary; the model for the ids is loaded where words are encoded
+        bare = {"model": spec["model"] | {"vocab": {}, "merges": []}, "added_tokens": [], "pre_tokenizer": steps[0],
+                "post_processor": None, "truncation": None, "padding": None}
+        self._words = Tokenizer.from_str(json.dumps(spec | bare))
+        self._path, self._ids = path, None
 
     def _plain(self, text: str) -> list[str]:
         if self.fast and not _SLOW.search(text):
@@ -89,6 +91,13 @@ class Splitter:
         return out + self._plain(text[at:])
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
+        if self._ids is None:
+            from tokenizers import Tokenizer
+
+            self._ids = Tokenizer.from_file(self._path)
+            self._ids.normalizer = None  # words are normalised and split already
+            self._ids.pre_tokenizer = self._ids.pre_tokenizer[1]
+            self._ids.no_truncation(), self._ids.no_padding()
         return [e.ids for e in self._ids.encode_batch_fast(words, add_special_tokens=False)]
 
 
@@ -243,6 +252,16 @@ def decode(encoded: DataFrame, tokenizer_path: str, keep: list[str] | None = Non
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "decoded")
 
 
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None,
+                      text_col: str = "text") -> DataFrame:
+    """``keep`` columns plus n_tokens, ids and decoded, with one Python step where the ids are joined back."""
+    def both(ids: pa.ListArray) -> dict[str, pa.Array]:
+        return {"n_tokens": pc.list_value_length(ids).cast(pa.int64()), "ids": ids,
+                "decoded": pieces(tokenizer_path).decode(ids)}
+
+    return encode(docs, tokenizer_path, keep, text_col, both, "n_tokens bigint, ids array<int>, decoded string")
+
+
 def op2_bpe(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def digests(ids: pa.ListArray) -> dict[str, pa.Array]:
         numbers = pc.binary_join(pc.cast(ids, pa.list_(pa.string())), " ")
