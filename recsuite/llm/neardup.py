@@ -10,10 +10,11 @@ is the set of documents with equal shingle sets; it is handled once, under its s
   sketches         the ``K`` smallest hashes of a document's shared shingles
   inverted lists   sketch value -> classes.  Two linked classes share at least ``required`` values, so they meet in a
                    list of each one's rarest ``size - required + 1`` values; only those are kept.
-  candidates       all pairs of a short list.  A long list is worked off in rounds: the members with the fewest
-                   shingles of their own are compared with all others, and only members of different components are
-                   compared in later rounds, until no two components of a list are left uncompared.  Pairs whose
-                   counts of shingles and shared shingles rule a link out are not formed.
+  candidates       all pairs of a short list.  In a long list all members are compared with its pivot, the member with
+                   the fewest shingles of its own; then more members in rounds, each with the members of other
+                   components, until no two components of a list are left uncompared.  Pairs whose counts rule a link
+                   out are not formed: what two members have in common is bounded by what each shares with the pivot
+                   and by the overlap of their differences from it, which two small bit maps bound from above.
   estimate         pairs whose K smallest values of the united sketches hold too few common ones are dropped
   verification     Jaccard similarity of the full shingle sets
 
@@ -204,10 +205,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.rep") < F.col("y.rep")) & possible
                     & (F.col("x.len") <= short_list) & (F.col("y.len") <= short_list)).select(*pair))
     long = lists.filter(F.col("len") > short_list)
-    first = long.groupBy("v").agg(F.min(F.struct("own", "rep", "n", "r")).alias("p")).select("v", "p.rep", "p.n", "p.r")
-    star = long.alias("x").join(first.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.rep") != F.col("y.rep"))
-                                & possible).select(*pair)
-    links = links_of(short.union(star).distinct(), "0")
+    links = links_of(short.distinct(), "0")
+
+    # every member of a long list against the list's pivot p: a in common, d only in p, e only in the member, and the
+    # differences as bit maps
+    first = long.groupBy("v").agg(F.min(F.struct("own", "rep")).alias("p")).select("v", F.col("p.rep").alias("p"))
+    member = long.join(first, "v")
+    family = (member.select("p", "rep").distinct().join(side("p", "n", "r", "shared"), "p")
+              .join(side("rep", "n", "shared"), "rep")
+              .withColumn("a", F.size(F.array_intersect("shared_p", "shared_rep")).cast("bigint"))
+              .withColumn("in_p", F.array_except("shared_p", "shared_rep"))
+              .withColumn("in_x", F.array_except("shared_rep", "shared_p")))
+    def bit_map(values, skip: int):
+        """Six bits of every value, above the ``skip`` lowest, as a map of 64 bits."""
+        one = F.lit(1).cast("bigint")
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.call_function(
+            "shiftleft", one, F.shiftrightunsigned(x, skip).bitwiseAND(F.lit(63)).cast("int"))))
+
+    maps = {f"{name}{i}": bit_map(col, 6 * i) for name, col in (("d", "in_p"), ("e", "in_x")) for i in (0, 1)}
+    family = table(family.select("p", "rep", "n_p", "r_p", "n_rep", "a", F.size("in_p").cast("bigint").alias("d"),
+                                 F.size("in_x").cast("bigint").alias("e"), *[c.alias(n) for n, c in maps.items()]),
+                   "families")
+    links = links.union(family.filter((F.col("p") != F.col("rep")) & (
+        F.col("a") * whole >= (F.col("n_p") + F.col("n_rep") - F.col("a")) * share))
+        .select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct())
+    long = table(member.join(family.drop("n_p", "n_rep"), ["p", "rep"]), "members")
+
+    def overlap(name: str):
+        """Upper bound of the common elements of two members' differences."""
+        bounds = [F.col(f"x.{name}"), F.col(f"y.{name}")]
+        for i in (0, 1):
+            one, two = F.col(f"x.{name}{i}"), F.col(f"y.{name}{i}")
+            both = F.bit_count(one.bitwiseAND(two)).cast("bigint")
+            bounds += [both + F.col(f"x.{name}") - F.bit_count(one), both + F.col(f"y.{name}") - F.bit_count(two)]
+        return F.least(*bounds)
+
+    common_most = F.col("x.a") + F.col("y.a") - F.col("x.r_p") + overlap("d") + overlap("e")
+    possible = possible & (common_most * whole >= (F.col("x.n") + F.col("y.n") - common_most) * share)
     # rows that share an id are one document
     twins = (known.groupBy("doc_id").agg(F.min("set_a").alias("lo"), F.max("set_a").alias("hi")).filter("lo <> hi")
              .select("doc_id"))
@@ -217,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut_lineage(components(links))
 
     # later rounds: lists that still hold several components
-    done, more = 1, 15
+    done, more = 1, 63
     while True:
         labelled = (long.join(found.withColumnRenamed("node", "rep"), "rep", "left")
                     .withColumn("comp", F.coalesce("component", "rep")).drop("component"))
@@ -231,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = (labelled.alias("x").join(pivots.alias("y"), (F.col("x.v") == F.col("y.v"))
                                           & (F.col("x.comp") != F.col("y.comp")) & possible).select(*pair).distinct())
         new = links_of(pairs, str(done))
-        done, more = done + more, more * 4
+        done, more = done + more, more * 16
         if not new.isEmpty():
             links = links.union(new)
             found = cut_lineage(components(links))
