@@ -17,7 +17,7 @@ def _metric_sql(select: str, by=None) -> str:
     return fx.with_views(select, "candidates", extra=ctes)
 
 
-@query("metrics_macro", ids=("K1", "K3", "K4", "K5", "K6", "K8", "K9", "K10", "K12", "K13", "K14", "K15", "J21"),
+@query("metrics_macro", ids=("K1", "K3", "K4", "K5", "K6", "K8", "K9", "K10", "K12", "K13", "K14", "K15"),
        sql=_metric_sql(macro_mean_sql(KS)))
 def metrics_macro(spark, sf_dir):
     """Flagship: rank every in-view list once, compute all list metrics, macro-average into one row."""
