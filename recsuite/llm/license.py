@@ -1,9 +1,11 @@
 """Licence scans: passages of a text that are a known licence text or notice.
 
-The text is compared piece by piece: the whole text, its paragraphs (runs of lines between blank lines) and its lines.
-A piece and a template are sets of word bigrams of their normalised text; their likeness is the Dice coefficient
+The text is compared piece by piece: the whole text, its paragraphs (runs of lines between blank lines), its lines, and
+windows of about a template's size anywhere in the text, whatever lines and paragraphs they cross.  A piece and a template are sets of word bigrams of their normalised text; their likeness is the Dice coefficient
 2 * common / (bigrams + bigrams).  Before any bigram is looked at, a template is ruled out for a piece whose size alone
-keeps the coefficient under the threshold, and a piece that shares no bigram with any template is skipped.
+keeps the coefficient under the threshold, and a piece that shares no bigram with any template is skipped.  A window at the
+threshold holds so many of the template's bigrams that it has one of any few of them: windows are looked for only in
+texts that have one of these.
 
 Normalised: lower case, licence spellings unified, words are runs of letters and digits.
 
@@ -15,7 +17,9 @@ extra columns are carried only if listed in ``keep``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +54,19 @@ notice, this list of conditions and the following disclaimer in the documentatio
 the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
 promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
 COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause (short)": """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
 IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
     "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
@@ -60,6 +77,12 @@ language governing permissions and limitations under the License.""",
 the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
 your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
 WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+Public License for more details. You should have received a copy of the GNU General Public License along with
+this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "GPL-3.0-or-later (short)": """This program is free software: you can redistribute it and/or modify it under the terms of
+the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
 Public License for more details.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
 MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
@@ -76,6 +99,8 @@ _WORD = re.compile(r"[^\W_]+")
 _SAME = [(re.compile(p), r) for p, r in ((r"\blicence", "license"), (r"\bsub-licen[cs]e", "sublicense"),
                                          (r"\bnon-infringement", "noninfringement"),
                                          (r"\bcopyright owner", "copyright holder"))]
+# a word as written, in lower case: spellings with a hyphen that are one word when unified are one
+_SPAN = re.compile(r"\b(?:sub-licen[cs]e|non-infringement)[^\W_]*|[^\W_]+")
 
 
 def words(text: str) -> list[str]:
@@ -117,6 +142,15 @@ def pieces(text: str) -> Iterator[tuple[str, int, str]]:
             yield "line", start, line
 
 
+def offsets(text: str) -> list[tuple[int, int]]:
+    """(start, end) in ``text`` of every one of its ``words``."""
+    low = text.lower()
+    at = range(len(low) + 1)
+    if len(low) != len(text):  # letters that are longer in lower case
+        at = [i for i, c in enumerate(text) for _ in c.lower()] + [len(text)]
+    return [(at[m.start()], at[m.end() - 1] + 1) for m in _SPAN.finditer(low)]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float):
         self.threshold = threshold
@@ -126,6 +160,52 @@ class Scanner:
         self.largest = max((b[1] for b in self.bounds.values()), default=0)
         self.smallest = min((b[0] for b in self.bounds.values()), default=0)
         self.known = frozenset().union(*self.sets.values())
+        held = Counter(g for other in self.sets.values() for g in other)
+        self.anchors: dict[tuple, list[str]] = {}
+        self.least, self.longest = {}, {}
+        for name, other in self.sets.items():
+            # common >= threshold * (window + template) / 2 and window >= lowest size: fewer are not enough
+            self.least[name] = max(1, ceil(threshold * len(other) / (2 - threshold) - 1e-9))
+            n_words = len(words(templates[name]))
+            self.longest[name] = ceil(n_words * (2 - threshold) / threshold)
+            for g in sorted(other, key=lambda g: (held[g], -len("".join(g)), g))[:len(other) - self.least[name] + 1]:
+                self.anchors.setdefault(g, []).append(name)
+
+    def windows(self, w: list[str]) -> Iterator[tuple[str, float, int, int]]:
+        """(template, dice, first word, end) of the most alike window for every template that has one."""
+        grams = list(zip(w, w[1:])) if len(w) > 1 else []
+        there = self.anchors.keys() & set(grams)
+        for name in dict.fromkeys(n for g in there for n in self.anchors[g]):
+            other, least = self.sets[name], self.least[name]
+            hits = [i for i, g in enumerate(grams) if g in other]
+            if len(hits) < least:
+                continue
+            high, best = self.bounds[name][1], (0.0, 0, 0)
+            # a window only gains by a neighbour that is a hit, so the best one starts where a run of hits starts
+            for n, i in enumerate(hits):
+                if n and hits[n - 1] == i - 1 and len(hits) > 1 and (n % self.longest[name]):
+                    continue
+                if n + least > len(hits) or hits[n + least - 1] - i >= self.longest[name]:
+                    continue
+                seen, common = set(), 0
+                for j in range(i, min(len(grams), i + self.longest[name])):
+                    if grams[j] in seen:
+                        continue
+                    seen.add(grams[j])
+                    if len(seen) > high:
+                        break
+                    if grams[j] in other:
+                        common += 1
+                        dice = 2 * common / (len(seen) + len(other))
+                        if dice > best[0]:
+                            best = (dice, i, j + 2)
+                if best[0] == 1.0:
+                    break
+            if best[0] >= self.threshold:
+                dice, i, end = best  # repeated bigrams at the end of a template belong to it, too
+                while end <= len(grams) and end - 1 - i < self.longest[name] and grams[end - 1] in other:
+                    end += 1
+                yield name, dice, i, end
 
     def scan(self, text: str | None) -> list[tuple[str, float, str, int, int]]:
         """(template, dice, kind, start, length) of the most alike piece for every template reached."""
@@ -144,6 +224,15 @@ class Scanner:
                     dice = 2 * len(mine & other) / (len(mine) + len(other))
                     if dice >= self.threshold and dice > best.get(name, (0.0,))[0]:
                         best[name] = (dice, kind, start, len(piece))
+        text = text or ""
+        w = words(text)
+        if len(w) > 1 and len(w) - 1 >= self.smallest:
+            at = None
+            for name, dice, first, end in self.windows(w):
+                if dice > best.get(name, (0.0,))[0]:
+                    at = offsets(text) if at is None else at
+                    start = at[first][0]
+                    best[name] = (dice, "window", start, at[end - 1][1] - start)
         return [(name, *best[name]) for name in self.sets if name in best]
 
 

@@ -54,3 +54,52 @@ def test_lm_hot_pairs_are_seated_anew():
     # a million customers: Poisson(weight / discount) tables and one more, whatever the count before
     mine = pylm.draw_tables(np.full(300, 10 ** 9), np.full(300, 7.0), 0.7, rng)
     assert abs(mine.mean() - 11) < 1
+
+
+# 7 ----------------------------------------------------------------------------------------------------------------
+def test_license_in_its_usual_layout_inside_a_document():
+    from recsuite.llm import license
+    scanner = license.Scanner(license.TEMPLATES, license.THRESHOLD)
+    mit = license.TEMPLATES["MIT"].replace("conditions: The", "conditions:\n\nThe").replace("Software.\nTHE", "Software.\n\nTHE")
+    assert mit.count("\n\n") == 2
+    text = f"A tale of İzmir.\n\nIt goes on\n\n{mit}\n\nHere it ends."
+    (name, dice, kind, start, length), = scanner.scan(text)
+    assert (name, dice, kind) == ("MIT", 1.0, "window") and text[start:start + length + 1] == mit
+    spelt = mit.replace("sublicense", "sub-licence").replace("NONINFRINGEMENT", "NON-INFRINGEMENT")
+    text = f"x y {spelt} {'thus it goes ' * 50}"
+    (name, dice, _, start, length), = scanner.scan(text)
+    assert (name, dice) == ("MIT", 1.0) and text[start:start + length + 1] == spelt
+    # mid-line, and not at all where a fifth of it is gone
+    assert [m[0] for m in scanner.scan("page 3 | All rights reserved. | page 4")] == ["All rights reserved"]
+    assert not scanner.scan("\n\n".join(["word", " ".join(license.TEMPLATES["MIT"].split()[:110]), "word"]))
+
+
+def test_license_templates_are_whole():
+    from recsuite.llm import license
+    scanner = license.Scanner(license.TEMPLATES, license.THRESHOLD)
+    for name, end in (("BSD-3-Clause", "POSSIBILITY OF SUCH DAMAGE."), ("GPL-3.0-or-later", "gnu.org/licenses/>.")):
+        assert license.TEMPLATES[name].endswith(end)
+        numbered = "Copyright (c) 2020, A Person\n\n" + license.TEMPLATES[name] + "\n\nfoo()\n"
+        assert name in [m[0] for m in scanner.scan(numbered)]
+
+
+def test_license_windows_equal_brute_force():
+    import random
+
+    from recsuite.llm import license
+    rnd = random.Random(3)
+    templates = {"a": " ".join(f"w{i % 17}" for i in range(30)), "b": "p q r s t u v w x y z"}
+    scanner = license.Scanner(templates, 0.8)
+    found = 0
+    for _ in range(300):
+        w = [v for _ in range(3) for v in [*rnd.choices("abc", k=rnd.randrange(3)), *rnd.choice(list(templates.values())).split()]
+             if rnd.random() > 0.04]
+        got = {name: dice for name, dice, *_ in scanner.windows(w)}
+        for name, t in templates.items():
+            other = license.bigrams(t.split())
+            best = max(2 * len(g & other) / (len(g) + len(other)) for i in range(len(w) - 1)
+                       for j in range(i + 2, min(len(w), i + scanner.longest[name] + 1) + 1)
+                       for g in [license.bigrams(w[i:j])])
+            assert abs(got.get(name, 0) - (best if best >= 0.8 else 0)) < 1e-9, (name, w)
+            found += best >= 0.8
+    assert found > 100
