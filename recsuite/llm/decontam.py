@@ -1,6 +1,7 @@
 """Benchmark decontamination: documents that hold a benchmark item, word for word or nearly.
 
-The windows of a document that are compared with an item have as many words as the item.  Windows and items get a
+The windows of a document that are compared with an item have as many words as the item, or are the whole document where
+it is shorter.  Windows and items get a
 64-bit SimHash of their weighted shingles; a window is a candidate if its fingerprint is within ``radius`` bits of the
 item's, found over ``radius + 1`` blocks of the fingerprint, one of which has to be equal (multi-index Hamming), so no
 fingerprint within the radius is missed.  Candidates are verified by the exact weighted Jaccard similarity of their
@@ -12,7 +13,8 @@ Items are processed in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_WORDS
 each block is one pass over the documents, so benchmarks of any size run in bounded memory.
 
 Defined results: words are runs of letters and digits in lower case.  NULL, empty or wordless texts match nothing;
-items of fewer than ``SHINGLE`` words are compared as one shingle; repeated rows give repeated matches; a NULL item id
+items of fewer than ``SHINGLE`` words are found where a text has exactly their words in a row (without ``short_runs``:
+only as a whole text); repeated rows give repeated matches; a NULL item id
 or text matches nothing; empty tables give an empty result.
 """
 
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import FOLD, U64, mix, row_blocks, shingle_hashes, span_hashes, spread, text_bytes, text_column, whole_hash
+from .blocks import (_BASE, _MULT, FOLD, U64, mix, row_blocks, shingle_hashes, span_hashes, spread, text_bytes,
+                     text_column, whole_hash)
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -75,6 +78,16 @@ def _shingles(words: np.ndarray, size: int) -> np.ndarray:
     return shingle_hashes(words, size) if len(words) >= size else whole_hash(words) if len(words) else words
 
 
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """``whole_hash`` of every run of ``n`` words."""
+    m = max(0, len(words) - n + 1)
+    with np.errstate(over="ignore"):
+        h = np.full(m, U64(n) * _MULT)
+        for j in range(n):
+            h = h * U64(_BASE) + words[j:j + m]
+        return mix(h)
+
+
 def _bits(shingles: np.ndarray) -> np.ndarray:
     """-1 / +1 for the 64 bits of every hash."""
     raw = np.unpackbits(mix(shingles).view(np.uint8).reshape(-1, 8), axis=1)
@@ -113,6 +126,28 @@ class Index:
         # presence of a shingle: a bit table keeps nearly all others away from the search
         self.table = np.zeros(1 << 22, bool)
         self.table[self.known >> U64(42)] = True
+        # items under a shingle's length: item of each run of words, by the number of words
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({w for w in self.words if w < size}):
+            own = np.array([i for i, w in enumerate(self.words) if w == n])
+            hashes_n = np.array([self.bags[i][0] for i in own], np.uint64)
+            by = np.argsort(hashes_n, kind="stable")
+            self.runs[n] = hashes_n[by], own[by]
+
+    def short_runs(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, first word within the text) of the first place of every short item in every text."""
+        out: dict[tuple[int, int], int] = {}
+        for n, (known, own) in self.runs.items():
+            every = run_hashes(words, n)
+            low = np.searchsorted(known, every)
+            count = np.searchsorted(known, every, side="right") - low
+            at = np.flatnonzero(count)
+            row = np.searchsorted(first, at, side="right") - 1
+            inside = at + n <= first[row + 1]  # runs end in the text they start in
+            for p, r in zip(at[inside].tolist(), row[inside].tolist()):
+                for i in own[low[p]:low[p] + count[p]].tolist():
+                    out.setdefault((r, i), p - int(first[r]))
+        return [(r, i, p) for (r, i), p in out.items()]
 
     def _w(self, h: int) -> float:
         return self.weights.get(h, self.weights[None])
@@ -155,9 +190,9 @@ def _matches(words: np.ndarray, shingles: np.ndarray, found: np.ndarray, index:
     weight = np.full(len(shingles), index.weights[None])
     weight[found] = index.weight[np.searchsorted(index.known, shingles[found])]
     for i in np.unique(item).tolist():
-        length = index.words[i]
-        if length > len(words) or length < index.size:
+        if index.words[i] < index.size:
             continue
+        length = min(index.words[i], len(words))
         span = length - index.size + 1  # shingles of a window
         near = pos[item == i]
         starts = np.unique(np.clip((near[:, None] - np.arange(span)[None, :]).ravel(), 0, len(words) - length))
@@ -210,8 +245,10 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, max_items: int, max_wo
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
                  item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE,
-                 radius: int = RADIUS, max_items: int = BLOCK_ITEMS, max_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, n_words): the best window of a document for every item it holds."""
+                 radius: int = RADIUS, max_items: int = BLOCK_ITEMS, max_words: int = BLOCK_WORDS,
+                 short_runs: bool = False) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_words): the best window of a document for every item it holds;
+    ``n_words`` are those of the item.  ``short_runs``: items of fewer than ``size`` words also inside longer texts."""
     spark = docs.sparkSession
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in src.schema} | \
@@ -232,8 +269,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
                     every = shingle_hashes(hashes, size)
                     hits = index.hits(every) if len(every) and len(index.known) else np.empty(0, np.int64)
                     row = np.searchsorted(first, hits, side="right") - 1
-                    got = []
-                    short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size))
+                    got = [(r, i, 1.0, p) for r, i, p in index.short_runs(hashes, first)] if short_runs else []
+                    short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size)) if not short_runs else row[:0]
                     for r in sorted({*np.unique(row).tolist(), *short.tolist()}):
                         a, b = first[r], first[r + 1]
                         own = _shingles(hashes[a:b], size)
@@ -252,4 +289,4 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
 
 
 def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return contaminated(docs, benchmark)
+    return contaminated(docs, benchmark, short_runs=True)

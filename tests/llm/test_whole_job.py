@@ -103,3 +103,16 @@ def test_license_windows_equal_brute_force():
             assert abs(got.get(name, 0) - (best if best >= 0.8 else 0)) < 1e-9, (name, w)
             found += best >= 0.8
     assert found > 100
+
+
+# 8 ----------------------------------------------------------------------------------------------------------------
+def test_decontamination_finds_shortened_items_and_short_items(make):
+    from recsuite.llm import decontam
+    item = [f"word{i}" for i in range(40)]
+    bench = make([(1, " ".join(item)), (2, "Short item, here"), (3, "one")], "item_id bigint, text string")
+    texts = [" ".join(item[:38]), " ".join(item[:25]), "a short ITEM here and there", "short item", "here short item",
+             "short", "item here", "short item here", "it is one", " ".join(item[1:])]
+    docs = make([row(i, t) for i, t in enumerate(texts)], DOCS, 1)  # neighbours: no run crosses a text's end
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 3), r.first_word) for r in
+           decontam.op8_decontamination(docs, bench).collect()}
+    assert got == {(0, 1): (0.944, 0), (2, 2): (1.0, 1), (7, 2): (1.0, 0), (8, 3): (1.0, 2), (9, 1): (0.972, 0)}
