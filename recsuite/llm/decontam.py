@@ -10,7 +10,8 @@ shingles.  A shingle weighs the more the fewer items hold it.
 A window that shares no shingle with an item has similarity 0, so windows are formed only around shared shingles.
 
 Items are processed in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words, whose index every task holds;
-each block is one pass over the documents, so benchmarks of any size run in bounded memory.
+each block is one pass over the documents.  Weights are those of the whole benchmark for every block: driver and tasks
+hold 16 bytes for every shingle that several items share, the only memory that grows with the benchmark.
 
 Defined results: words are runs of letters and digits in lower case.  NULL, empty or wordless texts match nothing;
 items of fewer than ``SHINGLE`` words are found where a text has exactly their words in a row (without ``short_runs``:
@@ -101,9 +102,10 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 class Index:
     """Items of one block: shingles, weights, fingerprints and the Hamming blocks."""
 
-    def __init__(self, ids: list, texts: list, weights: dict[int, float], size: int, radius: int):
+    def __init__(self, ids: list, texts: list, weights: tuple[np.ndarray, np.ndarray, float], size: int, radius: int):
         hashes, first = word_hashes(pa.array(texts, pa.large_string()))
-        self.size, self.radius, self.weights = size, radius, weights
+        self.size, self.radius = size, radius
+        self.shared, self.shared_weight, self.alone = weights
         self.ids, self.words, self.bags = [], [], []
         for i, a, b in zip(ids, first[:-1], first[1:]):
             if b > a:
@@ -116,9 +118,8 @@ class Index:
         self.flat, self.owner = flat[order], owner[order]
         self.known, self.begin = np.unique(self.flat, return_index=True)
         self.end = np.append(self.begin[1:], len(self.flat))
-        self.weight = np.array([weights[int(h)] for h in self.known])
         self.prints = np.array([self._print(b) for b in self.bags], dtype=np.uint64)
-        self.total = [sum(self._w(h) * c for h, c in Counter(b.tolist()).items()) for b in self.bags]
+        self.total = [self._mass(Counter(b.tolist())) for b in self.bags]
         # blocks of the fingerprint: radius + 1 runs of bits, at most 64
         edges = np.linspace(0, 64, min(radius + 1, 64) + 1).astype(int)
         self.masks = np.array([((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges[:-1], edges[1:])],
@@ -149,11 +150,20 @@ class Index:
                     out.setdefault((r, i), p - int(first[r]))
         return [(r, i, p) for (r, i), p in out.items()]
 
-    def _w(self, h: int) -> float:
-        return self.weights.get(h, self.weights[None])
+    def weigh(self, shingles: np.ndarray) -> np.ndarray:
+        """Weights of shingles over the whole benchmark, also of those that only items of other blocks hold."""
+        out = np.full(len(shingles), self.alone)
+        if len(self.shared) and len(shingles):
+            k = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+            out = np.where(self.shared[k] == shingles, self.shared_weight[k], out)
+        return out
+
+    def _mass(self, bag: Counter) -> float:
+        w = self.weigh(np.fromiter(bag, np.uint64, len(bag)))
+        return float(sum(x * c for x, c in zip(w.tolist(), bag.values())))
 
     def _print(self, bag: np.ndarray) -> np.uint64:
-        w = np.array([self._w(h) for h in bag.tolist()], dtype=np.float32)
+        w = self.weigh(bag).astype(np.float32)
         return _pack((_bits(bag) * w[:, None]).sum(axis=0, keepdims=True))[0]
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
@@ -171,8 +181,8 @@ class Index:
 
     def similarity(self, bag: Counter, item: int) -> float:
         mine = Counter(self.bags[item].tolist())
-        both = sum(self._w(h) * min(c, bag[h]) for h, c in mine.items() if h in bag)
-        every = self.total[item] + sum(self._w(h) * c for h, c in bag.items()) - both
+        both = self._mass(mine & bag)
+        every = self.total[item] + self._mass(bag) - both
         return both / every if every else 0.0
 
 
@@ -187,8 +197,7 @@ def _matches(words: np.ndarray, shingles: np.ndarray, found: np.ndarray, index:
     out = []
     order = np.lexsort((pos, item))
     item, pos = item[order], pos[order]
-    weight = np.full(len(shingles), index.weights[None])
-    weight[found] = index.weight[np.searchsorted(index.known, shingles[found])]
+    weight = index.weigh(shingles)
     for i in np.unique(item).tolist():
         if index.words[i] < index.size:
             continue
@@ -227,12 +236,35 @@ def _weights(rows: list, size: int) -> dict:
     return {h: 1.0 + float(np.log(n / c)) for h, c in held.items()} | {None: 1.0 + float(np.log(n))}
 
 
+def _item_rows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return items.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()) \
+        .select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct()
+
+
+def _shared_weights(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(shingles that several items hold, their weights, weight of all others) over all items, as ``_weights`` has them:
+    a shingle of one item weighs as much as one of none, so only shared ones are listed."""
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_blocks(batch, "t"):
+                hashes, first = word_hashes(text_column(part, "t"))
+                own = [np.unique(_shingles(hashes[a:b], size)) for a, b in zip(first[:-1], first[1:]) if b > a]
+                if own:
+                    h, n = np.unique(np.concatenate(own), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    shared = rows.select("t").mapInArrow(held, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")) \
+        .filter("n > 1").toArrow()
+    total = max(1, rows.count())
+    h = shared.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], 1.0 + np.log(total / shared.column("n").to_numpy()[order]), 1.0 + float(np.log(total))
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str, max_items: int, max_words: int) -> Iterator[list]:
     """Items in the order of their ids, a bounded block at a time; the driver holds one block."""
-    rows = items.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()) \
-        .select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct().orderBy("i", "t")
     held, words = [], 0
-    for r in rows.toLocalIterator():
+    for r in _item_rows(items, id_col, text_col).orderBy("i", "t").toLocalIterator():
         n = len(r.t.split())
         if held and (len(held) >= max_items or words + n > max_words):
             yield held
@@ -256,12 +288,14 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, similarity double, first_word bigint, n_words bigint"
     id_type = to_arrow_type(items.schema[item_id].dataType)
     out = spark.createDataFrame([], schema)
+    # one set of weights for all blocks: a similarity does not depend on the block of the item
+    weights = spark.sparkContext.broadcast(_shared_weights(_item_rows(items, item_id, item_text), size))
     for rows in _blocks(items, item_id, item_text, max_items, max_words):
-        sent = spark.sparkContext.broadcast((rows, _weights(rows, size)))
+        sent = spark.sparkContext.broadcast(rows)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held, weights = sent.value
-            index = Index([r[0] for r in held], [r[1] for r in held], weights, size, radius)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, weights=weights) -> Iterator[pa.RecordBatch]:
+            held = sent.value
+            index = Index([r[0] for r in held], [r[1] for r in held], weights.value, size, radius)
             ids = pa.array(index.ids, id_type)
             for batch in batches:
                 for part in row_blocks(batch):

@@ -116,3 +116,16 @@ def test_decontamination_finds_shortened_items_and_short_items(make):
     got = {(r.doc_id, r.item_id): (round(r.similarity, 3), r.first_word) for r in
            decontam.op8_decontamination(docs, bench).collect()}
     assert got == {(0, 1): (0.944, 0), (2, 2): (1.0, 1), (7, 2): (1.0, 0), (8, 3): (1.0, 2), (9, 1): (0.972, 0)}
+
+
+def test_decontamination_does_not_depend_on_the_blocks(make):
+    from recsuite.llm import decontam
+    template = "please read the following story and answer the question below it"
+    items = [(i, f"{template} " + " ".join(f"i{i}w{j}" for j in range(14))) for i in range(30)]
+    bench = make(items, "item_id bigint, text string")
+    texts = [f"so {t.replace(f'i{i}w{i % 14}', 'other')} end" for i, t in items[:15]] + \
+        [" ".join(t.split()[4:]) + f" x{i} y z z" for i, t in items[15:]]
+    docs = make([row(i, t) for i, t in enumerate(texts)], DOCS)
+    one, two, seven = [{(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word) for r in
+                        decontam.contaminated(docs, bench, max_items=n, threshold=0.5).collect()} for n in (1000, 2, 7)]
+    assert one and one == two == seven
