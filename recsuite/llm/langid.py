@@ -1,7 +1,8 @@
 """Language identification by compression.
 
 For every language a raw-content zstandard dictionary is built from a bounded sample of labelled training text.  A
-text is compressed once with each dictionary; the language with the smallest result wins, at equal sizes the one with
+text is compressed once with each dictionary, in pieces of ``PIECE_BYTES`` that each start from the dictionary, so every
+part of a long text counts alike; the language with the smallest result wins, at equal sizes the one with
 more training rows.  The answer is rejected when the runner-up is within ``min_margin`` bytes.
 
 Defined results: NULL text or no letter -> ``und``, score 0, rejected; no labelled training row -> every row ``und``;
@@ -29,6 +30,7 @@ SAMPLE_DOCS = 600       # labelled rows per language that a dictionary is made o
 SAMPLE_CHARS = 400      # characters of each of them
 DICT_BYTES = 110 << 10  # bytes of a dictionary
 MAX_LANGUAGES = 500     # distinct labels accepted: dictionaries are held by every task
+PIECE_BYTES = 64 << 10  # bytes of a text that are compressed at a time: the dictionary stays in the compressor's window
 MIN_MARGIN = 1          # bytes by which the winner must be shorter
 # Compressor settings: a lazy matcher that also takes matches of 4 bytes tells languages apart in a few words
 SETTINGS = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 1, "min_match": 4, "target_length": 0,
@@ -83,7 +85,8 @@ def classify(text: str | None, compressors) -> tuple[str, float, int]:
     if not text or not compressors or not _LETTER.search(text):
         return UNKNOWN, 0.0, 0
     raw = normalise(text)
-    sizes = np.array([len(c.compress(raw)) for _, c in compressors])
+    parts = [raw[i:i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)] or [raw]
+    sizes = np.array([sum(len(c.compress(p)) for p in parts) for _, c in compressors])
     best = int(sizes.argmin())
     above = np.delete(sizes, best) - sizes[best]
     share = 1.0 / (1.0 + float(np.exp2(-above.astype(np.float64)).sum()))

@@ -129,3 +129,24 @@ def test_decontamination_does_not_depend_on_the_blocks(make):
     one, two, seven = [{(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word) for r in
                         decontam.contaminated(docs, bench, max_items=n, threshold=0.5).collect()} for n in (1000, 2, 7)]
     assert one and one == two == seven
+
+
+# 6 ----------------------------------------------------------------------------------------------------------------
+def test_language_of_a_long_text_is_that_of_the_whole_text():
+    import random
+
+    from recsuite.llm import langid
+    rnd = random.Random(8)
+
+    def speaker(letters):
+        vocabulary = ["".join(rnd.choices(letters, k=rnd.randrange(2, 9))) for _ in range(3000)]
+        return lambda n: " ".join(rnd.choices(vocabulary, k=n))
+
+    a, b = speaker("abcdefghijk"), speaker("hijklmnopqrst")
+    comps = langid._compressors({"a": (1, a(20000).encode()[:langid.DICT_BYTES]), "b": (1, b(20000).encode()[:langid.DICT_BYTES])})
+    text = a(25000) + " " + b(200000)
+    assert len(text) > 1_200_000
+    assert langid.classify(a(25000), comps)[0] == "a" and langid.classify(b(50), comps)[0] == "b"
+    assert langid.classify(text, comps)[0] == "b"
+    short = b(60)
+    assert langid.classify(short, comps)[2] == langid.classify(short.upper(), comps)[2] > 0
