@@ -1,7 +1,8 @@
-"""Repeated byte strings across documents by a depth-limited radix sort of suffixes.
+"""Repeated byte strings across documents by winnowed hash grouping.
 
-Suffixes are ordered only through the first ``span`` bytes, most significant digit first, and a group of equal
-prefixes that holds one document leaves the sort at once:
+This takes the place of a depth-limited radix sort of suffixes: nothing is ordered, and every pass groups anew by hashes.
+Only strings of ``span`` bytes are compared, and a group that holds one document leaves at once.  The passes, called
+digits:
 
   digit 1  the first ``GRAM`` bytes of sampled suffixes.  Of the GRAM-byte strings in every window of ``span`` bytes
            the one with the smallest hash is sampled, so equal windows sample the same place.  Groups are the strings
