@@ -9,8 +9,8 @@ Equal codes are one entry of the index with its k smallest ids, so a very common
 returns more than the pairs that are provably covered in the round.  Queries are rows whose id is divisible by 20.
 
 Defined results: neighbours are ordered by (distance, id); a query's own row is no neighbour; NULL ids and NULL or
-empty vectors, or vectors with a NULL component, are neither queries nor neighbours; components beyond the 64th are
-not part of the code; rows with equal ids are one row (the one with the smallest code); with k or fewer other rows all
+empty vectors, or vectors with a NULL component, are neither queries nor neighbours; a vector of more
+than 64 components stops the job; rows with equal ids are one row (the one with the smallest code); with k or fewer other rows all
 of them are returned.
 """
 
@@ -32,11 +32,14 @@ EVERY = 20  # queries are the rows whose id is divisible by this
 
 
 def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, code): bit i is set if component i is positive."""
-    v = F.slice(F.col(vector_col), 1, BITS)
+    """(id, code): bit i is set if component i is positive.  A vector of more than ``BITS`` components is an error."""
+    v = F.col(vector_col)
+    long = F.raise_error(F.concat(F.lit("a vector of "), F.size(v).cast("string"),
+                                  F.lit(f" components does not fit a code of {BITS} bits")))
     bits = F.transform(v, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int")))
                        .otherwise(F.lit(0).cast("bigint")))
     code = F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    code = F.when(F.size(v) > BITS, long.cast("bigint")).otherwise(code)
     return (vectors.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)
                            & ~F.exists(vector_col, lambda x: x.isNull()))
             .groupBy(F.col(id_col).alias("id")).agg(F.min(code).alias("code")))

@@ -150,3 +150,12 @@ def test_language_of_a_long_text_is_that_of_the_whole_text():
     assert langid.classify(text, comps)[0] == "b"
     short = b(60)
     assert langid.classify(short, comps)[2] == langid.classify(short.upper(), comps)[2] > 0
+
+
+# 3 ----------------------------------------------------------------------------------------------------------------
+def test_top_k_does_not_cut_vectors(make):
+    from recsuite.llm.topk import codes
+    schema = "vec_id bigint, embedding array<double>, label int"
+    assert codes(make([(1, [1.0] * 64, 0), (2, [-1.0, 1.0], 0)], schema)).count() == 2
+    with pytest.raises(Exception, match="65 components"):
+        codes(make([(1, [1.0] * 65, 0)], schema)).collect()
