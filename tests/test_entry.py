@@ -6,7 +6,7 @@ import sys
 
 import pytest
 
-from conftest import SF_SMOKE
+from paths import SF_SMOKE
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 

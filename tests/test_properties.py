@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMOKE
+from paths import SF_SMOKE
 from recsuite.functions import lists as L
 from recsuite.operators import common as CO
 from recsuite.operators import curate as O
