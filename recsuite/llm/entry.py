@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_extract, langid, license, neardup, pylm, quality, suffix, topk
+from . import bpe, clusters, decontam, html_extract, langid, license, neardup, pylm, quality, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": lambda s, d: decontam.op8_decontamination(t(s, d, "documents"), t(s, d, "benchmark")),
         "op9_suffix_dedup": lambda s, d: suffix.op9_suffix_dedup(t(s, d, "documents")),
         "op10_quality": lambda s, d: quality.op10_quality(t(s, d, "documents"), t(s, d, "labels")),
+        "op11_centroids": lambda s, d: clusters.op11_centroids(t(s, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.ORACLE}
+    return {"op3_top_k": topk.ORACLE, "op11_centroids": clusters.ORACLE}
