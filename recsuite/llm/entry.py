@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, clusters, decontam, html_extract, langid, license, neardup, pylm, quality, suffix, topk
+from . import bpe, clusters, decontam, html_extract, langid, license, neardup, negatives, packing, pylm, quality, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path(bpe.WORD_FILE)
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(packing.TEXT_FILE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = _table
     return {
@@ -33,8 +39,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": lambda s, d: suffix.op9_suffix_dedup(t(s, d, "documents")),
         "op10_quality": lambda s, d: quality.op10_quality(t(s, d, "documents"), t(s, d, "labels")),
         "op11_centroids": lambda s, d: clusters.op11_centroids(t(s, d, "embeddings")),
+        "op12_packing": lambda s, d: packing.op12_packing(t(s, d, "documents"), byte_tokenizer),
+        "op13_hard_negatives": lambda s, d: negatives.op13_hard_negatives(t(s, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.ORACLE, "op11_centroids": clusters.ORACLE}
+    return {"op3_top_k": topk.ORACLE, "op11_centroids": clusters.ORACLE, "op13_hard_negatives": negatives.ORACLE}
