@@ -1,13 +1,11 @@
 """Embeddings, clustering and dataset distillation.
 
-Vectors are ``array<float|double>`` columns; group means use Spark ML's ``Summarizer`` (JVM).  Centres are a
-table of k rows that becomes one array value (a scalar subquery) per block of centres, scanned inside each row with
-higher-order functions: no row x centre join is planned.
+Vectors are ``array<float|double>`` columns; group means use Spark ML's ``Summarizer`` (JVM).  Centres (K-means, nearest
+centre, distance matrices) are in ``clustering``.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, HashingTF, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,10 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recsuite.functions import lists as L
+from recsuite.operators.clustering import assign_nearest, distance_matrix, kmeans, stored_centres  # noqa: F401
 from recsuite.operators.common import as_list, dense_index, first_per_key, top_n_per_group
 
-BLOCK_CENTRES = 100_000  # centres of one array value; more centres are scanned block by block
-
 
 def mean_vectors(df: DataFrame, group, vec: str, out: str = "vector") -> DataFrame:
     """Element-wise mean vector per group (NULL vectors skipped)."""
@@ -40,52 +37,6 @@ def dot_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, user="user_
     return j.withColumn(out, L.dot(user_vec, item_vec))
 
 
-def kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, distance: str = "euclidean", tol: float = 1e-4,
-           max_iter: int = 20, out="cluster") -> tuple[DataFrame, DataFrame]:
-    """M2: K-means (random init with seed, tolerance, iteration cap; euclidean or cosine) on Spark ML.
-    Returns (rows with cluster id, centres ``(cluster, centre array)``)."""
-    d = df.withColumn("_features", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
-    model = KMeans(k=k, seed=seed, tol=tol, maxIter=max_iter, initMode="random", distanceMeasure=distance,
-                   featuresCol="_features", predictionCol=out).fit(d)
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    cdf = df.sparkSession.createDataFrame(centres, f"{out} int, centre array<double>")
-    return model.transform(d).drop("_features"), cdf
-
-
-def _centre_blocks(centres: DataFrame, cid: str, cvec: str, block: int) -> list:
-    """The centres as array values of at most ``block`` each (scalar subqueries shipped with the plan)."""
-    n = centres.count()
-    pack = F.collect_list(F.struct(F.col(cid).alias("cid"), F.transform(cvec, lambda x: x.cast("double")).alias("c")))
-    if n <= block:
-        return [centres.agg(pack).scalar()]
-    numbered = dense_index(centres, [cid], "_b")
-    return [numbered.filter(F.floor(F.col("_b") / block) == i).agg(pack).scalar() for i in range(-(-n // block))]
-
-
-def assign_nearest(df: DataFrame, vec: str, centres: DataFrame, cid="cluster", cvec="centre", distance="euclidean",
-                   out="cluster", block: int = BLOCK_CENTRES) -> DataFrame:
-    """Nearest centre per row (ties -> smallest centre id) and its distance ``dist``."""
-    dist = (lambda c: L.sq_euclidean(vec, c)) if distance == "euclidean" else (lambda c: L.cosine_distance(vec, c))
-    res = df
-    for i, arr in enumerate(_centre_blocks(centres, cid, cvec, block)):
-        best = F.array_min(F.transform("_centres", lambda e: F.struct(dist(e["c"]).alias("d"), e["cid"].alias("cid"))))
-        res = res.withColumn("_centres", arr).withColumn("_best", F.least("_best", best) if i else best)
-    return res.withColumn(out, F.col("_best.cid")).withColumn("dist", F.col("_best.d")).drop("_centres", "_best")
-
-
-def distance_matrix(df: DataFrame, key: str, vec: str, centres: DataFrame, cid="cluster", cvec="centre",
-                    block: int = BLOCK_CENTRES) -> DataFrame:
-    """Squared euclidean and cosine distance of every row to every centre (``rows x k`` output is the
-    requested matrix)."""
-    pairs = F.transform("_centres", lambda e: F.struct(e["cid"].alias("cid"), L.sq_euclidean(vec, e["c"]).alias("sq"),
-                                                        L.cosine_distance(vec, e["c"]).alias("cos")))
-    res = None
-    for arr in _centre_blocks(centres, cid, cvec, block):
-        part = df.withColumn("_centres", arr).select(key, F.explode(pairs).alias("_p"))
-        res = part if res is None else res.unionByName(part)
-    return res.select(key, F.col("_p.cid").alias(cid), F.col("_p.sq").alias("sq_euclidean"), F.col("_p.cos").alias("cosine"))
-
-
 def medoids(assigned: DataFrame, key: str, cols=(), cluster="cluster") -> DataFrame:
     """M4: the member nearest to each centre (ties by key), with its columns; a min_by aggregate, so a large
     cluster is reduced map-side."""
@@ -112,6 +63,18 @@ def merge_histories(selected: DataFrame, history: DataFrame, key: str, hist: str
     return selected.select(cluster, key).join(merged, cluster)
 
 
+def distilled_sets(train: DataFrame, dev: DataFrame, kept: DataFrame, key: str, label="label", order=(),
+                   index="index") -> tuple[DataFrame, DataFrame]:
+    """M7: the distilled interaction sets of the ``kept`` users or items (``key`` names the column): their positive
+    train rows, and all their dev rows whatever the label; each set gets a dense 0-based ``index`` under ``order``, which has
+    to be a total order of the rows."""
+    if not order:
+        raise ValueError("the rows need an order to be numbered in")
+    keys = kept.select(key).distinct()
+    return tuple(dense_index(t.join(keys, key, "left_semi").select(*t.columns), list(order), index)
+                 for t in (train.filter(F.col(label) > 0), dev))
+
+
 def keep_items_in_histories(history: DataFrame, kept: DataFrame, user: str, hist: str, item: str) -> DataFrame:
     """M8: histories restricted to kept items (order kept; emptied -> [])."""
     from recsuite.operators.prep import keep_list_elements_in

@@ -91,8 +91,8 @@ def test_negatives_outside_several_attributes(spark):
 def test_centres_in_blocks_give_the_same_rows(spark):
     v = spark.range(50).select(F.col("id").alias("k"), F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("v"))
     c = spark.range(9).select(F.col("id").cast("int").alias("cluster"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("centre"))
-    for op in (lambda b: V.assign_nearest(v, "v", c, block=b).select("k", "cluster", "dist"),
-               lambda b: V.distance_matrix(v, "k", "v", c, block=b)):
+    for op in (lambda b: V.assign_nearest(v, "v", c, block_bytes=16 * b).select("k", "cluster", "dist"),
+               lambda b: V.distance_matrix(v, "k", "v", c, block_bytes=16 * b)):
         assert sorted(map(tuple, op(100).collect())) == sorted(map(tuple, op(4).collect()))
 
 
