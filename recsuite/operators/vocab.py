@@ -30,18 +30,23 @@ def _tokens(df: DataFrame, col: str, order: str, col_no: int) -> DataFrame:
                      F.lit(0).alias("_p"))
 
 
+def first_appearances(df: DataFrame, cols, order: str) -> DataFrame:
+    """(token, ``_first`` appearance as (column number, order, position), cnt) of the columns' non-NULL tokens."""
+    u = None
+    for i, c in enumerate(as_list(cols)):
+        t = _tokens(df, c, order, i)
+        u = t if u is None else u.unionByName(t)
+    return u.filter(F.col("token").isNotNull()).groupBy("token").agg(
+        F.min(F.struct("_c", "_o", "_p")).alias("_first"), F.count(F.lit(1)).alias("cnt"))
+
+
 def build_vocab(df: DataFrame, cols, order: str, name: str = "vocab", reserved=None,
                 min_count: int | None = None, max_count: int | None = None) -> DataFrame:
     """I1 (+ I2, I4, I5): vocabulary over one or more columns sharing it; index by first appearance
     (column order, then ``order``, then list position); NULL tokens skipped.  ``reserved`` (a list of tokens or
     a count of ``[UNUSED..]`` tokens) takes the first indexes; ``min_count`` / ``max_count`` trim by occurrence
     count, survivors keep their relative order and are re-indexed after the reserved tokens."""
-    u = None
-    for i, c in enumerate(as_list(cols)):
-        t = _tokens(df, c, order, i)
-        u = t if u is None else u.unionByName(t)
-    u = u.filter(F.col("token").isNotNull())
-    first = u.groupBy("token").agg(F.min(F.struct("_c", "_o", "_p")).alias("_first"), F.count(F.lit(1)).alias("cnt"))
+    first = first_appearances(df, cols, order)
     if min_count is not None:
         first = first.filter(F.col("cnt") >= min_count)
     if max_count is not None:
@@ -294,7 +299,7 @@ def set_column(table: DataFrame, id_col: str, values: DataFrame, name: str, voca
     (checked), and the column's vocabulary is recorded in its metadata."""
     n_rows, n_vals = table.count(), values.count()
     if n_rows != n_vals:
-        raise ValueError(f"values length {n_vals} must equal sample size {n_rows}")
+        raise ValueError(f"{n_vals} values for {n_rows} rows of column {name!r}")
     v = values.withColumnRenamed(values.columns[1], "_val").withColumnRenamed(values.columns[0], id_col)
     out = table.drop(name) if name in table.columns else table
     out = out.join(v, id_col, "left").withColumnRenamed("_val", name)
