@@ -64,7 +64,45 @@ def _sessions(spark, sf):
     return H.sessions_from_pairs(P.binarize_ratings(fx.ratings(spark, sf)))
 
 
-@query("o1_shrinking_cap_fixed_point", ("O1",))
+W = fx.with_views
+_INCIDENCES_SQL = """s AS (SELECT * FROM ratings WHERE rating <> 3 AND user_id IN (SELECT user_id FROM ratings WHERE rating > 3)),
+    e0 AS MATERIALIZED (SELECT user_id, CAST(rating < 3 AS INTEGER) AS c, item_id,
+                          row_number() OVER (PARTITION BY user_id, rating < 3 ORDER BY ts, item_id) AS p FROM s),
+    z0 AS (SELECT -1 AS size, {cap} AS cap)"""
+
+
+def _peel_sql(rounds: int, keep: str, least: int, cap: int, shrink: float, final: int) -> str:
+    """Rounds of {count items, keep those with ``keep``, cut lists, drop short rows} written out; more rounds than needed
+    change nothing."""
+    steps = [_INCIDENCES_SQL.format(cap=cap)]
+    for i in range(rounds):
+        steps.append(f"""n{i} AS MATERIALIZED (SELECT item_id FROM e{i} GROUP BY item_id HAVING {keep}),
+    z{i + 1} AS MATERIALIZED (SELECT n AS size, CASE WHEN n = z{i}.size THEN greatest({final}, CAST(floor(cap * {shrink}) AS INTEGER)) ELSE cap END AS cap
+      FROM z{i}, (SELECT count(*) AS n FROM n{i})),
+    f{i} AS MATERIALIZED (SELECT f.* FROM (SELECT e.*, row_number() OVER (PARTITION BY user_id, c ORDER BY p) AS r FROM e{i} e
+      WHERE item_id IN (SELECT item_id FROM n{i})) f, z{i + 1} z WHERE f.r <= z.cap),
+    e{i + 1} AS MATERIALIZED (SELECT user_id, c, item_id, p FROM f{i} WHERE user_id IN (
+      SELECT user_id FROM f{i} WHERE c = 0 GROUP BY user_id HAVING count(*) >= {least}))""")
+    lists = ", ".join(f"coalesce({L.sql_fmt_list(f'list(item_id ORDER BY p) FILTER (WHERE c = {c})')}, '') AS {n}"
+                      for c, n in enumerate(("history", "neg")))
+    return W(f"WITH {', '.join(steps)} SELECT user_id, {lists} FROM e{rounds} GROUP BY user_id", "ratings")
+
+
+@query("o1_shrinking_cap_cascade", ("O1",), _peel_sql(24, "count(*) BETWEEN 18 AND 40", 1, 30, 0.5, 8))
+def o1_cascade(spark, sf):
+    """The shrinking-cap fixed point with bounds that bite: items seen 18..40 times, cap 30 -> 15 -> 8."""
+    out, _ = O.shrinking_cap_fixed_point(_sessions(spark, sf), min_count=18, max_count=40, start_cap=30, shrink=0.5, final_cap=8)
+    return out.select("user_id", L.fmt_list("history").alias("history"), L.fmt_list("neg").alias("neg"))
+
+
+@query("o2_core_cascade", ("O2",), _peel_sql(14, "count(*) >= 18", 8, 2**30, 1, 2**30))
+def o2_cascade(spark, sf):
+    """The core of the sessions: items seen >= 18 times, users with >= 8 history items, without random removals."""
+    out, _ = O.core_fixed_point(_sessions(spark, sf), min_item_count=18, min_history=8)
+    return out.select("user_id", L.fmt_list("history").alias("history"), L.fmt_list("neg").alias("neg"))
+
+
+@query("o1_shrinking_cap_fixed_point", ("O1",), _peel_sql(8, "count(*) BETWEEN 5 AND 10000", 1, 30000, 0.2, 100))
 def o1(spark, sf):
     """Item-frequency fixed point with a shrinking length cap over user sessions (positives + negatives):
     items seen 5..10000 times, cap 30000 -> x0.2 -> ... -> 100, users with empty history dropped."""
