@@ -195,28 +195,45 @@ def score_bucket(score: Column, per_octave: int = 64) -> Column:
         .cast("long")
 
 
-def global_auc(df: DataFrame, label="label", score="score") -> DataFrame:
-    """Exact ROC AUC (ties 1/2) over all rows, without one global window over raw rows and without a sampling
-    pass:
-
-    1. ``groupBy(score)`` positive/negative counts (map-side partial aggregation);
-    2. an order-preserving bucket per distinct score (``score_bucket``: a fixed function, bounded bucket count);
-    3. negatives per bucket -> cumulative offsets on that small table (bounded by the bucket count);
-    4. inside each bucket a window gives the exact prefix of negatives above each score.
-    """
-    per = df.groupBy(score).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("q")) \
-        .withColumn("b", score_bucket(F.col(score)))
-    tot = per.groupBy("b").agg(F.sum("q").alias("bq"))
-    w_all = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("b", F.coalesce(F.sum("bq").over(w_all), F.lit(0)).alias("q_above"))
-    w_in = Window.partitionBy("b").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    x = (per.join(F.broadcast(offs), "b")
-         .withColumn("q_ge", F.col("q_above") + F.coalesce(F.sum("q").over(w_in), F.lit(0)) + F.col("q")))
+def global_auc(df: DataFrame, label="label", score="score", partitions: int | None = None) -> DataFrame:
+    """Exact ROC AUC (ties 1/2) over all rows, without a window over the rows:
+
+    1. ``groupBy(score)`` positive / negative counts (map-side partial aggregation);
+    2. the distinct scores are dealt by range, highest first, so tasks are even however the scores lie;
+    3. a task walks its scores in order with a running sum and gives one row: positives, negatives, and what its positives lose
+       to negatives of its own range;
+    4. negatives of the ranges above are carried in over these rows (one per partition).
+
+    NULL scores rank lowest."""
+    per = df.groupBy(score).agg(F.sum(F.col(label)).cast("bigint").alias("p"), F.sum(1 - F.col(label)).cast("bigint").alias("q"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    down = F.col(score).desc_nulls_last()
+    parts = per.repartitionByRange(n, down).sortWithinPartitions(down).select("p", "q") \
+        .mapInArrow(_range_losses, "part int, p bigint, q bigint, lost double")
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    x = parts.withColumn("above", F.coalesce(F.sum("q").over(above), F.lit(0)))
     P, N = F.sum("p"), F.sum("q")
-    # for each positive at score s: negatives strictly below = N - q_ge(s); ties count 1/2
-    return x.agg(P.alias("P"), N.alias("N"), F.sum(F.col("p") * (F.col("q_ge") - 0.5 * F.col("q"))).alias("s")) \
+    return x.agg(P.alias("P"), N.alias("N"), F.sum(F.col("lost") + F.col("p") * F.col("above").cast("double")).alias("s")) \
         .select(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                       (F.col("P") * F.col("N") - F.col("s")) / (F.col("P") * F.col("N")).cast("double")).alias("auc"))
+                       (F.col("P").cast("double") * F.col("N") - F.col("s")) / (F.col("P").cast("double") * F.col("N"))).alias("auc"))
+
+
+def _range_losses(batches):
+    """(partition, positives, negatives, positives x negatives above them inside the partition, ties 1/2)."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    P = N = 0
+    lost = 0.0
+    for b in batches:
+        p, q = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        above = N + np.cumsum(q) - q
+        lost += float((p * (above + 0.5 * q)).sum())
+        P, N = P + int(p.sum()), N + int(q.sum())
+    if P or N:
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([P]), pa.array([N]),
+                                          pa.array([lost])], names=["part", "p", "q", "lost"])
 
 
 # ---- user-defined metric (Q-3) ------------------------------------------------------------------------------

@@ -49,6 +49,34 @@ def p1_auc(spark, sf):
                     F.round("auc", 6).alias("auc"))
 
 
+@query("p1_windowed_auc_sketch_stream", ("P1",), """
+    WITH e AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, value, floor(value / 4) AS b, CAST(event_type = 'click' AS INTEGER) AS y FROM events
+               WHERE event_type IN ('view', 'click') AND value IS NOT NULL),
+         k AS (SELECT w, b, sum(y) AS p, sum(1 - y) AS q, min(value) = max(value) AS one FROM e GROUP BY w, b),
+         c AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY w ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM k),
+         a AS (SELECT w, sum(p) AS p, sum(q) AS q, sum(p * (below + 0.5 * q)) AS s, sum(CASE WHEN one THEN 0 ELSE 0.5 * p * q END) AS o
+               FROM c GROUP BY w)
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(p AS BIGINT) AS clicks, CAST(p + q AS BIGINT) AS shown,
+           round(CASE WHEN p > 0 AND q > 0 THEN s / (p * q) END, 6) AS auc, round(CASE WHEN p > 0 AND q > 0 THEN o / (p * q) END, 6) AS auc_error
+    FROM a WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_type IN ('view', 'click') AND value IS NOT NULL) - INTERVAL 1 HOUR""")
+def p1_sketch(spark, sf):
+    """Daily AUC with its error bound from a sketch of score buckets (4 wide here) kept as streaming state."""
+    out = ST.run_to_parquet(ST.windowed_auc_sketch(_events_stream(spark, sf), "value", bucket=lambda v: F.floor(v / 4)), "p1_sketch")
+    r = spark.read.parquet(out)
+    return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "clicks", "shown",
+                    F.round("auc", 6).alias("auc"), F.round("auc_error", 6).alias("auc_error"))
+
+
+@query("p2_ordered_history_stream", ("P2", "E1"), f"""
+    SELECT user_id, event_id, history FROM (
+      SELECT user_id, event_id, ts, {L.sql_fmt_list('coalesce(list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), [])')} AS history
+      FROM events) WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def p2_ordered(spark, sf):
+    """Last 3 events before each event per user; rows wait for the watermark (1 hour) and leave in time order."""
+    out = ST.run_to_parquet(ST.ordered_last_n_history_stream(_events_stream(spark, sf), 3), "p2_ordered", ST.ROCKSDB)
+    return spark.read.parquet(out).select("user_id", "event_id", L.fmt_list("history").alias("history"))
+
+
 @query("p2_last_n_history_stream", ("P2",), f"""
     SELECT user_id, event_id, {L.sql_fmt_list('coalesce(list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), [])')} AS history
     FROM events""")
