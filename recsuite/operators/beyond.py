@@ -14,7 +14,6 @@ by the list length squared per list (lists are recommendation lists, not unbound
 
 from __future__ import annotations
 
-import math
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -123,13 +122,15 @@ def coverage(lists: DataFrame, candidates: DataFrame | None, col="items", key="i
     return d.select("coverage_count", (F.col("coverage_count") / c).alias("coverage_fraction"))
 
 
-def candidate_subsets(spark, n_items: int, k: int, seed, mode: str = "auto", n_samples: int = MAX_COMBINATIONS) -> DataFrame:
+def candidate_subsets(spark, n_items: int, k: int, seed, mode: str, n_samples: int = MAX_COMBINATIONS) -> DataFrame:
     """L6 helper: ``(subset_id, idx)`` rows.  ``mode='all'``: every k-combination of n candidate positions;
-    ``mode='sample'``: ``n_samples`` seeded random k-subsets, k draws each (partial Fisher-Yates); ``mode='auto'``: all
-    of them while there are at most ``n_samples``, as the reference does."""
+    ``mode='sample'``: ``n_samples`` seeded random k-subsets, k draws each (partial Fisher-Yates).  The caller chooses; nothing switches
+    by size."""
+    if mode not in ("all", "sample"):
+        raise ValueError(f"mode {mode!r} is neither all nor sample")
     if k > n_items:
         raise ValueError(f"subsets of {k} items cannot be formed from {n_items} candidates")
-    if mode == "all" or mode == "auto" and math.comb(n_items, k) <= n_samples:
+    if mode == "all":
         # k-combinations grown position by position from a range: the executors build them
         subs = spark.range(n_items).select(F.array("id").alias("_c"))
         for _ in range(k - 1):
@@ -145,8 +146,8 @@ def candidate_subsets(spark, n_items: int, k: int, seed, mode: str = "auto", n_s
 
 
 def candidate_diversity_bounds(candidates: DataFrame, items: DataFrame, k: int, seed, key="item_id",
-                               vec="embedding", mode: str = "auto", n_samples: int = MAX_COMBINATIONS) -> DataFrame:
-    """Min / max intra-list diversity over k-subsets of the (known) candidate list."""
+                               vec="embedding", *, mode: str, n_samples: int = MAX_COMBINATIONS) -> DataFrame:
+    """Min / max intra-list diversity over k-subsets of the (known) candidate list: all of them, or a seeded sample."""
     known = candidates.select(key).distinct().join(items.select(key), key, "left_semi")
     idx = dense_index(known, [key], "idx")
     n = idx.count()

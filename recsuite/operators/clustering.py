@@ -25,6 +25,7 @@ from recsuite.functions import rng
 from recsuite.operators.common import cut_lineage, dense_index
 
 BLOCK_BYTES = 16 << 20    # vectors of one block of centres
+PROBE = 64                # a smaller table of centres is looked at as a whole
 PASS_BLOCKS = 16          # blocks that a pass over the rows holds
 CENTRE_BYTES = 64 << 20   # centres of a K-means model
 CELLS = 1 << 21           # distances computed at once
@@ -85,17 +86,24 @@ def nearest(x: np.ndarray, ids: np.ndarray, c: np.ndarray, kind: str) -> tuple[n
 def _blocks(centres: DataFrame, cid: str, cvec: str, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, matrix) of the centres, at most ``block_bytes`` of vectors each; one block at a time is collected."""
     t = centres.select(F.col(cid).cast("bigint").alias("c"), F.col(cvec).cast("array<double>").alias("v"))
+    few = t.limit(PROBE).toArrow()
+    if 0 < few.num_rows < PROBE and few["v"].nbytes <= block_bytes:  # the whole table is one small block
+        yield _block(few)
+        return
     size = t.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     if not size.n:
         raise ValueError("no centres")
     per = max(1, block_bytes // (8 * max(1, size.d)))
     numbered = t if size.n <= per else dense_index(t, ["c"], "_b")
     for i in range(-(-size.n // per)):
-        got = (numbered if size.n <= per else numbered.filter(F.floor(F.col("_b") / per) == i)).toArrow()
-        at, c = matrix_of(got["v"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64())))
-        if len(at) < got.num_rows:
-            raise ValueError("a centre without a vector")
-        yield got["c"].to_numpy(), c
+        yield _block((numbered if size.n <= per else numbered.filter(F.floor(F.col("_b") / per) == i)).select("c", "v").toArrow())
+
+
+def _block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    at, c = matrix_of(rows["v"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.float64())))
+    if len(at) < rows.num_rows:
+        raise ValueError("a centre without a vector")
+    return rows["c"].to_numpy(), c
 
 
 def _passes(centres: DataFrame, cid: str, cvec: str, block_bytes: int) -> Iterator[list]:

@@ -7,11 +7,18 @@ two-stage top-N first, so a very active user never sorts whole in one task.
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recsuite.functions.lists import C
-from recsuite.operators.common import as_list, ordered_collect, ordered_parts, row_number_per_group, top_n_per_group
+from recsuite.operators.common import as_list, ordered_collect, row_number_per_group, top_n_per_group
+from recsuite.session import cut_lineage
 
 
 def _field(name):
@@ -25,21 +32,89 @@ def dynamic_history(df: DataFrame, n: int, user="user_id", item="item_id", time=
     """For every row, the user's last n items strictly before it (rows ordered by time, tiebreak; the order
     must be total).  NULL items take a slot of the n-row frame and are then dropped.
 
-    One plan for every shape of data: rows are range-partitioned by (user, order), so a very active user spans many
-    partitions, and a sliding frame runs inside each (partition, user).  What a frame needs from before its partition
-    are the n rows in front of the partition's first row; they are found by their running number and repeated in
-    front of the partition (at most partitions x n rows)."""
+    One plan for every shape of data, with one shuffle: rows are range-partitioned by (user, order), so a very active user
+    spans many partitions, and written once (range bounds are sampled; two evaluations need not agree).  Tasks then
+    walk their sorted rows over Arrow batches; what the first rows of a partition lack is what the same user's rows
+    at the end of the partitions before it hold, at most n values per partition, joined to those rows alone."""
     order = [F.col(time)] + [c if not isinstance(c, str) else F.col(c) for c in as_list(tiebreak)]
-    s = ordered_parts(df, [F.col(user), *order])
-    starts = s.groupBy("_pid").agg(F.min("_g").alias("_start"), F.min_by(F.struct(user), "_g").alias("_u"))
-    wanted = starts.filter(F.col("_start") > 0).select(
-        F.col("_pid").alias("_to"), "_u",
-        F.explode(F.sequence(F.greatest(F.col("_start") - n, F.lit(0)), F.col("_start") - 1)).alias("_g"))
-    carried = s.join(wanted, "_g").filter(F.col(user).eqNullSafe(F.col(f"_u.{user}"))) \
-        .withColumn("_pid", F.col("_to")).drop("_to", "_u").withColumn("_own", F.lit(False))
-    both = s.withColumn("_own", F.lit(True)).unionByName(carried)
-    w = Window.partitionBy("_pid", user).orderBy("_g").rowsBetween(-n, -1)
-    return both.withColumn(out, F.collect_list(item).over(w)).filter("_own").drop("_own", "_pid", "_local", "_g")
+    names = [c for c in df.columns if c != out]
+    at_user, at_item = names.index(user), names.index(item)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = cut_lineage(df.repartitionByRange(parts, F.col(user), *order).sortWithinPartitions(F.col(user), *order)
+                    .select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]))
+    kind = {i: s.schema[i].dataType.simpleString() for i in (at_user, at_item)}
+    ends = s.select(f"c{at_user}", f"c{at_item}").mapInArrow(
+        partial(_partition_ends, n=n), f"part int, u {kind[at_user]}, slots array<{kind[at_item]}>")
+    before = Window.partitionBy("u").orderBy("part").rowsBetween(-n, -1)  # a user's partitions, a few values each
+    carry = ends.select("part", F.col("u").alias("_u"), F.flatten(F.collect_list("slots").over(before)).alias("_carry"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema)
+    rows = s.mapInArrow(partial(_slide, n=n, at_user=at_user, at_item=at_item), f"{fields}, h array<{kind[at_item]}>, part int")
+    rows = rows.join(F.broadcast(carry.withColumnRenamed("part", "_part")),
+                     (F.col("part") == F.col("_part")) & F.col(f"c{at_user}").eqNullSafe(F.col("_u")), "left")
+    need = F.lit(n) - F.size("h")
+    got = F.slice("_carry", F.greatest(F.size("_carry") - need, F.lit(0)) + 1, need)
+    whole = F.filter(F.concat(F.coalesce(got, F.array().cast(f"array<{kind[at_item]}>")), F.col("h")), lambda x: x.isNotNull())
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)],
+                       F.when(F.col("part").isNull(), F.col("h")).otherwise(whole).alias(out))
+
+
+def _codes(col) -> np.ndarray:
+    """Equal numbers for equal values, NULL included."""
+    return pc.dictionary_encode(col, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def _partition_ends(batches, n: int):
+    """Last n items of a partition's last user, and its first user with none if that is another one."""
+    first = user = items = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        first = b.column(0).slice(0, 1) if first is None else first
+        both = (lambda i, held: b.column(i) if held is None else pa.concat_arrays([held, b.column(i)]))
+        user, items = both(0, user), both(1, items)
+        code = _codes(user)
+        own = len(code) - max(int(np.argmax(code[::-1] != code[-1])) or len(code), 1) if len(code) else 0
+        own = max(own, len(code) - n)
+        user, items = user.slice(own), items.slice(own)
+    if first is None:
+        return
+    part = TaskContext.get().partitionId()
+    last = user.slice(len(user) - 1, 1)
+    users, slots = [last], [items.to_pylist()]
+    if not first.equals(last):
+        users, slots = [first, last], [[], items.to_pylist()]
+    yield pa.RecordBatch.from_arrays([pa.array([part] * len(slots), pa.int32()), pa.concat_arrays(users),
+                                      pa.array(slots, pa.list_(items.type))], names=["part", "u", "slots"])
+
+
+def _slide(batches, n: int, at_user: int, at_item: int):
+    """The rows with ``h``: the last n items before each row inside the partition, without NULLs.  Rows that may lack some from
+    earlier partitions have NULLs still in and the partition number beside them."""
+    part, seen, only = TaskContext.get().partitionId(), 0, True
+    user = items = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held = 0 if user is None else len(user)
+        user = b.column(at_user) if user is None else pa.concat_arrays([user, b.column(at_user)])
+        items = b.column(at_item) if items is None else pa.concat_arrays([items, b.column(at_item)])
+        code, at = _codes(user), np.arange(len(user))
+        change = np.append(True, code[1:] != code[:-1])
+        start = np.maximum.accumulate(np.where(change, at, 0))
+        low = np.maximum(at - n, start)[held:]
+        count = at[held:] - low
+        take = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        row = np.repeat(np.arange(b.num_rows), count)
+        # rows of the partition's first user with fewer than n rows of it before them here
+        head = (start[held:] == 0) & only & (seen + np.arange(b.num_rows) < n)
+        values = items.take(pa.array(take))
+        keep = values.is_valid().to_numpy(zero_copy_only=False) | head[row]
+        offsets = np.append(0, np.cumsum(np.bincount(row[keep], minlength=b.num_rows)))
+        h = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.filter(pa.array(keep)))
+        yield pa.RecordBatch.from_arrays([*b.columns, h, pa.array(np.full(b.num_rows, part), pa.int32(), mask=~head)],
+                                         names=[*b.schema.names, "h", "part"])
+        seen, only = seen + b.num_rows, only and not change[1:].any()
+        user, items = user.slice(max(0, len(user) - n - 1)), items.slice(max(0, len(items) - n - 1))
 
 
 def fixed_history(df: DataFrame, cutoff, n: int | None = None, user="user_id", item="item_id", time="ts",

@@ -35,14 +35,14 @@ def sample_negatives_npratio(df: DataFrame, npratio: int, seed, key="impression_
 
 def training_set(behaviors: DataFrame, clicks: DataFrame, cutoff, history_size: int, npratio: int, seed,
                  fraction: float = 1.0, key="impression_id", user="user_id", inview="inview", clicked="clicked",
-                 item="item_id", time="ts") -> DataFrame:
+                 item="item_id", time="ts", behavior_time="impression_time") -> DataFrame:
     """The end-to-end training set from raw logs: every user's click log before ``cutoff`` cut to its last
-    ``history_size`` items, attached to the behaviours, one row per click with ``npratio`` sampled negatives (J3), 0/1
+    ``history_size`` items, attached to the behaviours from the cutoff on (an earlier one must not know later clicks), one row per click with ``npratio`` sampled negatives (J3), 0/1
     labels over the in-view list, and a seeded row sample of ``fraction``.  Columns: key, user, click position
     ``_cpos``, ``history`` (NULL without one), in-view list, clicked list, ``labels``."""
     from recsuite.operators.history import fixed_history
     rows = fixed_history(clicks, cutoff, history_size, user, item, time,
-                         attach_to=behaviors.select(key, user, inview, clicked)) \
+                         attach_to=behaviors.filter(F.col(behavior_time) >= F.lit(cutoff)).select(key, user, inview, clicked)) \
         .withColumnRenamed(f"{item}_fixed", "history")
     rows = sample_negatives_npratio(rows, npratio, seed, key, inview, clicked)
     rows = rows.filter(F.element_at(clicked, 1).isNotNull()).withColumn("labels", L.binary_labels(inview, clicked))

@@ -6,6 +6,8 @@ centre, distance matrices) are in ``clustering``.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, HashingTF, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -97,19 +99,72 @@ def pca(df: DataFrame, vec: str, k: int, out="pca") -> DataFrame:
     return p.transform(c).withColumn(out, vector_to_array("_p")).drop("_v", "_c", "_p")
 
 
-def embed_texts(df: DataFrame, col: str, dim: int = 64, model_fn=None, out="text_vector") -> DataFrame:
-    """Batch text embedding.  ``model_fn`` (a user-supplied ``pandas.Series[str] -> list of vectors``
-    callable) runs through ``mapInPandas`` on Arrow batches; the default is Spark ML's ``HashingTF`` over word
-    tokens (JVM-side, runs offline)."""
+PAGE_BYTES = 1 << 20   # text of one call of a model
+PAGE_ROWS = 256
+
+_MODELS: dict = {}
+
+
+def _model(factory):
+    """One model per worker and factory (known by its pickled form, which holds whatever it was configured with)."""
+    from pyspark import cloudpickle
+
+    k = cloudpickle.dumps(factory)
+    if k not in _MODELS:
+        _MODELS[k] = factory()
+    return _MODELS[k]
+
+
+def embed_texts(df: DataFrame, col: str, dim: int = 64, model_factory=None, out="text_vector", page_bytes: int = PAGE_BYTES,
+                page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Batch text embedding.  ``model_factory()`` gives a model, a callable (list of texts) -> list of vectors; it is made once
+    per Python worker, and called with pages of at most ``page_rows`` texts and ``page_bytes`` of UTF-8 (a longer text is
+    a page of its own).  NULL texts have a NULL vector and are not shown to the model.  The default is Spark ML's
+    ``HashingTF`` over word tokens (JVM-side, runs offline)."""
     from recsuite.operators.vocab import word_tokens
-    if model_fn is None:
+    if model_factory is None:
         d = df.withColumn("_w", word_tokens(col))
         tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim)
         return tf.transform(d).withColumn(out, vector_to_array("_tf").cast("array<float>")).drop("_w", "_tf")
-    schema = df.schema.add(out, "array<float>")
+    names = [c for c in df.columns if c != out]
+    at = names.index(col)
+    src = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
 
     def run(batches):
-        for pdf in batches:
-            pdf[out] = list(model_fn(pdf[col]))
-            yield pdf
-    return df.mapInPandas(run, schema)
+        model = _model(model_factory)
+        for b in batches:
+            vectors = [None] * b.num_rows
+            for page in _pages(b.column(at), page_bytes, page_rows):
+                got = model([b.column(at)[i].as_py() for i in page])
+                if len(got) != len(page):
+                    raise ValueError(f"the model gave {len(got)} vectors for {len(page)} texts")
+                for i, v in zip(page, got):
+                    vectors[i] = [float(x) for x in v]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*b.schema.names, "v"])
+
+    res = src.mapInArrow(run, f"{fields}, v array<float>")
+    return res.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("v").alias(out))
+
+
+def _pages(texts, page_bytes: int, page_rows: int):
+    """Row numbers of the texts that are not NULL, page by page."""
+    sizes = pc.fill_null(pc.binary_length(texts), -1).to_pylist()
+    page, held = [], 0
+    for i, size in enumerate(sizes):
+        if size < 0:
+            continue
+        if page and (held + size > page_bytes or len(page) == page_rows):
+            yield page
+            page, held = [], 0
+        page.append(i)
+        held += size
+    if page:
+        yield page
+
+
+def embedding_table(df: DataFrame, key: str, col: str, path: str, out="text_vector", **options) -> DataFrame:
+    """The vector table (key, vector) of ``embed_texts``, written once; every later use reads it, so no text is embedded
+    twice however many joins follow."""
+    embed_texts(df.select(key, col), col, out=out, **options).select(key, out).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -500,10 +500,12 @@ def j9(spark, sf):
                            THEN neg[({_draw('rk', 'k')} % len(neg)) + 1] END), [pos]) AS inview, pos FROM ({_J3_ROWS}) WHERE pos IS NOT NULL)
        SELECT s.impression_id, s.cpos AS click, {sfl('h.hist')} AS history, {sfl('s.inview')} AS inview,
               {sfl('list_transform(s.inview, lambda x: CAST(coalesce(x = s.pos, false) AS INTEGER))')} AS labels
-       FROM s LEFT JOIN h ON s.user_id = h.user_id WHERE {_draw('s.impression_id', 's.cpos', "'row'")} / 4294967296.0 < 0.5""",
+       FROM s LEFT JOIN h ON s.user_id = h.user_id WHERE {_draw('s.impression_id', 's.cpos', "'row'")} / 4294967296.0 < 0.5
+         AND s.impression_id IN (SELECT impression_id FROM impressions WHERE impression_time >= TIMESTAMP '1998-01-01')""",
     "impressions", "clicks"))
 def j21(spark, sf):
-    """Training set from raw logs: last 10 clicks as history, 4 sampled negatives per click, labels, half the rows."""
+    """Training set from raw logs: last 10 clicks before 1998 as history of the impressions from then on, 4 sampled negatives per
+    click, labels, half the rows."""
     t = J.training_set(fx.impressions(spark, sf), fx.clicks(spark, sf), "1998-01-01", 10, 4, SEED, fraction=0.5)
     return t.select("impression_id", F.col("_cpos").alias("click"), L.fmt_list("history").alias("history"),
                     L.fmt_list("inview").alias("inview"), L.fmt_list("labels").alias("labels"))

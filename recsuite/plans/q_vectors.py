@@ -285,3 +285,30 @@ def m11(spark, sf):
     """Batch text embedding of every document (hashing vectors, 64 dims); vector norms reported."""
     e = M.embed_texts(fx.table(spark, sf, "documents").select("doc_id", "text"), "text", 64)
     return e.select("doc_id", F.round(L.norm("text_vector"), 4).alias("norm"))
+
+
+class CharacterModel:
+    """A model of our own for the test tables: numbers of characters by code point modulo 8."""
+
+    def __call__(self, texts):
+        out = []
+        for t in texts:
+            n = [0] * 8
+            for c in t:
+                n[ord(c) % 8] += 1
+            out.append(n)
+        return out
+
+
+@query("m11_model_vectors", ("M11",), """
+    WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE text IS NOT NULL AND text <> ''),
+         n AS (SELECT doc_id, unicode(ch) % 8 AS j, count(*) AS n FROM c GROUP BY 1, 2)
+    SELECT d.doc_id, array_to_string(list(CAST(coalesce(n.n, 0) AS VARCHAR) ORDER BY r.j), ',') AS vector
+    FROM documents d CROSS JOIN range(8) r(j) LEFT JOIN n ON n.doc_id = d.doc_id AND n.j = r.j WHERE d.text IS NOT NULL GROUP BY d.doc_id
+    UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL""")
+def m11_model(spark, sf):
+    """A user's model over every document through the vector table: vectors written once, then read."""
+    from recsuite.sources.io import scratch_dir
+    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    t = M.embedding_table(docs, "doc_id", "text", scratch_dir(spark, "m11_vectors"), model_factory=CharacterModel)
+    return t.select("doc_id", L.fmt_list(F.col("text_vector").cast("array<bigint>")).alias("vector"))

@@ -133,29 +133,35 @@ def predicate_key(predicates, source: str = "") -> str:
 
 
 def source_identity(df: DataFrame) -> str:
-    """Files and canonical plan of a table; a table that is not read from files has to be named by the caller."""
-    files = sorted(df.inputFiles())
-    if not files:
-        raise ValueError("name the source of a table that is not read from files")
-    return json.dumps([files, df._jdf.queryExecution().analyzed().canonicalized().toString()])
+    """Version of the files a table is read from, and its canonical plan: a job adds up hashes of every file's path, size and
+    modification time, so no file list comes to the driver and a file replaced in place is another version.  A table
+    that is not a plain read of files has to be named by the caller."""
+    try:
+        files = df.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h"))
+    except AnalysisException:
+        raise ValueError("name the source of a table that is not read from files") from None
+    d = files.distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).first()
+    return json.dumps([d.n, str(d.s), d.x, df._jdf.queryExecution().analyzed().canonicalized().toString()])
 
 
 def cached_filter(df: DataFrame, predicates, cache_dir: str, source: str | None = None) -> DataFrame:
-    """Filter by a set of SQL predicates, materialised once as Parquet under the key of source and predicate set
-    and read back on later calls (any predicate order hits the same entry).  Only a missing path is a miss; any other
-    error in reading an entry is raised."""
+    """Filter by a set of SQL predicates, materialised once as Parquet under the key of source version and predicate set
+    and read back on later calls (any predicate order hits the same entry).  An entry counts once its ``done`` mark is
+    written, so one that a dying job left half-written is made anew."""
     spark = df.sparkSession
     path = os.path.join(cache_dir, predicate_key(predicates, source_identity(df) if source is None else source))
     try:
-        return spark.read.parquet(path)  # any filesystem Spark can read: a hit costs a footer read
+        if spark.read.text(f"{path}/done").first() is not None:
+            return spark.read.parquet(f"{path}/data")  # any filesystem Spark can read: a hit costs a footer read
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     out = df
     for p in sorted(set(as_list(predicates))):
         out = out.filter(F.expr(p))
-    out.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out.write.mode("overwrite").parquet(f"{path}/data")
+    spark.range(1).select(F.lit("done")).coalesce(1).write.mode("overwrite").text(f"{path}/done")
+    return spark.read.parquet(f"{path}/data")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -113,3 +113,73 @@ def test_last_n_stream_orders_rows_across_arrow_batches(spark, tmp_path):
         assert all(r.history == list(range(max(0, r.event_id - 3), r.event_id)) for r in out.collect()) and out.count() == 2000
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_filter_cache_sees_a_replaced_file(spark, tmp_path):
+    import os
+    import shutil
+    table, cache = str(tmp_path / "t"), str(tmp_path / "cache")
+    spark.range(5).coalesce(1).write.parquet(table)
+    name = next(f for f in os.listdir(table) if f.endswith(".parquet"))
+    assert IO.cached_filter(spark.read.parquet(table), ["id > 1"], cache).count() == 3
+    spark.range(50).coalesce(1).write.parquet(str(tmp_path / "other"))
+    new = next(f for f in os.listdir(tmp_path / "other") if f.endswith(".parquet"))
+    shutil.copyfile(tmp_path / "other" / new, f"{table}/{name}")
+    crc = f"{table}/.{name}.crc"
+    shutil.copyfile(tmp_path / "other" / f".{new}.crc", crc)
+    assert IO.cached_filter(spark.read.parquet(table), ["id > 1"], cache).count() == 48
+
+
+def test_filter_cache_heals_a_half_written_entry(spark, tmp_path):
+    import os
+    table, cache = str(tmp_path / "t"), str(tmp_path / "cache")
+    spark.range(5).write.parquet(table)
+    df = spark.read.parquet(table)
+    path = os.path.join(cache, IO.predicate_key(["id > 1"], IO.source_identity(df)), "data")
+    os.makedirs(path)
+    open(os.path.join(path, "part-0.parquet"), "w").close()  # what a dying writer leaves
+    assert IO.cached_filter(df, ["id > 1"], cache).count() == 3
+    assert IO.cached_filter(df.filter("id >= 0"), ["id > 1"], cache).count() == 3  # another plan over the same files
+
+
+def test_training_set_knows_no_later_click(spark):
+    import datetime as dt
+    day = lambda d: dt.datetime(1998, 1, d)
+    clicks = spark.createDataFrame([(1, 10, day(1)), (1, 11, day(5)), (2, 12, day(2))], "user_id int, item_id int, ts timestamp")
+    seen = spark.createDataFrame([(100, 1, day(2), [7, 11], [11]), (101, 1, day(6), [8, 9], [8]), (102, 3, day(7), [1, 2], [2])],
+                                 "impression_id int, user_id int, impression_time timestamp, inview array<int>, clicked array<int>")
+    got = {r.impression_id: r.history for r in J.training_set(seen, clicks, "1998-01-06", 10, 1, 42).collect()}
+    assert got == {101: [10, 11], 102: None}
+
+
+def test_model_pages_are_bounded(spark, tmp_path):
+    class CountingModel:  # local, so workers need not import this file
+        def __call__(self, texts):
+            assert len(texts) <= 3 and (len(texts) == 1 or sum(len(t.encode()) for t in texts) <= 10)
+            return [[len(t), 1.0] for t in texts]
+
+    texts = ["a", "bb", "", None, "x" * 50, "cccc", "dddd", "é", "e", "f", "g", "h"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, `a.text` string").withColumnRenamed("a.text", "text").coalesce(1)
+    t = V.embedding_table(df, "id", "text", str(tmp_path / "v"), model_factory=CountingModel, page_bytes=10, page_rows=3)
+    assert {r.id: r.text_vector for r in t.collect()} == {i: None if x is None else [len(x), 1.0] for i, x in enumerate(texts)}
+    wide = V.embed_texts(df.withColumn("b.c", F.lit(1)), "text", model_factory=CountingModel, page_bytes=10, page_rows=3)
+    assert wide.columns == ["id", "text", "b.c", "text_vector"] and wide.count() == len(texts)
+
+
+def test_pca_equals_numpy(spark):
+    import numpy as np
+    rnd = np.random.default_rng(0)
+    x = rnd.normal(0, 1, (80, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1]) + 7
+    got = V.pca(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>"), "v", 3)
+    c = x - x.mean(axis=0)
+    plain = c @ np.linalg.svd(c, full_matrices=False)[2][:3].T
+    rows = np.array([r.pca for r in got.orderBy("i").collect()])
+    assert np.allclose(np.abs(rows), np.abs(plain), atol=1e-8)
+
+
+def test_subset_mode_is_the_callers_choice(spark):
+    from recsuite.operators import beyond as B
+    assert B.candidate_subsets(spark, 6, 2, 1, "all").select("subset_id").distinct().count() == 15
+    assert B.candidate_subsets(spark, 6, 2, 1, "sample", 40).select("subset_id").distinct().count() == 40
+    with pytest.raises(ValueError):
+        B.candidate_subsets(spark, 6, 2, 1, "auto")
