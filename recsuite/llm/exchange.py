@@ -29,7 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .blocks import BLOCK_BYTES, row_blocks, text_bytes, text_column
+from .blocks import BLOCK_BYTES, row_blocks, steady, text_bytes, text_column
 
 CHUNK_BYTES = 12 << 20
 _ZSTD = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
@@ -80,6 +80,7 @@ def unpack(raw) -> list[np.ndarray]:
 
 def chunks(batches: Iterator[pa.RecordBatch], text_col: str, limit: int) -> Iterator[tuple[str, list[pa.RecordBatch]]]:
     """(chunk id, blocks) with at most ``limit`` bytes of text a chunk; one row at least."""
+    steady()
     task = TaskContext.get()
     part = task.partitionId() if task else 0
     number, held, size, check = 0, [], 0, 0
@@ -112,6 +113,7 @@ def one_way(docs: DataFrame, text_col: str, send: Callable, gather: Callable, sc
                                                   pa.array([payload], pa.binary())], names=["bucket", "chunk", "payload"])
 
     def gather_bucket(rows: pa.Table) -> pa.Table:
+        steady()
         rows = rows.sort_by("chunk")
         row = gather(rows["bucket"][0].as_py(), [p.as_buffer() for p in rows["payload"]])
         return pa.table({k: pa.array([v], t) for k, (v, t) in row.items()})
@@ -136,6 +138,7 @@ def round_trip(docs: DataFrame, text_col: str, send: Callable, answer: Callable,
                                              names=["chunk", "body"])
 
     def answer_bucket(rows: pa.Table, known: pa.Table | None = None) -> pa.Table:
+        steady()
         rows = rows.sort_by("chunk")
         payloads = [p.as_buffer() for p in rows["payload"]]
         if not payloads:
@@ -147,6 +150,7 @@ def round_trip(docs: DataFrame, text_col: str, send: Callable, answer: Callable,
         return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "reply": pa.array(replies, pa.binary())})
 
     def finish_chunk(replies: pa.Table, bodies: pa.Table) -> pa.Table:
+        steady()
         if bodies.num_rows != 1:
             raise RuntimeError("the documents did not come in the same order twice; write them to a table first")
         blocks = from_bytes(bodies["body"][0].as_buffer())
