@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recsuite.functions import lists as L
 from recsuite.functions import rng
-from recsuite.operators.common import as_list, dense_index, first_per_key
+from recsuite.operators.common import as_list, dense_index, first_per_key, top_n_per_group
 
 
 def sample_negatives_npratio(df: DataFrame, npratio: int, seed, key="impression_id", inview="inview",
@@ -180,6 +180,16 @@ def history_matrix(df: DataFrame, hist_codes: str, rows: int, width: int, out="m
         .withColumn(f"{out}_mask", F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(rows) - n)))
 
 
+def first_rows_matrix(events: DataFrame, user: str, order, code: str, rows: int, width: int, out="matrix") -> DataFrame:
+    """J19 from an event table ``(user, order columns, code list)``: the matrix of each user's first ``rows`` events.  Only those are
+    ever collected, however long a user's history is."""
+    order = as_list(order)
+    first = top_n_per_group(events.select(user, *order, code), [user], order, rows, salt_on=order)
+    hist = first.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.col("_rank"), F.col(code).alias("c")))).alias("_h")) \
+        .select(user, F.transform("_h", lambda e: e["c"]).alias("_codes"))
+    return history_matrix(hist, "_codes", rows, width, out).drop("_codes")
+
+
 def all_user_rows(users: DataFrame, history: DataFrame, user="user_id", dummy_candidate: int = 0) -> DataFrame:
     """One scoring row per user with a dummy candidate."""
     return users.select(user).distinct().join(history, user, "left") \

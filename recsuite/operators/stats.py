@@ -156,7 +156,8 @@ def normalize(df: DataFrame, col: str, method="minmax", lo: float | None = None,
               out: str | None = None) -> DataFrame:
     """D16: 'max' (x / max) or 'minmax' ((x-min)/(max-min)) normalisation, optionally rescaled to [lo, hi]; a bound
     of 0 counts as given (``is None`` semantics, Q18)."""
-    mn, mx = df.agg(F.min(col)).scalar(), df.agg(F.max(col)).scalar()
+    bounds = df.agg(F.struct(F.min(col).alias("mn"), F.max(col).alias("mx")).alias("b")).scalar()  # one pass
+    mn, mx = bounds["mn"], bounds["mx"]
     x = F.col(col)
     if method == "max":
         v = x / mx

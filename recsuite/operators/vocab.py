@@ -10,6 +10,8 @@ import json
 import math
 import os
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,10 +144,17 @@ def encode_with_tokenizer(df: DataFrame, col: str, name: str, max_length: int, t
     """I12 / Q-4: subword encoding with a user-supplied tokenizer (``tokenizer_factory() -> callable(text) ->
     list[int]``), built once per Python worker and applied to Arrow batches (pandas UDF); special tokens are the
     tokenizer's business; output truncated to ``max_length`` and back-padded.  New column
-    ``{col}_encode_{name}``.  Default tokenizer: the word rule hashed into 2^20 ids (md5 of the word)."""
+    ``{col}_encode_{name}``.  Default tokenizer: the word rule hashed into 2^20 ids (md5 of the word), by built-in
+    functions (``default_hash_tokenizer`` is the same as a user's tokenizer)."""
+    if tokenizer_factory is None:
+        words = F.coalesce(word_tokens(col), F.array().cast("array<string>"))
+        ids = F.transform(F.slice(words, 1, max_length), lambda w: (
+            F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % HASH_BUCKETS).cast("int"))
+        return df.withColumn(out or f"{col}_encode_{name}", F.concat(ids, F.array_repeat(
+            F.lit(pad), F.lit(max_length) - F.size(ids))))
     import pandas as pd
 
-    factory = tokenizer_factory or default_hash_tokenizer
+    factory = tokenizer_factory
 
     @F.pandas_udf("array<int>")
     def _enc(texts: pd.Series) -> pd.Series:
@@ -190,12 +199,12 @@ def default_hash_tokenizer():
 
 def lookup_matrix(vectors: DataFrame, key: str, vec: str, unknown: str = "zeros") -> tuple[DataFrame, DataFrame]:
     """Ids 1..n in key order and the matrix rows ``(idx, vector)`` with row 0 = unknown: zeros, or the
-    element-wise column mean (posexplode + avg, no driver collect)."""
+    element-wise column mean."""
     idx = dense_index(vectors.select(key, vec), [key], "idx", start=1)
     if unknown == "mean":
-        m = vectors.select(F.posexplode(vec).alias("_j", "_x")).groupBy("_j").agg(F.avg("_x").alias("_m")) \
-            .agg(F.array_sort(F.collect_list(F.struct("_j", "_m"))).alias("_l")) \
-            .select(F.lit(0).cast("bigint").alias("idx"), F.transform("_l", lambda e: e["_m"].cast("float")).alias(vec))
+        v = array_to_vector(F.transform(vec, lambda x: x.cast("double")))
+        m = vectors.filter(F.col(vec).isNotNull()).agg(Summarizer.mean(v).alias("_m")) \
+            .select(F.lit(0).cast("bigint").alias("idx"), vector_to_array("_m").cast("array<float>").alias(vec))
     else:
         d = vectors.select(F.size(vec).alias("_d")).agg(F.max("_d").alias("_d"))
         m = d.select(F.lit(0).cast("bigint").alias("idx"), F.array_repeat(F.lit(0.0).cast("float"), F.col("_d")).alias(vec))

@@ -194,10 +194,19 @@ def d16(spark, sf):
     return b.select("item_id", F.round("by_max", 6).alias("by_max"), F.round("minmax", 6).alias("minmax"))
 
 
-@query("d17_summary", "D17")
+def _summary_sql(col: str) -> list[str]:
+    stats = {"count": f"count({col})", "mean": f"avg({col})", "stddev": f"stddev_samp({col})", "min": f"min({col})",
+             "25%": f"quantile_disc({col}, 0.25)", "50%": f"quantile_disc({col}, 0.5)", "75%": f"quantile_disc({col}, 0.75)", "max": f"max({col})"}
+    return [f"SELECT '{n}' AS summary, round(CAST({x} AS DOUBLE), 6) AS v FROM items" for n, x in stats.items()]
+
+
+@query("d17_summary", "D17", W(
+    f"""WITH a AS ({' UNION ALL '.join(_summary_sql('total_pageviews'))}), b AS ({' UNION ALL '.join(_summary_sql('sentiment_score'))})
+       SELECT a.summary, a.v AS total_pageviews, b.v AS sentiment_score FROM a JOIN b USING (summary)""", "items"))
 def d17(spark, sf):
-    """Column summary of the catalogue counters (Spark ``summary``)."""
-    return D.summary(fx.items(spark, sf).select("total_pageviews", "sentiment_score"))
+    """Column summary of the catalogue counters (Spark ``summary``; its texts as numbers)."""
+    s = D.summary(fx.items(spark, sf).select("total_pageviews", "sentiment_score"))
+    return s.select("summary", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("total_pageviews", "sentiment_score")])
 
 
 @query("d18_mean_std_by", "D18", W(

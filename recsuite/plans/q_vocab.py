@@ -142,16 +142,26 @@ def i11(spark, sf):
     return e.select("conv_id", "turn", L.fmt_list("ids").alias("ids"))
 
 
-@query("i12_tokenizer_udf", ("I12", "Q-4"), f"""
+_HASHED_SQL = f"""
     SELECT conv_id, turn, array_to_string(list_transform(
              list_concat(list_slice(list_transform({_WORDS_SQL}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 1048576), 1, 16),
                          list_transform(range(greatest(16 - len({_WORDS_SQL}), 0)), lambda x: 0)),
              lambda x: CAST(x AS VARCHAR)), ',') AS ids
-    FROM conversations""")
+    FROM conversations"""
+
+
+@query("i12_tokenizer_udf", ("I12", "Q-4"), _HASHED_SQL)
 def i12(spark, sf):
-    """User-supplied tokenizer through an Arrow pandas UDF (default: md5-hashed word ids), cut / padded to 16."""
+    """User-supplied tokenizer (md5-hashed word ids) through an Arrow pandas UDF, cut / padded to 16."""
     c = fx.table(spark, sf, "conversations")
-    e = V.encode_with_tokenizer(c, "text", "hash", 16)
+    e = V.encode_with_tokenizer(c, "text", "hash", 16, V.default_hash_tokenizer)
+    return e.select("conv_id", "turn", L.fmt_list("text_encode_hash").alias("ids"))
+
+
+@query("i12_default_tokenizer", ("I12",), _HASHED_SQL)
+def i12_default(spark, sf):
+    """The default tokenizer, by built-in functions alone."""
+    e = V.encode_with_tokenizer(fx.table(spark, sf, "conversations"), "text", "hash", 16)
     return e.select("conv_id", "turn", L.fmt_list("text_encode_hash").alias("ids"))
 
 
@@ -302,11 +312,8 @@ def j18(spark, sf):
        FROM m""", "clicks", "items"))
 def j19(spark, sf):
     """History as a 4 x 3 matrix of item codes (topic word lengths), zero rows padding, row mask."""
-    c = fx.clicks(spark, sf).join(fx.items(spark, sf), "item_id")
-    h = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
-        "ts", "item_id", F.transform("topics", lambda w: F.length(w)).alias("code")))).alias("_h")) \
-        .select("user_id", F.transform("_h", lambda e: e["code"]).alias("codes"))
-    m = J.history_matrix(h, "codes", 4, 3)
+    c = fx.clicks(spark, sf).join(fx.items(spark, sf), "item_id").withColumn("code", F.transform("topics", lambda w: F.length(w)))
+    m = J.first_rows_matrix(c, "user_id", ["ts", "item_id"], "code", 4, 3)
     return m.select("user_id", F.array_join(F.transform("matrix", lambda r: F.array_join(r, " ")), "|").alias("matrix"),
                     L.fmt_list("matrix_mask").alias("mask"))
 
