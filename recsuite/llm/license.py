@@ -10,7 +10,8 @@ texts that have one of these.
 Normalised: lower case, licence spellings unified, words are runs of letters and digits.
 
 Defined results: NULL, empty or wordless texts have no match; a one-word piece matches a one-word template only; for
-every template a text gets one row, its most alike piece (the first of several); repeated rows give repeated matches;
+every template a text gets one row, its most alike piece (the first of several), but of several versions of a licence over
+one passage only the most alike; repeated rows give repeated matches;
 extra columns are carried only if listed in ``keep``.
 """
 
@@ -83,6 +84,18 @@ this program. If not, see <https://www.gnu.org/licenses/>.""",
 the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
 your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
 WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+Public License for more details.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it under the terms of
+the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at
+your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+Public License for more details. You should have received a copy of the GNU General Public License along with
+this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA
+02110-1301 USA.""",
+    "GPL-2.0-or-later (short)": """This program is free software; you can redistribute it and/or modify it under the terms of
+the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at
+your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
 Public License for more details.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
 MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
@@ -96,6 +109,7 @@ MPL was not distributed with this file, You can obtain one at https://mozilla.or
 }
 
 _WORD = re.compile(r"[^\W_]+")
+_VERSION = re.compile(r"(.+?)-(\d+\.\d+)(?=-or-later|$)")  # (licence, version) of a template's name
 _SAME = [(re.compile(p), r) for p, r in ((r"\blicence", "license"), (r"\bsub-licen[cs]e", "sublicense"),
                                          (r"\bnon-infringement", "noninfringement"),
                                          (r"\bcopyright owner", "copyright holder"))]
@@ -117,7 +131,7 @@ def bigrams(w: list[str]) -> frozenset:
 
 def size_bounds(n: int, threshold: float) -> tuple[float, float]:
     """Sizes that leave the coefficient with a set of ``n`` at the threshold or above."""
-    return n * threshold / (2 - threshold), n * (2 - threshold) / threshold
+    return n * threshold / (2 - threshold) - 1e-9, n * (2 - threshold) / threshold + 1e-9
 
 
 def pieces(text: str) -> Iterator[tuple[str, int, str]]:
@@ -181,12 +195,15 @@ class Scanner:
             if len(hits) < least:
                 continue
             high, best = self.bounds[name][1], (0.0, 0, 0)
-            # a window only gains by a neighbour that is a hit, so the best one starts where a run of hits starts
+            # a window only gains by a neighbour that is a hit: the best one starts where a run of hits starts, or inside a
+            # run and is as long as a window may be
+            inside = []
             for n, i in enumerate(hits):
-                if n and hits[n - 1] == i - 1 and len(hits) > 1 and (n % self.longest[name]):
-                    continue
                 if n + least > len(hits) or hits[n + least - 1] - i >= self.longest[name]:
                     continue
+                if n and hits[n - 1] == i - 1:
+                    inside.append(i)
+                    continue
                 seen, common = set(), 0
                 for j in range(i, min(len(grams), i + self.longest[name])):
                     if grams[j] in seen:
@@ -201,12 +218,41 @@ class Scanner:
                             best = (dice, i, j + 2)
                 if best[0] == 1.0:
                     break
+            if best[0] < 1.0:
+                best = max(best, self._longest_window(grams, inside, name), key=lambda b: b[0])
             if best[0] >= self.threshold:
                 dice, i, end = best  # repeated bigrams at the end of a template belong to it, too
                 while end <= len(grams) and end - 1 - i < self.longest[name] and grams[end - 1] in other:
                     end += 1
                 yield name, dice, i, end
 
+    def _longest_window(self, grams: list, starts: list[int], name: str) -> tuple[float, int, int]:
+        """(dice, first word, end) of the most alike window of full length at one of the ascending ``starts``."""
+        other, size = self.sets[name], self.longest[name]
+        inside: Counter = Counter()
+        at = end = common = 0
+        best = (0.0, 0, 0)
+        for i in starts:
+            if i + size > len(grams):
+                break
+            if i >= end:  # no overlap with the window before
+                inside.clear()
+                at = end = i
+                common = 0
+            for g in grams[end:i + size]:
+                inside[g] += 1
+                common += inside[g] == 1 and g in other
+            for g in grams[at:i]:
+                inside[g] -= 1
+                if not inside[g]:
+                    del inside[g]
+                    common -= g in other
+            at, end = i, i + size
+            dice = 2 * common / (len(inside) + len(other))
+            if dice > best[0]:
+                best = (dice, i, end + 1)
+        return best
+
     def scan(self, text: str | None) -> list[tuple[str, float, str, int, int]]:
         """(template, dice, kind, start, length) of the most alike piece for every template reached."""
         best: dict[str, tuple[float, str, int, int]] = {}
@@ -233,7 +279,21 @@ class Scanner:
                     at = offsets(text) if at is None else at
                     start = at[first][0]
                     best[name] = (dice, "window", start, at[end - 1][1] - start)
-        return [(name, *best[name]) for name in self.sets if name in best]
+        return [(name, *best[name]) for name in self.sets if name in best and not self._outdone(name, best)]
+
+    def _outdone(self, name: str, best: dict[str, tuple]) -> bool:
+        """Whether another version of the same licence is more alike over the same passage: versions differ in a word or two."""
+        own = _VERSION.match(name)
+        if not own:
+            return False
+        dice, _, start, length = best[name]
+        for other, (more, _, at, size) in best.items():
+            m = _VERSION.match(other)
+            if m and m[1] == own[1] and m[2] != own[2] and more > dice:
+                common = min(start + length, at + size) - max(start, at)
+                if 2 * common > min(length, size):
+                    return True
+        return False
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, keep: list[str] | None = None,
