@@ -7,7 +7,8 @@ before and after it, equal labels win at once, otherwise the nearer one, and at
 blocks inside an ``<article>`` / ``<main>`` look at neighbours inside it only.
 
 Text inside navigation, headers outside the article, footers, asides, forms, scripts, styles and elements whose class,
-id or role names such a part (menu, sidebar, advert, notice, comments, ...) is bad by markup.
+id or role names such a part (menu, sidebar, advert, notice, comments, ...) is bad by markup.  Inside the article a name
+counts less: see ``_part_class``.
 
 Defined results: NULL or empty HTML, or no good block -> the empty text.  HTML without markup is one block.  Unclosed
 tags, comments and a cut-off tag at the end are tolerated; pages are independent, so repeated rows repeat.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,10 +56,13 @@ comments consent cookie cookies disclaimer disqus footer form gdpr header login
 navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply replies
 respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar
 widget widgets""".split())
+FOREIGN_NAMES = frozenset("""ad ads advert advertisement advertising adverts comment comments cookie cookies newsletter promo promoted
+related recommended sidebar social sponsor sponsored subscribe widget""".split())
 PART_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+                    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)  # a quote that stays open: up to the next >
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?",
                    re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -70,7 +75,14 @@ STOPWORDS_LOW = 0.15  # share of stop words under which a block is no prose
 LINKS_HIGH = 0.4      # share of characters inside links over which a block is no prose
 
 
-def _names_part(attrs: str) -> bool:
+def _part_class(token: str) -> bool:
+    """Whether a class or id inside the article names a part: by its last word (reader-comments, but not share-story; a header
+    there is a headline), or by a first word that names foreign matter (ad-slot)."""
+    found = _NAME.findall(token)
+    return bool(found) and (found[-1] in PART_NAMES and found[-1] != "header" or found[0] in FOREIGN_NAMES)
+
+
+def _names_part(attrs: str, inside: bool) -> bool:
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" and not value or name == "aria-hidden" and value == "true":
@@ -79,7 +91,8 @@ def _names_part(attrs: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and any(PART_NAMES.intersection(_NAME.findall(value))):
+        if name in ("class", "id") and (any(map(_part_class, value.split())) if inside else
+                                        PART_NAMES.intersection(_NAME.findall(value))):
             return True
     return False
 
@@ -90,6 +103,7 @@ class _Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, float, bool, bool]] = []
         self.stack: list[tuple[str, bool]] = []  # open elements: (tag, starts a part that is not the article)
+        self.held: Counter = Counter()  # open elements by tag
         self.parts = self.links = self.mains = 0
         self.pieces: list[str] = []
         self.linked = 0
@@ -100,16 +114,17 @@ class _Page:
                 break
             self._text(source[at:m.start()])
             at = m.end()
-            if not m[2]:
+            end_tag, tag, attrs = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+            if not tag:
                 if m[0].startswith("<![CDATA["):
                     self._text(m[0][9:].removesuffix("]]>"))
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            tag = tag.lower()
+            if end_tag:
                 self._close(tag)
             else:
-                self._open(tag, m[3] or "")
-                if tag in RAW_TAGS and not (m[3] or "").endswith("/"):
+                self._open(tag, attrs or "")
+                if tag in RAW_TAGS and not (attrs or "").endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                     at = end.end() if end else len(source)
                     self._close(tag)
@@ -136,14 +151,16 @@ class _Page:
         if tag in VOID_TAGS or attrs.endswith("/"):
             return
         part = tag in PART_TAGS and not (tag == "header" and self.mains) or tag not in ("html", "body", *MAIN_TAGS) \
-            and bool(attrs) and _names_part(attrs)
+            and bool(attrs) and _names_part(attrs, self.mains > 0)
         self.stack.append((tag, part))
+        self.held[tag] += 1
         self.parts += part
         self.links += tag == "a"
         self.mains += tag in MAIN_TAGS
 
     def _pop(self) -> None:
         tag, part = self.stack.pop()
+        self.held[tag] -= 1
         self.parts -= part
         self.links -= tag == "a"
         self.mains -= tag in MAIN_TAGS
@@ -151,7 +168,7 @@ class _Page:
     def _close(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self._flush()
-        if any(t == tag for t, _ in self.stack):
+        if self.held[tag]:
             while True:
                 last = self.stack[-1][0]
                 self._pop()
