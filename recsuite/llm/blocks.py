@@ -6,18 +6,14 @@ passes over the buffer.  A NULL text is the empty text everywhere unless an oper
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 
 BLOCK_BYTES = 1 << 20
-# Names of mallopt's settings
-M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
@@ -43,25 +39,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_steady = False
-
-
-def steady() -> None:
-    """Once per Python worker: blocks of 4 MB and more go back to the system when they are freed, Arrow's included.  By
-    default a worker keeps what a heavy step once needed, and the stages after it add their own."""
-    global _steady
-    if _steady or TaskContext.get() is None:
-        return
-    _steady = True
-    pa.set_memory_pool(pa.system_memory_pool())
-    try:
-        libc = ctypes.CDLL(None)
-        libc.mallopt(M_MMAP_THRESHOLD, 4 << 20)
-        libc.mallopt(M_TRIM_THRESHOLD, 4 << 20)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def text_column(batch: pa.RecordBatch, column: str = "text") -> pa.LargeStringArray:
     """The column as large strings, NULL as the empty string."""
     col = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
