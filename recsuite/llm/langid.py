@@ -12,7 +12,7 @@ an empty table gives an empty result.  Extra columns of ``docs`` are ignored by
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +37,10 @@ SETTINGS = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 1,
             "strategy": zstandard.STRATEGY_LAZY}
 
 _ASCII = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _has_letter(text: str) -> bool:
+    return any(unicodedata.category(c)[0] == "L" for c in text)
 
 
 def normalise(text: str) -> bytes:
@@ -82,7 +85,7 @@ def _compressors(model: dict[str, tuple[int, bytes]]):
 def classify(text: str | None, compressors) -> tuple[str, float, int]:
     """(language, score, margin in bytes).  The score reads a size as a code length: a language's weight is
     2 ** -(bytes above the smallest), and the score is the winner's share."""
-    if not text or not compressors or not _LETTER.search(text):
+    if not text or not compressors or not _has_letter(text):
         return UNKNOWN, 0.0, 0
     raw = normalise(text)
     parts = [raw[i:i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)] or [raw]
