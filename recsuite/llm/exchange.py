@@ -19,6 +19,7 @@ carries a checksum of its texts, and a chunk whose answers are missing stops the
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import BLOCK_BYTES, row_blocks, text_bytes, text_column
 
@@ -101,6 +102,13 @@ def buckets_of(docs: DataFrame) -> int:
     return 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of the steps that are over: it does so when the driver collects the last reference
+    to them, which a small driver may not do for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def one_way(docs: DataFrame, text_col: str, send: Callable, gather: Callable, schema: str,
             chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Only the way to the buckets: ``gather(bucket, payloads)`` yields the bucket's row as a dict of ``schema``."""

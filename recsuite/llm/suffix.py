@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .blocks import U64, mix, row_blocks, text_bytes, text_column
-from .exchange import buckets_of, pack, round_trip, unpack
+from .exchange import buckets_of, pack, release, round_trip, unpack
 
 SPAN = 50
 GRAM = 24
@@ -367,8 +367,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield rows(b, texts_of(buf, off), found, got, [True] * b.num_rows)
 
     one = table(round_trip(src, "__text", send_1, answer_1, finish_1, schema), 1)
+    release(docs.sparkSession)
     is_open = F.col("__text").isNotNull()
     two = table(round_trip(one.filter(is_open), "__text", send_2, lambda p: answer_least(p, True), finish_2, schema), 2)
+    release(docs.sparkSession)
     three = round_trip(two.filter(is_open), "__text", send_3, lambda p: answer_least(p, False), finish_3, schema)
     every = one.filter(~is_open).unionByName(two.filter(~is_open)).unionByName(three)
     return every.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", name)
