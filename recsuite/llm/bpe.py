@@ -142,7 +142,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None,
     plus the columns ``kinds`` that ``columns_of`` derives from a block's ids, where the ids themselves need not leave
     the task."""
     keep = ["doc_id"] if keep is None else keep
-    src = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text"))
+    src = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"), kinds])
     columns_of = columns_of or (lambda ids: {"ids": ids})
     names = [k.split()[0] for k in kinds.split(", ")]
@@ -236,7 +236,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, keep: list[str] | None = Non
     """``keep`` columns of ``encoded`` plus ``decoded``: the pieces of the ids joined by one space, as the library
     decodes for a file without a decoder (special tokens are kept)."""
     keep = ["doc_id"] if keep is None else keep
-    src = encoded.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(ids_col).alias("__ids"))
+    src = encoded.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(ids_col).alias("__ids"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__ids"),
                         "decoded string"])
 

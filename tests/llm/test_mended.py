@@ -99,3 +99,12 @@ def test_license_versions_are_told_apart():
         assert got == [f"GPL-{v}-or-later", f"GPL-{v}-or-later (short)"]
     both = LI.TEMPLATES["GPL-2.0-or-later"] + "\n\n" + "other words " * 50 + "\n\n" + LI.TEMPLATES["GPL-3.0-or-later"]
     assert {m[0][:7] for m in s.scan(both)} == {"GPL-2.0", "GPL-3.0"}
+
+
+def test_pipeline_stages_stand_dotted_column_names(make):
+    import corpus_pipeline as p
+    rows = [(i, f"the house number {i} of the street and the town " * 4, "en", "s", 10, i) for i in range(8)]
+    docs = make(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, plain int").withColumnRenamed("plain", "a.b")
+    for name, stage in p.STAGES[:-1]:
+        got = stage(docs.sparkSession, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns and got.count() <= 8, name
