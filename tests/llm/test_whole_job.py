@@ -154,8 +154,21 @@ def test_language_of_a_long_text_is_that_of_the_whole_text():
 
 # 3 ----------------------------------------------------------------------------------------------------------------
 def test_top_k_does_not_cut_vectors(make):
-    from recsuite.llm.topk import codes
+    from recsuite.llm.topk import codes, op3_top_k
     schema = "vec_id bigint, embedding array<double>, label int"
-    assert codes(make([(1, [1.0] * 64, 0), (2, [-1.0, 1.0], 0)], schema)).count() == 2
-    with pytest.raises(Exception, match="65 components"):
-        codes(make([(1, [1.0] * 65, 0)], schema)).collect()
+    one = {r.id: r.code for r in codes(make([(1, [1.0] * 64, 0), (2, [-1.0, 1.0], 0)], schema)).collect()}
+    assert one == {1: [-1], 2: [2]}
+    two = {r.id: r.code for r in codes(make([(1, [1.0] * 65, 0), (2, [-1.0, 1.0], 0)], schema)).collect()}
+    assert two == {1: [-1, 1], 2: [2, 0]}
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(120, 150))
+    v[60:90] = v[3] + rng.normal(size=(30, 150)) * 0.5
+    v[90:, 64:] = v[5, 64:]                     # these differ in the first word alone
+    got = {}
+    for r in op3_top_k(make([(i, x.tolist(), 0) for i, x in enumerate(v)] + [(999, v[5, :70].tolist(), 0)], schema)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.distance, r.vec_id))
+    ids, bits = [*range(120), 999], np.vstack([v > 0, np.append(v[5, :70] > 0, np.zeros(80, bool))])
+    for q in range(0, 120, 20):
+        d = (bits != bits[q]).sum(axis=1)
+        order = [j for j in np.lexsort((ids, d)) if ids[j] != q][:10]
+        assert sorted(got[q]) == [(k + 1, int(d[j]), ids[j]) for k, j in enumerate(order)]
