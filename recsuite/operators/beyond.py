@@ -146,7 +146,7 @@ def candidate_subsets(spark, n_items: int, k: int, seed, mode: str, n_samples: i
 
 
 def candidate_diversity_bounds(candidates: DataFrame, items: DataFrame, k: int, seed, key="item_id",
-                               vec="embedding", *, mode: str, n_samples: int = MAX_COMBINATIONS) -> DataFrame:
+                               vec="embedding", mode: str = "all", n_samples: int = MAX_COMBINATIONS) -> DataFrame:
     """Min / max intra-list diversity over k-subsets of the (known) candidate list: all of them, or a seeded sample."""
     known = candidates.select(key).distinct().join(items.select(key), key, "left_semi")
     idx = dense_index(known, [key], "idx")
