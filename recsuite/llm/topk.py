@@ -53,10 +53,10 @@ def _segments(code, edges: list[int], words: int):
                      for j in range(words) for a, b in zip(edges[:-1], edges[1:])])
 
 
-def _distance(x, y):
-    """Bits in which two codes differ."""
-    differ = F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    return F.aggregate(differ, F.lit(0), lambda a, b: a + b)
+def _distance(x, y, words: int):
+    """Bits in which two codes differ, word by word."""
+    word = lambda j: F.bit_count(F.element_at(x, j + 1).bitwiseXOR(F.element_at(y, j + 1)))
+    return sum((word(j) for j in range(1, words)), word(0))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, segments: int | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, segments: int | N
                   .select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
         # the planner takes the exploded probes for small; neither side is to be broadcast
         x, y = probes.hint("merge").alias("x"), index.hint("merge").alias("y")
-        distance = _distance(F.col("x.q"), F.col("y.code"))
+        distance = _distance(F.col("x.q"), F.col("y.code"), words)
         near = (x.join(y, (F.col("x.seg") == F.col("y.seg")) & (F.col("x.value") == F.col("y.value"))
                        & (distance >= low) & (distance <= high))
                 .select(F.col("x.q").alias("q"), F.col("y.code").alias("code"), distance.alias("distance")))
