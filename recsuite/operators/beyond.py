@@ -14,7 +14,8 @@ by the list length squared per list (lists are recommendation lists, not unbound
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ from recsuite.functions import lists as L
 from recsuite.operators.common import as_list, dense_index
 
 MAX_COMBINATIONS = 20000
+CELLS = 1 << 21  # combinations that a task looks at together
 
 
 def _known(lists: DataFrame, list_id: str, col: str, items: DataFrame, key: str, cols) -> DataFrame:
@@ -147,16 +149,85 @@ def candidate_subsets(spark, n_items: int, k: int, seed, mode: str, n_samples: i
 
 def candidate_diversity_bounds(candidates: DataFrame, items: DataFrame, k: int, seed, key="item_id",
                                vec="embedding", mode: str = "all", n_samples: int = MAX_COMBINATIONS) -> DataFrame:
-    """Min / max intra-list diversity over k-subsets of the (known) candidate list: all of them, or a seeded sample."""
+    """Min / max intra-list diversity over k-subsets of the (known) candidate list: all of them, or a seeded sample.
+    Samples become lists; all combinations are never rows: see ``_all_subset_bounds``."""
+    if mode not in ("all", "sample"):
+        raise ValueError(f"mode {mode!r} is neither all nor sample")
     known = candidates.select(key).distinct().join(items.select(key), key, "left_semi")
     idx = dense_index(known, [key], "idx")
     n = idx.count()
+    if mode == "all":
+        if k > n:
+            raise ValueError(f"subsets of {k} items cannot be formed from {n} candidates")
+        return _all_subset_bounds(idx, n, items, k, key, vec)
     subs = candidate_subsets(candidates.sparkSession, n, k, seed, mode, n_samples)
     lists = subs.join(idx, "idx").groupBy("subset_id").agg(F.collect_list(key).alias("items"))
     d = intra_list_diversity(lists, items, "subset_id", "items", key, vec)
     return d.agg(F.min("diversity").alias("min_diversity"), F.max("diversity").alias("max_diversity"))
 
 
+def _all_subset_bounds(idx: DataFrame, n: int, items: DataFrame, k: int, key: str, vec: str) -> DataFrame:
+    """Bounds over all k-combinations of the ``n`` indexed candidates.  They are cut into blocks so small that the
+    combinations across k blocks fit ``CELLS``; a row is one combination of blocks with their vectors, and gives the
+    smallest and largest diversity inside it.  A task holds one row at a time, whatever the number of candidates, and
+    no combination is ever a row.  Sums over a list's items are sums over its pairs: |sum u|^2 = sum |u|^2 + 2 sum u_i.u_j."""
+    side = max(1, int(CELLS ** (1 / k)))
+    units = _unit_items(items, key, vec).join(idx, key)
+    per = units.groupBy("idx").agg(Summarizer.sum(F.col("_u")).alias("_s"), F.count(F.lit(1)).alias("_n"),
+                                   F.sum("_nz").alias("_m"))
+    block = per.groupBy(F.floor(F.col("idx") / side).alias("_b")).agg(F.array_sort(F.collect_list(F.struct(
+        "idx", vector_to_array("_s").alias("s"), "_n", "_m"))).alias("_rows"))  # ``side`` rows
+    block = block.select("_b", F.flatten(F.transform("_rows", lambda r: r["s"])).alias("s"),
+                         F.transform("_rows", lambda r: r["_n"]).alias("n"), F.transform("_rows", lambda r: r["_m"]).alias("m"))
+    # ascending block numbers, a block as often as it has items; the executors build them
+    n_blocks = -(-n // side)
+    t = idx.sparkSession.range(n_blocks).select(F.array("id").alias("_c"))
+    for _ in range(k - 1):
+        last = F.element_at("_c", -1)
+        t = t.select("_c", F.explode(F.sequence(last, F.lit(n_blocks - 1).cast("bigint"))).alias("_n")) \
+            .select(F.concat("_c", F.array("_n")).alias("_c"))
+    t = t.select(*[F.col("_c")[i].alias(f"_b{i}") for i in range(k)])
+    for i in range(k):
+        own = block.select(F.col("_b").alias(f"_b{i}"), F.struct("s", "n", "m").alias(f"_v{i}"))
+        t = t.hint("merge").join(own, f"_b{i}")  # how many combinations there are, only the run shows
+
+    names = [f"_b{i}" for i in range(k)]
+
+    def run(row: pa.Table) -> pa.Table:
+        low, high = _bounds_of([row[c][0].as_py() for c in names], [row[f"_v{i}"][0] for i in range(k)])
+        return pa.table({"low": pa.array([low], pa.float64()), "high": pa.array([high], pa.float64())})
+
+    d = t.groupBy(*names).applyInArrow(run, "low double, high double")  # a group is one row
+    return d.agg(F.min("low").alias("min_diversity"), F.max("high").alias("max_diversity"))
+
+
+def _bounds_of(blocks: list[int], values: list) -> tuple[float | None, float | None]:
+    """(min, max) diversity of the lists that take one item of each block, ascending inside a block."""
+    k = len(blocks)
+    part = []
+    for v in values:
+        n, m = (np.asarray(v[c].as_py(), np.float64) for c in ("n", "m"))
+        part.append((np.asarray(v["s"].values).reshape(len(n), -1), n, m))
+    axis = lambda a, i: a.reshape([-1 if j == i else 1 for j in range(k)])
+    shape = [len(p[1]) for p in part]
+    size, excess = np.zeros([1] * k), np.zeros(shape)  # items of a list; |sum u|^2 less the non-zero ones
+    valid = np.ones([1] * k, bool)
+    for i, (s, n, m) in enumerate(part):
+        size = size + axis(n, i)
+        excess += axis(np.einsum("ij,ij->i", s, s) - m, i)
+        for j in range(i):
+            dots = 2.0 * (part[j][0] @ s.T)
+            excess += dots.reshape([shape[x] if x in (i, j) else 1 for x in range(k)])
+            if blocks[i] == blocks[j] and i == j + 1:
+                valid = valid & (axis(np.arange(shape[j]), j) < axis(np.arange(shape[i]), i))
+    pairs = size * (size - 1)
+    valid = np.broadcast_to(valid & (size > 1), shape)
+    if not valid.any():
+        return None, None
+    div = np.maximum(0.0, (pairs - excess) / np.where(pairs > 0, pairs, 1.0))
+    return float(np.min(div, where=valid, initial=np.inf)), float(np.max(div, where=valid, initial=-np.inf))
+
+
 def candidate_bounds(candidates: DataFrame, items: DataFrame, attr: str, n: int, key="item_id",
                      transform=None) -> DataFrame:
     """Mean of the n highest and of the n lowest attribute values among the candidates (returned as

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from recsuite.operators import beyond as B
 from recsuite.operators import history as HI
 from recsuite.operators import labels as J
 from recsuite.operators import lookup as LK
@@ -183,3 +184,31 @@ def test_subset_mode_is_the_callers_choice(spark):
     assert B.candidate_subsets(spark, 6, 2, 1, "sample", 40).select("subset_id").distinct().count() == 40
     with pytest.raises(ValueError):
         B.candidate_subsets(spark, 6, 2, 1, "auto")
+
+
+def test_bounds_over_all_subsets_make_no_row_per_subset(spark, monkeypatch):
+    import itertools
+    import random
+
+    rnd = random.Random(3)
+    vec = {i: [rnd.gauss(0, 1) for _ in range(4)] for i in range(11)}
+    rows = [*vec.items(), (4, [1.0, 0.0, 0.0, 2.0]), (12, [0.0] * 4)]  # one key twice, one zero vector
+    items = spark.createDataFrame(rows, "item_id int, embedding array<double>")
+    cand = spark.createDataFrame([(i,) for i in [*vec, 12, 3, 99]], "item_id int")
+
+    def diversity(keys):
+        u = [[x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v] for i, v in rows if i in keys]
+        pairs = [1 - sum(a * b for a, b in zip(p, q)) for p, q in itertools.permutations(u, 2)]
+        return max(0.0, sum(pairs) / len(pairs))
+
+    def no_rows(*a):
+        raise AssertionError("combinations became rows")
+
+    monkeypatch.setattr(B, "candidate_subsets", no_rows)
+    for k, cells in ((2, 1 << 20), (3, 1 << 20), (3, 30), (4, 20)):
+        monkeypatch.setattr(B, "CELLS", cells)
+        brute = [diversity(s) for s in itertools.combinations([*vec, 12], k)]
+        got = B.candidate_diversity_bounds(cand, items, k, 1).first()
+        assert tuple(got) == pytest.approx((min(brute), max(brute)), abs=1e-9)
+    with pytest.raises(ValueError):
+        B.candidate_diversity_bounds(cand, items, 13, 1)
