@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recsuite.functions import lists as L
 from recsuite.functions import rng
-from recsuite.operators.common import as_list, dense_index, first_per_key, top_n_per_group
+from recsuite.operators.common import as_list, cut_lineage, dense_index, first_per_key, top_n_per_group
 
 
 def sample_negatives_npratio(df: DataFrame, npratio: int, seed, key="impression_id", inview="inview",
@@ -95,25 +95,36 @@ def negatives_outside_taste(history: DataFrame, items: DataFrame, seed, user="us
     allowed items gets all of them (the reference would loop forever).  Exact and in one pass, no rejection rounds:
 
     * the catalogue is densely indexed in (attributes, item) order, so every combination of attribute values is a
-      range [start, start + count) of it;
-    * a user carries only the ranges of the taste, in order.  Distinct positions in [0, allowed count) are drawn with
-      the unrolled partial Fisher-Yates (md5 draws); a position moves past every excluded range at or before it,
-      and the result is joined to the dense index (an equi-join)."""
+      range [start, start + count) of it, and so are all combinations with the same first values;
+    * a user carries only the codes of the taste's values, never their ranges; the ranges of every value are one array
+      (``_value_ranges``: as many entries as the catalogue has combinations), looked up inside the row.  Distinct
+      positions in [0, allowed count) are drawn with the unrolled partial Fisher-Yates (md5 draws); a position moves
+      past every excluded range at or before it, and the result is joined to the dense index (an equi-join)."""
     from recsuite.operators.sampling import unrolled_sample_indices
     attrs = as_list(attr)
+    codes = [f"_c{i}" for i in range(len(attrs))]
     cat = items.select(item, *attrs)
     idx = dense_index(cat, [*attrs, item], "_g")
     total = idx.agg(F.count(F.lit(1))).scalar()
     ranges = idx.groupBy(*attrs).agg(F.min("_g").alias("s"), F.count(F.lit(1)).alias("n"))
-    seen = history.select(user, F.explode(hist).alias(item)).join(cat, item)
+    for a, c in zip(attrs, codes):
+        values = ranges.select(a).filter(F.col(a).isNotNull()).distinct()
+        code = dense_index(values, [a], c).select(a, F.col(c).cast("int").alias(c))
+        ranges, cat = ranges.join(code, a, "left"), cat.join(code, a, "left")
+    ranges = cut_lineage(ranges.select(*codes, "s", "n"))
+    seen = history.select(user, F.explode(hist).alias(item)).join(cat.select(item, *codes), item)
+    taste = seen.groupBy(F.col(user).alias("_u")).agg(*[F.collect_set(c).alias(c) for c in codes])
+    u = history.select(user).distinct().join(taste, F.col(user) == F.col("_u"), "left").drop("_u")
     out = None
-    for a in attrs:
-        part = seen.select(user, a).distinct().join(ranges.select(a, "s", "n"), a).select(user, "s", "n")
-        out = part if out is None else out.unionByName(part)
-    taste = out.distinct().groupBy(F.col(user).alias("_u")).agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("_out"))
-    none = F.array().cast("array<struct<s:bigint,n:bigint>>")
-    u = history.select(user).distinct().join(taste, F.col(user) == F.col("_u"), "left").drop("_u") \
-        .withColumn("_out", F.coalesce("_out", none))
+    for i, c in enumerate(codes):
+        own = F.flatten(F.transform(c, lambda x: F.get(F.col(f"_r{i}"), x)))  # noqa: B023
+        for j in range(i):  # those inside a range that is out already
+            own = F.filter(own, lambda e: ~F.coalesce(F.array_contains(codes[j], e[codes[j]]), F.lit(False)))  # noqa: B023
+        own = F.coalesce(F.transform(own, lambda e: F.struct(e["s"].alias("s"), e["n"].alias("n"))),
+                         F.array().cast("array<struct<s:bigint,n:bigint>>"))
+        u = u.withColumn(f"_r{i}", _value_ranges(ranges, codes, i))
+        out = own if out is None else F.concat(out, own)
+    u = u.withColumn("_out", F.array_sort(out)).drop(*codes, *[f"_r{i}" for i in range(len(codes))])
     gone = F.aggregate("_out", F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
     u = u.withColumn("_A", (total - gone).cast("int"))
     u = u.withColumn("_want", F.lit(base) + F.pmod(rng.draw32(seed, F.col(user), F.lit("n")), F.lit(extra_max)) + 1)
@@ -127,6 +138,15 @@ def negatives_outside_taste(history: DataFrame, items: DataFrame, seed, user="us
         .select(user, F.transform("_l", lambda e: e[item]).alias("neg"))
 
 
+def _value_ranges(ranges: DataFrame, codes: list[str], i: int):
+    """Array by the code of attribute ``i``: the catalogue's ranges of that value, one for each combination of the attributes
+    before it (their codes beside it).  As a scalar it reaches every task once."""
+    own = ranges.groupBy(*codes[:i + 1]).agg(F.min("s").alias("s"), F.sum("n").alias("n")).filter(F.col(codes[i]).isNotNull())
+    by = own.groupBy(codes[i]).agg(F.collect_list(F.struct("s", "n", *codes[:i])).alias("_l"))
+    rows = by.agg(F.array_sort(F.collect_list(F.struct(codes[i], "_l"))).alias("_a"))
+    return rows.select(F.transform("_a", lambda e: e["_l"]).alias("_a")).scalar()
+
+
 def training_candidates(df: DataFrame, k: int, seed, key: str, pos="item_id", own_neg="neg",
                         random_neg="random_neg", out="candidates") -> DataFrame:
     """[positive] + min(k, #own negatives) own negatives (seeded sample) + the rest from random negatives."""

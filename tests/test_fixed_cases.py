@@ -212,3 +212,36 @@ def test_bounds_over_all_subsets_make_no_row_per_subset(spark, monkeypatch):
         assert tuple(got) == pytest.approx((min(brute), max(brute)), abs=1e-9)
     with pytest.raises(ValueError):
         B.candidate_diversity_bounds(cand, items, 13, 1)
+
+
+def test_negatives_outside_taste_carry_no_ranges(spark, monkeypatch):
+    """The rows that are joined and grouped hold values of the taste, not a range for every combination with them; NULL values
+    exclude nothing, and picks are positions among the allowed items in catalogue order."""
+    import hashlib
+
+    rows = [(i, None if i % 13 == 0 else f"c{i % 7}", None if i % 17 == 0 else i % 5) for i in range(300)]
+    items = spark.createDataFrame(rows, "item_id bigint, category string, c int")
+    hist = {1: [3, 13], 2: [17, 221], 3: [1, 2, 3, 4, 5, 6, 7], 4: [9999]}
+    h = spark.createDataFrame(list(hist.items()), "user_id bigint, history array<bigint>")
+    shuffled = []
+    real = J._value_ranges
+
+    def watched(ranges, codes, i):
+        shuffled.append(codes[i])
+        return real(ranges, codes, i)
+
+    monkeypatch.setattr(J, "_value_ranges", watched)
+    got = {r.user_id: r.neg for r in J.negatives_outside_taste(h, items, 5, attr=["category", "c"]).collect()}
+    assert shuffled == ["_c0", "_c1"]
+    first = lambda v: (v is not None, v if v is not None else 0)
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", first(r[2]), r[0]))
+    draw = lambda *k: int(hashlib.md5("|".join(map(str, k)).encode()).hexdigest()[:8], 16)
+    for u, own in hist.items():
+        seen = [r for r in rows if r[0] in own]
+        cats, cs = {r[1] for r in seen} - {None}, {r[2] for r in seen} - {None}
+        allowed = [r[0] for r in order if r[1] not in cats and r[2] not in cs]
+        want = 20 + draw(5, u, "n") % 5 + 1
+        for k in range(min(want, len(allowed))):
+            j = k + draw(5, u, k) % (len(allowed) - k)
+            allowed[k], allowed[j] = allowed[j], allowed[k]
+        assert got.get(u, []) == allowed[:want]
