@@ -29,10 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+ORDER_ROWS = 500_000  # lines of a shuffle partition
+
+
+def _by_order(li: DataFrame) -> DataFrame:
+    """Lines partitioned by order: into Spark's own number of partitions, or more if a partition would get more than
+    ``ORDER_ROWS`` lines, so a task's share does not grow with the table (the count reads the files' footers only)."""
+    own = int(li.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-li.count() // ORDER_ROWS)
+    return li.repartition(wanted, "l_orderkey") if wanted > own else li.repartition("l_orderkey")
+
+
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # hash-partition lines by order first: collect_set gains little from map-side combining, and this way the
     # collection runs in every shuffle partition (one shuffle either way); the join then sees one row per order
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").repartition("l_orderkey")
+    li = _by_order(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag"))
     per_order = li.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_set("l_partkey")).alias("inview"),
         F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey")))).alias("clicked"),

@@ -245,3 +245,18 @@ def test_negatives_outside_taste_carry_no_ranges(spark, monkeypatch):
             j = k + draw(5, u, k) % (len(allowed) - k)
             allowed[k], allowed[j] = allowed[j], allowed[k]
         assert got.get(u, []) == allowed[:want]
+
+
+def test_partitions_of_orders_grow_with_the_lines(spark, monkeypatch, tmp_path):
+    from recsuite.sources import fixtures as fx
+
+    spark.range(400).selectExpr("id % 90 AS l_orderkey", "id AS l_partkey", "if(id % 3 = 0, 'R', 'N') AS l_returnflag") \
+        .write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(90).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "date'1998-01-01' AS o_orderdate") \
+        .write.parquet(str(tmp_path / "orders.parquet"))
+    few = sorted(map(str, fx.impressions(spark, str(tmp_path)).collect()))
+    li = fx.table(spark, str(tmp_path), "lineitem")
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(fx, "ORDER_ROWS", 10)
+    assert fx._by_order(li).rdd.getNumPartitions() == 40 > own
+    assert sorted(map(str, fx.impressions(spark, str(tmp_path)).collect())) == few and len(few) == 90
