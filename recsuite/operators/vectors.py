@@ -1,7 +1,7 @@
 """Embeddings, clustering and dataset distillation.
 
-Vectors are ``array<float|double>`` columns; group means use Spark ML's ``Summarizer`` (JVM).  Centres (K-means, nearest
-centre, distance matrices) are in ``clustering``.
+Vectors are ``array<float|double>`` columns; group means use Spark ML's ``Summarizer`` (JVM), or plain sums of the components
+where there may be many groups.  Centres (K-means, nearest centre, distance matrices) are in ``clustering``.
 """
 
 from __future__ import annotations
@@ -19,17 +19,33 @@ from recsuite.operators.clustering import assign_nearest, distance_matrix, kmean
 from recsuite.operators.common import as_list, dense_index, first_per_key, top_n_per_group
 
 
-def mean_vectors(df: DataFrame, group, vec: str, out: str = "vector") -> DataFrame:
-    """Element-wise mean vector per group (NULL vectors skipped)."""
+def mean_vectors(df: DataFrame, group, vec: str, out: str = "vector", size: int | None = None, weight=None) -> DataFrame:
+    """Element-wise mean vector per group (NULL vectors skipped).  With the vectors' ``size`` the components are summed
+    as plain numbers, which Spark does in a hash table of fixed-width rows: many groups are neither sorted nor spilled as
+    vectors.  Then a vector of another size or with a NULL component is an error, and a row counts ``weight`` (a column) times."""
     g = as_list(group)
+    if size is not None:
+        bad = F.raise_error(F.lit(f"{vec}: a vector without {size} components")).cast("array<double>")
+        whole = (F.size(vec) == size) & ~F.exists(vec, lambda x: x.isNull())
+        w = F.lit(1) if weight is None else F.col(weight)
+        d = df.filter(F.col(vec).isNotNull()).select(*g, w.alias("_w"), F.when(whole, F.col(vec).cast("array<double>")).otherwise(bad).alias("_v"))
+        sums = d.groupBy(*g).agg(F.sum("_w").alias("_n"), *[F.sum(F.get("_v", i) * F.col("_w")).alias(f"_s{i}") for i in range(size)])
+        return sums.select(*g, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(size)]).cast("array<double>").alias(out))
+    if weight is not None:
+        raise ValueError("weights need the vectors' size")
     d = df.filter(F.col(vec).isNotNull()).withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
     return d.groupBy(*g).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(*g, vector_to_array("_m").alias(out))
 
 
 def user_vectors(history: DataFrame, vectors: DataFrame, user="user_id", item="item_id", vec="embedding",
                  out="user_vector") -> DataFrame:
-    """A user's vector = mean of the vectors of the items in their history rows ``(user, item)``."""
-    return mean_vectors(history.select(user, item).join(vectors.select(item, vec), item), user, vec, out)
+    """A user's vector = mean of the vectors of the items in their history rows ``(user, item)``.  Rows of items
+    without a vector go first; the others are counted per user and item and dealt by user while they are narrow, so where the
+    vectors are few enough for a broadcast no vector is shuffled, and a user of many rows comes to one row per item."""
+    size = vectors.agg(F.max(F.size(vec))).first()[0]  # one number
+    known = history.select(user, item).join(vectors.filter(F.col(vec).isNotNull()).select(item), item, "left_semi")
+    rows = known.groupBy(user, item).agg(F.count(F.lit(1)).alias("_rows")).repartition(user)
+    return mean_vectors(rows.join(vectors.select(item, vec), item), user, vec, out, size=max(size or 0, 0), weight="_rows")
 
 
 def dot_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, user="user_id", item="item_id",
