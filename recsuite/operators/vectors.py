@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from recsuite.functions import lists as L
 from recsuite.operators.clustering import assign_nearest, distance_matrix, kmeans, stored_centres  # noqa: F401
 from recsuite.operators.common import as_list, dense_index, first_per_key, top_n_per_group
+from recsuite.session import cut_lineage
 
 
 def mean_vectors(df: DataFrame, group, vec: str, out: str = "vector", size: int | None = None, weight=None) -> DataFrame:
@@ -63,12 +64,14 @@ def medoids(assigned: DataFrame, key: str, cols=(), cluster="cluster") -> DataFr
 
 def select_per_cluster(assigned: DataFrame, key: str, topic: str, m: int, alpha: float, cluster="cluster") -> DataFrame:
     """M5: per cluster the m members with the smallest ``dist + alpha * |topic - mean topic of the cluster|``
-    (euclidean; ``dist`` from ``assign_nearest`` is squared, so its root is used)."""
+    (euclidean; ``dist`` from ``assign_nearest`` is squared, so its root is used).  Both the members, which are read for
+    the means and for the scores, and the few selected rows are written once, so neither is worked out for every use."""
+    assigned = cut_lineage(assigned)
     tc = mean_vectors(assigned, cluster, topic, "_tc")
     j = assigned.join(tc, cluster)
     score = F.sqrt(F.col("dist")) + alpha * F.sqrt(L.sq_euclidean(topic, "_tc"))
     j = j.withColumn("_score", score)
-    return top_n_per_group(j, [cluster], [F.col("_score"), F.col(key)], m, salt_on=[key]).drop("_tc")
+    return cut_lineage(top_n_per_group(j, [cluster], [F.col("_score"), F.col(key)], m, salt_on=[key]).drop("_tc"))
 
 
 def merge_histories(selected: DataFrame, history: DataFrame, key: str, hist: str, cluster="cluster",

@@ -177,8 +177,8 @@ def _selected(spark, sf):
     c = _clicked(spark, sf)
     uv = M.user_vectors(c, fx.item_vectors(spark, sf))
     it = fx.items(spark, sf).select("item_id", F.array(F.col("sentiment_score"), F.col("has_image").cast("double")).alias("t"))
-    topic = M.mean_vectors(c.join(it, "item_id"), "user_id", "t", "topic")
-    a = M.assign_nearest(uv.join(topic, "user_id"), "user_vector", _centres(spark, sf))
+    topic = M.mean_vectors(c.join(it, "item_id"), "user_id", "t", "topic", size=2)
+    a = M.assign_nearest(uv.join(topic, "user_id"), "user_vector", _centres(spark, sf)).drop("user_vector")
     return M.select_per_cluster(a, "user_id", "topic", 3, 0.5)
 
 

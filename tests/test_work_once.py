@@ -19,6 +19,20 @@ def counted(spark, df, col):
     return df.withColumn(col, F.udf(count, df.schema[col].dataType)(col).alias(col)), seen
 
 
+def test_members_of_the_clusters_are_worked_out_once(spark):
+    rows = [(i, i % 3, float((i * 7) % 11), [float(i % 5), float(i % 7)]) for i in range(60)]
+    a, seen = counted(spark, spark.createDataFrame(rows, "k long, cluster int, dist double, t array<double>"), "dist")
+    got = M.select_per_cluster(a, "k", "t", 2, 0.5)
+    chosen = {(r.cluster, r._rank): r.k for r in got.collect()}
+    got.count()
+    assert seen.value == 60
+    for c in range(3):
+        mine = [r for r in rows if r[1] == c]
+        mean = [sum(r[3][j] for r in mine) / len(mine) for j in (0, 1)]
+        score = lambda r: r[2] ** 0.5 + 0.5 * sum((x - m) ** 2 for x, m in zip(r[3], mean)) ** 0.5  # noqa: B023, E731
+        assert [chosen[c, 1], chosen[c, 2]] == [r[0] for r in sorted(mine, key=lambda r: (score(r), r[0]))[:2]]
+
+
 def test_user_vectors_are_sums_of_numbers(spark):
     vecs = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, -4.0]), (3, None)], "item_id long, embedding array<float>")
     rows = [(1, 1), (1, 1), (1, 2), (1, None), (1, 9), (2, 2), (3, 3), (None, 1), (4, None)]
