@@ -48,3 +48,54 @@ def test_user_vectors_are_sums_of_numbers(spark):
     hole = vecs.unionByName(spark.createDataFrame([(9, [1.0, None])], vecs.schema))
     with pytest.raises(Exception, match="without 2 components"):
         M.user_vectors(h, hole).collect()
+
+
+class _Held:
+    """A processor's handle over lists that counts how often a list is read."""
+
+    def __init__(self):
+        self.rows, self.timers, self.reads, self.own = [], [], 0, {}
+
+    def getListState(self, name, schema):
+        return self.own.setdefault(name, _Held())
+
+    def get(self):
+        self.reads += 1
+        return iter(list(self.rows))
+
+    def appendList(self, x):
+        self.rows.extend(x)
+
+    def put(self, x):
+        self.rows[:] = x
+
+    def clear(self):
+        self.rows.clear()
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+    def registerTimer(self, t):
+        self.timers.append(t)
+
+
+def test_rows_that_wait_are_read_when_their_timer_fires_only():
+    h, p = _Held(), ST.OrderedLastN(2)
+    p.init(h)
+    add = lambda *us: list(p.handleInputRows((1,), iter([pd.DataFrame({"us": [u * 1000 for u in us], "item": list(us)})]), None))
+    add(50, 40)
+    add(60)
+    assert h.timers == [40]
+    add(20, 90)                              # a late row moves the timer forward
+    add()
+    assert h.timers == [20] and h.own["waiting"].reads == 0
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: self.ms})()
+    clock.ms = 55
+    out = pd.concat(list(p.handleExpiredTimer((1,), clock, None)))
+    assert out.event_id.tolist() == [20, 40, 50] and out.history.tolist() == [[], [20], [20, 40]] and h.timers == [60]
+    clock.ms = 95
+    out = pd.concat(list(p.handleExpiredTimer((1,), clock, None)))
+    assert out.event_id.tolist() == [60, 90] and out.history.tolist() == [[40, 50], [50, 60]] and h.timers == []
