@@ -112,7 +112,8 @@ def _domain(c: str, size, is_list: bool) -> Column:
 
 
 def _encode(job: TableJob, vocabs: dict[str, DataFrame]) -> DataFrame:
-    df, order = job.table, job.order or job.id_col
+    # the table is read by the check, by every vocabulary and by the encoding: it is written once, not worked out for each
+    df, order = cut_lineage(job.table), job.order or job.id_col
     if df.groupBy(job.id_col).count().filter("count > 1").limit(1).count():
         raise ValueError(f"{job.name}: id column {job.id_col} is not unique")
     kinds = {c: s.get("kind", "scalar") for c, s in job.spec.items()}

@@ -50,6 +50,16 @@ def test_user_vectors_are_sums_of_numbers(spark):
         M.user_vectors(h, hole).collect()
 
 
+def test_an_encoded_table_is_worked_out_once(spark):
+    df = spark.createDataFrame([(i, f"t{i % 4}", [f"t{i % 3}", "x"]) for i in range(20)], "k long, s string, l array<string>")
+    t, seen = counted(spark, df, "s")
+    spec = {"s": {"vocab": "a"}, "l": {"vocab": "b", "kind": "list"}}
+    out, vocabs = E.encode_tables([E.TableJob("t", t, "k", spec, index="i")])
+    assert sorted(tuple(r) for r in out["t"].select("k", "s", "i").collect()) == [(i, i % 4, i) for i in range(20)]
+    assert {r.token: r.idx for r in vocabs["b"].collect()} == {"t0": 0, "x": 1, "t1": 2, "t2": 3}
+    assert seen.value == 20
+
+
 class _Held:
     """A processor's handle over lists that counts how often a list is read."""
 
