@@ -10,8 +10,8 @@ bucket is hot, and nothing is ever gathered per key beyond one entry per chunk.
     answer([payload, ...])    -> [payload, ...]         one answer per chunk that wrote to the bucket, in order
     finish(blocks, answers)   -> rows                   blocks: RecordBatches of the chunk; answers: {bucket: payload}
 
-``state`` may hold one binary per bucket (columns bucket, state), which ``answer`` then gets as a second argument (None
-for a bucket without one).
+``state`` may hold rows of a bucket (columns bucket, kind, src, state), which ``answer`` then gets as a second argument, a
+table (None for a bucket without one).
 
 The input has to give the same rows in the same order when a task runs again, as a table read from files does: a chunk
 carries a checksum of its texts, and a chunk whose answers are missing stops the job instead of giving wrong rows.
@@ -109,9 +109,8 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def one_way(docs: DataFrame, text_col: str, send: Callable, gather: Callable, schema: str,
-            chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Only the way to the buckets: ``gather(bucket, payloads)`` yields the bucket's row as a dict of ``schema``."""
+def send_chunks(docs: DataFrame, text_col: str, send: Callable, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Only the way to the buckets: (bucket, chunk, payload) of what ``send`` yields."""
 
     def send_keys(batches):
         for chunk, blocks in chunks(batches, text_col, chunk_bytes):
@@ -119,25 +118,13 @@ def one_way(docs: DataFrame, text_col: str, send: Callable, gather: Callable, sc
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk]),
                                                   pa.array([payload], pa.binary())], names=["bucket", "chunk", "payload"])
 
-    def gather_bucket(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("chunk")
-        row = gather(rows["bucket"][0].as_py(), [p.as_buffer() for p in rows["payload"]])
-        return pa.table({k: pa.array([v], t) for k, (v, t) in row.items()})
-
-    return (docs.mapInArrow(send_keys, "bucket int, chunk string, payload binary")
-            .groupBy("bucket").applyInArrow(gather_bucket, schema))
+    return docs.mapInArrow(send_keys, "bucket int, chunk string, payload binary")
 
 
 def round_trip(docs: DataFrame, text_col: str, send: Callable, answer: Callable, finish: Callable, schema: str,
                chunk_bytes: int = CHUNK_BYTES, state: DataFrame | None = None) -> DataFrame:
     """Run the exchange over ``docs``; ``finish`` yields RecordBatches or Tables of ``schema``."""
 
-    def send_keys(batches):
-        for chunk, blocks in chunks(batches, text_col, chunk_bytes):
-            for bucket, payload in send(blocks):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk]),
-                                                  pa.array([payload], pa.binary())], names=["bucket", "chunk", "payload"])
-
     def send_bodies(batches):
         for chunk, blocks in chunks(batches, text_col, chunk_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([to_bytes(blocks)], pa.binary())],
@@ -151,7 +138,7 @@ def round_trip(docs: DataFrame, text_col: str, send: Callable, answer: Callable,
         elif known is None:
             replies = answer(payloads)
         else:
-            replies = answer(payloads, known["state"][0].as_buffer() if known.num_rows else None)
+            replies = answer(payloads, known if known.num_rows else None)
         return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "reply": pa.array(replies, pa.binary())})
 
     def finish_chunk(replies: pa.Table, bodies: pa.Table) -> pa.Table:
@@ -162,12 +149,12 @@ def round_trip(docs: DataFrame, text_col: str, send: Callable, answer: Callable,
         out = [pa.Table.from_batches([x]) if isinstance(x, pa.RecordBatch) else x for x in finish(blocks, got)]
         return pa.concat_tables(out)
 
-    keys = docs.mapInArrow(send_keys, "bucket int, chunk string, payload binary")
+    keys = send_chunks(docs, text_col, send, chunk_bytes)
     reply = "chunk string, bucket int, reply binary"
     if state is None:
         replies = keys.groupBy("bucket").applyInArrow(lambda rows: answer_bucket(rows), reply)
     else:
-        replies = (keys.groupBy("bucket").cogroup(state.select("bucket", "state").groupBy("bucket"))
+        replies = (keys.groupBy("bucket").cogroup(state.select("bucket", "kind", "src", "state").groupBy("bucket"))
                    .applyInArrow(lambda rows, known: answer_bucket(rows, known), reply))
     bodies = docs.mapInArrow(send_bodies, "chunk string, body binary")
     return replies.groupBy("chunk").cogroup(bodies.groupBy("chunk")).applyInArrow(finish_chunk, schema)

@@ -172,3 +172,83 @@ def test_top_k_does_not_cut_vectors(make):
         d = (bits != bits[q]).sum(axis=1)
         order = [j for j in np.lexsort((ids, d)) if ids[j] != q][:10]
         assert sorted(got[q]) == [(k + 1, int(d[j]), ids[j]) for k, j in enumerate(order)]
+
+
+def _docs(make, texts, start=0):
+    return make([(start + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+
+
+def test_lm_contexts_are_words(make):
+    """Words of the same last two bytes predict their own followers."""
+    from recsuite.llm import pylm
+    train = _docs(make, ["xab left one", "yab right two"] * 30)
+    state, kept = pylm.train(train)
+    got = [r.score for r in pylm.score(_docs(make, ["xab left one", "xab right two", "yab right two", "yab left one"]), state,
+                                       kept).orderBy("doc_id").collect()]
+    assert got[0] > got[1] + 0.5 and got[2] > got[3] + 0.5
+
+
+def test_lm_score_equals_plain_model_of_the_kept_seatings(spark, make):
+    """The scores are those of the kept tables, read out pair by pair, and every context's probabilities add up to 1."""
+    import random
+    from collections import Counter
+    from math import log10
+
+    from recsuite.llm import pylm
+    rnd = random.Random(3)
+    names = [f"w{i}" for i in range(40)]
+    texts = [" ".join(names[int(40 * rnd.random() ** 3)] for _ in range(rnd.randrange(0, 40))) for _ in range(80)]
+    state, kept = pylm.train(_docs(make, texts))
+    state = state.localCheckpoint()
+    end = int(pylm._END)
+    hashes = {w: int(pylm.token_keys(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+              for w in [*names, "new"]}
+    pairs = Counter()
+    for t in texts:
+        line = [hashes[w] for w in t.split()] + [end]
+        pairs.update(zip(line, [end, *line]))
+    samples = [{"t": {}, "m": {}, "k": {}, "T": {}} for _ in kept]
+    seen = {}
+    rows = state.collect()
+    for b in {r.bucket for r in rows}:
+        def arrays(kind):
+            return [pylm.unpack(r.state) for r in sorted(rows, key=lambda r: r.src) if r.bucket == b and r.kind == kind]
+        (packed,), ((own, count, _, asks, *_), found) = arrays(pylm.PAIRS), pylm._load(arrays(pylm.WORDS)[0])
+        found[-1].append(pylm._answered(own, asks, [(0, a) for a in arrays(pylm.TABLES)])[1])
+        code, c = np.cumsum(packed[0]), packed[1].astype(int)
+        keys = [(int(own[x >> pylm.HASH_BITS]), int(x & pylm._HASH)) for x in code]
+        seen |= dict(zip(keys, c.tolist()))
+        for s, (t, m, k, tables) in zip(samples, found):
+            several = iter(t.tolist())
+            s["t"] |= {key: next(several) if n > 1 else 1 for key, n in zip(keys, c)}
+            s["m"] |= dict(zip(own.tolist(), m.tolist()))
+            s["k"] |= dict(zip(own.tolist(), k.tolist()))
+            s["T"] |= dict(zip(own.tolist(), tables.tolist()))
+    short = lambda h: h >> (64 - pylm.HASH_BITS)
+    assert seen == {(w, short(u)): n for (w, u), n in pairs.items()}
+    size = Counter()
+    for (w, u), n in pairs.items():
+        size[u] += n
+    for s, totals in zip(samples, kept):
+        for u in size:
+            assert s["T"][u] == sum(t for (_, x), t in s["t"].items() if x == short(u))
+        for w in s["m"]:
+            assert s["m"][w] == sum(t for (x, _), t in s["t"].items() if x == w) and 1 <= s["k"][w] <= s["m"][w]
+        assert totals["M"] == sum(s["m"].values()) and totals["K"] == sum(s["k"].values())
+
+    def probability(w, u):
+        total = 0.0
+        for s, g in zip(samples, kept):
+            base = g["base"] if w in s["m"] else g["unknown"]
+            up = (s["m"].get(w, 0) - g["parent_discount"] * s["k"].get(w, 0) + (1 + g["parent_discount"] * g["K"]) * base) / (1 + g["M"])
+            own = seen.get((w, short(u)), 0) - g["discount"] * s["t"].get((w, short(u)), 0)
+            total += (own + (1 + g["discount"] * s["T"].get(u, 0)) * up) / (1 + size.get(u, 0))
+        return total / len(kept)
+
+    for u in size:
+        assert abs(sum(probability(w, u) for w in [*samples[0]["m"], hashes["new"]]) - 1) < 1e-9
+    asked = [*texts[:20], "w0 w1 new w2 new new", "", None]
+    got = pylm.score(_docs(make, asked), state, kept).orderBy("doc_id").collect()
+    for r, t in zip(got, asked):
+        line = [hashes[w] for w in (t or "").split()] + [end]
+        assert abs(r.score - sum(log10(probability(w, u)) for w, u in zip(line, [end, *line]))) < 1e-9
