@@ -25,6 +25,8 @@ from recsuite.sources.io import scratch_dir
 
 BUCKET_ROWS = 4 << 20   # incidences of a bucket, about
 MAX_BUCKETS = 1024
+SENT_KEYS = 1 << 20     # keys that are sent to the incidences at a time, which then are not shuffled
+MAX_SENDS = 8           # parts that a lookup's keys are sent in; more keys are joined by a shuffle
 SPREAD = 8              # files that a bucket is spread over, so a hot item or row is in no single one
 
 
@@ -54,11 +56,22 @@ class Incidences:
     def _bucket(self, side: str):
         return F.pmod(F.xxhash64(side), F.lit(self.buckets)).cast("int")
 
-    def of(self, side: str, removed: DataFrame) -> DataFrame:
-        """Incidences of the ``removed`` items or rows; only the buckets that hold one are read."""
-        touched = [r.b for r in removed.select(self._bucket(side).alias("b")).distinct().collect()]
+    def of(self, side: str, keys: DataFrame, n: int) -> DataFrame:
+        """Incidences of the ``n`` items or rows in ``keys``; only the buckets that hold one are read.  Keys go to their buckets
+        in parts, a group of buckets each."""
+        keys = keys.select(side)
+        touched = sorted(r.b for r in keys.select(self._bucket(side).alias("b")).distinct().collect())
         self.read.append(sum(self._size[side].get(b, 0) for b in touched))
-        return self._by[side].filter(F.col("b").isin(touched)).join(removed.select(side), side, "left_semi")
+        sends = min(len(touched), -(-n // SENT_KEYS))
+        if sends > MAX_SENDS or n > 2 * sends * SENT_KEYS:
+            return self._by[side].filter(F.col("b").isin(touched)).join(keys, side, "left_semi")
+        out = self._by[side].filter(F.lit(False))
+        for i in range(sends):
+            part = self._by[side].filter(F.col("b").isin(touched[i::sends]))
+            own = keys.filter(self._bucket(side).isin(touched[i::sends])) if sends > 1 else keys
+            part = part.join(F.broadcast(own), side, "left_semi")
+            out = out.unionByName(part) if i else part
+        return out
 
     def drop(self) -> None:
         remove_folder(self.spark, self.root)
@@ -82,24 +95,29 @@ class Peeling:
         """Keep the items whose degree satisfies ``keep``; rows lose the others."""
         gone = self.items.filter(~keep)
         self.items = self.items.filter(keep)
-        if not gone.isEmpty():
-            self.rows = self._lowered(self.rows, "k", self.edges.of("item", gone).filter("c = 0"))
+        n = gone.count()
+        if n:
+            self.rows = self._lowered(self.rows, "k", self.edges.of("item", gone, n).filter("c = 0"))
 
     def remove_rows(self, gone: DataFrame) -> None:
         """Drop rows; the items of their lists lose them."""
-        if not gone.isEmpty():
+        n = gone.count()
+        if n:
             self.rows = cut_lineage(self.rows.join(gone.select("k"), "k", "left_anti"))
-            self.items = self._lowered(self.items, "item", self.edges.of("k", gone))
+            self.items = self._lowered(self.items, "item", self.edges.of("k", gone, n))
 
     def left(self) -> DataFrame:
-        return self.edges.all.join(self.items.select("item"), "item", "left_semi").join(self.rows.select("k"), "k", "left_semi")
+        n = self.items.count()
+        items = self.items.select("item")
+        return self.edges.of("k", self.rows, self.rows.count()).drop("b") \
+            .join(F.broadcast(items) if n <= SENT_KEYS else items, "item", "left_semi")
 
     def capped(self, cap: int) -> "Peeling":
         """Peeling of what is left, each list cut to its first ``cap`` items."""
         place = F.row_number().over(Window.partitionBy("k", "c").orderBy("p"))  # a list is one row's
         cut = self.left().withColumn("_r", place).filter(F.col("_r") <= cap).select("k", "c", "p", "item")
         out = Peeling(cut, self.rows.select("k"), self.edges.buckets)
-        out.edges.read = self.edges.read + [self.edges.rows]
+        out.edges.read = self.edges.read
         self.edges.drop()
         return out
 

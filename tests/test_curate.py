@@ -108,3 +108,25 @@ def test_empty_and_null_rows(spark):
     assert got(out) == [(2, [3, 3], [3])]
     assert got(O.core_fixed_point(df.limit(0), min_item_count=2, min_history=1)[0]) == []
     assert got(O.shrinking_cap_fixed_point(df, min_count=1, final_cap=1)[0]) == [(2, [3], [3])]
+
+
+@pytest.mark.parametrize("sent,sends", [(1 << 20, 8), (7, 8), (7, 1)])
+def test_lookup_by_sent_keys_shuffles_no_incidences(spark, monkeypatch, sent, sends):
+    """Keys are sent, whole or in parts, whatever Spark thinks of their size; too many of them are joined by a shuffle."""
+    monkeypatch.setattr(O, "SENT_KEYS", sent)
+    monkeypatch.setattr(O, "MAX_SENDS", sends)
+    rows = [(k, 0, p, (k * 7 + p * 3) % 50) for k in range(60) for p in range(5)]
+    edges = O.Incidences(spark.createDataFrame(rows, "k bigint, c int, p int, item bigint"), 8)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for side, at in (("k", 0), ("item", 3)):
+            for n in (0, 3, 30):
+                keys = spark.range(n).withColumnRenamed("id", side)
+                got = edges.of(side, keys, n)
+                assert sorted(map(tuple, got.select("k", "c", "p", "item").collect())) == sorted(r for r in rows if r[at] < n)
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                assert ("SortMergeJoin" in plan) == (n == 30 and sends == 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        edges.drop()
