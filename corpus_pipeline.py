@@ -9,18 +9,33 @@ bpe                token ids of the remaining texts, and their decoded form
 
 A stage that changes the text sets ``n_chars`` to its length.  A document that is clean goes through all of them
 unchanged.  Rows with a NULL id are kept by the stages that compare documents.
+
+The stages send whole texts to Python workers; their session gets ``session.bound_batches``, so what a task holds of them
+does not depend on how long the texts are or how many rows a file has.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recsuite.llm import bpe, decontam, langid, neardup, suffix
 from recsuite.llm.entry import word_tokenizer
-from recsuite.session import ensure_checkpoint_dir
+from recsuite.session import bound_batches, ensure_checkpoint_dir
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -32,6 +47,7 @@ def _quoted(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
 
+@_bounded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labelled training fold, drop what the classifier rejects."""
     model = langid.train(docs.filter(~langid.held_out(4, 2)))
@@ -40,12 +56,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*named.columns).toDF(*docs.columns)
 
 
+@_bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest id."""
     dropped = neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*_quoted(docs))
 
 
+@_bounded
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages; the text is what is left."""
     named = _plain(docs)
@@ -60,12 +78,14 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                          for c, n in zip(docs.columns, named.columns)])
 
 
+@_bounded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a benchmark item."""
     hits = decontam.op8_decontamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(hits, "doc_id", "left_anti").select(*_quoted(docs))
 
 
+@_bounded
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and the decoded text."""
     return bpe.encode_and_decode(docs, word_tokenizer(), ["doc_id", "lang", "source"])

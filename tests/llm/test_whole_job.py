@@ -252,3 +252,32 @@ def test_lm_score_equals_plain_model_of_the_kept_seatings(spark, make):
     for r, t in zip(got, asked):
         line = [hashes[w] for w in (t or "").split()] + [end]
         assert abs(r.score - sum(log10(probability(w, u)) for w, u in zip(line, [end, *line]))) < 1e-9
+
+
+def test_language_id_stage_sends_texts_once_in_bounded_batches(spark, make, monkeypatch):
+    """40 MB of texts in one file: no batch that a worker gets holds more than the bound and a row, a text in it once."""
+    import corpus_pipeline as p
+    from recsuite.session import BATCH_BYTES
+    most, kind, sent = BATCH_BYTES + (1 << 20), type(spark.range(1)), []
+    plain = kind.mapInArrow
+
+    def watched(self, func, schema, *args):
+        def run(batches):
+            def small():
+                for b in batches:
+                    if b.nbytes > most:
+                        raise ValueError(f"a batch of {b.nbytes} bytes")
+                    yield b
+            return func(small())
+        sent.append(self)
+        return plain(self, run, schema, *args)
+
+    line = "the people of the town said that it was the best of all the days they had seen and more would come "
+    rows = [(i, (line if i % 2 else line[::-1]) * 500, "ab"[i % 2], "web", 500 * len(line)) for i in range(800)]
+    docs = make(rows, "doc_id long, text string, lang string, source string, n_chars long", 1)
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    out = p.language_id(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.selectExpr("doc_id", "crc32(cast(text as binary))", "lang", "n_chars").collect())) == \
+        sorted(map(tuple, docs.selectExpr("doc_id", "crc32(cast(text as binary))", "lang", "n_chars").collect()))
+    assert [len(x.columns) for x in sent] == [len(docs.columns)]
